@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import table
+from logloom.llm import chat, mixing, quality, url_filter
+from logloom.llm.common import materialise, table
 from logloom.llm.packing import pack_documents
 from logloom.llm.token_counts import count_tokens
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = materialise(mixing.with_sizes(docs, "doc_id", "text", "source").select("doc_id", "source", "size", "src", "h"))
+    return mixing.mix_plan(sized, sized.count())
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
@@ -20,8 +27,115 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
+    return url_filter.filter_pages(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    say = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], told.schema)
+    return chat.digests(chat.format_conversations(told.unionAll(probe)))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
+    "op7_chat_format": op7_chat_format,
+    "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), s AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS which
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+), w AS (
+  SELECT *, CASE which WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget
+  FROM s
+), r AS (
+  SELECT *, sum(weight) OVER () AS all_weight,
+         coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, cap * (all_weight - weight_before) <= weight * (budget - cap_before) AS capped FROM r
+), t AS (
+  SELECT source, source_size, which, CASE WHEN capped THEN cap ELSE weight * left_budget / left_weight END AS target
+  FROM (SELECT *, budget - coalesce(sum(cap) FILTER (capped) OVER (), 0) AS left_budget,
+               all_weight - coalesce(sum(weight) FILTER (capped) OVER (), 0) AS left_weight FROM c)
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.which,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - d.size / 2 AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, CAST(CASE WHEN size = 0 THEN 0 ELSE (middle < target)::INT + (middle + source_size < target)::INT END AS BIGINT) AS n,
+         middle / target AS y
+  FROM p
+), y AS (
+  SELECT *, y * CASE which WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS z FROM q
+)
+SELECT doc_id, size, source_size, target, n * size AS taken,
+       CASE WHEN n = 0 THEN NULL
+            WHEN which = 0 THEN z * 2 / (sqrt(36.0::DOUBLE + z * (-4.0)::DOUBLE) + 6.0::DOUBLE)
+            WHEN which = 1 AND z <= 0.75 THEN z * 2 / (sqrt(1.0::DOUBLE + z * 4.0::DOUBLE) + 1.0::DOUBLE)
+            WHEN which = 1 THEN 0.5 + (z - 0.75::DOUBLE) * 2 / (sqrt(4.0::DOUBLE + (z - 0.75::DOUBLE) * 4.0::DOUBLE) + 2.0::DOUBLE)
+            ELSE z * 2 / (sqrt(1.0::DOUBLE) + 1.0::DOUBLE) END AS position
+FROM y
+"""
+
+URL_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM u)
+), r(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), f AS (
+  SELECT p.*, r.rhost || r.rpath AS rule, r.verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(r.rhost || r.rpath) DESC) AS k
+  FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1
+"""
+
+
+def _escaped(x: str) -> str:
+    out = f"replace({x}, '\\', '\\\\')"
+    for c in chat.Template().controls:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+CHAT_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS under,
+         string_agg('<|start|>' || {_escaped("role")} || '<|message|>' || {_escaped("text")} || '<|end|>', '' ORDER BY turn NULLS FIRST, role, text) AS formatted,
+         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '?' END, '' ORDER BY turn NULLS FIRST, role, text) AS roles
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(under) AS BIGINT) AS loss_chars, sha256(under) AS loss_sha256,
+       CAST(length(formatted) AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid
+FROM g
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
