@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, mixing, quality, url_filter
+from logloom.llm import chat, lines, mixing, near, quality, url_filter
 from logloom.llm.common import materialise, table
 from logloom.llm.packing import pack_documents
 from logloom.llm.token_counts import count_tokens
@@ -28,14 +28,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
+    rules = spark.sql("VALUES " + ", ".join(str(r) for r in url_filter.RULES)).toDF("action", "host", "path")
     return url_filter.filter_pages(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_removed", "removed_words", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     say = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], told.schema)
+    probe = spark.sql(f"VALUES (-1L, 0L, 'user', '{say}'), (-1L, 1L, 'assistant', '{say}')").toDF(*told.columns)
     return chat.digests(chat.format_conversations(told.unionAll(probe)))
 
 
@@ -50,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_chat_format": op7_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -2,9 +2,10 @@
 
 Documents are read once, in blocks. A block holds, for every pre-token in it, the list of
 (document in block, frequency), so a pre-token that every document has costs one row a block.
-Blocks are written to the shared folder. Distinct pre-tokens are counted, joined back, and each
-block sums frequency x pieces for its documents. No ids are kept, and no key gathers more than a
-row from each block.
+Rows are dealt and sorted by pre-token; there each distinct pre-token is counted once and merged
+with its lists. Dealt again by block, frequency x pieces is summed for each document. No ids are
+kept. A pre-token that many documents of a block have is dealt to up to SALTS tasks, so that no
+task gets all lists of a word that a third of the corpus has; it is counted once in each of them.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import tokens
-from logloom.llm.common import materialise
 
 #: A block ends after so many documents or characters, so that it fits in a Python worker.
 BLOCK_DOCS, BLOCK_CHARS = 8_192, 24_000_000
-_POSTINGS = "block long, piece string, postings binary, docs binary"
+#: A list of so many documents in a block is long; long lists of a pre-token go to SALTS tasks.
+LONG, SALTS = 512, 64
+_POSTINGS = "block long, piece string, salt long, postings binary, docs binary"
+_COUNTED = "block long, pieces int, postings binary, docs binary"
 _RESULT = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -47,11 +50,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             block = (part << 32) | seq
             mask = np.array([i is None for i in ids], dtype="u1")
             head = np.array([i or 0 for i in ids], dtype="<i8").tobytes() + np.array(sizes, dtype="<i8").tobytes() + mask.tobytes()
-            yield _batch([block], [None], [None], [head])
+            yield _batch([block], [None], [block], [None], [head])
             keys = list(postings)
             for i in range(0, len(keys), 50_000):
                 some = keys[i : i + 50_000]
-                yield _batch([block] * len(some), some, [bytes(postings[k]) for k in some], [None] * len(some))
+                salts = [block % SALTS if len(postings[k]) >= 3 * LONG else 0 for k in some]
+                yield _batch([block] * len(some), some, salts, [bytes(postings[k]) for k in some], [None] * len(some))
             ids.clear(), sizes.clear(), postings.clear()
             seq, chars = seq + 1, 0
 
@@ -75,24 +79,23 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.load(vocabulary)
+        last, n = None, 0
         for batch in batches:
-            n = pa.array([tok.count(p) for p in batch.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n], ["piece", "pieces"])
-
-    freq = materialise(rows.mapInArrow(blocks, _POSTINGS))
-    pieces = freq.select("piece").where("piece is not null").distinct().mapInArrow(counted, "piece string, pieces int")
-    joined = (
-        freq.where("piece is not null").join(pieces, "piece").select("block", "pieces", "postings", F.lit(None).cast("binary").alias("docs"))
-        .unionAll(freq.where("piece is null").select("block", F.lit(0).alias("pieces"), "postings", "docs"))
-    )
-    return joined.groupBy("block").applyInArrow(_sums, _RESULT)
-
-
-def _batch(block: list, piece: list, postings: list, docs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(block, pa.int64()), pa.array(piece, pa.string()), pa.array(postings, pa.binary()), pa.array(docs, pa.binary())],
-        ["block", "piece", "postings", "docs"],
-    )
+            pieces = []
+            for piece in batch.column(1).to_pylist():
+                if piece is not None and piece != last:
+                    last, n = piece, tok.count(piece)
+                pieces.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int32()), batch.column(3), batch.column(4)], ["block", "pieces", "postings", "docs"])
+
+    by_piece = rows.mapInArrow(blocks, _POSTINGS).repartition("piece", "salt").sortWithinPartitions("piece")
+    return by_piece.mapInArrow(counted, _COUNTED).groupBy("block").applyInArrow(_sums, _RESULT)
+
+
+def _batch(block: list, piece: list, salt: list, postings: list, docs: list) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+    columns = [pa.array(c, t) for c, t in zip((block, piece, salt, postings, docs), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "piece", "salt", "postings", "docs"])
 
 
 def _sums(block: pa.Table) -> pa.Table:

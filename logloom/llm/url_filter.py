@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.bloom import Bloom
+
 #: Fixed values of the contract: action, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: A filter block is four 64-bit words with two bits each. 16 bits a key; the filter never has more than BLOCKS blocks (8 MB), so that it can be broadcast.
-BITS_A_KEY, BLOCKS = 16, 1 << 18
 #: Rules up to so many are broadcast to the exact join; more are joined by key.
 BROADCAST_RULES = 100_000
 
@@ -31,26 +31,6 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, upper.lower()), path
 
 
-def _words(key: Column) -> list[Column]:
-    """The four words of a key's mask: two of 64 bits in each, by slices of a hash."""
-    h = F.xxhash64(F.lit(2), key)
-    one = F.lit(1).cast("long")
-    return [_shift(one, h, 12 * k).bitwiseOR(_shift(one, h, 12 * k + 6)) for k in range(4)]
-
-
-def _shift(one: Column, h: Column, by: int) -> Column:
-    return F.call_function("shiftleft", one, F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-
-
-def bloom(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """The filter as rows ``fb, w0..w3`` for the blocks with a bit set, and the number of blocks."""
-    blocks = 1
-    while blocks < BLOCKS and blocks * 256 < n_keys * BITS_A_KEY:
-        blocks *= 2
-    words = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("fb"), *[w.alias(f"w{k}") for k, w in enumerate(_words(F.col("key")))])
-    return words.groupBy("fb").agg(*[F.expr(f"bit_or(w{k})").alias(f"w{k}") for k in range(4)]), blocks
-
-
 def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: str = "allow") -> DataFrame:
     """``url, host, path, rule, verdict, copies`` for each different URL of ``urls``; null is one of them.
 
@@ -63,7 +43,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", otherwis
         .withColumn("key", F.concat("host", "path"))
     )
     n_rules, lengths = keyed.agg(F.count("*"), F.collect_set(F.length("path"))).first()  # a set of path lengths is as small as the longest path
-    filter_rows, blocks = bloom(keyed, n_rules)
     host, path = url_parts(F.col("url"))
     different = urls.select(F.col(url_col).alias("url")).groupBy("url").agg(F.count("*").alias("copies")).withColumns({"host": host, "path": path})
     labels = F.split("host", r"\.")
@@ -71,11 +50,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", otherwis
     starts = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)] or [F.lit(None).cast("string")]
     paths = F.array_compact(F.array(*starts))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("host"), p.alias("path")))))
-    tried = different.select("url", "host", F.explode(pairs).alias("c")).select("url", "c", F.concat("c.host", "c.path").alias("key"))
-    tried = tried.withColumns({"fb": F.pmod(F.xxhash64("key"), F.lit(blocks))} | {f"m{k}": w for k, w in enumerate(_words(F.col("key")))})
-    passed = tried.join(F.broadcast(filter_rows), "fb")  # at most BLOCKS rows
-    for k in range(4):
-        passed = passed.where(F.col(f"w{k}").bitwiseAND(F.col(f"m{k}")) == F.col(f"m{k}"))
+    tried = different.select("url", "host", F.explode_outer(pairs).alias("c")).select("url", "c", F.concat("c.host", "c.path").alias("key"))
+    passed = Bloom(keyed, "key", n_rules).passed(tried, "key")
     exact = keyed.select("host", "path", "action")
     exact = F.broadcast(exact) if n_rules <= BROADCAST_RULES else exact
     hits = passed.select("url", "c.host", "c.path").join(exact, ["host", "path"])
