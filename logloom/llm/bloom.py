@@ -41,3 +41,11 @@ class Bloom:
         for k, m in enumerate(_mask(F.col(key))):
             out = out.where(F.col(f"_w{k}").bitwiseAND(m) == m)
         return out.where(F.col(key).isNotNull()).select(*df.columns)
+
+    def marked(self, df: DataFrame, key: str, flag: str) -> DataFrame:
+        """``df`` with the boolean ``flag``: whether passed() would keep the row."""
+        out = df.withColumn("_fb", self._block(F.col(key))).join(F.broadcast(self.rows), "_fb", "left")
+        hit = F.col(key).isNotNull()
+        for k, m in enumerate(_mask(F.col(key))):
+            hit = hit & (F.col(f"_w{k}").bitwiseAND(m) == m)
+        return out.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*df.columns, flag)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, lines, mixing, near, quality, url_filter
+from logloom.llm import chat, lines, mixing, near, quality, url_filter, warc
 from logloom.llm.common import materialise, table
 from logloom.llm.packing import pack_documents
 from logloom.llm.token_counts import count_tokens
@@ -48,6 +48,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(told.unionAll(probe)))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_warc": op8_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -149,4 +154,18 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(under) AS BIG
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
+WARC_SQL = """
+WITH d AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+         (strpos('0123456789abcdef', substr(h, i * 5 // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, i * 5 // 4 + 2, 1)) - 1
+       ) >> (3 - i * 5 % 4)) % 32 AS INT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op8_warc": WARC_SQL, "op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
