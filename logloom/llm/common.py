@@ -64,3 +64,13 @@ def free_name(wanted: str, taken) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+def filter_late(df: DataFrame, keep: str) -> DataFrame:
+    """``df.where(keep)`` that stays where it is written.
+
+    The optimizer copies the expressions behind a filter's columns down to the scan; those with
+    lambdas are then computed again for each element. It can't push a filter below a generator.
+    """
+    flag = free_name("_keep", df.columns)
+    return df.select("*", F.explode_outer(F.when(F.expr(keep), F.array(F.lit(1)))).alias(flag)).where(F.col(flag).isNotNull()).drop(flag)
