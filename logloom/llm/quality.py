@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: The most labelled documents that the list is fitted on; the lowest hashes of doc_id are taken.
 FIT_ROWS = 12_000
+#: A rule covers so many bad documents at least.
+FEWEST = 4
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -123,11 +125,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precision
     """
     found = DecisionList()
     left = np.ones(len(bad), bool)
-    while len(found.rules) < most_rules and (left & bad).sum() >= 5:
+    while len(found.rules) < most_rules and (left & bad).sum() >= FEWEST:
         rule = _prune(_grow(x, bad, left & ~fold, most_conditions), x, bad, left & fold)
         covered = left & np.logical_and.reduce([c.holds(x) for c in rule]) if rule else np.zeros_like(left)
         grown, pruned = covered & ~fold, covered & fold
-        if (covered & bad).sum() < 5 or any(m.sum() and bad[m].mean() < precision for m in (grown, pruned)):
+        if (covered & bad).sum() < FEWEST or any(m.sum() and bad[m].mean() < precision for m in (grown, pruned)):
             break
         found.rules.append(rule)
         left &= ~covered
@@ -171,6 +173,10 @@ def _prune(rule: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray, row
     return rule
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DecisionList:
     """The decision list from ``labels`` (doc_id, quality: 0 is bad) of ``docs`` (doc_id, text).
 
@@ -183,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DecisionLis
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
-    values = with_statistics(known).select("doc_id", "quality", *[F.expr(e).cast("double").alias(f"f_{n}") for n, e in FEATURES.items()])
+    values = with_statistics(known).select("doc_id", "quality", base_failed().alias("failed"), *[F.expr(e).cast("double").alias(f"f_{n}") for n, e in FEATURES.items()])
     got = values.groupBy("doc_id").agg(F.max(F.struct(*values.columns[1:])).alias("v")).select("doc_id", "v.*").orderBy("doc_id").collect()
+    got = [r for r in got if not r["failed"]]  # the list only judges what the base rules leave
     if not got:
         return DecisionList()
     x = {n: np.array([r[f"f_{n}"] for r in got]) for n in FEATURES}
@@ -200,5 +207,4 @@ def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataF
     is judged on its own. Columns of ``docs`` with the statistics' names are replaced.
     """
     known = with_statistics(docs, text_col)
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return known.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & rules.keeps())
+    return known.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.keeps())
