@@ -60,12 +60,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = {c: f"c{i}" for i, c in enumerate(names)}
     th = F.xxhash64(at[text_col])
     keyed = own.withColumns({"_text": F.col(at[text_col]), "_th": th, "_id": F.coalesce(F.col(at[id_col]).cast("long"), th)})
-    units = with_units(keyed.where("_text is not null").select("_id", "_th", "_text"), min_words)
+    # where a line stands among all: one number, so that the first one is found by a hash aggregate; null ids come last
+    shift = F.when(F.col(at[id_col]).isNull(), F.expr("1000000000000000000000000000000")).otherwise(F.expr("0"))
+    keyed = keyed.withColumn("_at", (F.col("_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + shift).cast("decimal(38,0)"))
+    units = with_units(keyed.where("_text is not null").select("_id", "_th", "_at", "_text"), min_words)
     # outer: for explode() the optimizer adds a filter on the array and copies its whole expression, lambdas within lambdas, down to the scan
-    told = units.select("_id", "_th", "_lines", F.explode_outer("_units").alias("u")).where("u is not null")
-    # where a unit first stands: one number, so that it's aggregated by hash
-    place = F.col("_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("u.start")
-    place = place.cast("decimal(38,0)")
+    told = units.select("_id", "_th", "_at", "_lines", F.explode_outer("_units").alias("u")).where("u is not null")
+    place = (F.col("_at") + F.col("u.start")).cast("decimal(38,0)")
     counts = told.select("u.h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialise(counts.select("h"))
     again = Bloom(repeated, "h", repeated.count()).passed(told.select("_id", "_th", place.alias("place"), "u.start", "u.n", "u.h", F.slice("_lines", F.col("u.start") + 1, F.col("u.n")).alias("own")), "h")
