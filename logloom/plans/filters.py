@@ -105,7 +105,6 @@ def compile_filter(f: Filter) -> Column:
 def filter_of(now: int, start: int = 0, end: int = 0, statuses: list[int] | None = None, **rest) -> Filter:
     """A filter of a request: without a range from 0 to now; the end is included; 0 is open; negative statuses don't count."""
     if not start and not end:
-        start, end = 0, now
         return Filter(start=0, end=now + 1, statuses=[s for s in statuses or [] if s >= 0], **rest)
     return Filter(start=start or None, end=end + 1 if end else None, statuses=[s for s in statuses or [] if s >= 0], **rest)
 

@@ -168,12 +168,36 @@ def end_of(plan: FilePlan) -> int:
 
 
 @dataclass
-class _Slice(InputPartition):
+class Slice(InputPartition):
+    """Lines of a file that start in [start, stop); ``aligned``: the first byte starts a line."""
+
     path: str
     fp: str
     start: int
     stop: int | None
     size: int
+    aligned: bool = True
+
+
+def slices(path: str, fp: str, start: int, size: int) -> list[Slice]:
+    if is_gzip(path):
+        return [Slice(path, fp, start, None, size)]
+    return [Slice(path, fp, a, min(a + SLICE, size), size, a == start) for a in range(start, size, SLICE)]
+
+
+def read_slice(part: Slice) -> Iterator[tuple]:
+    """Rows of SCHEMA; they carry half of the fingerprint. A line that starts before a slice belongs to the one before."""
+    start = part.start
+    if not part.aligned:
+        with open(part.path, "rb") as f:
+            f.seek(start - 1)
+            while start < part.size and (got := f.readline(1 << 20)):
+                start = f.tell()
+                if got.endswith(b"\n"):
+                    break
+    main = main_log_path(part.path)
+    for at, line, _ in read_lines(part.path, start, part.size, part.stop):
+        yield line.decode("utf-8", "replace"), at, part.fp[:16], part.path, main
 
 
 class _Reader(DataSourceReader):
@@ -181,30 +205,10 @@ class _Reader(DataSourceReader):
         self.plans = plans
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for p in self.plans:
-            if is_gzip(p["path"]):
-                out.append(_Slice(p["path"], p["fingerprint"], p["start"], None, p["size"]))
-            else:
-                out += [_Slice(p["path"], p["fingerprint"], a, min(a + SLICE, p["size"]), p["size"]) for a in range(p["start"], p["size"], SLICE)]
-        return out or [_Slice("", "", 0, 0, 0)]
-
-    def read(self, partition: _Slice) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        start = partition.start
-        first = next((p["start"] for p in self.plans if p["path"] == partition.path), start)
-        if start > first:  # a line that starts before a slice belongs to the one before
-            with open(partition.path, "rb") as f:
-                f.seek(start - 1)
-                while start < partition.size and (got := f.readline(1 << 20)):
-                    start = f.tell()
-                    if got.endswith(b"\n"):
-                        break
-        main = main_log_path(partition.path)
-        for at, line, _ in read_lines(partition.path, start, partition.size, partition.stop):
-            # rows carry half of the fingerprint
-            yield line.decode("utf-8", "replace"), at, partition.fp[:16], partition.path, main
+        return [x for p in self.plans for x in slices(p["path"], p["fingerprint"], p["start"], p["size"])] or [Slice("", "", 0, 0, 0)]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        yield from read_slice(partition) if partition.path else ()
 
 
 class LogLines(DataSource):

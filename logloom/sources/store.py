@@ -34,13 +34,14 @@ GEO = ["region_code", "province", "city", "sub1", "sub2", "city_point"]
 
 @dataclass
 class Manifest:
-    """``parts``: group -> table -> folders. ``states``: group -> file states. ``dirty``: groups with an unfinished import."""
+    """``parts``: group -> table -> folders. ``states``: group -> file states. ``dirty``: groups with an unfinished import. ``marks``: the last streamed batch of a group."""
 
     format: int = FORMAT
     generation: int = 0
     parts: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     states: dict[str, list[dict]] = field(default_factory=dict)
     dirty: list[str] = field(default_factory=list)
+    marks: dict[str, str] = field(default_factory=dict)
 
 
 def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations: DataFrame | None = None) -> DataFrame:
@@ -110,6 +111,9 @@ class Store:
     def states(self, group: str) -> dict[str, FileState]:
         return {s["path"]: FileState(**s) for s in self.manifest().states.get(group, [])}
 
+    def mark(self, group: str) -> str | None:
+        return self.manifest().marks.get(group)
+
     def _write(self, df: DataFrame, group: str, table: str) -> str:
         name = f"{table}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
@@ -124,9 +128,11 @@ class Store:
         for table, frame in made.frames().items():
             parts[table].append(self._write(frame, group, table))
 
-    def commit(self, group: str, rows: DataFrame | None, states: list[FileState], delete: list[tuple[str, int]] = (), dirty: bool = False) -> None:
+    def commit(self, group: str, rows: DataFrame | None, states: list[FileState], delete: list[tuple[str, int]] = (), dirty: bool = False, mark: str | None = None) -> None:
         """One generation: deletes (fingerprint, from offset), new rows with their rollup, and file states."""
         m = self.manifest()
+        if mark is not None:
+            m.marks[group] = mark
         if delete and group in m.parts:
             old = self._read(m, "rows", [group])
             gone = reduce(lambda a, b: a | b, [(F.col("fp") == fp[:16]) & (F.col("off") >= at) for fp, at in delete])
