@@ -11,21 +11,22 @@ from logloom.llm.common import materialise
 def components(edges: DataFrame) -> DataFrame:
     """``id, label`` for every id in ``edges`` (a, b long): label is the smallest id of its component.
 
-    A step links each node's larger (or smaller) neighbours to the smallest one around; every step
-    is written to the shared folder, and the steps end when the edges no longer change. Self-loops and
-    null ends are dropped. Ids without an edge aren't in the result.
+    A step links each node's larger, then smaller neighbours to the smallest one around, and is
+    written to the shared folder. Steps end when the edges are stars: every larger end has one edge,
+    and no smaller end is a larger one. Self-loops and null ends are dropped. Ids without an edge
+    aren't in the result.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sum_before = None
-    while True:
+    while not _stars(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = materialise(small)
-        # a changed edge set changes its number or its sum of hashes
-        total = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if total == sum_before:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
-        sum_before = total
+        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = materialise(small.distinct())
+    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("larger")).unionAll(edges.select(F.col("b").alias("id"), F.lit(0).alias("larger")))
+    return ends.groupBy("id").agg(F.sum("larger").alias("n"), F.min("larger").alias("least")).where("n > 1 or (n = 1 and least = 0)").agg(F.count("*")).first()[0] == 0

@@ -7,10 +7,13 @@ on shingles and on their order. There are SKETCHES of them: at a similarity of 0
 with a probability below 10^-6.
 
 Similarity is L / (n + m - L) for texts of n and m shingles that have L in common in the same
-order. Equal texts are one class before anything else. Among different texts, each bucket of a
-sketch links its members to its smallest id; links are verified and joined into components. Buckets
-that still hold several components compare all their members across components, in blocks, by
-their whole sketches, and verify the pairs that may be similar. So large groups of copies cost a link
+order. Equal texts are one class before anything else. Different texts meet in rounds. In each
+round every bucket of a sketch links its members to one of them, first the smallest id, then others by
+hash; links between components are verified, a link for each member of a bucket at most, and
+components are joined. ROUNDS later nearly all members of a family are one component. Buckets that
+still hold several compare all their members across components, in blocks: a pair in the first bucket
+it shares, by profiles that estimate the similarity, then by the shingles in common, which bound it. Only
+pairs that may be links leave the block, to be verified. So large groups of copies cost a few links
 for each copy, and no link between different texts is lost.
 """
 
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bloom import Bloom
-from logloom.llm.common import materialise
+from logloom.llm.common import free_name, materialise
 from logloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ELEMENTS = 20, 3
-#: Members of a bucket that meet in one task for the comparison of all with all, and how many equal sketches a pair must have there. At a similarity of 0.8 a pair has 10 on average and fewer than 2 once in 80,000.
-BLOCK, SHARED = 512, 2
+ROUNDS = 2
+#: Members of a bucket, and bytes of their shingles, that meet in one task for the comparison of all with all. Their profiles have
+#: BINS minima each; a pair goes on if the share of equal ones is at most SIGMAS standard deviations below the similarity.
+BLOCK, BLOCK_BYTES, BINS, SIGMAS = 512, 16 << 20, 256, 4.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CACHE: dict[str, int] = {}
 
@@ -154,22 +159,52 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verified(least), "a long, b long")
 
 
-def _across(block: pa.Table) -> pa.Table:
-    """Pairs of members of two blocks of a bucket that are in different components and share enough sketches."""
-    rows = block.to_pydict()
-    side = np.array(rows["side"])
-    ids, labels = np.array(rows["id"]), np.array(rows["label"])
-    sk = np.frombuffer(b"".join(rows["sketch"]), "<i8").reshape(-1, SKETCHES)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(right):
-        right = left
-    a, b = [], []
-    for i in left:
-        hit = right[((sk[right] == sk[i]).sum(axis=1) >= SHARED) & (labels[right] != labels[i]) & (ids[right] != ids[i])]
-        a += [ids[i]] * len(hit)
-        b += ids[hit].tolist()
-    lo, hi = np.minimum(a, b).astype("i8"), np.maximum(a, b).astype("i8")
-    return pa.table([pa.array(lo), pa.array(hi)], ["a", "b"])
+def profile(s: np.ndarray) -> np.ndarray:
+    """The least hash in each of BINS bins of the shingles; 2^32 - 1 where a bin is empty."""
+    h = _mix((s ^ np.uint64(0x5851F42D4C957F2D)) * _MUL)
+    out = np.full(BINS, 0xFFFFFFFF, "u4")
+    np.minimum.at(out, (h >> np.uint64(56)).astype("i8") % BINS, (h & np.uint64(0xFFFFFFFE)).astype("u4"))
+    return out
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [np.sort(shingles(t.as_py())).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
+
+
+def _across(least: float):
+    def run(block: pa.Table) -> pa.Table:
+        """Pairs of members of two blocks of a bucket, in different components, that may reach ``least``."""
+        key = block.column("key")[0].as_py()
+        side, ids, labels = (block.column(c).to_numpy() for c in ("side", "id", "label"))
+        keys = np.frombuffer(b"".join(block.column("sketch").to_pylist()), "<i8").reshape(-1, SKETCHES)
+        own = [np.frombuffer(x, "<u8") for x in block.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in own])
+        made = np.array([profile(x) for x in own])
+        empty = made == 0xFFFFFFFF
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(right)
+        a, b = [], []
+        for k, i in enumerate(left):
+            some = left[k + 1 :] if alone else right
+            some = some[(labels[some] != labels[i]) & (np.minimum(n[some], n[i]) >= least * np.maximum(n[some], n[i]))]
+            if len(some):
+                same = keys[some] == keys[i]
+                some = some[keys[i][same.argmax(axis=1)] == key]
+            if len(some):
+                told = (~(empty[some] & empty[i])).sum(axis=1)
+                equal = ((made[some] == made[i]) & ~empty[i]).sum(axis=1)
+                some = some[equal >= told * least - SIGMAS * np.sqrt(told * least * (1 - least))]
+            for j in some:
+                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if common >= least / (1 + least) * (n[i] + n[j]) - 1e-9:
+                    a.append(ids[i])
+                    b.append(ids[j])
+        lo, hi = np.minimum(a, b).astype("i8"), np.maximum(a, b).astype("i8")
+        return pa.table([pa.array(lo), pa.array(hi)], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -185,35 +220,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).select("id", "digest", "text")
     named = rows.where("id is not null")
     made = materialise(named.mapInArrow(_sketched, "id long, digest binary, sketch binary"))
-    different = made.groupBy("digest").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"))
-    # an id may come with several texts; they are then one class by that id
-    members = made.select("id", "digest").join(different.select("digest", F.col("id").alias("rep")), "digest")
-    members = materialise(members.select("id", "rep").distinct())
-    owners = materialise(different.where("sketch is not null").select("id", "sketch", "digest"))
+    different = materialise(made.groupBy("digest").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")))
+    # copies take the id of their text; an id that comes with several texts joins them
+    copies = made.select("id", "digest").join(different.select("digest", F.col("id").alias("rep")), "digest")
+    linked = materialise(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    owners = different.where("sketch is not null").select("id", "sketch", "digest")
 
     keys = materialise(owners.select("id", "sketch").mapInArrow(_keys, "id long, key long"))
-    centres = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    buckets = materialise(keys.join(centres, "key").select("key", "a", F.col("id").alias("b")))
-    stars = materialise(buckets.where("a <> b").select("a", "b").distinct())
-
-    linked = stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))).distinct()
-    involved = Bloom(linked, "id", 2 * stars.count())
-    owned = owners.select(F.col("id"), "digest")
-    texts = materialise(involved.passed(rows, "id").join(involved.passed(owned, "id"), ["id", "digest"]).select("id", "digest", "text").dropDuplicates(["id", "digest"]).select("id", "text"))
-    first = materialise(_verify(stars, texts, least))
-
-    joined = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(first.unionAll(joined))
-    label = F.coalesce("label", "id").alias("label")
-    placed = buckets.select("key", F.col("b").alias("id")).join(found, "id", "left").select("key", "id", label)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rest = materialise(placed.join(mixed, "key").join(owners.select("id", "sketch"), "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("first"))
+    buckets = materialise(keys.join(shared, "key"))
+    involved = buckets.select("id").distinct()
+    may = Bloom(involved, "id", buckets.count())
+    own = may.passed(owners.select("id", "digest"), "id").join(involved, "id")
+    texts = materialise(may.passed(named, "id").join(own, ["id", "digest"]).select("id", "digest", "text").dropDuplicates(["id", "digest"]).select("id", "text"))
+
+    found, told, open_ = None, None, buckets.select("key", "id", F.col("id").alias("label"), F.col("first"))
+    for turn in range(ROUNDS):
+        if turn:
+            centre = F.min_by("id", F.xxhash64("id", "key", F.lit(turn)))
+            open_ = open_.join(open_.groupBy("key").agg(centre.alias("first")), "key").select("key", "id", "label", "first")
+        centres = open_.where("id = first").select("key", F.col("label").alias("other")).distinct()
+        pairs = open_.join(centres, "key").where("id <> first and label <> other").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+        if told is not None:
+            pairs = pairs.join(told, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        told = pairs if told is None else told.unionAll(pairs)
+        known = linked if found is None else found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+        found = components(known.unionAll(_verify(pairs, texts, least)))
+        placed = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        open_ = materialise(placed.join(several, "key"))
+
+    made = texts.join(open_.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled, "id long, shingles binary")
+    rest = materialise(open_.select("key", "id", "label").join(made.join(owners.select("id", "sketch"), "id"), "id"))
+    parts = F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)
+    rest = rest.join(rest.groupBy("key").agg(F.ceil(parts).alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # each member goes to the meetings of its block with itself and with every other block
     meets = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "label", "sketch"
+        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "label", "sketch", "shingles"
     )
-    across = meets.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-    untold = materialise(across.join(stars, ["a", "b"], "left_anti"))
-    second = _verify(untold, texts, least)
-    final = components(first.unionAll(second).unionAll(joined))
+    across = meets.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
+    untold = materialise(across.join(told, ["a", "b"], "left_anti"))
+    # the components so far are stars already; only links between them are new
+    stars = found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    final = components(stars.unionAll(_verify(untold, texts, least)))
     return rows.select("id").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class, the one with the smallest id; of rows with that id, one.
+
+    Rows with a null id all stay.
+    """
+    classes = near_duplicates(docs, id_col, text_col, least)
+    gone = materialise(classes.where("class_id <> doc_id").select(F.col("doc_id").alias("id")).distinct())
+    again = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
+    # texts of documents that certainly stay, most of them, aren't shuffled
+    flag = free_name("_touched", docs.columns)
+    touched = materialise(gone.unionAll(again))
+    marked = Bloom(touched, "id", touched.count()).marked(docs, id_col, flag)
+    rest = marked.where(F.col(flag)).drop(flag)
+    rest = rest.join(gone, rest[id_col] == gone["id"], "left_anti").dropDuplicates([id_col])
+    return marked.where(~F.col(flag)).drop(flag).unionAll(rest)
