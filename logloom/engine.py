@@ -104,8 +104,8 @@ class Engine:
         label = location_label([F.coalesce(c, F.lit("")) for c in ("region_code", "province", "city")], chinese)
         return frame.drop("raw_tok", "path_tok", "ua_tok", "ref_tok", "ip_hex").withColumn("location", label)
 
-    def status(self, kind: str = "", name: str = "") -> list[dict]:
-        """Groups with what is indexed of them, sorted; narrowed by kind and a part of the path."""
+    def status(self, kind: str = "", name: str = "", state: str = "") -> list[dict]:
+        """Groups with what is indexed of them, sorted; narrowed by kind, a part of the path and state."""
         rows = self.store.rows()
         known = {r["main_log_path"]: r.asDict() for r in stats.time_range(rows).collect()} if rows is not None else {}
         out = []
@@ -118,7 +118,13 @@ class Engine:
                  "documents": known.get(group, {}).get("docs", 0), "first": known.get(group, {}).get("first"), "last": known.get(group, {}).get("last"),
                  "state": "indexing" if group in self.rounds.busy else "indexed" if group in known else "not_indexed"}
             )
-        return out
+        return [s for s in out if not state or s["state"] == state]
+
+    def totals(self) -> dict:
+        """Files, groups that are indexed and at work, and documents over all groups."""
+        found = self.status()
+        count = lambda state: sum(s["state"] == state for s in found)
+        return {"files": sum(s["files"] for s in found), "indexed": count("indexed"), "indexing": count("indexing"), "documents": sum(s["documents"] for s in found)}
 
     def preflight(self, path: str = "") -> dict:
         """Whether questions about a log can be answered now."""

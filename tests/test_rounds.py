@@ -147,6 +147,7 @@ def test_questions(site):
     assert board["overview"].first()["pv"] == 40 and board["urls"].count() == 40
     assert engine.analytics()["figures"].first()["docs"] == 40 and engine.warm() == 40
     assert engine.status()[0]["documents"] == 40 and engine.preflight()["available"]
+    assert engine.totals() == {"files": 1, "indexed": 1, "indexing": 0, "documents": 40} and engine.status(state="indexing") == []
     with pytest.raises(ScopeError):
         engine.entries("/etc/passwd")
 
