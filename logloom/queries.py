@@ -62,7 +62,7 @@ def _hourly_sql(lay: Layout) -> str:
 def _daily_sql(lay: Layout) -> str:
     a, b = lay.scan
     days = ", ".join(f"({at}, {m}, {n})" for at, m, n in lay.days())
-    return f"""SELECT d.t0 AS timestamp, count(ts) AS pv, count(DISTINCT ip) AS uv, CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) AS bytes
+    return f"""SELECT CAST(d.t0 AS BIGINT) AS timestamp, count(ts) AS pv, count(DISTINCT ip) AS uv, CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) AS bytes
     FROM (VALUES {days}) AS d(t0, a, b) LEFT JOIN (SELECT * FROM log WHERE ts >= {a} AND ts < {b}) r ON r.ts >= d.a AND r.ts < d.b GROUP BY 1"""
 
 
