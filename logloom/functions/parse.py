@@ -1,7 +1,7 @@
 """Access and error log lines as columns.
 
-Each field is cut out by one anchored expression, so that a line is parsed inside the scan's own
-stage. Lines that aren't entries give null structs.
+A line is taken apart by one pass of one expression, inside the scan's own stage. Lines that aren't
+entries give null.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 #: ip ident user [time] "request" status size "referer" "agent" request_time upstream_time
 _ACCESS = (
     r'(?s)^([^ ]*) +([^ ]*) +([^ ]*) +\[([^\]]*)\] *"([^"]*)" *([^ ]*) *([^ ]*) *'
-    r'(?:"([^"]*)" *(?:"([^"]*)" *)?)?([^ ]*) *([^ ]*)'
+    r'(?:"([^"]*)" *(?:"([^"]*)" *)?)?([^ ]*) *([^ ]*).*$'
 )
 _FIELDS = ["ip", "ident", "user", "time", "request", "status", "size", "referer", "agent", "request_time", "upstream_time"]
 
@@ -71,19 +71,26 @@ def seconds(s: Column) -> Column:
     return F.when(v >= 0, v)
 
 
-def access_fields(line: Column) -> Column:
-    """A struct of the parsed line, null if it isn't an access entry."""
-    g = {n: F.regexp_extract(line, _ACCESS, k + 1) for k, n in enumerate(_FIELDS)}
+def access_parts(line: Column) -> Column:
+    """The fields' texts as an array, null if the line isn't an access entry. A line has no line feed, so one parts them."""
+    is_line = F.octet_length(line).between(MIN_LINE, MAX_LINE) & ~F.contains(line, F.lit("\n")) & line.rlike(_ACCESS)
+    return F.when(is_line, F.split(F.regexp_replace(line, _ACCESS, "\n".join(f"${k + 1}" for k in range(len(_FIELDS)))), "\n"))
+
+
+def access_fields(parts: Column) -> Column:
+    """A struct of the typed fields of access_parts()."""
+    g = {n: F.get(parts, F.lit(k)) for k, n in enumerate(_FIELDS)}
     words = F.filter(F.split(g["request"], r"\s+"), lambda x: x != "")
-    verb, status, size = F.get(words, F.lit(0)), F.when(g["status"].rlike(r"^\+?\d+$"), g["status"].try_cast("long")), F.when(g["size"].rlike(r"^\+?\d+$"), g["size"].try_cast("long"))
-    is_line = F.octet_length(line).between(MIN_LINE, MAX_LINE) & line.rlike(_ACCESS)
+    verb = F.get(words, F.lit(0))
+    number = lambda n: F.when(g[n].rlike(r"^\+?\d+$"), g[n].try_cast("long"))
+    status = number("status")
     return F.when(
-        is_line,
+        parts.isNotNull(),
         F.struct(
             parse_time(g["time"]).alias("ts"), g["ip"].alias("ip"),
             F.when(verb.isin(METHODS), verb).otherwise("").alias("method"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("path"),
             F.coalesce(F.get(words, F.lit(2)), F.lit("")).alias("protocol"),
-            F.coalesce(F.when(status.between(100, 599), status), F.lit(0)).cast("int").alias("status"), F.coalesce(size, F.lit(0)).alias("bytes_sent"),
+            F.coalesce(F.when(status.between(100, 599), status), F.lit(0)).cast("int").alias("status"), F.coalesce(number("size"), F.lit(0)).alias("bytes_sent"),
             g["referer"].alias("referer"), g["agent"].alias("user_agent"),
             seconds(g["request_time"]).alias("request_time"), seconds(g["upstream_time"]).alias("upstream_time"),
         ),
@@ -142,7 +149,9 @@ def is_valid_error(e: Column, now: int) -> Column:
 def access_rows(lines: DataFrame, now: int, line_col: str = "raw") -> DataFrame:
     """Valid access lines of a table with its other columns; absent values are null, a bad status is 0."""
     e, line = F.col("_e"), F.col(line_col)
-    out = lines.withColumn("_e", access_fields(line)).where(is_valid(e, line, now))
+    out = lines.withColumn("_p", access_parts(line)).withColumn("_e", access_fields(F.col("_p")))
+    # a filter would be pushed down with copies of all that it looks at, and lines be parsed twice; it can't pass a generator
+    out = out.select(*lines.columns, F.explode_outer(F.when(is_valid(e, line, now), F.array(e))).alias("_e")).where("_e is not null")
     empty = lambda c: F.nullif(e[c], F.lit(""))
     return out.select(
         *lines.columns, e.ts.alias("ts"), e.ip.alias("ip"), e.status.alias("status"), empty("method").alias("method"), empty("path").alias("path"),
