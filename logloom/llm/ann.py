@@ -181,7 +181,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     members = index.select("rep", "v").mapInArrow(placed, "tree int, leaf long, part long, rep long, v array<double>")
     queries = sound.where(F.col("id") % every == 0).where(F.size("v") == dim).select("id", "v").distinct()
     different = queries.groupBy("v").agg(F.min("id").alias("q"))
-    told = different.select("q", "v").mapInArrow(asked, "tree int, leaf long, part long, q long, qv array<double>")
+    # few bytes and much work: as many tasks as shuffles have, whatever their size
+    dealt = different.select("q", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
+    told = dealt.mapInArrow(asked, "tree int, leaf long, part long, q long, qv array<double>")
     pairs = members.groupBy("tree", "leaf", "part").cogroup(told.groupBy("tree", "leaf", "part")).applyInArrow(scored, "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "rep")
     close = pairs.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
