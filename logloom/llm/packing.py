@@ -41,7 +41,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(1, math.ceil(rows.count() / GROUP))
     pieces = rows.mapInArrow(lambda batches: _cut(batches, length, end_id, vocabulary), _PIECES)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "bucket"), F.lit(groups)))
-    return dealt.groupBy("bucket").applyInArrow(lambda group: _pack_group(group, length), _RESULT)
+    # few bytes and much work: a task for each group, or as many as shuffles have
+    tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda group: _pack_group(group, length), _RESULT)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, end_id: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
