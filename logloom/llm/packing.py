@@ -5,15 +5,18 @@ piece taking the rest. Pieces are dealt at random, by a hash, into groups of abo
 so that a group can be searched in one task; each group wastes about one sequence at most. In a
 group, best-fit decreasing gives the incumbent. If it has more sequences than the sum of lengths
 asks for, branch and bound completes one sequence at a time around the largest piece left, over
-the fillings that no other filling dominates, and drops branches whose waste can't beat the
-incumbent. The search stops after NODES sequences filled; the incumbent is always whole.
+all fillings that no other filling dominates, and drops branches whose waste can't beat the
+incumbent. The search stops after NODES sequences filled and dominated fillings dropped, and
+nowhere else; the incumbent is always whole.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,6 @@ from logloom.llm import tokens
 LENGTH = 2048
 GROUP = 16_384
 NODES = 20_000
-#: How many fillings a node of the search tries, least waste first.
-BRANCHES = 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket long"
 _RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -131,81 +132,141 @@ class Counts:
         return (self.bits & ((1 << (most + 1)) - 1)).bit_length() - 1 if most > 0 and self.bits & ((1 << (most + 1)) - 1) else 0
 
 
-def fillings(left: Counts, room: int, width: int = BRANCHES) -> list[list[int]]:
-    """Undominated fillings of ``room``, least waste first.
+def next_filling(left: Counts, room: int, most: int, after: list[int] | None = None, budget: list[int] | None = None) -> list[int] | None:
+    """The first undominated filling of ``room`` behind ``after``, with a waste of ``most`` at most; None if there is no other.
 
-    One piece more: only the largest that fits, as it dominates all smaller ones and every set
-    that sums to no more. Longer fillings start with a smaller piece and go on the same way in
-    what room is left; one whose sum is no more than that of the single piece is dominated by it.
+    Fillings come by waste, then with larger pieces first. One is dominated if a piece outside it
+    can take the place of some of its pieces, or the room left, without more waste and with a
+    larger sum or fewer pieces. Nothing else is left out. ``budget`` pays one for each start of a
+    filling that is dropped as dominated; at nothing left the answer is None.
     """
-    first = left.largest(room)
-    if not first:
-        return [[]]
-    found: dict[tuple[int, ...], int] = {}
-    s, tried = first, 0
-    while s and tried < 4 * width:
-        left.take(s)
-        chosen, rest = [s], room - s
-        while x := left.largest(min(rest, s)):
-            left.take(x)
-            chosen.append(x)
-            rest -= x
-        for x in chosen:
-            left.put(x)
-        if s == first or room - rest > first:
-            found[tuple(chosen)] = rest
-        if not rest and tried >= width:
-            break
-        s, tried = left.largest(s - 1), tried + 1
-    return [list(k) for k, _ in sorted(found.items(), key=lambda kv: (kv[1], len(kv[0])))[:width]]
+    budget = [1 << 62] if budget is None else budget
+    largest = left.largest(room)
+    if not largest or largest == room:  # no piece fits, or one fills the room and dominates all
+        return ([room] if largest else []) if after is None and (largest or room <= most) else None
+    bits, sizes = left.bits & ((1 << (room + 1)) - 1), []
+    while bits:
+        sizes.append(bits.bit_length() - 1)
+        bits ^= 1 << sizes[-1]
+    # reach[i] has a bit for each sum of pieces from the i-th size on
+    keep, reach = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        sums, n = reach[-1], min(left.n[s], room // s)
+        k = 1
+        while n:
+            k = min(k, n)
+            sums |= sums << (k * s) & keep
+            n, k = n - k, 2 * k
+        reach.append(sums)
+    reach.reverse()
+    index = {s: i for i, s in enumerate(sizes)}
+
+    def find(start: int, target: int, waste: int, bound: list[tuple[int, int]] | None, one: int, more: int, outside: int) -> list[int] | None:
+        """``one``, ``more``: sums of one and of several chosen pieces. ``outside``: sizes that are left out for good. ``bound``: what to be behind."""
+        if not target:
+            return None if bound is not None else []
+        first = bound[0] if bound else (0, 0)
+        at = index[first[0]] if bound else bisect_left(sizes, -target, lo=start, key=lambda x: -x)
+        skipped = outside
+        for x in sizes[start:at]:
+            skipped |= 1 << x
+        for i in range(at, len(sizes)):
+            if not reach[i] >> target & 1:
+                break
+            s = sizes[i]
+            held = left.n[s]
+            for c in range(first[1] if bound and i == at else min(held, target // s), 0, -1):
+                if not reach[i + 1] >> (target - c * s) & 1:
+                    continue
+                o, m = one, more
+                for _ in range(c):
+                    m |= (m | o) << s
+                    o |= 1 << s
+                out = skipped | (1 << s if c < held else 0)
+                if not target - c * s:
+                    for x in sizes[i + 1 :]:
+                        out |= 1 << x
+                if _dominated(o, m, out, waste):
+                    budget[0] -= 1
+                    if budget[0] <= 0:
+                        return None
+                    continue
+                tight = bound[1:] if bound and i == at and c == first[1] else None
+                got = find(i + 1, target - c * s, waste, tight, o, m, out)
+                if got is not None:
+                    return [s] * c + got
+                if budget[0] <= 0:
+                    return None
+            skipped |= 1 << s
+        return None
+
+    bound = None if after is None else [(s, len(list(x))) for s, x in groupby(after)]
+    for waste in range(room - sum(after) if after is not None else 0, min(most, room - 1) + 1):
+        if reach[0] >> (room - waste) & 1:
+            got = find(0, room - waste, waste, bound, 0, 0, 0)
+            if got is not None or budget[0] <= 0:
+                return got
+        bound = None
+    return None
+
+
+def _dominated(one: int, more: int, outside: int, waste: int) -> bool:
+    """Whether a size of ``outside`` is the sum of several chosen pieces, or over a sum of any of them, or of none, by 1 to ``waste``."""
+    if more & outside:
+        return True
+    near, width = (1 | one | more) << 1, 1  # sums that are over by 1 to width
+    if not waste:
+        return False
+    while width < waste:
+        step = min(width, waste - width)
+        near |= near << step
+        width += step
+    return bool(near & outside)
 
 
 def _complete(left: Counts, capacity: int, best: list[list[int]], nodes: int) -> list[list[int]]:
     """Depth first over the completions, with a stack in place of recursion; ``best`` is the incumbent."""
     total = sum(s * n for s, n in left.n.items())
     least = math.ceil(total / capacity)
-    path: list[tuple[list[int], int, list[list[int]]]] = []  # bin, its waste, fillings still to try
+    path: list[tuple[list[int], int]] = []  # bin, its waste
     waste = 0
+    # a dive costs as many nodes as it fills bins; the bound leaves room for several dives in large groups
+    budget = [max(nodes, 3 * len(best))]
 
-    def step(head: int, todo: list[list[int]]) -> bool:
-        """Takes the next filling whose waste the bound allows."""
+    def step(head: int, after: list[int] | None) -> bool:
+        """Fills a bin around ``head`` in the next way whose waste the bound allows."""
         nonlocal waste
-        allowed = (len(best) - 1) * capacity - total
-        while todo:
-            chosen = [head, *todo.pop(0)]
-            w = capacity - sum(chosen)
-            if waste + w <= allowed:
-                for x in chosen:
-                    left.take(x)
-                waste += w
-                path.append((chosen, w, todo))
-                return True
-        return False
+        left.take(head)
+        filling = next_filling(left, capacity - head, (len(best) - 1) * capacity - total - waste, after, budget)
+        left.put(head)
+        if filling is None:
+            return False
+        chosen = [head, *filling]
+        for x in chosen:
+            left.take(x)
+        path.append((chosen, capacity - sum(chosen)))
+        waste += path[-1][1]
+        return True
 
     def back() -> bool:
         nonlocal waste
         while path:
-            chosen, w, todo = path.pop()
+            chosen, w = path.pop()
             for x in chosen:
                 left.put(x)
             waste -= w
-            if step(chosen[0], todo):
+            if step(chosen[0], chosen[1:]):
                 return True
         return False
 
-    # a dive costs as many nodes as it fills bins; the bound leaves room for several dives in large groups
-    limit = max(nodes, 3 * len(best))
-    for _ in range(limit):
+    while budget[0] > 0:
+        budget[0] -= 1
         head = left.bits.bit_length() - 1
         if head <= 0:
             if len(path) < len(best):
-                best = [b for b, _, _ in path]
+                best = [b for b, _ in path]
             if len(best) <= least or not back():
                 break
-            continue
-        left.take(head)
-        todo = fillings(left, capacity - head)
-        left.put(head)
-        if not step(head, todo) and not back():
+        elif not step(head, None) and not back():
             break
     return best

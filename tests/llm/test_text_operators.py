@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -116,6 +117,45 @@ def test_the_search_beats_best_fit():
     assert len(packing.pack(hard, 10)) == 4
 
 
+def least_bins(sizes, capacity):
+    """The exact optimum: for each set of pieces the fewest bins and the least fill of the last."""
+    found = [(0, capacity)] * (1 << len(sizes))
+    for m in range(1, len(found)):
+        tried = [(found[m ^ 1 << i], s) for i, s in enumerate(sizes) if m >> i & 1]
+        found[m] = min((b, u + s) if b and u + s <= capacity else (b + 1, s) for (b, u), s in tried)
+    return found[-1][0]
+
+
+def test_a_filling_may_go_on_with_a_smaller_piece():
+    """Behind 7 only 6, 4, 3 leaves no waste: its second piece isn't the largest that fits."""
+    sizes = [15, 7, 6, 6, 6, 5, 4, 4, 4, 3]
+    assert len(packing.pack(sizes, 20)) == least_bins(sizes, 20) == 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(6, 40).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=9))))
+def test_small_lists_are_packed_as_well_as_can_be(case):
+    capacity, sizes = case
+    assert len(packing.pack(sizes, capacity)) == least_bins(sizes, capacity)
+
+
+def fits_into(pieces, holders):
+    """Whether each piece finds a place in the holders."""
+    return not pieces or any(h >= pieces[0] and fits_into(pieces[1:], [*holders[:i], h - pieces[0], *holders[i + 1 :]]) for i, h in enumerate(holders))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7), st.integers(0, 20), st.integers(0, 20))
+def test_fillings_are_all_undominated_ones(sizes, room, most):
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(sizes) + 1) for c in combinations(sizes, n) if sum(c) <= room}
+    rank = {c: (-sum(c), len(c)) for c in every}
+    want = {c for c in every if room - sum(c) <= most and not any(rank[o] < rank[c] and fits_into(c, o) for o in every)}
+    left, got, after = packing.Counts(dict(Counter(sizes))), [], None
+    while (after := packing.next_filling(left, room, most, after)) is not None:
+        got.append(tuple(after))
+    assert got == sorted(want, key=lambda c: (-sum(c), [-x for x in c]))
+
+
 # quality
 
 
