@@ -1,54 +1,16 @@
-"""What the training-data operators share: written intermediate tables and their place."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.shared import materialise as materialise
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a single-process session may go without the setting; it then gets a temporary folder.
-    """
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local-cluster") or not master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = tempfile.mkdtemp(prefix="logloom-")
-    return "file://" + shared_dir.own
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage ends here.
-
-    A lost executor then costs only the tasks it ran. The table is deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before
-        pass
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,8 +14,10 @@ from logloom.functions.tokens import atoms, has_all_terms, has_phrase, tokenize,
 from logloom.operators import dashboard, rollup, search, stats
 from logloom.operators.dashboard import Layout
 from logloom.plans.filters import Filter, compile_filter
+from logloom.shared import materialise, shared_path
 from logloom.sources.logs import main_log_column
-from logloom.views import LOG_SQL, error_rows, log_rows
+from logloom.sources.store import Store
+from logloom.views import GROUP, LOG_SQL, error_rows, log_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,16 +311,38 @@ def _rotations(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("VALUES " + ", ".join(f"('{p}')" for p, _ in ROTATIONS)).toDF("path").select("path", main_log_column(F.col("path")).alias("main"))
 
 
-# incremental states: what the table holds after appends and replacements
+# incremental states: what a store of the whole table holds after appends and replacements
 
-over_log(
-    "incremental_append", "SELECT main_log_path, count(*) AS docs, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM log GROUP BY 1",
-    lambda r: r.where("off % 10 < 7").unionByName(r.where("off % 10 >= 7")).groupBy("main_log_path").agg(F.count("*").alias("docs"), F.sum("bytes_sent").alias("bytes")),
-)
-over_log(
-    "incremental_replace", "SELECT off, ts FROM log WHERE off < 300 UNION ALL SELECT off, ts + 1 FROM log WHERE off BETWEEN 300 AND 350",
-    lambda r: r.where(~((F.col("fp") == "f1") & (F.col("off") >= 300))).select("off", "ts").unionByName(r.where("off between 300 and 350").select("off", (F.col("ts") + 1).alias("ts"))),
-)
+def _stored(spark: SparkSession, d: str) -> tuple[Store, DataFrame, int]:
+    """A store of all rows, committed in two parts, the rows, and the offset where the second part starts: half of the last one."""
+    # names are looked up once for all commits
+    rows = materialise(useragent.with_clients(log_rows(spark, d)))
+    cut = (rows.agg(F.max("off")).first()[0] or 0) // 2
+    store = Store(spark, shared_path(spark, "store"))
+    store.commit(GROUP, rows.where(F.col("off") < cut), [])
+    store.commit(GROUP, rows.where(F.col("off") >= cut), [])
+    return store, rows, cut
+
+
+@query("incremental_append", "SELECT main_log_path, count(*) AS docs, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM log GROUP BY 1")
+def _append(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d)[0].rows().groupBy("main_log_path").agg(F.count("*").alias("docs"), F.sum("bytes_sent").alias("bytes"))
+
+
+def _replaced(spark: SparkSession, d: str, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """All rows of a store whose content from ``start`` (where the second part starts) was replaced by new rows up to ``stop`` (the end), a second later."""
+    store, rows, cut = _stored(spark, d)
+    start = cut if start is None else start
+    new = rows.where(F.col("off") >= start) if stop is None else rows.where(F.col("off").between(start, stop))
+    store.commit(GROUP, new.withColumn("ts", F.col("ts") + 1), [], delete=[("f1", start)])
+    store.vacuum()
+    return store.rows()
+
+
+query("incremental_replace", "SELECT off, ts FROM log WHERE off < 300 UNION ALL SELECT off, ts + 1 FROM log WHERE off BETWEEN 300 AND 350")(lambda s, d: _replaced(s, d, 300, 350).select("off", "ts"))
+query("incremental_replace_tail", "SELECT off, ts + CASE WHEN off >= (SELECT max(off) // 2 FROM log) THEN 1 ELSE 0 END AS ts, ip, path, bytes_sent FROM log")(
+    lambda s, d: _replaced(s, d).select("off", "ts", "ip", "path", "bytes_sent")
+)
 
 
 @query("search_score_order")

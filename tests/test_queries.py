@@ -4,6 +4,7 @@ import pytest
 
 from conftest import same
 from logloom import queries as q
+from logloom.sources.store import Store
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
@@ -25,3 +26,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 96
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize(("name", "share"), [("incremental_append", None), ("incremental_replace", None), ("incremental_replace_tail", 1)])
+def test_the_store_takes_the_whole_table(name, share, spark, small, monkeypatch):
+    commits = []
+
+    class Seen(Store):
+        def commit(self, group, rows, states, delete=(), **more):
+            super().commit(group, rows, states, delete, **more)
+            commits.append((self.rows().count(), list(delete)))
+
+    monkeypatch.setattr(q, "Store", Seen)
+    n = spark.read.parquet(f"{small}/events.parquet").count()
+    got = q.QUERIES[name](spark, small).count()
+    assert 0 < commits[0][0] < n == commits[1][0]
+    assert [bool(d) for _, d in commits] == [False, False] + [True] * (name != "incremental_append")
+    assert share is None or got == n
