@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import tokens
+from logloom.llm.common import materialise
 
 LENGTH = 2048
 GROUP = 16_384
@@ -38,9 +39,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text is empty: its one piece holds just the end id. Repeated rows and null ids are
     documents of their own. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = max(1, math.ceil(rows.count() / GROUP))
-    pieces = rows.mapInArrow(lambda batches: _cut(batches, length, end_id, vocabulary), _PIECES)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # six numbers a piece: written once, so that groups are told from pieces and not from documents of any length
+    pieces = materialise(rows.mapInArrow(lambda batches: _cut(batches, length, end_id, vocabulary), _PIECES))
+    groups = max(1, math.ceil(pieces.count() / GROUP))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "bucket"), F.lit(groups)))
     # few bytes and much work: a task for each group, or as many as shuffles have
     tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -126,6 +126,17 @@ def least_bins(sizes, capacity):
     return found[-1][0]
 
 
+@pytest.mark.parametrize(
+    ("sizes", "capacity", "least"),
+    [
+        ([26, 49, 41, 28, 24, 46, 49, 36, 44, 43, 23, 45, 44, 48, 33, 46, 26, 30], 100, 7),
+        ([481, 643, 804, 500, 923, 692, 860, 695, 659, 847, 943, 873, 644, 755, 731, 639], 2048, 6),
+    ],
+)
+def test_lists_that_greedy_fillings_lose(sizes, capacity, least):
+    assert len(packing.pack(sizes, capacity)) == least
+
+
 def test_a_filling_may_go_on_with_a_smaller_piece():
     """Behind 7 only 6, 4, 3 leaves no waste: its second piece isn't the largest that fits."""
     sizes = [15, 7, 6, 6, 6, 5, 4, 4, 4, 3]
