@@ -1,8 +1,9 @@
 """A blocked Bloom filter as a table, made and asked with built-in functions only.
 
 A block is four 64-bit words with two bits of each key; a key's block and bits come from two
-hashes. The table has at most BLOCKS rows of 40 bytes, whatever the number of keys, so it can always
-be broadcast; with more keys than it is made for, more false positives pass, never fewer hits.
+hashes. The table is broadcast, so it has at most BLOCKS rows of 40 bytes (10 MB). From 16 bits a
+key it goes down to LEAST; for more keys than that it would let nearly everything pass, so there
+is no table and every row passes. Each user of the filter joins exactly behind it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_A_KEY, BLOCKS = 16, 1 << 17
+from logloom.llm.common import quoted, renamed
+
+BITS_A_KEY, LEAST, BLOCKS = 16, 5, 1 << 18
 
 
 def _mask(key: Column) -> list[Column]:
@@ -25,27 +28,37 @@ def _mask(key: Column) -> list[Column]:
 
 class Bloom:
     def __init__(self, keys: DataFrame, key: str, n_keys: int) -> None:
-        """Of the values of ``key`` in ``keys``; nulls never pass. ``n_keys`` sizes the filter and may be rough."""
-        self.blocks = 1
+        """Of the values of ``key`` in ``keys``; nulls never pass. ``n_keys``, at least their number, sizes the filter."""
+        self.blocks, self.rows = 1, None
         while self.blocks < BLOCKS and self.blocks * 256 < n_keys * BITS_A_KEY:
             self.blocks *= 2
-        words = keys.select(self._block(F.col(key)).alias("_fb"), *[w.alias(f"_w{k}") for k, w in enumerate(_mask(F.col(key)))]).where(F.col(key).isNotNull())
-        self.rows = words.groupBy("_fb").agg(*[F.expr(f"bit_or(_w{k})").alias(f"_w{k}") for k in range(4)])
+        if self.blocks * 256 >= n_keys * LEAST:
+            c = F.col(quoted(key))
+            words = keys.where(c.isNotNull()).select(self._block(c).alias("_fb"), *[w.alias(f"_w{k}") for k, w in enumerate(_mask(c))])
+            self.rows = words.groupBy("_fb").agg(*[F.expr(f"bit_or(_w{k})").alias(f"_w{k}") for k in range(4)])
 
     def _block(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.blocks))
 
+    def marked(self, df: DataFrame, key: str, flag: str) -> DataFrame:
+        """``df`` with the boolean ``flag``, a new name: whether the row's ``key`` may be among the keys."""
+        if self.rows is None:
+            return df.withColumn(flag, F.col(quoted(key)).isNotNull())
+        own, back = renamed(df)
+        c = F.col(back[key])
+        hit = c.isNotNull()
+        for k, m in enumerate(_mask(c)):
+            hit = hit & (F.col(f"_w{k}").bitwiseAND(m) == m)
+        out = own.withColumn("_fb", self._block(c)).join(F.broadcast(self.rows), "_fb", "left")
+        return out.select(*[F.col(c).alias(name) for name, c in back.items()], F.coalesce(hit, F.lit(False)).alias(flag))
+
     def passed(self, df: DataFrame, key: str) -> DataFrame:
         """The rows of ``df`` whose ``key`` may be among the keys."""
-        out = df.withColumn("_fb", self._block(F.col(key))).join(F.broadcast(self.rows), "_fb")
-        for k, m in enumerate(_mask(F.col(key))):
+        if self.rows is None:
+            return df.where(F.col(quoted(key)).isNotNull())
+        own, back = renamed(df)
+        c = F.col(back[key])
+        out = own.where(c.isNotNull()).withColumn("_fb", self._block(c)).join(F.broadcast(self.rows), "_fb")
+        for k, m in enumerate(_mask(c)):
             out = out.where(F.col(f"_w{k}").bitwiseAND(m) == m)
-        return out.where(F.col(key).isNotNull()).select(*df.columns)
-
-    def marked(self, df: DataFrame, key: str, flag: str) -> DataFrame:
-        """``df`` with the boolean ``flag``: whether passed() would keep the row."""
-        out = df.withColumn("_fb", self._block(F.col(key))).join(F.broadcast(self.rows), "_fb", "left")
-        hit = F.col(key).isNotNull()
-        for k, m in enumerate(_mask(F.col(key))):
-            hit = hit & (F.col(f"_w{k}").bitwiseAND(m) == m)
-        return out.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*df.columns, flag)
+        return out.select(*[F.col(c).alias(name) for name, c in back.items()])

@@ -9,6 +9,8 @@ from logloom.shared import materialise as materialise
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more rows than HOT, and than a HOT_KEYS-th of all, is hot; so there are at most HOT_KEYS of them.
+HOT, HOT_KEYS = 500, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,22 @@ def free_name(wanted: str, taken) -> str:
     return wanted
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(names) -> list:
+    """Columns of these names, with dots or blanks in them too."""
+    return [F.col(quoted(c)) for c in names]
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with plain names that clash with nothing, and what each column is called there."""
+    back = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(quoted(c)).alias(b) for c, b in back.items()]), back
+
+
 def filter_late(df: DataFrame, keep: str) -> DataFrame:
     """``df.where(keep)`` that stays where it is written.
 
@@ -36,3 +54,18 @@ def filter_late(df: DataFrame, keep: str) -> DataFrame:
     """
     flag = free_name("_keep", df.columns)
     return df.select("*", F.explode_outer(F.when(F.expr(keep), F.array(F.lit(1)))).alias(flag)).where(F.col(flag).isNotNull()).drop(flag)
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``left.join(right.drop(weight), keys, how)`` that deals hot keys out over several tasks.
+
+    ``right`` has one row for each of its keys, with the number of rows that ``left`` has of it in
+    ``weight``; ``total`` is the sum of these, at least. Hot keys, HOT_KEYS at most, are broadcast; their rows of
+    ``left`` get a salt from their other columns, and their rows of ``right`` are repeated for each salt. ``right`` is read twice.
+    """
+    most = max(HOT, total // HOT_KEYS)
+    salts = F.ceil(F.col(weight) / most).cast("int")
+    hot = right.where(F.col(weight) > most).select(*keys, salts.alias("_n"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(weight)
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")

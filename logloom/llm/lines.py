@@ -1,50 +1,78 @@
 """Line dedup by content-defined chunks of lines.
 
-A hash over the last WINDOW line hashes ends a chunk where it is 0 modulo DIVISOR, so boundaries
-follow the content and survive shifts; a line of MIN_WORDS words is a chunk of its own. Chunks of two
-lines or more, and such long lines, are units. To reach passages whose edges fall inside chunks,
-each pair of neighbouring lines is a unit too. Units that repeat anywhere are found by hash, then
-grouped by their bytes; all but the first stand (lowest id, lowest line) are marked, and runs of marked
-lines that have at least MIN_WORDS words go. A run never takes the last copy of its lines: what marks
-a unit is a copy that stands before it.
-
-Hash counts shuffle a few bytes a unit. The texts of units shuffle once, only of those that a Bloom
-filter of the repeated hashes lets through, and are combined before the shuffle.
+A hash rolls over the last WINDOW line hashes and ends a chunk where it is 0 modulo DIVISOR, so
+boundaries follow the content and survive shifts. Among equal lines every line ends a chunk, a line
+of LONG characters is a chunk of its own, and a chunk of other lines is cut after MOST lines. Chunks that repeat anywhere are found by hash. A
+passage may begin and end inside chunks, so each repeated chunk is grown line by line into the chunks
+on both sides. What it grows to, and the chunk itself, are units: two lines or more, or one line of
+MIN_WORDS words. Units are compared by hash, then by their bytes, and of equal ones all but the first
+(lowest id, lowest line) are marked. Runs of marked lines with at least MIN_WORDS words go. A run
+never takes the last copy of its lines: what marks a unit is a copy that stands before it.
+
+Nothing is found without a repeated chunk. A passage of MIN_WORDS words that holds a line of LONG
+characters holds a chunk. One of shorter lines has at least four of them, and fourteen if its words
+have six letters; it holds no chunk if the hash ends less than two there.
+
+Line hashes and chunks are written once, a few bytes a line. Texts shuffle only of documents that
+hold a unit repeated by hash, units are combined before they shuffle, and hot passages are dealt out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.bloom import Bloom
-from logloom.llm.common import materialise
-
-WINDOW, DIVISOR, MIN_WORDS = 2, 3, 50
+from logloom.llm.common import WORD, columns, join_split, materialise, renamed
 
+WINDOW, DIVISOR, LONG, MOST, MIN_WORDS = 2, 2, 24, 64, 50
+_OWN = ("n_removed", "removed_words", "removed")
 
-def _words(line: Column) -> Column:
-    """Words of a line, by the blanks in it."""
-    return F.length(line) - F.length(F.translate(line, " \t", "")) + 1
 
-
-def with_units(docs: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``_lines`` and ``_units``: an array of (start, n, h) for each document of ``_text``."""
+def with_chunks(docs: DataFrame) -> DataFrame:
+    """Adds ``_hash`` and ``_chunks`` to ``_text``: line hashes, and for each chunk its start, lines, hash, whether it is one long line, and its first line's length."""
     split = docs.withColumn("_lines", F.split("_text", "\n"))
-    hashed = split.withColumns(
-        {
-            "_hash": F.transform("_lines", lambda x: F.xxhash64(x)),
-            "_long": F.transform("_lines", lambda x: (F.length(x) >= 2 * min_words - 1) & (_words(x) >= min_words)),
-        }
-    )
+    hashed = split.withColumns({"_hash": F.transform("_lines", lambda x: F.xxhash64(x)), "_len": F.transform("_lines", lambda x: F.length(x))})
     roll = ", ".join(f"get(_hash, i - {k})" for k in reversed(range(WINDOW)))
-    ends = f"filter(sequence(0, size(_lines) - 1), i -> i = size(_lines) - 1 or _long[i] or _long[i + 1] or pmod(xxhash64({roll}), {DIVISOR}) = 0)"
+    ends = f"filter(sequence(0, size(_hash) - 1), i -> i = size(_hash) - 1 or _len[i] >= {LONG} or _len[i + 1] >= {LONG} or get(_hash, i - 1) = _hash[i] or pmod(xxhash64({roll}), {DIVISOR}) = 0)"
     ended = hashed.withColumn("_ends", F.expr(ends))
-    unit = "named_struct('start', {a}, 'n', {n}, 'h', xxhash64({n}, {kind}, slice(_hash, {a} + 1, {n})))"
-    chunk = unit.format(a="coalesce(get(_ends, j - 1) + 1, 0)", n="(_ends[j] - coalesce(get(_ends, j - 1), -1))", kind=0)
-    chunks = f"filter(transform(sequence(0, size(_ends) - 1), j -> {chunk}), u -> u.n > 1 or _long[u.start])"
-    pairs = f"transform(sequence(0, size(_lines) - 2), i -> {unit.format(a='i', n=2, kind=1)})"
-    return ended.withColumn("_units", F.expr(f"if(size(_lines) > 1, concat({chunks}, {pairs}), {chunks})")).drop("_hash", "_long", "_ends")
+    span = "named_struct('a', coalesce(get(_ends, j - 1) + 1, 0), 'n', _ends[j] - coalesce(get(_ends, j - 1), -1))"
+    cut = f"transform(sequence(0, cast((c.n - 1) div {MOST} as int)), t -> named_struct('a', c.a + t * {MOST}, 'n', least({MOST}, c.n - t * {MOST})))"
+    spans = ended.withColumn("_spans", F.expr(f"flatten(transform(transform(sequence(0, size(_ends) - 1), j -> {span}), c -> {cut}))"))
+    chunk = "named_struct('a', s.a, 'n', s.n, 'h', xxhash64(s.n, slice(_hash, s.a + 1, s.n)), 'long', _len[s.a] >= {long}, 'len', _len[s.a])".format(long=LONG)
+    return spans.withColumn("_chunks", F.expr(f"transform(_spans, s -> {chunk})")).drop("_lines", "_len", "_ends", "_spans")
+
+
+def grown(told: DataFrame, min_words: int) -> DataFrame:
+    """``k, u``: of each chunk with its neighbours (see around()), the units: itself, and itself with lines of the chunks around it."""
+    unit = "named_struct('start', {a}, 'n', {n}, 'h', xxhash64({n}, slice(c.hashes, {a} - c.low + 1, {n})))"
+    own = unit.format(a="c.a", n="c.n")
+    left = f"transform(sequence(1, c.a - c.low), d -> {unit.format(a='(c.a - d)', n='(c.n + d)')})"
+    right = f"transform(sequence(1, c.low + size(c.hashes) - c.a - c.n), d -> {unit.format(a='c.a', n='(c.n + d)')})"
+    none = "cast(array() as array<struct<start:int,n:int,h:bigint>>)"
+    units = (
+        f"concat(if(c.n > 1 or c.len >= {2 * min_words - 1}, array({own}), {none}), if(c.a > c.low, {left}, {none}), if(c.low + size(c.hashes) > c.a + c.n, {right}, {none}))"
+    )
+    return told.withColumn("u", F.explode_outer(F.expr(units))).where("u is not null").select("k", "u.start", "u.n", "u.h")
+
+
+def around(chunked: DataFrame) -> DataFrame:
+    """``k, h, c``: each chunk that can seed, with the hashes of its lines and of those it may grow by.
+
+    It grows to the far ends of its neighbours. Whether the hash ends a chunk after a passage's first line
+    depends on the line before, so on the left one line more may belong to it.
+    """
+    low = "greatest(0, c.a - coalesce(get(_chunks, j - 1).n, 0) - if(coalesce(get(_chunks, j - 1).long, true), 0, 1))"
+    high = "c.a + c.n + coalesce(get(_chunks, j + 1).n, 0)"
+    each = f"transform(_chunks, (c, j) -> named_struct('a', c.a, 'n', c.n, 'h', c.h, 'len', c.len, 'low', {low}, 'hashes', slice(_hash, {low} + 1, {high} - {low})))"
+    one = chunked.withColumn("c", F.explode_outer(F.expr(f"filter({each}, c -> c.n > 1 or c.len > 0)"))).where("c is not null")
+    return one.select("k", F.col("c.h").alias("h"), "c")
+
+
+def _repeated(rows: DataFrame) -> Bloom:
+    """A filter of the values of ``h`` that several rows have."""
+    found = materialise(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    return Bloom(found, "h", found.count())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -53,38 +81,49 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row stays; a text that has nothing of its own becomes empty. A null text stays null. A
     null id stands for the text's hash. Rows with equal id and text are one document and are
     treated alike. Columns of ``docs`` called like the new ones are replaced. An empty table gives
-    an empty result.
+    an empty result. Jobs run while the result is built.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_removed", "removed_words", "removed")]
-    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    at = {c: f"c{i}" for i, c in enumerate(names)}
+    own, at = renamed(docs.select(*columns(c for c in docs.columns if c.lower() not in _OWN)))
     th = F.xxhash64(at[text_col])
-    keyed = own.withColumns({"_text": F.col(at[text_col]), "_th": th, "_id": F.coalesce(F.col(at[id_col]).cast("long"), th)})
-    # where a line stands among all: one number, so that the first one is found by a hash aggregate; null ids come last
-    shift = F.when(F.col(at[id_col]).isNull(), F.expr("1000000000000000000000000000000")).otherwise(F.expr("0"))
-    keyed = keyed.withColumn("_at", (F.col("_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + shift).cast("decimal(38,0)"))
-    units = with_units(keyed.where("_text is not null").select("_id", "_th", "_at", "_text"), min_words)
-    # outer: for explode() the optimizer adds a filter on the array and copies its whole expression, lambdas within lambdas, down to the scan
-    told = units.select("_id", "_th", "_at", "_lines", F.explode_outer("_units").alias("u")).where("u is not null")
-    place = (F.col("_at") + F.col("u.start")).cast("decimal(38,0)")
-    counts = told.select("u.h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = materialise(counts.select("h"))
-    again = Bloom(repeated, "h", repeated.count()).passed(told.select("_id", "_th", place.alias("place"), "u.start", "u.n", "u.h", F.slice("_lines", F.col("u.start") + 1, F.col("u.n")).alias("own")), "h")
-    again = again.withColumn("bytes", F.array_join("own", "\n")).withColumn("words", F.transform("own", lambda x: F.when(F.trim(x) == "", 0).otherwise(_words(x))))
-    again = again.withColumn("digest", F.unhex(F.sha2("bytes", 256)))
-    same = again.groupBy("h", "n", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    same = same.select("h", "n", F.unhex(F.sha2("bytes", 256)).alias("digest"), "first")
-    marked = again.select("_id", "_th", "place", "start", "n", "h", "digest", "words").join(same, ["h", "n", "digest"]).where("place > first")
-    stood = marked.select("_id", "_th", F.posexplode_outer("words").alias("k", "w"), "start").select("_id", "_th", (F.col("start") + F.col("k")).alias("line"), "w").distinct()
-    by_line = Window.partitionBy("_id", "_th").orderBy("line")
-    runs = stood.withColumn("run", F.col("line") - F.row_number().over(by_line)).groupBy("_id", "_th", "run").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.sum("w").alias("w"))
-    gone = runs.where(F.col("w") >= min_words).groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("removed"), F.sum("w").alias("removed_words"))
-    out = keyed.join(gone, ["_id", "_th"], "left").withColumn("_lines", F.split("_text", "\n"))
+    keyed = own.withColumn("k", F.struct(F.coalesce(F.col(at[id_col]).cast("long"), th).alias("id"), F.col(at[id_col]).isNull().alias("unnamed"), th.alias("th")))
+    keyed = keyed.withColumn("kh", F.xxhash64("k"))
+    texts = keyed.where(F.col(at[text_col]).isNotNull()).select("k", "kh", F.col(at[text_col]).alias("_text"))
+
+    chunked = materialise(with_chunks(texts.drop("kh")).drop("_text"))
+    seeds = _repeated(chunked.select(F.explode(F.expr("transform(filter(_chunks, c -> c.n > 1 or c.len > 0), c -> c.h)")).alias("h")))
+    units = materialise(grown(seeds.passed(around(chunked), "h"), min_words))
+    listed = materialise(_repeated(units).passed(units, "h").groupBy("k").agg(F.collect_set(F.struct("start", "n", "h")).alias("units")).withColumn("kh", F.xxhash64("k")))
+
+    # of rows with equal id and text one is enough; a unit is its lines, joined as they stood
+    some = Bloom(listed, "kh", listed.count()).passed(texts, "kh").join(listed.select("k", "units"), "k").dropDuplicates(["k"])
+    one = some.withColumn("_lines", F.split("_text", "\n")).select("k", "_lines", F.explode_outer("units").alias("u")).where("u is not null")
+    one = one.select("k", "u.*", F.slice("_lines", F.col("u.start") + 1, F.col("u.n")).alias("own")).withColumn("bytes", F.array_join("own", "\n"))
+    # where a unit stands among all: one number, so that the first is found by a hash aggregate; null ids come last
+    shift = F.when(F.col("k.unnamed"), F.expr("1000000000000000000000000000000")).otherwise(F.expr("0"))
+    place = ((F.col("k.id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + shift).cast("decimal(38,0)") + F.col("start")).cast("decimal(38,0)")
+    one = one.withColumn("place", place)
+    digest = F.unhex(F.sha2("bytes", 256)).alias("digest")
+    same = materialise(one.groupBy("h", "n", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "n", digest, "first", "copies"))
+    total = same.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    words = F.transform("own", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words")
+    marked = join_split(one.select("k", "place", "start", "h", "n", digest, words), same, ["h", "n", "digest"], "copies", total)
+    marked = marked.where((F.col("place") > F.col("first")) & ((F.col("n") > 1) | (F.col("words")[0] >= min_words)))
+    stood = marked.select("k", "start", F.posexplode_outer("words").alias("j", "w")).select("k", (F.col("start") + F.col("j")).alias("line"), "w").distinct()
+    by_line = Window.partitionBy("k").orderBy("line")
+    runs = stood.withColumn("run", F.col("line") - F.row_number().over(by_line)).groupBy("k", "run").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.sum("w").alias("w"))
+    gone = runs.where(F.col("w") >= min_words).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("removed"), F.sum("w").alias("removed_words"))
+    gone = materialise(gone.withColumn("kh", F.xxhash64("k")))
+
+    touched = Bloom(gone, "kh", gone.count()).marked(keyed, "kh", "may")
+    changed = touched.where("may").join(gone.drop("kh"), "k", "left").withColumn("_lines", F.split(at[text_col], "\n"))
     part = "slice(_lines, coalesce(get(removed, j - 1).b + 2, 1), coalesce(get(removed, j).a, size(_lines)) - coalesce(get(removed, j - 1).b + 1, 0))"
     kept = F.expr(f"array_join(flatten(transform(sequence(0, size(removed)), j -> {part})), '\n')")
-    out = out.withColumn("_kept", F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept))
-    return out.select(
-        *[F.col("_kept" if c == text_col else at[c]).alias(c) for c in names],
+    out = changed.withColumn("_kept", F.when(F.col("removed").isNull(), F.col(at[text_col])).otherwise(kept))
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    out = out.select(
+        *[F.col("_kept" if c == text_col else b).alias(c) for c, b in at.items()],
         F.expr("cast(coalesce(aggregate(removed, 0, (s, r) -> s + r.b - r.a + 1), 0) as long)").alias("n_removed"),
-        F.coalesce("removed_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("removed", F.expr("cast(array() as array<struct<a:int,b:int>>)")).alias("removed"),
+        F.coalesce("removed_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("removed", none).alias("removed"),
     )
+    rest = touched.where("not may").select(*[F.col(b).alias(c) for c, b in at.items()], F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("removed_words"), none.alias("removed"))
+    return out.unionAll(rest)

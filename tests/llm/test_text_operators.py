@@ -1,10 +1,11 @@
 """Token counts, packing, quality rules, line dedup and near-duplicates against brute force, and odd inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pytest
@@ -256,6 +257,45 @@ def test_nothing_is_lost_and_no_passage_repeats(spark, small):
     assert not [p for p, at in pairs.items() if len(at) > 1 and len(" ".join(p).split()) > 50]
 
 
+def brute_lines(texts, min_words=50):
+    """Marks all lines of repeated pairs of lines and repeated lines of ``min_words``; runs with so many words go."""
+    seen, gone = set(), {}
+    for i, text in sorted(texts.items()):
+        own = text.split("\n")
+        n, marked = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in own], set()
+        for k in range(len(own)):
+            for unit in ([tuple(own[k : k + 2])] if k + 1 < len(own) else []) + ([(own[k],)] if n[k] >= min_words else []):
+                if unit in seen:
+                    marked |= set(range(k, k + len(unit)))
+                seen.add(unit)
+        runs = [[k for _, k in g] for _, g in groupby(enumerate(sorted(marked)), lambda x: x[1] - x[0])]
+        gone[i] = {k for r in runs if sum(n[j] for j in r) >= min_words for k in r}
+    return gone
+
+
+def gone_lines(frame):
+    return {r["doc_id"]: {k for a in r["removed"] for k in range(a["a"], a["b"] + 1)} for r in frame.select("doc_id", "removed").collect()}
+
+
+def test_lines_against_brute_force(spark, small):
+    texts = {r[0]: r[1] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    assert gone_lines(q.op5_line_dedup(spark, small)) == brute_lines(texts)
+    rng = random.Random(5)
+    own = lambda n, least, most: [" ".join(f"{rng.randrange(10**6)}"[:6] for _ in range(rng.randint(least, most))) for _ in range(n)]
+    shared = [*[own(rng.randint(20, 40), 2, 3) for _ in range(12)], *[own(rng.randint(2, 4), 20, 30) for _ in range(12)], ["same"] * 70, [*own(4, 3, 3), "", *own(15, 3, 3), "\t" * 99 + "x"]]
+    texts = {k: "\n".join(own(rng.randint(0, 6), 1, 9) + rng.choice(shared) + own(rng.randint(0, 6), 1, 9) + rng.choice(shared)) for k in range(150)}
+    assert gone_lines(lines.dedup_lines(docs_of(spark, list(texts.items())))) == brute_lines(texts)
+
+
+def test_lines_need_chunks(spark, monkeypatch):
+    passage = "\n".join(words(f"p{i}", 15) for i in range(5))
+    rows = docs_of(spark, [(1, "own\n" + passage), (2, passage + "\nlast")])
+    assert gone_lines(lines.dedup_lines(rows)) == {1: set(), 2: set(range(5))}
+    monkeypatch.setattr(lines, "LONG", 1 << 30)
+    monkeypatch.setattr(lines, "DIVISOR", 1 << 40)  # no boundaries: each text is one chunk
+    assert gone_lines(lines.dedup_lines(rows)) == {1: set(), 2: set()}
+
+
 # near-duplicates
 
 
