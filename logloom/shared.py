@@ -34,7 +34,7 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here.
 
-    A lost executor then costs only the tasks it ran. The table is deleted when the driver ends.
+    A lost executor then costs only the tasks it ran. The table is deleted by release() or when the driver ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, "table")
@@ -42,6 +42,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of materialise() that nothing reads any more."""
+    for df in frames:
+        if files := df.inputFiles():
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
