@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialise
+from logloom.llm.common import join_split, materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, label`` for every id in ``edges`` (a, b long): label is the smallest id of its component.
 
     A step links each node's larger, then smaller neighbours to the smallest one around, and is
-    written to the shared folder. Steps end when the edges are stars: every larger end has one edge,
+    written to the shared folder; the edges of a node with many are dealt out. Steps end when the edges are stars: every larger end has one edge,
     and no smaller end is a larger one. Self-loops and null ends are dropped. Ids without an edge
     aren't in the result.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _stars(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_split(both, least, ["a"], "n", 2 * now.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialise(large.distinct())
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_split(large, lowest, ["a"], "n", large.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        release(now)
         now = materialise(small.distinct())
+        release(large)
     return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 

@@ -11,14 +11,22 @@ order. Equal texts are one class before anything else. Different texts meet in r
 round every bucket of a sketch links its members to one of them, first the smallest id, then others by
 hash; links between components are verified, a link for each member of a bucket at most, and
 components are joined. ROUNDS later nearly all members of a family are one component. Buckets that
-still hold several compare all their members across components, in blocks: a pair in the first bucket
-it shares, by profiles that estimate the similarity, then by the shingles in common, which bound it. Only
-pairs that may be links leave the block, to be verified. So large groups of copies cost a few links
-for each copy, and no link between different texts is lost.
+still hold several components compare their members across components, in blocks of BLOCK: a pair in
+the first bucket it shares, by two true bounds, what their lengths and their shingles by bin allow, then by the
+shingles in common. Only pairs that may be links leave the block, to be verified. The largest
+component of a bucket isn't compared with itself, so a family and few others cost one row for each member.
+
+A bucket where more than SPLIT members stand outside its largest component is common text in
+different documents. Its members are compared where they share rare shingles instead: of n
+shingles in a global order, rare ones first, two similar texts share one of the first n - ceil(0.8 n) + 1.
+The order comes from a table of counts with ORDER rows, whatever the input. No link between different texts is lost
+but by sketches, and what remains quadratic is the number of texts below the similarity that share
+one of their rarest shingles.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -29,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bloom import Bloom
-from logloom.llm.common import free_name, materialise
+from logloom.llm.common import join_split, materialise, quoted, release, renamed
 from logloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ELEMENTS = 20, 3
 ROUNDS = 2
-#: Members of a bucket, and bytes of their shingles, that meet in one task for the comparison of all with all. Their profiles have
-#: BINS minima each; a pair goes on if the share of equal ones is at most SIGMAS standard deviations below the similarity.
-BLOCK, BLOCK_BYTES, BINS, SIGMAS = 512, 16 << 20, 256, 4.0
+#: Members of a bucket, and bytes of their shingles, that meet in one task for the comparison of all with all.
+BLOCK, BLOCK_BYTES, BINS = 512, 16 << 20, 1024
+SPLIT, ORDER = 2048, 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CACHE: dict[str, int] = {}
 
@@ -154,17 +162,18 @@ def _verified(least: float):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose ``texts`` (id, text) are similar."""
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_verified(least), "a long, b long")
+    """The pairs (a, b) of ids whose ``texts`` (id, text) are similar; the pairs of an id with many are dealt out."""
+    total = pairs.count()
+    for end, text in (("b", "tb"), ("a", "ta")):
+        many = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        named = texts.select(F.col("id").alias(end), F.col("text").alias(text)).join(many, end)
+        joined = join_split(pairs if end == "b" else joined, named, [end], "n", total)
+    return joined.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verified(least), "a long, b long")
 
 
-def profile(s: np.ndarray) -> np.ndarray:
-    """The least hash in each of BINS bins of the shingles; 2^32 - 1 where a bin is empty."""
-    h = _mix((s ^ np.uint64(0x5851F42D4C957F2D)) * _MUL)
-    out = np.full(BINS, 0xFFFFFFFF, "u4")
-    np.minimum.at(out, (h >> np.uint64(56)).astype("i8") % BINS, (h & np.uint64(0xFFFFFFFE)).astype("u4"))
-    return out
+def bins(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of BINS bins."""
+    return np.bincount((s >> np.uint64(20)).astype("i8") & (BINS - 1), minlength=BINS).astype("i4")
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +182,74 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "shingles"])
 
 
+def _place(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(13)).astype("i8") & (ORDER - 1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the places of all shingles of a partition."""
+    n = np.zeros(ORDER, "i8")
+    for batch in batches:
+        n += np.bincount(_place(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")), minlength=ORDER)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
+
+
+def rare_first(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """So many of the rarest shingles that two texts that reach ``least`` share one of them."""
+    return s[np.lexsort((s, counts[_place(s)]))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+
+
+def _by_rare(members: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """``key, id, label`` of members (id, label): one row for each rare shingle that members of several components have."""
+    own = materialise(members.join(made, "id"))
+    counts = np.zeros(ORDER, "i8")
+    found = own.select("shingles").mapInArrow(_counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(counts)  # ORDER numbers
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [rare_first(np.frombuffer(x, "<u8"), shared.value, least) for x in batch.column(2).to_pylist()]
+            n = [len(x) for x in told]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.empty(0, "u8"), *told]).view("i8")), *[pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in (0, 1)]], ["key", "id", "label"]
+            )
+
+    return _several(materialise(own.select("id", "label", "shingles").mapInArrow(keys, "key long, id long, label long")))
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """The rows (key, id, label) of keys with several labels."""
+    lo_hi = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    some = materialise(lo_hi)
+    return join_split(placed, some, ["key"], "n", some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def _meetings(rest: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """Rows of ``rest`` (key, id, label, ...) once for each meeting of their block; ``sizes`` tells a key's largest label, and blocks of that and of the others."""
+    told = join_split(rest, sizes, ["key"], "n", total).withColumn("top", F.col("label") == F.col("largest"))
+    told = told.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("top"), F.col("tops")).otherwise(F.col("others"))))
+    # blocks of the others are numbered from 0, those of the largest label below it; two of the latter never meet
+    light = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
+    heavy = F.transform(F.sequence(F.lit(1).cast("long"), F.col("tops")), lambda x: -x)
+    spread = told.withColumn("mine", F.when(F.col("top"), -1 - F.col("mine")).otherwise(F.col("mine"))).withColumn("with", F.explode(F.when(F.col("top"), light).otherwise(F.concat(light, heavy))))
+    return spread.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") <= F.col("with"), 0).otherwise(1).alias("side"), "id", "label", "keys", "shingles")
+
+
 def _across(least: float):
     def run(block: pa.Table) -> pa.Table:
         """Pairs of members of two blocks of a bucket, in different components, that may reach ``least``."""
         key = block.column("key")[0].as_py()
         side, ids, labels = (block.column(c).to_numpy() for c in ("side", "id", "label"))
-        keys = np.frombuffer(b"".join(block.column("sketch").to_pylist()), "<i8").reshape(-1, SKETCHES)
+        told = block.column("keys").to_pylist()
+        width = max(len(x) for x in told)
+        # what is missing is filled up with numbers that differ
+        keys = np.array([x + [-1 - i * width - j for j in range(width - len(x))] for i, x in enumerate(told)], "i8").reshape(len(told), width)
+        keys.sort(axis=1)
         own = [np.frombuffer(x, "<u8") for x in block.column("shingles").to_pylist()]
         n = np.array([len(x) for x in own])
-        made = np.array([profile(x) for x in own])
-        empty = made == 0xFFFFFFFF
+        filled = np.array([bins(x) for x in own])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(right)
         a, b = [], []
@@ -190,15 +257,13 @@ def _across(least: float):
             some = left[k + 1 :] if alone else right
             some = some[(labels[some] != labels[i]) & (np.minimum(n[some], n[i]) >= least * np.maximum(n[some], n[i]))]
             if len(some):
-                same = keys[some] == keys[i]
-                some = some[keys[i][same.argmax(axis=1)] == key]
-            if len(some):
-                told = (~(empty[some] & empty[i])).sum(axis=1)
-                equal = ((made[some] == made[i]) & ~empty[i]).sum(axis=1)
-                some = some[equal >= told * least - SIGMAS * np.sqrt(told * least * (1 - least))]
+                common = np.minimum(filled[some], filled[i]).sum(axis=1)
+                some = some[common >= least / (1 + least) * (n[some] + n[i]) - 1e-9]
             for j in some:
-                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                if common >= least / (1 + least) * (n[i] + n[j]) - 1e-9:
+                both = np.intersect1d(keys[i], keys[j], assume_unique=True)
+                if both[0] != key:  # they meet in another bucket
+                    continue
+                if len(np.intersect1d(own[i], own[j], assume_unique=True)) >= least / (1 + least) * (n[i] + n[j]) - 1e-9:
                     a.append(ids[i])
                     b.append(ids[j])
         lo, hi = np.minimum(a, b).astype("i8"), np.maximum(a, b).astype("i8")
@@ -216,31 +281,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows of an id are in each of its texts' classes. A row with a null id can't be
     named by another and is a class of its own, with a null class_id. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).select("id", "digest", "text")
     named = rows.where("id is not null")
     made = materialise(named.mapInArrow(_sketched, "id long, digest binary, sketch binary"))
-    different = materialise(made.groupBy("digest").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")))
+    different = materialise(made.groupBy("digest").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch"), F.count("*").alias("n")))
     # copies take the id of their text; an id that comes with several texts joins them
-    copies = made.select("id", "digest").join(different.select("digest", F.col("id").alias("rep")), "digest")
+    copies = join_split(made.select("id", "digest"), different.where("n > 1").select("digest", "rep", "n"), ["digest"], "n", made.count())
     linked = materialise(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
-    owners = different.where("sketch is not null").select("id", "sketch", "digest")
+    owners = different.where("sketch is not null").select(F.col("rep").alias("id"), "sketch", "digest")
 
     keys = materialise(owners.select("id", "sketch").mapInArrow(_keys, "id long, key long"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("first"))
-    buckets = materialise(keys.join(shared, "key"))
+    shared = materialise(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = materialise(join_split(keys, shared, ["key"], "n", total))
     involved = buckets.select("id").distinct()
-    may = Bloom(involved, "id", buckets.count())
+    may = Bloom(involved, "id", total)
     own = may.passed(owners.select("id", "digest"), "id").join(involved, "id")
     texts = materialise(may.passed(named, "id").join(own, ["id", "digest"]).select("id", "digest", "text").dropDuplicates(["id", "digest"]).select("id", "text"))
+    release(made, keys, shared)
 
-    found, told, open_ = None, None, buckets.select("key", "id", F.col("id").alias("label"), F.col("first"))
+    found, told, open_ = None, None, buckets.select("key", "id", F.col("id").alias("label"))
     for turn in range(ROUNDS):
-        if turn:
-            centre = F.min_by("id", F.xxhash64("id", "key", F.lit(turn)))
-            open_ = open_.join(open_.groupBy("key").agg(centre.alias("first")), "key").select("key", "id", "label", "first")
-        centres = open_.where("id = first").select("key", F.col("label").alias("other")).distinct()
-        pairs = open_.join(centres, "key").where("id <> first and label <> other").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+        order = F.xxhash64("id", "key", F.lit(turn)) if turn else F.col("id")
+        centres = open_.groupBy("key").agg(F.min_by("id", order).alias("first"), F.min_by("label", order).alias("other"), F.count("*").alias("n"))
+        pairs = join_split(open_, centres, ["key"], "n", total).where("id <> first and label <> other").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
         if told is not None:
             pairs = pairs.join(told, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
@@ -248,37 +313,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = linked if found is None else found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
         found = components(known.unionAll(_verify(pairs, texts, least)))
         placed = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_ = materialise(placed.join(several, "key"))
-
-    made = texts.join(open_.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled, "id long, shingles binary")
-    rest = materialise(open_.select("key", "id", "label").join(made.join(owners.select("id", "sketch"), "id"), "id"))
-    parts = F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)
-    rest = rest.join(rest.groupBy("key").agg(F.ceil(parts).alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # each member goes to the meetings of its block with itself and with every other block
-    meets = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "label", "sketch", "shingles"
+        open_ = materialise(_several(materialise(placed)))
+
+    # what is left of a bucket: its largest label and the others
+    by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sized = materialise(by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
+    large = sized.where(F.col("n") - F.col("most") > SPLIT).select("key", "n")
+    shingled = materialise(texts.join(open_.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled, "id long, shingles binary"))
+    if large.head(1):
+        rare = _by_rare(join_split(open_, large, ["key"], "n", total).select("id", "label").distinct(), shingled, least)
+        few = join_split(open_, sized.where(F.col("n") - F.col("most") <= SPLIT).select("key", "n"), ["key"], "n", total)
+        open_ = materialise(few.select("key", "id", "label").unionAll(rare.select("key", "id", "label")).distinct())
+    met = open_.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(shingled, "id")
+    rest = materialise(open_.join(met, "id").select("key", "id", "label", "keys", "shingles"))
+    by_label = rest.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    top = F.struct("n", "label", "bytes")
+    by_key = by_label.groupBy("key").agg(F.max(top).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("long")
+    sizes = materialise(
+        by_key.select("key", "n", F.col("top.label").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("tops"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
     )
+    meets = _meetings(rest, sizes, rest.count())
     across = meets.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
     untold = materialise(across.join(told, ["a", "b"], "left_anti"))
     # the components so far are stars already; only links between them are new
     stars = found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     final = components(stars.unionAll(_verify(untold, texts, least)))
-    return rows.select("id").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id"))
+    release(different, buckets, texts, shingled, rest, sizes, untold)
+    classes = rows.where("id is not null").select("id").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id"))
+    return classes.unionAll(rows.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id; of rows with that id, one.
+    """``docs`` with one document of each class, the one with the smallest id; of rows with that id, the one with the lowest hash.
 
-    Rows with a null id all stay.
+    Rows with a null id all stay. Columns may have any names.
     """
-    classes = near_duplicates(docs, id_col, text_col, least)
+    own, at = renamed(docs)
+    i = at[id_col]
+    classes = near_duplicates(own, i, at[text_col], least)
     gone = materialise(classes.where("class_id <> doc_id").select(F.col("doc_id").alias("id")).distinct())
-    again = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
+    again = own.groupBy(F.col(i).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
     # texts of documents that certainly stay, most of them, aren't shuffled
-    flag = free_name("_touched", docs.columns)
     touched = materialise(gone.unionAll(again))
-    marked = Bloom(touched, "id", touched.count()).marked(docs, id_col, flag)
-    rest = marked.where(F.col(flag)).drop(flag)
-    rest = rest.join(gone, rest[id_col] == gone["id"], "left_anti").dropDuplicates([id_col])
-    return marked.where(~F.col(flag)).drop(flag).unionAll(rest)
+    keyed = own.withColumn("id", F.col(i).cast("long"))
+    marked = Bloom(touched, "id", touched.count()).marked(keyed, "id", "may")
+    told = F.xxhash64(*[c for c, t in own.dtypes if "map<" not in t])
+    rest = marked.where("may").join(gone, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*own.columns), told).alias("row")).select("row.*")
+    kept = marked.where("not may").select(*own.columns).unionAll(rest)
+    return kept.select(*[F.col(b).alias(c) for c, b in at.items()])

@@ -361,3 +361,37 @@ def test_rounds_are_exact_where_members_differ(spark):
         for j in rng.choice(300, 7, replace=False):
             text[j] = f"n{k}x{j}"
     assert dict(map(tuple, near.near_duplicates(docs_of(spark, rows)).collect())) == classes(rows)
+
+
+def test_common_text_in_different_documents(spark, monkeypatch):
+    """Buckets of texts that share most words, but not enough: rare shingles and blocks find all links."""
+    monkeypatch.setattr(near, "SPLIT", 4)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    common, rows = [f"c{i}" for i in range(200)], []
+    for k in range(45):
+        own = [f"o{k // 3 if k % 3 < 2 else k}x{i}" for i in range(60 + k)]
+        own[int(rng.integers(60))] = f"e{k}"
+        rows.append((k, " ".join([*common, *own])))
+    want = classes(rows)
+    assert 20 < len(set(want.values())) < 40
+    assert dict(map(tuple, near.near_duplicates(docs_of(spark, rows)).collect())) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.integers(0, 9))
+def test_similar_sets_share_a_rare_item(a, b, seed):
+    counts = np.random.default_rng(seed).integers(0, 5, near.ORDER)
+    x, y = (np.array(sorted(s), "u8") << np.uint64(13) for s in (a, b))
+    if len(a & b) / len(a | b) >= 0.8:
+        assert set(near.rare_first(x, counts, 0.8).tolist()) & set(near.rare_first(y, counts, 0.8).tolist())
+
+
+def test_one_of_each_with_odd_columns(spark):
+    rows = [(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 9, "y"), (3, "else", 1, None), (3, "other", 2, "z"), (None, "a b c d e f", 5, "w")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, _fb int, `a.b` string").selectExpr("*", "map('k', _fb) AS m")
+    kept = near.keep_one(made)
+    assert kept.columns == made.columns
+    got = [r for r in kept.collect()]
+    assert sorted((r[0] or 0, r[2]) for r in got if r[0] != 3) == [(0, 5), (1, 7)] and len([r for r in got if r[0] == 3]) == 1
+    assert sorted(map(str, near.keep_one(made.repartition(5)).collect())) == sorted(map(str, got))
