@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialise
+from logloom.llm.common import materialise, quoted
 
 SAMPLE, TREES = 32_768, 12
 #: A leaf holds so many vectors of the sample, or more if there were over LEAVES leaves.
@@ -120,29 +120,30 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``, against all other rows.
 
-    Rows with a null id or vector, a null or non-finite component, all zeros, or another length
-    than the shortest vectors of the sample have take no part. A query never finds rows of its own id.
+    Rows with a null id or vector, a null or non-finite component or all zeros take no part, nor do
+    rows of another length than most have (of equally frequent lengths, the longer one). A query never finds rows of its own id.
     Equal scores rank by the smaller id; repeated rows of an id count once. Other columns are
     ignored. An empty table gives an empty result.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.transform(F.col(quoted(vec_col)), lambda x: x.cast("double")).alias("v"))
     sound = rows.where("id is not null and v is not null").where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0))
     ordered = Window.partitionBy("v").orderBy("id")
     # a limit that Spark applies before and after the shuffle, so equal vectors never gather
     few = sound.distinct().withColumn("r", F.row_number().over(ordered)).where(F.col("r") <= k + 1)
     index = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.get("ids", F.lit(0))))
-    fitted = index.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
     spark = vectors.sparkSession
-    if not fitted:
+    lengths = sound.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("dim").desc()).first()
+    if not lengths:
         return spark.range(0).selectExpr("id query_id", "cast(id as int) rank", "id vec_id", "cast(id as double) score")
-    dim = min(len(r["v"]) for r in fitted)
+    dim = lengths["dim"]
     index = index.where(F.size("v") == dim)
-    x = np.array([r["v"] for r in fitted if len(r["v"]) == dim])
+    x = np.array([r["v"] for r in index.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()])
     n, top = index.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()
     lifted = _lifted(x, top)
     leaf = max(LEAF, len(x) // LEAVES)
     forest = spark.sparkContext.broadcast([grow(lifted, t, leaf) for t in range(TREES)])
+    longest = math.sqrt(top)
     parts = max(1, math.ceil(n * leaf / len(x) / PART))
     want = max(SEARCH_LEAST, math.ceil(SEARCH * len(x)), 2 * k)
 
@@ -169,13 +170,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["q", "rep", "score"])
         m, q = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((members, "v"), (queries, "qv")))
         reps, qs = members.column("rep").to_numpy(), queries.column("q").to_numpy()
-        keep, out = min(k + 5, len(m)), []
+        kth, out = min(k + 1, len(m)) - 1, []
         for at in range(0, len(q), 256):
             rough = q[at : at + 256] @ m.T
-            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-            i = np.repeat(np.arange(at, at + len(rough)), keep)
-            j = best.ravel()
-            out.append(pa.table([pa.array(qs[i]), pa.array(reps[j]), pa.array(inner_products(q[i], m[j]))], ["q", "rep", "score"]))
+            # all that may be among the k + 1 best once scored exactly, however many are equal
+            least = -np.partition(-rough, kth, axis=1)[:, kth]
+            margin = 1e-12 * dim * np.abs(rough).max(axis=1) + 1e-12 * dim * np.linalg.norm(q[at : at + 256], axis=1) * longest
+            i, j = np.nonzero(rough >= (least - margin)[:, None])
+            score = inner_products(q[at + i], m[j])
+            order = np.lexsort((reps[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            first = np.searchsorted(i, np.arange(len(rough)))
+            best = np.arange(len(i)) - first[i] <= kth
+            out.append(pa.table([pa.array(qs[at + i[best]]), pa.array(reps[j[best]]), pa.array(score[best])], ["q", "rep", "score"]))
         return pa.concat_tables(out)
 
     members = index.select("rep", "v").mapInArrow(placed, "tree int, leaf long, part long, rep long, v array<double>")

@@ -28,7 +28,7 @@ def _mask(key: Column) -> list[Column]:
 
 class Bloom:
     def __init__(self, keys: DataFrame, key: str, n_keys: int) -> None:
-        """Of the values of ``key`` in ``keys``; nulls never pass. ``n_keys``, at least their number, sizes the filter."""
+        """Of the values of ``key`` in ``keys``; nulls never pass. ``n_keys``, about their number, sizes the filter."""
         self.blocks, self.rows = 1, None
         while self.blocks < BLOCKS and self.blocks * 256 < n_keys * BITS_A_KEY:
             self.blocks *= 2

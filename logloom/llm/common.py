@@ -12,6 +12,8 @@ from logloom.shared import release as release
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more rows than HOT, and than a HOT_KEYS-th of all, is hot; so there are at most HOT_KEYS of them.
 HOT, HOT_KEYS = 500, 4096
+#: Tables of a few numbers a row are broadcast up to so many rows.
+NARROW = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,16 +59,23 @@ def filter_late(df: DataFrame, keep: str) -> DataFrame:
     return df.select("*", F.explode_outer(F.when(F.expr(keep), F.array(F.lit(1)))).alias(flag)).where(F.col(flag).isNotNull()).drop(flag)
 
 
-def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """``left.join(right.drop(weight), keys, how)`` that deals hot keys out over several tasks.
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, narrow: bool = True) -> DataFrame:
+    """``left.join(right, keys, how)`` that deals the rows of hot keys out over several tasks.
 
-    ``right`` has one row for each of its keys, with the number of rows that ``left`` has of it in
-    ``weight``; ``total`` is the sum of these, at least. Hot keys, HOT_KEYS at most, are broadcast; their rows of
-    ``left`` get a salt from their other columns, and their rows of ``right`` are repeated for each salt. ``right`` is read twice.
+    ``narrow``: ``right`` is a table of materialise() with a few numbers a row; with NARROW rows or fewer it is broadcast.
+    ``counts``: a table of materialise() with the keys and ``n``, how many rows ``left`` has of them, at least; it is
+    made if it isn't given. Hot keys, HOT_KEYS at most, are broadcast: their rows of ``left`` get a salt
+    from all columns, and their rows of ``right`` are repeated for each salt. If there are none it is a plain join.
     """
-    most = max(HOT, total // HOT_KEYS)
-    salts = F.ceil(F.col(weight) / most).cast("int")
-    hot = right.where(F.col(weight) > most).select(*keys, salts.alias("_n"))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(weight)
+    if narrow and right.count() <= NARROW:
+        return left.join(F.broadcast(right), keys, how)
+    if counts is None:
+        counts = materialise(left.groupBy(*keys).agg(F.count("*").alias("n")))
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    most = max(HOT, (total or 0) // HOT_KEYS)
+    if (top or 0) <= most:
+        return left.join(right, keys, how)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_n")))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -9,27 +9,24 @@ from logloom.llm.common import join_split, materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, label`` for every id in ``edges`` (a, b long): label is the smallest id of its component.
+    """``id, label`` for every id in ``edges`` (a, b long) that isn't the smallest of its component: label is the smallest.
 
-    A step links each node's larger, then smaller neighbours to the smallest one around, and is
-    written to the shared folder; the edges of a node with many are dealt out. Steps end when the edges are stars: every larger end has one edge,
-    and no smaller end is a larger one. Self-loops and null ends are dropped. Ids without an edge
-    aren't in the result.
+    Edges point from larger to smaller ids. A step first lets each edge point to the smallest neighbour
+    of its end, then each node, and all it pointed to, to the smallest of these. Each half is a table of
+    the least neighbours, written to the shared folder, and a join with it; the edges of a node with many are dealt
+    out. Steps end when the edges are stars: all of a node's have the same end, and no end has one itself.
+    Edges are never more than at the start. Self-loops and null ends are dropped.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not _stars(now):
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = join_split(both, least, ["a"], "n", 2 * now.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = materialise(large.distinct())
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_split(large, lowest, ["a"], "n", large.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
-        release(now)
-        now = materialise(small.distinct())
-        release(large)
-    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
-
-
-def _stars(edges: DataFrame) -> bool:
-    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("larger")).unionAll(edges.select(F.col("b").alias("id"), F.lit(0).alias("larger")))
-    return ends.groupBy("id").agg(F.sum("larger").alias("n"), F.min("larger").alias("least")).where("n > 1 or (n = 1 and least = 0)").agg(F.count("*")).first()[0] == 0
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while True:
+        least = materialise(now.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")))
+        ends = join_split(now, least.select(F.col("a").alias("b"), "m"), ["b"], "left")
+        large = ends.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        lowest = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"), F.max("moved").alias("moved")))
+        if not lowest.where("moved").head(1) and not least.where("m < most").head(1):
+            release(now, lowest)
+            return least.select(F.col("a").alias("id"), F.col("m").alias("label"))
+        small = join_split(large.select("a", "b"), lowest.select("a", "m"), ["a"], "inner", lowest.select("a", "n"))
+        after = materialise(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b"))
+        release(now, least, lowest)
+        now = after

@@ -103,10 +103,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = ((F.col("k.id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + shift).cast("decimal(38,0)") + F.col("start")).cast("decimal(38,0)")
     one = one.withColumn("place", place)
     digest = F.unhex(F.sha2("bytes", 256)).alias("digest")
-    same = materialise(one.groupBy("h", "n", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "n", digest, "first", "copies"))
-    total = same.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    same = materialise(one.groupBy("h", "n", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", digest, "first", "copies"))
     words = F.transform("own", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words")
-    marked = join_split(one.select("k", "place", "start", "h", "n", digest, words), same, ["h", "n", "digest"], "copies", total)
+    marked = join_split(one.select("k", "place", "start", "h", "n", digest, words), same.select("h", "digest", "first"), ["h", "digest"], "inner", same.select("h", "digest", F.col("copies").alias("n")))
     marked = marked.where((F.col("place") > F.col("first")) & ((F.col("n") > 1) | (F.col("words")[0] >= min_words)))
     stood = marked.select("k", "start", F.posexplode_outer("words").alias("j", "w")).select("k", (F.col("start") + F.col("j")).alias("line"), "w").distinct()
     by_line = Window.partitionBy("k").orderBy("line")

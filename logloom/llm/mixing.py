@@ -13,12 +13,13 @@ per source.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import free_name, word_count
+from logloom.llm.common import free_name, renamed, word_count
 
 Schedule = list[tuple[float, float]]
 #: Knots (time, weight) whose integrals are 5, 2 and 1; the heavy sources come early, the middling ones late.
@@ -26,6 +27,8 @@ CURRICULUM: list[Schedule] = [[(0.0, 6.0), (1.0, 4.0)], [(0.0, 1.0), (0.5, 2.0),
 SHARE, REPEATS = 1.5, 2
 #: Blocks in each source: one for so many of all rows, BLOCKS at least.
 BLOCK_ROWS, BLOCKS = 20_000, 256
+#: The hash of a row without an id.
+NO_ID = hashlib.md5(b"null").hexdigest()
 
 
 def integral(schedule: Schedule) -> float:
@@ -100,17 +103,20 @@ def plan_takes(sized: DataFrame, rows: int, id_col: str, source_col: str, schedu
     blocks = max(BLOCKS, 1 << math.ceil(math.log2(max(1, rows / BLOCK_ROWS))))
     # the first 32 bits of the hash, scaled, so that blocks stand in the order of their hashes
     dealt = sized.withColumn("block", F.shiftrightunsigned(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * blocks, 32))
-    sums = dealt.groupBy("src", "block").agg(F.first(source_col).alias("source"), F.sum("size").alias("size"))
+    # rows without an id have one hash; they stand by size, so each size is a block of its own
+    dealt = dealt.withColumn("part", F.when(F.col(id_col).isNull(), 1).when(F.col("h") <= NO_ID, 0).otherwise(2)).withColumn("sub", F.when(F.col(id_col).isNull(), F.col("size")).otherwise(0))
+    at = ["block", "part", "sub"]
+    sums = dealt.groupBy("src", *at).agg(F.first(source_col).alias("source"), F.sum("size").alias("size"))
     targets = source_targets(sums, schedules, share, repeats)
-    before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("src").orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("source", "size").join(targets, "src")
-    inside = Window.partitionBy("src", "block").orderBy("h", F.col(id_col).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("src", *at).orderBy("h", F.col(id_col).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    placed = dealt.join(starts, ["src", "block"]).withColumn("middle", middle)
+    placed = dealt.join(starts, ["src", *at]).withColumn("middle", middle)
     passes = F.array(*[F.lit(k) for k in range(repeats)])
     demands = F.filter(F.transform(passes, lambda k: F.col("middle") + k * F.col("source_size")), lambda d: d < F.col("target"))
     takes = F.when(F.col("size") > 0, F.transform(demands, lambda d: position(d, F.col("target"), F.col("which"), schedules))).otherwise(F.array().cast("array<double>"))
-    return placed.withColumn("takes", takes).drop("block", "before", "middle", "which", "src", "h")
+    return placed.withColumn("takes", takes).drop(*at, "before", "middle", "which", "src", "h")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -122,8 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     An empty table gives an empty result.
     """
     names = docs.columns
-    clear = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    own = {c: f"c{i}" for i, c in enumerate(names)}
+    clear, own = renamed(docs)
     sized = with_sizes(clear, own[id_col], own[text_col], own[source_col])
     taken = plan_takes(sized, docs.count(), own[id_col], own[source_col], **how).withColumn("at", F.explode("takes"))
     return taken.orderBy("at", own[id_col]).select(*[F.col(own[c]).alias(c) for c in names])

@@ -7,10 +7,9 @@ on shingles and on their order. There are SKETCHES of them: at a similarity of 0
 with a probability below 10^-6.
 
 Similarity is L / (n + m - L) for texts of n and m shingles that have L in common in the same
-order. Equal texts are one class before anything else. Different texts meet in rounds. In each
-round every bucket of a sketch links its members to one of them, first the smallest id, then others by
-hash; links between components are verified, a link for each member of a bucket at most, and
-components are joined. ROUNDS later nearly all members of a family are one component. Buckets that
+order. Equal texts are one class before anything else. Of different texts, every member of a sketch's
+bucket is first compared with two of them, the smallest id and one by hash, and components are joined;
+nearly all members of a family are one component then. Buckets that
 still hold several components compare their members across components, in blocks of BLOCK: a pair in
 the first bucket it shares, by two true bounds, what their lengths and their shingles by bin allow, then by the
 shingles in common. Only pairs that may be links leave the block, to be verified. The largest
@@ -42,7 +41,6 @@ from logloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ELEMENTS = 20, 3
-ROUNDS = 2
 #: Members of a bucket, and bytes of their shingles, that meet in one task for the comparison of all with all.
 BLOCK, BLOCK_BYTES, BINS = 512, 16 << 20, 1024
 SPLIT, ORDER = 2048, 1 << 20
@@ -162,12 +160,13 @@ def _verified(least: float):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose ``texts`` (id, text) are similar; the pairs of an id with many are dealt out."""
-    total = pairs.count()
+    """The pairs (a, b) of ids whose ``texts`` (id, text) are similar. An end with many pairs is dealt out."""
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("id")), F.struct(F.lit("b").alias("end"), F.col("b").alias("id"))))
+    counts = materialise(pairs.select(ends.alias("e")).groupBy("e.end", "e.id").agg(F.count("*").alias("n")))
+    joined = pairs
     for end, text in (("b", "tb"), ("a", "ta")):
-        many = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        named = texts.select(F.col("id").alias(end), F.col("text").alias(text)).join(many, end)
-        joined = join_split(pairs if end == "b" else joined, named, [end], "n", total)
+        own = counts.where(F.col("end") == end).select(F.col("id").alias(end), "n")
+        joined = join_split(joined, texts.select(F.col("id").alias(end), F.col("text").alias(text)), [end], "inner", own, narrow=False)
     return joined.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verified(least), "a long, b long")
 
 
@@ -221,20 +220,28 @@ def _by_rare(members: DataFrame, made: DataFrame, least: float) -> DataFrame:
 
 def _several(placed: DataFrame) -> DataFrame:
     """The rows (key, id, label) of keys with several labels."""
-    lo_hi = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    some = materialise(lo_hi)
-    return join_split(placed, some, ["key"], "n", some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    some = materialise(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    return join_split(placed, some.select("key"), ["key"], "inner", some)
 
 
-def _meetings(rest: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
-    """Rows of ``rest`` (key, id, label, ...) once for each meeting of their block; ``sizes`` tells a key's largest label, and blocks of that and of the others."""
-    told = join_split(rest, sizes, ["key"], "n", total).withColumn("top", F.col("label") == F.col("largest"))
+def _sizes(rest: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Of each key of ``rest`` (key, id, label): its rows, its largest label, the rows outside that, and the blocks of both."""
+    by_label = rest.join(shingled.select("id", F.length("shingles").alias("size")), "id").groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    by_key = by_label.groupBy("key").agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("long")
+    few, rest_bytes = F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")
+    return materialise(by_key.select("key", "n", F.col("top.label").alias("largest"), few.alias("few"), blocks(F.col("top.n"), F.col("top.bytes")).alias("tops"), blocks(few, rest_bytes).alias("others")))
+
+
+def _meetings(rest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of ``rest`` (key, id, label) once for each meeting of their block; ``sizes`` tells a key's largest label, and blocks of that and of the others."""
+    told = join_split(rest, sizes.select("key", "largest", "tops", "others"), ["key"], "inner", sizes.select("key", "n")).withColumn("top", F.col("label") == F.col("largest"))
     told = told.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("top"), F.col("tops")).otherwise(F.col("others"))))
     # blocks of the others are numbered from 0, those of the largest label below it; two of the latter never meet
     light = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
     heavy = F.transform(F.sequence(F.lit(1).cast("long"), F.col("tops")), lambda x: -x)
     spread = told.withColumn("mine", F.when(F.col("top"), -1 - F.col("mine")).otherwise(F.col("mine"))).withColumn("with", F.explode(F.when(F.col("top"), light).otherwise(F.concat(light, heavy))))
-    return spread.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") <= F.col("with"), 0).otherwise(1).alias("side"), "id", "label", "keys", "shingles")
+    return spread.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.when(F.col("mine") <= F.col("with"), 0).otherwise(1).alias("side"), "id", "label")
 
 
 def _across(least: float):
@@ -267,7 +274,7 @@ def _across(least: float):
                     a.append(ids[i])
                     b.append(ids[j])
         lo, hi = np.minimum(a, b).astype("i8"), np.maximum(a, b).astype("i8")
-        return pa.table([pa.array(lo), pa.array(hi)], ["a", "b"])
+        return pa.table([pa.array(hi), pa.array(lo)], ["a", "b"])
 
     return run
 
@@ -287,60 +294,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = materialise(named.mapInArrow(_sketched, "id long, digest binary, sketch binary"))
     different = materialise(made.groupBy("digest").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch"), F.count("*").alias("n")))
     # copies take the id of their text; an id that comes with several texts joins them
-    copies = join_split(made.select("id", "digest"), different.where("n > 1").select("digest", "rep", "n"), ["digest"], "n", made.count())
-    linked = materialise(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    twice = different.where("n > 1")
+    copies = join_split(made.select("id", "digest"), twice.select("digest", "rep"), ["digest"], "inner", twice.select("digest", "n"))
+    linked = materialise(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     owners = different.where("sketch is not null").select(F.col("rep").alias("id"), "sketch", "digest")
 
     keys = materialise(owners.select("id", "sketch").mapInArrow(_keys, "id long, key long"))
-    shared = materialise(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = materialise(join_split(keys, shared, ["key"], "n", total))
-    involved = buckets.select("id").distinct()
-    may = Bloom(involved, "id", total)
-    own = may.passed(owners.select("id", "digest"), "id").join(involved, "id")
-    texts = materialise(may.passed(named, "id").join(own, ["id", "digest"]).select("id", "digest", "text").dropDuplicates(["id", "digest"]).select("id", "text"))
-    release(made, keys, shared)
-
-    found, told, open_ = None, None, buckets.select("key", "id", F.col("id").alias("label"))
-    for turn in range(ROUNDS):
-        order = F.xxhash64("id", "key", F.lit(turn)) if turn else F.col("id")
-        centres = open_.groupBy("key").agg(F.min_by("id", order).alias("first"), F.min_by("label", order).alias("other"), F.count("*").alias("n"))
-        pairs = join_split(open_, centres, ["key"], "n", total).where("id <> first and label <> other").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
-        if told is not None:
-            pairs = pairs.join(told, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        told = pairs if told is None else told.unionAll(pairs)
-        known = linked if found is None else found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-        found = components(known.unionAll(_verify(pairs, texts, least)))
-        placed = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        open_ = materialise(_several(materialise(placed)))
+    # every member of a bucket is compared with the smallest id and with another one by hash
+    first, second = F.min("id").alias("f0"), F.min_by("id", F.xxhash64("id", "key")).alias("f1")
+    shared = materialise(keys.groupBy("key").agg(first, second, F.max("id").alias("hi"), F.count("*").alias("n")).where("f0 < hi").select("key", "f0", "f1", "n"))
+    buckets = materialise(join_split(keys, shared.select("key", "f0", "f1"), ["key"], "inner", shared.select("key", "n")))
+    may = Bloom(buckets, "id", buckets.agg(F.approx_count_distinct("id", 0.02)).first()[0])
+    own = may.passed(owners.select("id", "digest"), "id").join(buckets.select("id"), "id", "left_semi")
+    texts = materialise(may.passed(named, "id").join(own, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "text"))
+    release(made, keys)
+
+    met = buckets.select("id", F.explode(F.array_distinct(F.array("f0", "f1"))).alias("first")).where("id <> first")
+    told = materialise(met.select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct())
+    found = components(linked.unionAll(_verify(told, texts, least)))
+    placed = materialise(buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
+    open_ = materialise(_several(placed))
+    release(shared, buckets, placed)
 
     # what is left of a bucket: its largest label and the others
-    by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
-    sized = materialise(by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
-    large = sized.where(F.col("n") - F.col("most") > SPLIT).select("key", "n")
-    shingled = materialise(texts.join(open_.select("id").distinct(), "id").select("id", "text").mapInArrow(_shingled, "id long, shingles binary"))
-    if large.head(1):
-        rare = _by_rare(join_split(open_, large, ["key"], "n", total).select("id", "label").distinct(), shingled, least)
-        few = join_split(open_, sized.where(F.col("n") - F.col("most") <= SPLIT).select("key", "n"), ["key"], "n", total)
-        open_ = materialise(few.select("key", "id", "label").unionAll(rare.select("key", "id", "label")).distinct())
-    met = open_.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(shingled, "id")
-    rest = materialise(open_.join(met, "id").select("key", "id", "label", "keys", "shingles"))
-    by_label = rest.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    top = F.struct("n", "label", "bytes")
-    by_key = by_label.groupBy("key").agg(F.max(top).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("long")
-    sizes = materialise(
-        by_key.select("key", "n", F.col("top.label").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("tops"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
-    )
-    meets = _meetings(rest, sizes, rest.count())
+    shingled = materialise(texts.join(open_.select("id"), "id", "left_semi").mapInArrow(_shingled, "id long, shingles binary"))
+    sizes = _sizes(open_, shingled)
+    if sizes.where(F.col("few") > SPLIT).head(1):
+        big, small = (join_split(open_, sizes.where(c).select("key"), ["key"], "inner", sizes.select("key", "n")) for c in (F.col("few") > SPLIT, F.col("few") <= SPLIT))
+        rare = _by_rare(big.select("id", "label").distinct(), shingled, least)
+        open_ = materialise(small.select("key", "id", "label").unionAll(rare.select("key", "id", "label")).distinct())
+        sizes = _sizes(open_, shingled)
+    own = shingled.join(open_.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "id")
+    meets = _meetings(open_, sizes).join(own, "id")
     across = meets.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
     untold = materialise(across.join(told, ["a", "b"], "left_anti"))
-    # the components so far are stars already; only links between them are new
-    stars = found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-    final = components(stars.unionAll(_verify(untold, texts, least)))
-    release(different, buckets, texts, shingled, rest, sizes, untold)
-    classes = rows.where("id is not null").select("id").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id"))
+    if untold.head(1):
+        stars = found.select(F.col("id").alias("a"), F.col("label").alias("b"))
+        found = components(stars.unionAll(_verify(untold, texts, least)))
+    release(different, linked, told, texts, open_, shingled, sizes, untold)
+    classes = rows.where("id is not null").select("id").join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id"))
     return classes.unionAll(rows.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
 
 

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import columns, renamed
+
 #: The most labelled documents that the list is fitted on; the lowest hashes of doc_id are taken.
 FIT_ROWS = 12_000
 #: A rule covers so many bad documents at least.
@@ -24,6 +26,7 @@ SYMBOLS = "#*$%&|<>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = " \t\n\x0b\x0c\r"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+STATISTICS = [*BASE, "n_upper", "n_marks", "n_lines"]
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -33,14 +36,17 @@ def _without(text: Column, chars: str) -> Column:
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks and n_lines, all long.
 
-    A null text has no words and no lines. Window repeats: the hashes of three-word windows, with
-    the window's place in the low bits, are sorted; equal neighbours are compared word by word, and
-    the places they cover are added up. That takes n log n for a text of n words and no shuffle.
+    A null text has no words and no lines. Columns of ``docs`` with these names are replaced, all
+    others stay, whatever they are called. Window repeats: a text whose three-word windows all have different hashes
+    has none. Of another, the windows' places are sorted by two hashes; equal neighbours are compared
+    word by word, and the places they cover are added up. That takes n log n for a text of n words and no shuffle.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    clear, at = renamed(docs.select(*columns(c for c in docs.columns if c.lower() not in STATISTICS)))
+    text = F.coalesce(F.col(at[text_col]), F.lit(""))
     words = F.array_remove(F.split(F.translate(text, _WHITE, " " * len(_WHITE)), " "), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _WHITE, "")) > 0)
-    s1 = docs.withColumns({"_words": words, "_lines": lines})
+    s1 = clear.withColumns({"_words": words, "_lines": lines})
+    hashes = "if(size(_words) < 4, cast(array() as array<bigint>), transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])))"
     s2 = s1.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
@@ -50,20 +56,19 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_marks": _without(text, ".,;:!?").cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_bits": F.when(F.size("_words") < (1 << 24), F.lit(24)).otherwise(F.lit(31)),
+            "_hashes": F.expr(hashes),
         }
     )
-    window = "transform(sequence(0, size(_words) - 3), i -> shiftleft(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _bits) | i)"
-    s3 = s2.withColumn("_keys", F.expr(f"if(n_words < 4, array(), sort_array({window}))"))
-    low = "cast(({k} & (shiftleft(1L, _bits) - 1)) as int)"
-    a, b = low.format(k="_keys[k]"), low.format(k="_keys[k + 1]")
-    same = f"shiftrightunsigned(_keys[k] ^ _keys[k + 1], _bits) = 0 and _words[{a}] = _words[{b}] and _words[{a} + 1] = _words[{b} + 1] and _words[{a} + 2] = _words[{b} + 2]"
-    twins = f"filter(sequence(0, size(_keys) - 2), k -> {same})"
-    s4 = s3.withColumn("_twins", F.expr(f"if(size(_keys) < 2, array(), {twins})"))
+    key = "named_struct('h', h, 'g', xxhash64(1, _words[i], _words[i + 1], _words[i + 2]), 'i', i)"
+    keys = f"if(size(array_distinct(_hashes)) = size(_hashes), null, sort_array(transform(_hashes, (h, i) -> {key})))"
+    s3 = s2.withColumn("_keys", F.expr(keys))
+    a, b = "_keys[k].i", "_keys[k + 1].i"
+    same = f"_keys[k].h = _keys[k + 1].h and _words[{a}] = _words[{b}] and _words[{a} + 1] = _words[{b} + 1] and _words[{a} + 2] = _words[{b} + 2]"
+    s4 = s3.withColumn("_twins", F.expr(f"if(_keys is null, cast(array() as array<int>), filter(sequence(0, size(_keys) - 2), k -> {same}))"))
     places = f"sort_array(array_distinct(flatten(transform(_twins, k -> array({a}, {b})))))"
     covered = f"aggregate({places}, struct(0 as upto, 0 as n), (acc, i) -> struct(i + 3 as upto, acc.n + i + 3 - greatest(i, acc.upto) as n), acc -> acc.n)"
     s5 = s4.withColumn("n_repeat_words", F.expr(f"cast(if(size(_twins) = 0, 0, {covered}) as long)"))
-    return s5.drop("_words", "_lines", "_bits", "_keys", "_twins")
+    return s5.select(*[F.col(b).alias(c) for c, b in at.items()], *STATISTICS)
 
 
 #: What the rules look at: a name and an expression over the statistics. A ratio to nothing is 0.
@@ -121,7 +126,8 @@ class DecisionList:
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precision: float = 0.95, most_rules: int = 12, most_conditions: int = 5) -> DecisionList:
     """Sequential covering for the class ``bad``. ``fold`` is True for rows to prune on.
 
-    A rule needs ``precision`` on the rows that are left for growing and, unless it covers none there, for pruning.
+    The list has ``most_rules`` rules at most, a rule ``most_conditions`` conditions: these bound the length of the
+    expression, not the rows it is applied to. A rule needs ``precision`` on the rows that are left for growing and, unless it covers none there, for pruning.
     """
     found = DecisionList()
     left = np.ones(len(bad), bool)
@@ -204,7 +210,7 @@ def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataF
 
     A document fails the base rules below 50 words or if over half its words stand in three-word
     windows found twice or more in it; so null and empty texts fail. Every row, repeated ones too,
-    is judged on its own. Columns of ``docs`` with the statistics' names are replaced.
+    is judged on its own. Columns of ``docs`` with the names of the new ones are replaced.
     """
-    known = with_statistics(docs, text_col)
+    known = with_statistics(docs.drop("base_failed", "kept"), text_col)
     return known.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.keeps())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bloom import Bloom
+from logloom.llm.common import join_split, materialise, quoted
 
 #: Fixed values of the contract: action, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -51,10 +52,13 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", otherwis
     paths = F.array_compact(F.array(*starts))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("host"), p.alias("path")))))
     tried = different.select("url", "host", F.explode_outer(pairs).alias("c")).select("url", "c", F.concat("c.host", "c.path").alias("key"))
-    passed = Bloom(keyed, "key", n_rules).passed(tried, "key")
+    passed = Bloom(keyed, "key", n_rules).passed(tried, "key").select("url", "c.host", "c.path")
     exact = keyed.select("host", "path", "action")
-    exact = F.broadcast(exact) if n_rules <= BROADCAST_RULES else exact
-    hits = passed.select("url", "c.host", "c.path").join(exact, ["host", "path"])
+    if n_rules <= BROADCAST_RULES:
+        hits = passed.join(F.broadcast(exact), ["host", "path"])
+    else:  # a rule like a whole top domain has very many hits
+        asked = passed.groupBy("host", "path").agg(F.count("*").alias("n"))
+        hits = join_split(passed, exact, ["host", "path"], "inner", materialise(asked), narrow=False)
     order = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "action")
     best = hits.groupBy("url").agg(F.max(order).alias("best"))
     return different.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(otherwise)).alias("verdict"), "copies")
@@ -63,12 +67,13 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", otherwis
 def filter_pages(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages``.
 
-    Each different URL is judged once. A null URL, or one without ``://``, has an empty host and
+    Each different URL is judged once; its pages are dealt out if they are many. A null URL, or one without ``://``, has an empty host and
     path, which no rule fits. Repeated rows each give a row. Other columns are ignored. An empty
     table gives an empty result, no rules give ``otherwise`` to all.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    judged = judge_urls(rows, rules, otherwise=otherwise).drop("copies")
+    rows = pages.select(F.col(quoted(id_col)).alias("page_id"), F.col(quoted(url_col)).alias("url"))
+    judged = materialise(judge_urls(rows, rules, otherwise=otherwise).where("url is not null"))
     host, path = url_parts(F.col("url"))
     nothing = rows.where("url is null").select("page_id", host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    return rows.join(judged, "url").select("page_id", "host", "path", "rule", "verdict").unionAll(nothing)
+    told = join_split(rows.where("url is not null"), judged.drop("copies"), ["url"], "inner", judged.select("url", F.col("copies").alias("n")), narrow=False)
+    return told.select("page_id", "host", "path", "rule", "verdict").unionAll(nothing)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import same
-from logloom.llm import ann, chat, mixing, url_filter, warc
+from logloom.llm import ann, chat, common, mixing, url_filter, warc
 from logloom.llm import queries as q
 from logloom.llm.bloom import Bloom
 from logloom.llm.components import components
@@ -196,8 +196,12 @@ def test_recall(spark, small):
     assert hits >= 0.9 * total
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 200), (7, None)]
     df = spark.createDataFrame(edges, "a long, b long")
-    want = {i: 0 for i in range(31)} | {90: 90, 95: 90, 100: 90}
+    want = {i: 0 for i in range(1, 31)} | {95: 90, 100: 90}
     assert dict(map(tuple, components(df).collect())) == want
+    monkeypatch.setattr(common, "NARROW", 0)  # as with many rows
+    monkeypatch.setattr(common, "HOT", 3)
+    star = spark.createDataFrame([*edges, *[(500 + i, 95) for i in range(40)], *[(5, 600 + i) for i in range(40)]], "a long, b long")
+    assert dict(map(tuple, components(star).collect())) == want | {500 + i: 90 for i in range(40)} | {600 + i: 0 for i in range(40)}
