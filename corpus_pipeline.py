@@ -12,20 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import lines, mixing, near, quality
-from logloom.llm.common import filter_late, materialise, table
+from logloom.llm.common import filter_late, materialise, renamed, table
 from logloom.llm.packing import pack_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return filter_late(quality.judge(docs, rules), "kept").select(docs.columns)
+    own, at = renamed(docs)  # no column of the documents clashes with a statistic
+    judged = filter_late(quality.judge(own, rules, at["text"]), "kept")
+    return judged.select(*[F.col(b).alias(c) for c, b in at.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:  # tells the length of the text
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(docs.columns)
+    own, at = renamed(docs)
+    out = lines.dedup_lines(own, at["doc_id"], at["text"])
+    if n := at.get("n_chars"):  # tells the length of the text
+        out = out.withColumn(n, F.when(F.col("n_removed") > 0, F.length(at["text"])).otherwise(F.col(n)).cast("long"))
+    return out.select(*[F.col(b).alias(c) for c, b in at.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
