@@ -45,12 +45,12 @@ def _offset(sign: Column, h: Column, m: Column) -> Column:
 
 def nginx_time(t: Column) -> Column:
     """Epoch seconds of ``dd/Mon/yyyy:HH:MM:SS [+zzzz]``; null if it isn't one. The calendar isn't validated."""
-    p = r"^(\d{2})/([A-Z][a-z]{2})/(\d{4}):(\d{2}):(\d{2}):(\d{2})(?:.*)$"
-    g = lambda k: F.regexp_extract(t, p, k)
-    zone = lambda k: F.regexp_extract(t, r"^.{20} ([+-])(\d{2})(\d{2})", k)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), g(2)).cast("int")
-    local = _seconds(_int(g(3)), F.when(month > 0, month), _int(g(1)), _int(g(4)), _int(g(5)), _int(g(6)))
-    return F.when(t.rlike(p), local - _offset(zone(1), zone(2), zone(3)))
+    # one check, then places
+    g = lambda at, n: F.substring(t, at, n).try_cast("int")
+    month = F.instr(F.lit("".join(MONTHS)), F.substring(t, 4, 3))
+    local = _seconds(g(8, 4), F.when(month > 0, ((month + 2) / 3).cast("int")), g(1, 2), g(13, 2), g(16, 2), g(19, 2))
+    zone = F.when(t.rlike(r"^.{20} [+-]\d{4}"), F.when(F.substring(t, 22, 1) == "-", -1).otherwise(1) * (g(23, 2) * 3600 + g(25, 2) * 60)).otherwise(0)
+    return F.when(t.rlike(r"^\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}.*$"), local - zone)
 
 
 def iso_time(t: Column) -> Column:
@@ -72,8 +72,8 @@ def seconds(s: Column) -> Column:
 
 
 def access_parts(line: Column) -> Column:
-    """The fields' texts as an array, null if the line isn't an access entry. A line has no line feed, so one parts them."""
-    is_line = F.octet_length(line).between(MIN_LINE, MAX_LINE) & ~F.contains(line, F.lit("\n")) & line.rlike(_ACCESS)
+    """The fields' texts as an array; fewer or null if the line isn't an access entry. A line has no line feed, so one parts them."""
+    is_line = F.octet_length(line).between(MIN_LINE, MAX_LINE) & ~F.contains(line, F.lit("\n"))
     return F.when(is_line, F.split(F.regexp_replace(line, _ACCESS, "\n".join(f"${k + 1}" for k in range(len(_FIELDS)))), "\n"))
 
 
@@ -85,7 +85,7 @@ def access_fields(parts: Column) -> Column:
     number = lambda n: F.when(g[n].rlike(r"^\+?\d+$"), g[n].try_cast("long"))
     status = number("status")
     return F.when(
-        parts.isNotNull(),
+        F.size(parts) == len(_FIELDS),
         F.struct(
             parse_time(g["time"]).alias("ts"), g["ip"].alias("ip"),
             F.when(verb.isin(METHODS), verb).otherwise("").alias("method"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("path"),
@@ -112,29 +112,40 @@ def error_time(t: Column, zone: str) -> Column:
     return F.unix_timestamp(F.to_utc_timestamp(stamp, zone)).cast("long")
 
 
-def error_fields(line: Column, zone: str = "UTC") -> Column:
-    """A struct of a parsed error line, null if it doesn't start like one.
-
-    Context keys are read in their written order; one that is out of order ends the reading.
-    """
-    head = r"(?s)^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[([a-z]+)\] *(.*)$"
-    level, rest = F.regexp_extract(line, head, 2), F.regexp_extract(line, head, 3)
-    # number#digits: and *number come before the message
-    start = r"(?s)^(?:(\d+)#(\d*): )?(?:\*(\d+) )?(.*)$"
-    pid, conn, body = (F.regexp_extract(rest, start, k) for k in (1, 3, 4))
-    keys = "|".join(k for k, _ in CONTEXT)
-    message = F.regexp_extract(body, rf"(?s)^(.*?)(?:, (?:{keys}): .*)?$", 1)
-    tail = F.substring(body, F.length(message) + 1, F.length(body))
-    ordered = "(?s)^" + "".join(rf'(?:, {k}: "([^"]*)" *)?' if quoted else rf"(?:, {k}: ((?:(?!, ).)*))?" for k, quoted in CONTEXT)
-    got = {k: F.regexp_extract(tail, ordered, i + 1) for i, (k, _) in enumerate(CONTEXT)}
+_KEYS = "|".join(k for k, _ in CONTEXT)
+#: time [level] pid#tid: *connection message, key: value, ...
+_ERROR = rf"(?s)^(\d{{4}}/\d{{2}}/\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}) \[([a-z]+)\] *(?:(\d+)#\d*: )?(?:\*(\d+) )?(.*?)((?:, (?:{_KEYS}): .*)?)$"
+_ORDERED = "(?s)^" + "".join(rf'(?:, {k}: "([^"]*)" *)?' if quoted else rf"(?:, {k}: ((?:(?!, ).)*))?" for k, quoted in CONTEXT) + ".*$"
+_ERROR_FIELDS = ["time", "level", "pid", "connection", "message", "tail"]
+
+
+def _parts(text: Column, pattern: str, n: int) -> Column:
+    return F.split(F.regexp_replace(text, pattern, "\n".join(f"${k + 1}" for k in range(n))), "\n")
+
+
+def error_parts(line: Column) -> Column:
+    """The texts of _ERROR_FIELDS as an array; fewer or null if the line doesn't start like an error entry."""
+    is_line = F.octet_length(line).between(MIN_ERROR_LINE, MAX_LINE) & ~F.contains(line, F.lit("\n"))
+    return F.when(is_line, _parts(line, _ERROR, len(_ERROR_FIELDS)))
+
+
+def error_context(parts: Column) -> Column:
+    """Values of the context keys in their written order; one that is out of order ends the reading."""
+    return _parts(F.get(parts, F.lit(_ERROR_FIELDS.index("tail"))), _ORDERED, len(CONTEXT))
+
+
+def error_fields(parts: Column, context: Column, zone: str = "UTC") -> Column:
+    """A struct of a parsed error line, of error_parts() and error_context(); null if it isn't one."""
+    g = {n: F.get(parts, F.lit(k)) for k, n in enumerate(_ERROR_FIELDS)}
+    got = {n: F.get(context, F.lit(k)) for k, (n, _) in enumerate(CONTEXT)}
     words = F.filter(F.split(got["request"], r"\s+"), lambda x: x != "")
-    verb = F.get(words, F.lit(0)).isin(METHODS)
-    ts = error_time(F.regexp_extract(line, head, 1), zone)
-    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
+    verb = F.coalesce(F.get(words, F.lit(0)).isin(METHODS), F.lit(False))
+    ts = error_time(g["time"], zone)
+    number = lambda c: F.coalesce(F.nullif(c, F.lit("")).try_cast("long"), F.lit(0).cast("long"))
     return F.when(
-        F.octet_length(line).between(MIN_ERROR_LINE, MAX_LINE) & line.rlike(head) & level.isin(LEVELS) & ts.isNotNull(),
+        (F.size(parts) == len(_ERROR_FIELDS)) & g["level"].isin(LEVELS) & ts.isNotNull(),
         F.struct(
-            ts.alias("ts"), level.alias("level"), number(F.nullif(pid, F.lit(""))).alias("pid"), number(F.nullif(conn, F.lit(""))).alias("connection"), message.alias("message"),
+            ts.alias("ts"), g["level"].alias("level"), number(g["pid"]).alias("pid"), number(g["connection"]).alias("connection"), g["message"].alias("message"),
             got["client"].alias("client"), got["server"].alias("server"), F.when(verb, F.get(words, F.lit(0))).otherwise("").alias("method"),
             F.when(verb, F.coalesce(F.get(words, F.lit(1)), F.lit(""))).otherwise("").alias("path"), got["request"].alias("request"),
             got["upstream"].alias("upstream"), got["host"].alias("host"), got["referrer"].alias("referrer"),
@@ -163,7 +174,8 @@ def access_rows(lines: DataFrame, now: int, line_col: str = "raw") -> DataFrame:
 def error_rows(lines: DataFrame, now: int, zone: str = "UTC", line_col: str = "raw") -> DataFrame:
     """Valid error lines in the columns of access_rows()."""
     e = F.col("_e")
-    out = lines.withColumn("_e", error_fields(F.col(line_col), zone)).where(is_valid_error(e, now))
+    out = lines.withColumn("_p", error_parts(F.col(line_col))).withColumn("_c", error_context(F.col("_p"))).withColumn("_e", error_fields(F.col("_p"), F.col("_c"), zone))
+    out = out.select(*lines.columns, F.explode_outer(F.when(is_valid_error(e, now), F.array(e))).alias("_e")).where("_e is not null")
     empty = lambda c: F.nullif(e[c], F.lit(""))
     null = lambda t, n: F.lit(None).cast(t).alias(n)
     return out.select(

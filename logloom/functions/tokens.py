@@ -105,6 +105,13 @@ tokenize_full = _tokens_udf(True)
 tokenize_atoms = _tokens_udf(False)
 
 
+def stored_atoms(text: Column) -> Column:
+    """tokenize_atoms(), in the JVM for plain ASCII texts without escapes and ``../``; Python sees only the others."""
+    plain = (F.octet_length(text) == F.length(text)) & ~text.rlike(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\.\.[/\\]")
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    return F.when(plain, F.filter(found, lambda t: F.length(t["term"]) < LONGEST)).otherwise(tokenize_atoms(F.when(~plain, text)))
+
+
 @F.pandas_udf(StringType())
 def unescape_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unescape(t) if t is not None else None)

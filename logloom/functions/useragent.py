@@ -141,12 +141,16 @@ def system_version(ua: Column) -> Column:
 
 
 def clients(rows: DataFrame, ua_col: str = "user_agent") -> DataFrame:
-    """Names for each different agent: a table to join by agent, as small as agents are few."""
+    """Names for each different agent: a table to join by agent, as small as agents are few.
+
+    Filters on names would be pushed below the distinct and its join, and the rules be applied to
+    every row; they can't pass a generator.
+    """
     ua = F.col(ua_col)
-    return rows.select(ua_col).distinct().select(
-        ua_col, browser(ua).alias("browser"), system(ua).alias("os"), device(ua).alias("device_type"),
-        browser_version(ua).alias("browser_version"), system_version(ua).alias("os_version"),
+    names = F.struct(
+        browser(ua).alias("browser"), system(ua).alias("os"), device(ua).alias("device_type"), browser_version(ua).alias("browser_version"), system_version(ua).alias("os_version")
     )
+    return rows.select(ua_col).distinct().select(ua_col, F.explode(F.array(names)).alias("_n")).select(ua_col, "_n.*")
 
 
 def with_clients(rows: DataFrame, ua_col: str = "user_agent") -> DataFrame:

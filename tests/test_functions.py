@@ -65,7 +65,7 @@ def test_error_lines(spark):
     text = '2026/09/07 15:32:29 [error] 1234#5678: *90 open() failed, client: 1.2.3.4, server: a.com, request: "GET /x HTTP/1.1", upstream: "http://u", host: "h", referrer: "r"'
     lines = [text, "2026/09/07 15:32:29 [loud] nope, not a level at all", "2026/09/07 15:32:29 [warn] just text, with a comma", "  at a continuation line of a trace", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, raw string")
-    got = {r["i"]: r["e"] for r in df.select("i", parse.error_fields(F.col("raw")).alias("e")).where("e is not null").collect()}
+    got = {r["i"]: r["e"] for r in df.withColumn("p", parse.error_parts(F.col("raw"))).withColumn("c", parse.error_context(F.col("p"))).select("i", parse.error_fields(F.col("p"), F.col("c")).alias("e")).where("e is not null").collect()}
     assert set(got) == {0, 2}
     assert got[0].asDict() == {"ts": 1788795149, "level": "error", "pid": 1234, "connection": 90, "message": "open() failed", "client": "1.2.3.4", "server": "a.com", "method": "GET", "path": "/x", "request": "GET /x HTTP/1.1", "upstream": "http://u", "host": "h", "referrer": "r"}
     assert got[2]["message"] == "just text, with a comma" and got[2]["client"] == ""
