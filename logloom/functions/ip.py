@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,9 +23,13 @@ def hex_of(text: str | None) -> str | None:
 
 
 def hex_range(value: str) -> tuple[str, str] | None:
-    """Lowest and highest address of a CIDR block or a single address; host bits don't count."""
+    """Lowest and highest address of a CIDR block or a single address; host bits don't count. No blanks, netmasks or zones."""
+    address, slash, length = value.partition("/")
+    if "%" in value or (slash and not re.fullmatch(r"\+?[0-9]{1,9}", length)):
+        return None
     try:
-        net = ipaddress.ip_network(value.strip(), strict=False)
+        ip = ipaddress.ip_address(address)
+        net = ipaddress.ip_network((ip, int(length) if slash else ip.max_prefixlen), strict=False)
     except ValueError:
         return None
     return hex_of(str(net[0])), hex_of(str(net[-1]))
