@@ -1,8 +1,9 @@
-"""Locations: a range join of different addresses with a table of CIDR blocks.
+"""Locations: a range join of different addresses with a table of blocks.
 
-Spark plans an inequality join as a nested loop. Blocks are therefore cut at the prefixes of PREFIX
-hexadecimal digits that they cover, and joined by prefix; blocks wider than that are few, and are
-repeated for each prefix they cover.
+Spark plans an inequality join as a nested loop. A block is therefore cut into the prefixes that
+cover it, all of the same number of hexadecimal digits: the digits that its two ends share, and each
+digit that may follow. Addresses have one key for each number of digits that blocks have, 32 at most, so the join is
+by equality, for IPv4 and IPv6 and blocks of any width alike.
 """
 
 from __future__ import annotations
@@ -10,28 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Digits of the join key: an IPv4 /16 block, an IPv6 /28 block counts by its first ones.
-PREFIX = 28
+
+def _digit(text: Column, at: Column) -> Column:
+    return F.conv(F.substr(text, at, F.lit(1)), 16, 10).cast("int")
 
 
 def range_lookup(addresses: DataFrame, blocks: DataFrame, address: str = "ip_hex", attributes: list[str] | None = None) -> DataFrame:
     """``address`` and attributes of the smallest block that holds it, for each different address that one does.
 
-    ``blocks``: lo, hi (32 hexadecimal digits) and attributes. IPv4 blocks wider than /16, and all
-    IPv6 blocks, are repeated for the prefixes in them up to /8; wider ones are joined in a second
-    step by comparing with all of them, as they are a handful.
+    ``blocks``: lo, hi (32 hexadecimal digits) and attributes; sixteen keys a block at most.
     """
     names = attributes or [c for c in blocks.columns if c not in ("lo", "hi")]
     asked = addresses.select(address).where(F.col(address).isNotNull()).distinct()
-    key = lambda c: F.substring(c, 1, PREFIX)
-    narrow = blocks.where(key("lo") == key("hi")).withColumn("_key", key("lo"))
-    wide = blocks.where(key("lo") != key("hi"))
-    hit = asked.withColumn("_key", key(address)).join(narrow, "_key").where(F.col(address).between(F.col("lo"), F.col("hi"))).drop("_key")
-    rest = asked.join(F.broadcast(wide), F.col(address).between(F.col("lo"), F.col("hi")))  # blocks above /16
-    value = F.struct(*names)
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: F.substr("lo", F.lit(1), i) == F.substr("hi", F.lit(1), i)))
+    told = blocks.withColumn("_n", shared + 1)
+    digits = F.sequence(_digit(F.col("lo"), F.col("_n")), _digit(F.col("hi"), F.col("_n")))
+    keyed = told.withColumn("_key", F.explode(F.transform(digits, lambda d: F.concat(F.substr("lo", F.lit(1), F.col("_n") - 1), F.lower(F.hex(d))))))
+    lengths = [r[0] for r in told.select("_n").distinct().orderBy("_n").collect()]  # 32 numbers at most
+    starts = F.array(*[F.substring(address, 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    tried = asked.withColumn("_key", F.explode(starts))
+    hit = tried.join(keyed, "_key").where(F.col(address).between(F.col("lo"), F.col("hi")))
     # of two blocks around an address the later start is the smaller block; of equal starts the earlier end
     width = F.struct(F.col("lo"), F.translate("hi", "0123456789abcdef", "fedcba9876543210"))
-    return hit.select(address, "lo", "hi", *names).unionByName(rest.select(address, "lo", "hi", *names)).groupBy(address).agg(F.max_by(value, width).alias("_v")).select(address, *[F.col(f"_v.{n}").alias(n) for n in names])
+    return hit.groupBy(address).agg(F.max_by(F.struct(*names), width).alias("_v")).select(address, *[F.col(f"_v.{n}").alias(n) for n in names])
 
 
 def folded(country: Column, sub1: Column, sub2: Column) -> tuple[Column, Column, Column]:
