@@ -130,7 +130,7 @@ def day_grid(spark: SparkSession, lay: Layout) -> DataFrame:
     zone = ZoneInfo(lay.zone)
     days = [(at, datetime.fromtimestamp(midnight, zone).date()) for at, midnight, _ in lay.days()]
     values = ", ".join(f"({at}L, DATE '{day}')" for at, day in days)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(timestamp, day)")
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(timestamp, day)" if days else "SELECT 0L AS timestamp, DATE '1970-01-01' AS day WHERE false")
 
 
 def daily(rows: DataFrame, lay: Layout) -> DataFrame:
@@ -156,9 +156,10 @@ def overview(window: DataFrame, hours: DataFrame, days: DataFrame, minute: DataF
     The average of daily visitors is the window's visitors by days.
     """
     n = max(1, len(lay.days()))
-    peak = hours.orderBy(F.col("pv").desc(), "bucket").limit(1).select(F.when(F.col("pv") > 0, F.col("hour")).alias("peak_hour"), F.col("pv").alias("peak_hour_pv"))
+    most_views = hours.agg(F.max(F.struct("pv", (-F.col("bucket")).alias("b"), "hour")).alias("m"))
+    peak = most_views.select(F.when(F.col("m.pv") > 0, F.col("m.hour")).alias("peak_hour"), F.coalesce("m.pv", F.lit(0).cast("long")).alias("peak_hour_pv"))
     most = minute.agg(F.coalesce(F.max("pv"), F.lit(0).cast("long")).alias("peak_minute_pv"))
-    daily_pv = days.agg(F.sum("pv").alias("daily_pv"))
+    daily_pv = days.agg(F.coalesce(F.sum("pv"), F.lit(0).cast("long")).alias("daily_pv"))
     one = window.join(F.broadcast(peak)).join(F.broadcast(most)).join(F.broadcast(daily_pv))  # one row each
     return one.select(
         "pv", "uv", "bytes", (F.col("uv") / n).alias("avg_daily_uv"), (F.col("daily_pv") / n).alias("avg_daily_pv"), "peak_hour", "peak_hour_pv",
@@ -166,14 +167,23 @@ def overview(window: DataFrame, hours: DataFrame, days: DataFrame, minute: DataF
     )
 
 
-def dashboard(rows: DataFrame, lay: Layout) -> dict[str, DataFrame]:
-    """All frames of a dashboard from the rows themselves. Lists are empty if the window is.
+def hour_labels(hours: DataFrame, lay: Layout) -> DataFrame:
+    """An hourly series as clients see it: ``hour`` of the UTC day, and ``timestamp`` of the grid, on the hour or not."""
+    stamp = F.col("bucket") * HOUR + lay.hour_start
+    return hours.withColumn("timestamp", stamp).withColumn("hour", F.floor(F.pmod(stamp, F.lit(86400)) / HOUR))
 
-    Error rows aren't left out here: a dashboard of all groups counts them as views.
-    """
-    window, hours, days, minute = window_figures(rows, lay), hourly(rows, lay), daily(rows, lay), minutes(rows, lay)
+
+def response(window: DataFrame, hours: DataFrame, days: DataFrame, minute: DataFrame, lists: dict[str, DataFrame], lay: Layout) -> dict[str, DataFrame]:
+    """The frames of a dashboard, however they were counted. Series and lists are empty, and figures 0, if the window has no views."""
     some = F.broadcast(window.where("pv > 0").select(F.lit(1).alias("_some")))  # one row or none
-    shown = {"hourly": hours, "daily": days}
-    return {"overview": overview(window, hours, days, minute, lay)} | {k: v.join(some).drop("_some") for k, v in shown.items()} | {k: facet(rows, lay, k) for k in FACETS}
+    shown = {k: f.join(some).drop("_some") for k, f in {"hourly": hour_labels(hours, lay), "daily": days, **lists}.items()}
+    figures = overview(window, shown["hourly"], shown["daily"], minute, lay).withColumn("peak_hour", F.coalesce("peak_hour", F.lit(0).cast("long")))
+    return {"overview": figures, **shown}
 
 
+def dashboard(rows: DataFrame, lay: Layout) -> dict[str, DataFrame]:
+    """All frames of a dashboard from the rows themselves.
+
+    Error rows aren't left out here: a dashboard of all groups counts them as views.
+    """
+    return response(window_figures(rows, lay), hourly(rows, lay), daily(rows, lay), minutes(rows, lay), {k: facet(rows, lay, k) for k in FACETS}, lay)

@@ -128,5 +128,4 @@ class Hybrid:
         return counted.orderBy(F.col("value").desc(), "key").limit(n).join(F.broadcast(total)).select("key", "value", (F.col("value") * 100.0 / F.col("pv")).alias("percent"))  # one row
 
     def dashboard(self) -> dict[str, DataFrame]:
-        hours, days = self.hourly(), self.daily()
-        return {"overview": d.overview(self.window_figures(), hours, days, self.minutes(), self.lay), "hourly": hours, "daily": days} | {k: self.facet(k) for k in d.FACETS}
+        return d.response(self.window_figures(), self.hourly(), self.daily(), self.minutes(), {k: self.facet(k) for k in d.FACETS}, self.lay)
