@@ -13,7 +13,10 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -24,6 +27,9 @@ LONGEST_LINE, FIRST_LINE = 1 << 20, 4096
 #: Plain files are read in slices of so many bytes.
 SLICE = 256 << 20
 SCHEMA = "raw string, off long, fp string, path string, main_log_path string"
+_NAMES, _TYPES = ["raw", "off", "fp", "path", "main_log_path"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+#: Rows that are handed on at a time.
+BATCH = 4096
 
 
 def is_gzip(path: str) -> bool:
@@ -147,14 +153,32 @@ def read_lines(path: str, start: int, size: int, stop: int | None = None) -> Ite
             at = end
 
 
-def end_of(plan: FilePlan) -> int:
-    """Where reading a plan ends: after the last ended line. Only the tail of a plain file is looked at."""
+def gzip_length(path: str) -> int:
+    """Bytes of content, all members; the file is decoded."""
+    n = 0
+    with gzip.open(path) as f:
+        while got := f.read(1 << 20):
+            n += len(got)
+    return n
+
+
+def gzip_lengths(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """gzip_length() of files, on the executors, a task for each; one row a file comes back."""
+    if not paths:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gzip_length(p) for p in batch.column(0).to_pylist()], pa.int64())], ["path", "n"])
+
+    asked = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
+    return {r["path"]: r["n"] for r in asked.mapInArrow(run, "path string, n long").collect()}
+
+
+def end_of(plan: FilePlan, lengths: dict[str, int]) -> int:
+    """Where reading a plan ends: after the last ended line. Only the tail of a plain file is looked at; of gzip files ``lengths`` tells."""
     if is_gzip(plan.path):
-        n = 0
-        with gzip.open(plan.path) as f:
-            while got := f.read(1 << 20):
-                n += len(got)
-        return max(n, plan.start)
+        return max(lengths[plan.path], plan.start)
     with open(plan.path, "rb") as f:
         at = plan.size
         while at > plan.start:
@@ -207,8 +231,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [x for p in self.plans for x in slices(p["path"], p["fingerprint"], p["start"], p["size"])] or [Slice("", "", 0, 0, 0)]
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        yield from read_slice(partition) if partition.path else ()
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        rows = read_slice(partition) if partition.path else iter(())
+        while some := list(islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _TYPES, strict=True)], _NAMES)
 
 
 class LogLines(DataSource):
@@ -231,9 +257,9 @@ def read_plans(spark, plans: list[FilePlan]):
     return spark.read.format("loglines").option("plans", json.dumps([asdict(p) for p in plans if not p.skip])).load()
 
 
-def after(plan: FilePlan, now: int) -> FileState:
+def after(plan: FilePlan, now: int, lengths: dict[str, int]) -> FileState:
     """The file's state once its plan is read."""
-    position = plan.start if plan.skip else end_of(plan)
+    position = plan.start if plan.skip else end_of(plan, lengths)
     return FileState(plan.path, plan.fingerprint, position, plan.size, plan.mtime_ns, now)
 
 

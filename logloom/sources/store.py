@@ -1,25 +1,29 @@
 """The store: tables of log rows and rollups in generations.
 
 A commit writes new Parquet folders and then one manifest that names the live folders of each group, file
-states and marks. The manifest is written aside and renamed, so readers see the old or the new
-generation whole, and a failed commit leaves only folders that nothing names. Files are reached
+states and marks. A manifest is written aside and renamed to the next number, which must be free; readers
+take the highest number, so they see the old or the new generation whole. A failed commit leaves only folders
+that nothing names. Files are reached
 through Spark's file systems alone.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.geo import folded
+from logloom.functions.geo import folded, range_lookup
 from logloom.functions.ip import ip_hex
 from logloom.functions.parse import access_rows, error_rows
-from logloom.functions.tokens import tokenize_atoms, tokenize_full
+from logloom.functions.tokens import stored_atoms, tokenize_full
 from logloom.functions.useragent import with_clients
 from logloom.operators.rollup import Rollup, build, merge
 from logloom.sources.loglines import FileState
@@ -29,6 +33,8 @@ FORMAT = 1
 TABLES = ("rows", "hours", "minutes", "visitors", "terms")
 #: A group with more folders of a table than this is compacted.
 MOST_PARTS = 8
+#: So many manifests stay, for readers that have just looked.
+KEPT = 8
 GEO = ["region_code", "province", "city", "sub1", "sub2", "city_point"]
 
 
@@ -47,16 +53,19 @@ class Manifest:
 def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations: DataFrame | None = None) -> DataFrame:
     """Log rows of ``raw, off, fp, main_log_path`` lines, with tokens, names of clients and locations.
 
-    ``locations``: region_code and the like by ip_hex, one row each; without it they're null.
+    ``locations``: some of GEO by ip_hex, one row each, or by lo and hi, blocks of addresses; without it they're null.
     """
     base = lines.select("raw", "off", "fp", "main_log_path")
     rows = access_rows(base, now) if kind == "access" else error_rows(base, now, zone)
     rows = with_clients(rows).withColumns(
-        {"ip_hex": ip_hex("ip"), "raw_tok": tokenize_full("raw"), "path_tok": tokenize_atoms("path"), "ua_tok": tokenize_atoms("user_agent"), "ref_tok": tokenize_atoms("referer")}
+        {"ip_hex": ip_hex("ip"), "raw_tok": tokenize_full("raw"), "path_tok": stored_atoms(F.col("path")), "ua_tok": stored_atoms(F.col("user_agent")), "ref_tok": stored_atoms(F.col("referer"))}
     )
     if locations is None:
         return rows.withColumns({c: F.lit(None).cast("string") for c in GEO})
-    known = rows.join(locations, "ip_hex", "left")
+    named = [c for c in GEO if c in locations.columns]
+    if "lo" in locations.columns:
+        locations = range_lookup(rows, locations.select("lo", "hi", *named))
+    known = rows.join(locations.select("ip_hex", *named), "ip_hex", "left").withColumns({c: F.lit(None).cast("string") for c in GEO if c not in named})
     country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
     return known.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2})
 
@@ -72,28 +81,46 @@ class Store:
     def _at(self, name: str):
         return self._path(f"{self.path}/{name}")
 
-    def manifest(self) -> Manifest:
-        if not self._fs.exists(self._at("manifest.json")):
-            return Manifest()
-        stream = self._fs.open(self._at("manifest.json"))
-        try:
-            text = self._io.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        got = json.loads(text)
-        return Manifest(**got) if got.get("format") == FORMAT else Manifest()
+    def _manifests(self) -> list[tuple[int, str]]:
+        """Numbers and names of the manifests that are there, the newest first."""
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
+        return sorted(((int(n.removeprefix("manifest-")), n) for n in names if re.fullmatch(r"manifest-\d+", n)), reverse=True)
 
-    def _publish(self, m: Manifest) -> None:
-        m.generation += 1
-        aside = self._at(f".manifest-{uuid.uuid4().hex}")
+    def manifest(self) -> Manifest:
+        for number, name in self._manifests():
+            try:
+                stream = self._fs.open(self._at(name))
+            except Py4JJavaError:  # deleted as an old one meanwhile: a newer one stands
+                return self.manifest()
+            try:
+                got = json.loads(self._io.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            return Manifest(**got) if got.get("format") == FORMAT else Manifest(generation=number)
+        return Manifest()
+
+    def _publish(self, m: Manifest) -> bool:
+        """Whether ``m`` is now the next generation; no, if another one with its number is there already."""
+        aside, target = self._at(f".manifest-{uuid.uuid4().hex}"), self._at(f"manifest-{m.generation + 1:012d}")
         out = self._fs.create(aside, True)
-        out.write(bytearray(json.dumps(asdict(m)).encode()))
+        out.write(bytearray(json.dumps(asdict(m) | {"generation": m.generation + 1}).encode()))
         out.close()
         jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(self._fs.makeQualified(aside), self._fs.makeQualified(self._at("manifest.json")), options)
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._fs.makeQualified(aside), self._fs.makeQualified(target), none)
+        except Py4JJavaError as e:
+            self._fs.delete(aside, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        m.generation += 1
+        for _, name in self._manifests()[KEPT:]:
+            self._fs.delete(self._at(name), False)
+        return True
 
     def _read(self, m: Manifest, table: str, groups: list[str] | None = None) -> DataFrame | None:
         paths = [p for g, parts in m.parts.items() if groups is None or g in groups for p in parts.get(table, [])]
@@ -114,55 +141,73 @@ class Store:
     def mark(self, group: str) -> str | None:
         return self.manifest().marks.get(group)
 
-    def _write(self, df: DataFrame, group: str, table: str) -> str:
+    def _write(self, df: DataFrame, table: str) -> str:
         name = f"{table}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return name
 
-    def _add(self, m: Manifest, group: str, rows: DataFrame) -> None:
-        """Writes rows, then their rollup from what was written."""
-        parts = m.parts.setdefault(group, {t: [] for t in TABLES})
-        name = self._write(rows.sortWithinPartitions("ts"), group, "rows")
-        parts["rows"].append(name)
+    def _written(self, rows: DataFrame) -> dict[str, str]:
+        """Folders of rows and of their rollup, which is made from what was written."""
+        name = self._write(rows.sortWithinPartitions("ts"), "rows")
         made = build(self.spark.read.parquet(f"{self.path}/{name}"))
-        for table, frame in made.frames().items():
-            parts[table].append(self._write(frame, group, table))
+        return {"rows": name} | {table: self._write(frame, table) for table, frame in made.frames().items()}
+
+    def _swap(self, group: str, change: Callable[[DataFrame], DataFrame], m: Manifest) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+        """The folders that a group had in ``m``, and what is to stand in their place: all its rows changed."""
+        had = m.parts[group]
+        made = self._written(change(self._read(m, "rows", [group])))
+        return had, {t: [made[t]] for t in TABLES}
 
     def commit(self, group: str, rows: DataFrame | None, states: list[FileState], delete: list[tuple[str, int]] = (), dirty: bool = False, mark: str | None = None) -> None:
-        """One generation: deletes (fingerprint, from offset), new rows with their rollup, and file states."""
-        m = self.manifest()
-        if mark is not None:
-            m.marks[group] = mark
-        if delete and group in m.parts:
-            old = self._read(m, "rows", [group])
-            gone = reduce(lambda a, b: a | b, [(F.col("fp") == fp[:16]) & (F.col("off") >= at) for fp, at in delete])
-            m.parts[group] = {t: [] for t in TABLES}
-            self._add(m, group, old.where(~gone))
-        if rows is not None:
-            self._add(m, group, rows)
-        m.states[group] = [asdict(s) for s in states]
-        m.dirty = sorted({*m.dirty, group} if dirty else {*m.dirty} - {group})
-        self._publish(m)
+        """One generation: deletes (fingerprint, from offset), new rows with their rollup, and file states.
+
+        Folders are written first. The manifest is then read again, changed, and published as the next number; if another
+        writer has taken that, it is read again. So commits that run together all count; only deleting
+        is done again if another commit came to the group meanwhile.
+        """
+        new = self._written(rows) if rows is not None else None
+        while True:
+            m, swap = self.manifest(), None
+            if delete and group in m.parts:
+                gone = reduce(lambda a, b: a | b, [(F.col("fp") == fp[:16]) & (F.col("off") >= at) for fp, at in delete])
+                swap = self._swap(group, lambda old: old.where(~gone), m)
+            while True:
+                m = self.manifest()
+                if delete and m.parts.get(group) != (swap[0] if swap else None):
+                    break
+                parts = swap[1] if swap else m.parts.get(group, {t: [] for t in TABLES})
+                if new:
+                    parts = {t: [*parts[t], new[t]] for t in TABLES}
+                if swap or new:
+                    m.parts[group] = parts
+                if mark is not None:
+                    m.marks[group] = mark
+                m.states[group] = [asdict(s) for s in states]
+                m.dirty = sorted({*m.dirty, group} if dirty else {*m.dirty} - {group})
+                if self._publish(m):
+                    return
 
     def purge(self, group: str | None = None) -> None:
         """Forgets one group or all; old folders stay until vacuum()."""
-        m = self.manifest()
-        for g in [group] if group else list({*m.parts, *m.states}):
-            m.parts.pop(g, None)
-            m.states.pop(g, None)
-        m.dirty = [] if group is None else [g for g in m.dirty if g != group]
-        self._publish(m)
+        while True:
+            m = self.manifest()
+            for g in [group] if group else list({*m.parts, *m.states}):
+                m.parts.pop(g, None)
+                m.states.pop(g, None)
+            m.dirty = [] if group is None else [g for g in m.dirty if g != group]
+            if self._publish(m):
+                return
 
     def compact(self, group: str) -> None:
-        """One folder for each table of a group that has over MOST_PARTS."""
+        """One folder for each table of a group that has over MOST_PARTS; left to the next time if another commit comes meanwhile."""
         m = self.manifest()
-        parts = m.parts.get(group)
-        if not parts or len(parts["rows"]) <= MOST_PARTS:
+        if len(m.parts.get(group, {"rows": []})["rows"]) <= MOST_PARTS:
             return
-        rows = self._read(m, "rows", [group])
-        m.parts[group] = {t: [] for t in TABLES}
-        self._add(m, group, rows)
-        self._publish(m)
+        had, instead = self._swap(group, lambda old: old, m)
+        while (m := self.manifest()).parts.get(group) == had:
+            m.parts[group] = instead
+            if self._publish(m):
+                return
 
     def vacuum(self) -> None:
         """Deletes folders that the live manifest doesn't name. Not while other readers or writers are at work."""

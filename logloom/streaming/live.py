@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from logloom.sources.loglines import SCHEMA, FilePlan, Slice, end_of, fingerprint, read_slice, slices
+from logloom.sources.loglines import SCHEMA, FilePlan, Slice, end_of, fingerprint, gzip_length, is_gzip, read_slice, slices
 from logloom.sources.logs import main_log_path
 from logloom.sources.store import Store, enrich
 
@@ -25,6 +25,7 @@ from logloom.sources.store import Store, enrich
 class _Stream(DataSourceStreamReader):
     def __init__(self, base: str) -> None:
         self.base = base
+        self.lengths: dict[tuple, int] = {}
 
     def _files(self) -> dict[str, str]:
         """Path by fingerprint, the live file before its copies."""
@@ -41,7 +42,17 @@ class _Stream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """After the last ended line of each file."""
-        return {fp: end_of(FilePlan(path, fp, 0, os.path.getsize(path), 0)) for fp, path in self._files().items()}
+        return {fp: end_of(FilePlan(path, fp, 0, os.path.getsize(path), 0), self._length(path)) for fp, path in self._files().items()}
+
+    def _length(self, path: str) -> dict[str, int]:
+        """The content's length of a gzip copy, decoded once for each size and time it has."""
+        if not is_gzip(path):
+            return {}
+        stat = os.stat(path)
+        key = path, stat.st_size, stat.st_mtime_ns
+        if key not in self.lengths:
+            self.lengths[key] = gzip_length(path)
+        return {path: self.lengths[key]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         files = self._files()

@@ -6,11 +6,11 @@ import os
 import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
-from logloom.sources.loglines import FilePlan, FileState, after, plan_file, read_plans
+from logloom.sources.loglines import FilePlan, FileState, after, gzip_lengths, is_gzip, plan_file, read_plans
 from logloom.sources.logs import Catalogue
 from logloom.sources.store import Store, enrich
 
@@ -38,19 +38,27 @@ class Rounds:
     zone: str = "UTC"
     locations: DataFrame | None = None
     listener: Callable[[dict], None] = lambda event: None
+    #: Bytes of log files that one commit takes.
+    batch: int = 256 << 30
+    _stop: threading.Event = field(default_factory=threading.Event)
     _lock: threading.Lock = field(default_factory=threading.Lock)
     _stale: set[str] = field(default_factory=set)
     busy: set[str] = field(default_factory=set)
 
+    def cancel(self) -> None:
+        """Stops the round after the commit at work. What it has committed stays; the group is dirty, and the next round reads on."""
+        self._stop.set()
+
     def run(self, groups: list[str] | None = None, rebuild: bool = False, now: int | None = None) -> RoundReport | None:
         """One round; None if another is at work."""
         if not self._lock.acquire(blocking=False):
             return None
         now = int(time.time()) if now is None else now
+        self._stop.clear()
         try:
             report = RoundReport(removed=self._prune())
             for group, kind in self.catalogue.groups():
-                if groups is None or group in groups:
+                if (groups is None or group in groups) and not self._stop.is_set():
                     self.busy.add(group)
                     self.listener({"group": group, "phase": "indexing"})
                     try:
@@ -63,7 +71,8 @@ class Rounds:
                     if n:
                         report.groups.append(group)
                         report.files += n
-                    self.listener({"group": group, "phase": "done", "files": n})
+                    if not self._stop.is_set():
+                        self.listener({"group": group, "phase": "done", "files": n})
             return report
         finally:
             self._lock.release()
@@ -83,12 +92,15 @@ class Rounds:
             plan = plan_file(path, states, lambda fp: reached.get(fp, 0), force=rebuild, dirty=dirty)
             if plan:
                 plans.append(plan)
+        lengths = gzip_lengths(store.spark, [p.path for p in plans if not p.skip and is_gzip(p.path)])
+        done = {p.path: after(p, now, lengths) for p in plans}
         # files of one content: the furthest reads for all
         todo: dict[str, FilePlan] = {}
         for p in plans:
-            if not p.skip and (p.fingerprint not in todo or p.start < todo[p.fingerprint].start or (p.start == todo[p.fingerprint].start and after(p, now).position > after(todo[p.fingerprint], now).position)):
-                todo[p.fingerprint] = p
-        done = {p.path: after(p, now) for p in plans}
+            if not p.skip:
+                best = todo.get(p.fingerprint)
+                if not best or p.start < best.start or (p.start == best.start and done[p.path].position > done[best.path].position):
+                    todo[p.fingerprint] = p
         unchanged = all(p.skip for p in plans) and {p.path for p in plans} == set(states)
         if unchanged and not dirty:
             return 0
@@ -96,12 +108,50 @@ class Rounds:
         for p in plans:
             if p.skip and p.path in states:
                 done[p.path] = states[p.path]
-        rows = enrich(read_plans(store.spark, list(todo.values())), kind, now, self.zone, self.locations) if todo else None
-        delete = [(p.fingerprint, p.start) for p in todo.values() if p.replace]
-        store.commit(group, rows, [*done.values(), *gone], delete)
+        batches = self._batches(list(todo.values()), now, lengths)
+        progress, whole, read = dict(states), sum(p.size - p.start for b in batches for p in b), 0
+        for k, batch in enumerate(batches):
+            rows = enrich(read_plans(store.spark, batch), kind, now, self.zone, self.locations)
+            delete = [(p.fingerprint, p.start) for p in batch if p.replace]
+            if k + 1 == len(batches):
+                store.commit(group, rows, [*done.values(), *gone], delete)
+            else:
+                progress |= {p.path: after(p, now, lengths) for p in batch}
+                store.commit(group, rows, list(progress.values()), delete, dirty=True)
+                read += sum(p.size - p.start for p in batch)
+                self.listener({"group": group, "phase": "indexing", "percent": 100 * read // max(1, whole)})
+                if self._stop.is_set():
+                    self.listener({"group": group, "phase": "stopped"})
+                    return len(todo)
+        if not batches:
+            store.commit(group, None, [*done.values(), *gone])
         store.compact(group)
         return len(todo)
 
+    def _batches(self, plans: list[FilePlan], now: int, lengths: dict[str, int]) -> list[list[FilePlan]]:
+        """Plans in batches of about ``batch`` bytes, each committed on its own; large plain files are cut after ended lines."""
+        cut: list[FilePlan] = []
+        for p in plans:
+            upto = p.start + self.batch
+            while not is_gzip(p.path) and upto < p.size:
+                part = replace(p, size=upto)
+                end = after(part, now, lengths).position
+                if end > p.start:  # else a line is longer than a batch
+                    cut.append(part)
+                    p = replace(p, start=end, replace=False)
+                upto += self.batch
+            cut.append(p)
+        out: list[list[FilePlan]] = []
+        room = 0
+        for p in cut:
+            # parts of a file are committed one after the other
+            if not out or room < p.size - p.start or any(q.path == p.path for q in out[-1]):
+                out.append([])
+                room = self.batch
+            out[-1].append(p)
+            room -= p.size - p.start
+        return out
+
     def _prune(self) -> list[str]:
         """Removes groups that were neither listed nor found in two checks running; an empty catalogue removes nothing."""
         if not self.catalogue.logs:

@@ -121,6 +121,44 @@ def test_stopped_import_is_read_again(site):
     assert indexed() == paths(0, 5)
 
 
+def test_import_in_batches_stopped_and_resumed(site, spark):
+    log, engine, indexed = site
+    log.write_text(lines(0, 60))
+    with gzip.open(f"{log}.2.gz", "wb") as out:
+        out.write(lines(500, 505).encode())
+    rounds = engine.rounds
+    rounds.batch, heard = 2000, []
+
+    def stop(event):
+        heard.append(event)
+        if event.get("percent"):
+            rounds.cancel()
+
+    rounds.listener = stop
+    rounds.run(now=NOW)
+    assert heard[-1]["phase"] == "stopped" and str(log) in engine.store.manifest().dirty
+    some = engine.store.rows().count()
+    assert 0 < some < 65
+    again = Engine(spark, Store(spark, engine.store.path), engine.catalogue)
+    again.rounds.batch = 2000
+    again.rounds.run(now=NOW)
+    assert sorted(r["path"] for r in again.store.rows().select("path").collect()) == sorted(paths(0, 60) + paths(500, 505))
+    assert not again.store.manifest().dirty and again.rounds.run(now=NOW).files == 0
+
+
+def test_commits_that_run_together_all_count(site, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log, engine, indexed = site
+    log.write_text(lines(0, 3))
+    indexed()
+    rows = engine.store.rows().cache()
+    with ThreadPoolExecutor(4) as pool:
+        for f in [pool.submit(Store(spark, engine.store.path).commit, f"/g{k}", rows, []) for k in range(4)]:
+            f.result()
+    assert engine.store.rows().count() == 15 and len(engine.store.manifest().parts) == 5
+
+
 def test_stale_groups_go_after_two_checks(site):
     log, engine, indexed = site
     log.write_text(lines(0, 2))
