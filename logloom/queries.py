@@ -92,13 +92,25 @@ over_log(
     f"""SELECT w.*, w.uv / 3.0::DOUBLE AS avg_daily_uv, daily_pv / 3.0::DOUBLE AS avg_daily_pv, h.hour AS peak_hour, h.pv AS peak_hour_pv, peak / 60.0::DOUBLE AS peak_qps, w.pv / {DAYS.end - DAYS.start}.0::DOUBLE AS avg_qps
     FROM ({_window_sql(_W)}) w, (SELECT CAST(sum(pv) AS BIGINT) AS daily_pv FROM ({_daily_sql(DAYS)})) d, (SELECT * FROM ({_hourly_sql(DAYS)}) ORDER BY pv DESC, bucket LIMIT 1) h,
     (SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM log WHERE {_W} GROUP BY (ts - {DAYS.start}) // 60)) m""",
-    lambda r: dashboard.dashboard(useragent.with_clients(r), DAYS)["overview"],
+    lambda r: dashboard.overview(dashboard.window_figures(r, DAYS), dashboard.hourly(r, DAYS), dashboard.daily(r, DAYS), dashboard.minutes(r, DAYS), DAYS),
 )
 over_log("dashboard_top_urls", _facet_sql("path", 100, _W), lambda r: dashboard.facet(r, DAYS, "urls"))
 for _name, _c in (("browsers", _BROWSER), ("systems", _SYSTEM), ("devices", _DEVICE)):
     over_log(f"dashboard_{_name}", _facet_sql(_c, 50, _W), lambda r, n=_name: dashboard.facet(useragent.with_clients(r), DAYS, n))
 
 
+#: Windows without views: the hour before the first row (its scan has some, its series must show none), and one that ends before it starts.
+EMPTY, REVERSED = Layout(1704067200 - 3600, 1704067200), Layout(DAYS.end, DAYS.start)
+
+
+def _response_sql(lay: Layout) -> str:
+    return f"""SELECT ({lay.hour_start} + bucket * 3600) % 86400 // 3600 AS hour, {lay.hour_start} + bucket * 3600 AS timestamp, bucket, pv, uv, bytes
+    FROM ({_hourly_sql(lay)}) WHERE (SELECT count(*) FROM log WHERE ts >= {lay.start} AND ts < {lay.end}) > 0"""
+
+
+_NOTHING = """SELECT 0::BIGINT AS pv, 0::BIGINT AS uv, 0::BIGINT AS bytes, 0.0::DOUBLE AS avg_daily_uv, 0.0::DOUBLE AS avg_daily_pv, 0::BIGINT AS peak_hour, 0::BIGINT AS peak_hour_pv,
+  0.0::DOUBLE AS peak_qps, 0.0::DOUBLE AS avg_qps"""
+
 # rollups, against the direct answers
 
 
@@ -116,6 +128,14 @@ for _name, _lay, _where in (("", DAYS, _W), ("_unaligned", ODD, _O)):
     query(f"rollup_dashboard_peak{_name}", f"SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM log WHERE {_where} GROUP BY (ts - {_lay.start}) // 60)")(lambda s, d, x=_lay: _hybrid(s, d, x).minutes().agg(F.max("pv").alias("peak")))
 
 
+for _name, _lay in (("", DAYS), ("_unaligned", ODD)):
+    query(f"response_hourly{_name}", _response_sql(_lay))(lambda s, d, x=_lay: dashboard.dashboard(useragent.with_clients(log_rows(s, d)), x)["hourly"])
+    query(f"response_hourly_hybrid{_name}", _response_sql(_lay))(lambda s, d, x=_lay: _hybrid(s, d, x).dashboard()["hourly"])
+for _name, _lay in (("empty", EMPTY), ("reversed", REVERSED)):
+    query(f"response_{_name}_overview", _NOTHING)(lambda s, d, x=_lay: dashboard.dashboard(useragent.with_clients(log_rows(s, d)), x)["overview"])
+    query(f"response_{_name}_overview_hybrid", _NOTHING)(lambda s, d, x=_lay: _hybrid(s, d, x).dashboard()["overview"])
+
+
 def _roll(table: str) -> Query:
     return lambda s, d: getattr(rollup.build(useragent.with_clients(log_rows(s, d))), table)
 
@@ -213,9 +233,8 @@ text_query("text_phrase", "contains(' ' || array_to_string(t, ' ') || ' ', ' of
 
 @query("text_dotted_prefix", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}._])10\\.[0-9]+\\.[0-9]+\\.[0-9]+([^\\p{L}\\p{N}._]|\\.?$|\\.\\s)')", log=False)
 def _dotted(spark: SparkSession, d: str) -> DataFrame:
-    """The full tokenizer: the first group of a dotted number finds the number. Rows without a dotted number aren't tokenized."""
-    some = _docs(spark, d).where(F.col("text").rlike(r"\b10\.[0-9]+\.[0-9]+\.[0-9]+"))
-    return some.where(F.exists(tokenize_full("text"), lambda t: t["term"].rlike(r"^10(\.[0-9]+){3}$"))).select("doc_id")
+    """The full tokenizer, over all texts: the first group of a dotted number finds the number."""
+    return _docs(spark, d).where(F.exists(tokenize_full("text"), lambda t: t["term"].rlike(r"^10(\.[0-9]+){3}$"))).select("doc_id")
 
 
 # statistics
@@ -279,11 +298,15 @@ def _round_trip(spark: SparkSession, d: str) -> DataFrame:
     return got.select("off", "ts", "ip", "status", "method", "path", "referer", "user_agent", "bytes_sent", "request_time")
 
 
-@query("parse_error_round_trip", "SELECT off, ts, ip, 'GET' AS method, path, level FROM errors")
-def _error_trip(spark: SparkSession, d: str) -> DataFrame:
+def error_lines(r: DataFrame) -> DataFrame:
     time = F.date_format(F.timestamp_seconds("ts"), "yyyy/MM/dd HH:mm:ss")
     line = F.concat(time, F.lit(" ["), "level", F.lit("] 12#34: *"), "off", F.lit(" it broke, client: "), "ip", F.lit(', server: x, request: "GET '), "path", F.lit(' HTTP/1.1", host: "h"'))
-    return parse.error_rows(error_rows(spark, d).select("off", line.alias("raw")), NOW).select("off", "ts", "ip", "method", "path", "level")
+    return r.select("off", line.alias("raw"))
+
+
+@query("parse_error_round_trip", "SELECT off, ts, ip, 'GET' AS method, path, level FROM errors")
+def _error_trip(spark: SparkSession, d: str) -> DataFrame:
+    return parse.error_rows(error_lines(error_rows(spark, d)), NOW).select("off", "ts", "ip", "method", "path", "level")
 
 
 @query("parse_invalid_dropped", "SELECT off FROM log WHERE off % 4 = 0")
