@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         least = materialise(now.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")))
         ends = join_split(now, least.select(F.col("a").alias("b"), "m"), ["b"], "left")
-        large = ends.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        large = materialise(ends.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")))
         lowest = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"), F.max("moved").alias("moved")))
         if not lowest.where("moved").head(1) and not least.where("m < most").head(1):
-            release(now, lowest)
+            release(now, large, lowest)
             return least.select(F.col("a").alias("id"), F.col("m").alias("label"))
         small = join_split(large.select("a", "b"), lowest.select("a", "m"), ["a"], "inner", lowest.select("a", "n"))
         after = materialise(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b"))
-        release(now, least, lowest)
+        release(now, least, large, lowest)
         now = after

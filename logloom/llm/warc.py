@@ -7,7 +7,8 @@ copies or joins a whole record, and only rows of such records are dealt out and
 are read. The reader feeds chunks to a parser that keeps a header and a running digest.
 
 Of records with equal payloads the one with the smallest page_id is the response, others are
-revisits. They are told by digest from narrow rows; the payloads themselves are never shuffled.
+revisits. They are told by digest from narrow rows; payloads are not shuffled, unless there are more revisits
+than a Bloom filter is made for.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bloom import Bloom
-from logloom.llm.common import materialise
+from logloom.llm.common import join_split, materialise
 
 #: Bytes of a chunk.
 CHUNK = 64 * 1024
@@ -39,8 +40,8 @@ def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     told = rows.withColumn("sha", F.unhex(F.sha2("payload", 256)))
     narrow = told.where((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha")
-    first = narrow.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).where("most > refers_to").drop("most")
-    revisits = materialise(narrow.join(first, "sha").where("page_id > refers_to").distinct())
+    first = materialise(narrow.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most"), F.count("*").alias("n")).where("most > refers_to").drop("most"))
+    revisits = materialise(join_split(narrow, first.drop("n"), ["sha"], "inner", first.select("sha", "n")).where("page_id > refers_to").distinct())
     maybe = Bloom(revisits, "page_id", revisits.count())
     # what the filter lets through, a few false positives among it, is joined exactly; all else is a response
     marked = maybe.marked(told, "page_id", "_maybe")

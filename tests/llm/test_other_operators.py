@@ -180,9 +180,12 @@ def test_neighbours_are_exact_on_small_tables(spark):
     assert ann.nearest(df.unionAll(df)).count() == len(brute(rows, 20, 20))
 
 
-def test_recall(spark, small):
+@pytest.mark.parametrize("share", [1, 4])
+def test_recall(spark, small, monkeypatch, share):
+    """With a forest that is fitted on all vectors, and on a quarter of them."""
     d = small.replace("sf0.001", "sf0.1")
     t = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    monkeypatch.setattr(ann, "SAMPLE", len(t) // share)
     ids, x = np.array([r[0] for r in t]), np.array([r[1] for r in t], "f8")
     got = {}
     for r in q.op9_nearest_neighbours(spark, d).collect():
@@ -193,9 +196,17 @@ def test_recall(spark, small):
         s[k] = -np.inf
         want = set(ids[np.argsort(-s, kind="stable")[:20]].tolist())
         hits, total = hits + len(want & got[ids[k]]), total + 20
+    print("recall", share, hits / total)
     assert hits >= 0.9 * total
 
 
+def test_neighbours_of_odd_lengths_and_ties(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-1, 2, 8).astype(float).tolist()) for i in range(200)]
+    found = Counter(map(tuple, ann.nearest(spark.createDataFrame([*rows, (500, [1.0]), (520, [2.0, 1.0])], "vec_id long, embedding array<double>")).collect()))
+    assert found == Counter(brute(rows, 20, 20))
+
+
 def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 200), (7, None)]
     df = spark.createDataFrame(edges, "a long, b long")
