@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     of its end, then each node, and all it pointed to, to the smallest of these. Each half is a table of
     the least neighbours, written to the shared folder, and a join with it; the edges of a node with many are dealt
     out. Steps end when the edges are stars: all of a node's have the same end, and no end has one itself.
-    Edges are never more than at the start. Self-loops and null ends are dropped.
+    Equal edges are dropped after each step. Self-loops and null ends are dropped.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
@@ -27,6 +27,6 @@ def components(edges: DataFrame) -> DataFrame:
             release(now, large, lowest)
             return least.select(F.col("a").alias("id"), F.col("m").alias("label"))
         small = join_split(large.select("a", "b"), lowest.select("a", "m"), ["a"], "inner", lowest.select("a", "n"))
-        after = materialise(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b"))
+        after = materialise(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         release(now, least, large, lowest)
         now = after
