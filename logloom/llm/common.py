@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.shared import materialise as materialise
@@ -79,3 +79,23 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
     spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def in_order(df: DataFrame, group: list[str], order: list[str], place: str = "place", total: str = "total") -> DataFrame:
+    """``df``, a table of materialise(), with each row's ``place`` in its group, from 0, and the group's ``total`` of rows.
+
+    Rows are range-sorted, so a group with a third of them lies in as many tasks as it needs; ``order`` must tell
+    rows apart. A task's first place comes from the counts of the tasks before it, one number for each task and group.
+    Each task then holds runs of consecutive places.
+    """
+    by = [*group, *order]
+    rows = materialise(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33).alias("_task")
+    counts = materialise(rows.groupBy(task, *group).agg(F.min("_at").alias("_least"), F.count("*").alias("_n")))
+    own = Window.partitionBy(*group)
+    before = own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_task", *group, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"), F.sum("_n").over(own).alias(total))
+    few = counts.count() <= NARROW
+    told = rows.select("*", task).join(F.broadcast(starts) if few else starts, ["_task", *group])
+    told = told if few else told.sortWithinPartitions(*group, "_at")
+    return told.withColumn(place, F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")

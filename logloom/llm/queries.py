@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import ann, chat, lines, mixing, near, quality, url_filter, warc
+from logloom.llm import ann, chat, lines, merkle, mixing, near, quality, url_filter, warc
 from logloom.llm.common import materialise, table
 from logloom.llm.packing import pack_documents
 from logloom.llm.token_counts import count_tokens
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 MIX_SQL = r"""
@@ -173,4 +178,38 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op8_warc": WARC_SQL, "op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
+#: Levels that the SQL goes up in a source (up to 3^12 rows of each) and above the sources.
+MERKLE_LEVELS = 12, 6
+
+
+def _merkle_sql() -> str:
+    told = lambda text: "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    run = "PARTITION BY tree, k // 3 ORDER BY k ROWS BETWEEN"
+    sides = f"coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b"
+    with_n = "(SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM ({}))"
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda i:
+      list_concat([CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)], list_transform(range(8), lambda j: -1))))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+    out = [f"""d AS (
+  SELECT *, {told("text")} AS leaf, CASE WHEN text IS NOT NULL AND ({crc}) % 2 = 0 THEN {told("bare")} END AS other
+  FROM (SELECT *, replace(text, chr(10), '') AS bare, coalesce('s' || source, '') AS tree FROM documents)
+), p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d)"""]
+
+    def tree(name: str, base: str, levels: int) -> None:
+        out.append(f"{name}0 AS (SELECT *, {sides} FROM {with_n.format(base)})")
+        for i in range(levels):
+            up = f"SELECT tree, k // 3 AS k, sha256(string_agg(d, '' ORDER BY k)) AS d FROM {name}{i} WHERE n > 1 GROUP BY tree, k // 3"
+            out.append(f"{name}{i + 1} AS (SELECT *, {sides} FROM {with_n.format(up)})")
+        out.append(f"{name}top AS (" + " UNION ALL ".join(f"SELECT tree, d FROM {name}{i} WHERE n = 1" for i in range(levels + 1)) + ")")
+
+    tree("l", "SELECT tree, place AS k, leaf AS d FROM p", MERKLE_LEVELS[0])
+    tree("s", "SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS k, d FROM ltop", MERKLE_LEVELS[1])
+    out.append("f0 AS (SELECT p.*, ltop.d AS subroot, (SELECT d FROM stop) AS root, dense_rank() OVER (ORDER BY p.tree) - 1 AS at, coalesce(other, leaf) AS h, '' AS sib FROM p JOIN ltop USING (tree))")
+    for i in range(sum(MERKLE_LEVELS)):
+        level = i - MERKLE_LEVELS[0]
+        on = f"l{i} x ON x.tree = f.tree AND x.k = f.place // {3**i} AND x.n > 1" if level < 0 else f"s{level} x ON x.k = f.at // {3**level} AND x.n > 1"
+        out.append(f"f{i + 1} AS MATERIALIZED (SELECT f.* REPLACE (CASE WHEN x.n IS NULL THEN h ELSE sha256(x.a || h || x.b) END AS h, CASE WHEN x.n IS NULL THEN sib ELSE sib || x.a || x.b END AS sib) FROM f{i} f LEFT JOIN {on})")
+    return "WITH " + ", ".join(out) + f" SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified FROM f{sum(MERKLE_LEVELS)}"
+
+
+ORACLES: dict[str, str] = {"op11_merkle_manifest": _merkle_sql(), "op8_warc": WARC_SQL, "op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
