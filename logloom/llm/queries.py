@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import ann, chat, lines, merkle, mixing, near, quality, url_filter, warc
+from logloom.llm import ann, audit, chat, lines, merkle, mixing, near, quality, sharding, url_filter, warc
 from logloom.llm.common import materialise, table
 from logloom.llm.packing import pack_documents
 from logloom.llm.token_counts import count_tokens
@@ -66,6 +67,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sharding": op13_sharding,
 }
 
 MIX_SQL = r"""
@@ -212,4 +224,26 @@ def _merkle_sql() -> str:
     return "WITH " + ", ".join(out) + f" SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified FROM f{sum(MERKLE_LEVELS)}"
 
 
-ORACLES: dict[str, str] = {"op11_merkle_manifest": _merkle_sql(), "op8_warc": WARC_SQL, "op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
+def _audit_sql() -> str:
+    bit = {c: 1 << k for k, c in enumerate(audit.NAMES)}
+    orders = ", ".join(f"('{''.join(o)}', {k + 1}, {sum(bit[c] for c in o[:k])}, {bit[o[k]]})" for o in permutations(audit.NAMES) for k in range(len(o)))
+    total = lambda n, where: f"CAST(coalesce(sum({n}) FILTER ({where}), 0) AS BIGINT)"
+    removed = "m & bit <> 0 AND m & before = 0"
+    return f"""
+    WITH d AS (
+      SELECT *, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w, length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY x) AS first
+      FROM (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents)
+    ), f AS (
+      SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END) + (CASE WHEN 100 * capitals > 3 * length(x) THEN 4 ELSE 0 END)
+        + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > first THEN 16 ELSE 0 END) AS m FROM d
+    ), l AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1
+    ), c AS (
+      SELECT part, m, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2
+    ), o(filter_order, step, before, bit) AS (VALUES {orders})
+    SELECT part, filter_order, CAST(step AS INT) AS step, {total("n", "m & (before | bit) = 0")} AS kept, {total("n", removed)} AS removed, {total("n", "m & bit <> 0 AND m & before <> 0")} AS redundant,
+      {total("n", "m = bit")} AS unique_fails, {total("good", removed)} AS good_lost, {total("toxic", removed)} AS toxic_lost, {total("n * (120 // greatest(bit_count(m), 1))", "m & bit <> 0")} AS shapley
+    FROM c CROSS JOIN o GROUP BY part, filter_order, step"""
+
+
+ORACLES: dict[str, str] = {"op12_filter_audit": _audit_sql(), "op11_merkle_manifest": _merkle_sql(), "op8_warc": WARC_SQL, "op1_mix_sources": MIX_SQL, "op4_url_filter": URL_SQL, "op7_chat_format": CHAT_SQL}
