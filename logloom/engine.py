@@ -54,8 +54,9 @@ class Engine:
             raise ScopeError(f"not a listed log: {path}")
         return self.catalogue.group_of(path)
 
-    def _rows(self, group: str | None) -> DataFrame:
-        rows = self.store.rows([group] if group else None)
+    def _rows(self, group: str | None, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Rows of a group or all; segments without any in [start, end) aren't listed."""
+        rows = self.store.rows([group] if group else None, start, end)
         if rows is None:
             raise ScopeError("nothing is indexed")
         return rows
@@ -69,7 +70,12 @@ class Engine:
         validate_range(start, end)
         group = self.resolve(path)
         f = filter_of(int(time.time()) if now is None else now, start, end, groups=[group] if group else [], **parts)
-        return search.search(self._rows(group), f, limit, offset, sort_by, sort_order)
+        groups = [group] if group else None
+        if sort_by == "_score":  # lines are ranked among all of the group's
+            known = self.store.figures(groups).values()
+            figures = sum(x["docs"] for x in known), sum(x["tokens"] for x in known)
+            return search.search(self._rows(group), f, limit, offset, sort_by, sort_order, self.store.postings(groups), figures)
+        return search.search(self._rows(group, f.start, f.end), f, limit, offset, sort_by, sort_order, self.store.postings(groups, f.start, f.end))
 
     def entries(self, path: str = "", limit: int = 0, tail: bool = True) -> DataFrame:
         return search.entries(self._rows(self.resolve(path)), limit, tail)
@@ -77,11 +83,11 @@ class Engine:
     def analytics(self, path: str = "", start: int = 0, end: int = 0) -> dict[str, DataFrame]:
         """Statistics of entries; an empty path is the whole index."""
         validate_range(start, end)
-        rows = self._rows(self.resolve(path, default=False)).where(compile_filter(Filter(start=start or None, end=end or None)))
+        rows = self._rows(self.resolve(path, default=False), start or None, end or None).where(compile_filter(Filter(start=start or None, end=end or None)))
         return stats.entries_overview(rows)
 
     def dashboard(self, path: str = "", start: date | None = None, end: date | None = None, now: int | None = None) -> dict[str, DataFrame]:
-        """From the rollups, with cut hours from the rows. An error log has no dashboard; without a default log all groups count."""
+        """From the rollups, with cut hours from the rows; from the rows alone where rollups are no smaller. An error log has no dashboard; without a default log all groups count."""
         group = self.resolve(path)
         if group and dict(self.catalogue.groups()).get(group) == "error":
             raise ScopeError("an error log has no dashboard")
@@ -92,7 +98,7 @@ class Engine:
     def geo(self, kind: str, path: str = "", start: int = 0, end: int = 0, country: str = "CN", limit: int = 0) -> DataFrame:
         """``world``, ``regions`` or ``points``; ``stats``: the twenty most frequent countries."""
         validate_range(start, end)
-        rows = self._rows(self.resolve(path)).where(compile_filter(Filter(start=start or None, end=end or None)))
+        rows = self._rows(self.resolve(path), start or None, end or None).where(compile_filter(Filter(start=start or None, end=end or None)))
         if kind == "regions":
             return stats.regions(rows, country, min(limit or 500, 500))
         if kind == "points":
@@ -105,9 +111,8 @@ class Engine:
         return frame.drop("raw_tok", "path_tok", "ua_tok", "ref_tok", "ip_hex").withColumn("location", label)
 
     def status(self, kind: str = "", name: str = "", state: str = "") -> list[dict]:
-        """Groups with what is indexed of them, sorted; narrowed by kind, a part of the path and state."""
-        rows = self.store.rows()
-        known = {r["main_log_path"]: r.asDict() for r in stats.time_range(rows).collect()} if rows is not None else {}
+        """Groups with what is indexed of them, sorted; narrowed by kind, a part of the path and state. Told by the manifest, without a job."""
+        known = self.store.figures()
         out = []
         for group, k in self.catalogue.groups():
             if (kind and k != kind) or (name and name not in group):

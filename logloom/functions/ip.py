@@ -48,3 +48,9 @@ def ipv4_hex(text: Column) -> Column:
     digits = F.concat(F.lit(_MAPPED), *[F.lpad(F.lower(F.hex(F.get(parts, F.lit(k)).try_cast("int"))), 2, "0") for k in range(4)])
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     return F.when(F.trim(text).rlike(rf"^{octet}(\.{octet}){{3}}$"), digits)
+
+
+def stored_ip_hex(text: Column) -> Column:
+    """ip_hex(), in the JVM for dotted IPv4; Python sees only the others."""
+    plain = ipv4_hex(text)
+    return F.coalesce(plain, ip_hex(F.when(plain.isNull(), text)))

@@ -112,6 +112,20 @@ def stored_atoms(text: Column) -> Column:
     return F.when(plain, F.filter(found, lambda t: F.length(t["term"]) < LONGEST)).otherwise(tokenize_atoms(F.when(~plain, text)))
 
 
+def stored_full(text: Column) -> Column:
+    """tokenize_full(), in the JVM for ASCII texts without escapes, ``../`` and anything like an IPv6 address; Python sees only the others."""
+    plain = (F.octet_length(text) == F.length(text)) & ~text.rlike(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\.\.[/\\]|::|([0-9A-Fa-f]{1,4}:){6}")
+    # possessive, so that a number that a letter follows isn't one in part either
+    found = F.regexp_extract_all(F.lower(text), F.lit("[0-9]++(?:[._][0-9]++)++(?![a-z0-9])|[a-z0-9]+"), F.lit(0))
+
+    def prefixes(number: Column, at: Column) -> Column:
+        dotted = F.translate(number, "_", ".")
+        return F.transform(F.sequence(F.lit(1), F.size(F.split(dotted, r"\."))), lambda k: F.struct(at.alias("pos"), F.left(number, F.length(F.call_function("substring_index", dotted, F.lit("."), k))).alias("term")))
+
+    tokens = F.flatten(F.transform(found, lambda t, i: F.when(t.rlike("[._]"), prefixes(t, i)).otherwise(F.array(F.struct(i.alias("pos"), t.alias("term"))))))
+    return F.when(plain, F.filter(tokens, lambda t: F.length(t["term"]) < LONGEST)).otherwise(tokenize_full(F.when(~plain, text)))
+
+
 @F.pandas_udf(StringType())
 def unescape_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unescape(t) if t is not None else None)

@@ -17,10 +17,10 @@ from logloom.engine import Engine
 from logloom.functions import geo, parse, useragent
 from logloom.functions.ip import hex_range, ip_hex
 from logloom.functions.tokens import tokenize_atoms, tokenize_full, unescape_text
-from logloom.operators import dashboard
+from logloom.operators import dashboard, postings, search
 from logloom.operators.dashboard import Layout
 from logloom.plans.filters import Filter, compile_filter
-from logloom.queries import _BROWSER, _DEVICE, _SYSTEM, DAYS, NOW, _daily_sql, _hourly_sql, _response_sql, _tokened, _window_sql, access_lines, box, error_lines, over_log, query, text_query
+from logloom.queries import _BROWSER, _DEVICE, _SYSTEM, DAYS, NOW, _bm25_sql, _daily_sql, _hourly_sql, _response_sql, _tokened, _window_sql, access_lines, box, error_lines, over_log, query, text_query
 from logloom.shared import shared_path
 from logloom.sources.loglines import plan_file, read_plans
 from logloom.sources.logs import Catalogue, HostLog
@@ -64,7 +64,7 @@ def _engine(spark: SparkSession, d: str) -> Engine:
         folder, work = _folder(spark), _folder(spark)
         os.makedirs(folder)
         access, error = f"{folder}/access.log", f"{folder}/error.log"
-        engine = Engine(spark, Store(spark, shared_path(spark, "store")), Catalogue([HostLog(access), HostLog(error, "error")]))
+        engine = Engine(spark, Store(spark, shared_path(spark, "store"), indexed=True), Catalogue([HostLog(access), HostLog(error, "error")]))
         places = [(*hex_range(c), country, province) for c, country, province in PLACES]
         engine.rounds.locations = spark.createDataFrame(places, "lo string, hi string, region_code string, province string")
         cut = (log_rows(spark, d).agg(F.max("off")).first()[0] or 0) // 2
@@ -110,6 +110,40 @@ query("index_dotted_prefixes", "SELECT '10.0.' || split_part(ip, '.', 3) AS term
 )
 query("index_path_phrase", "SELECT ts, path FROM log WHERE path = '/error/42' OR path = '/view/7'")(lambda s, d: _index(s, d).where(compile_filter(Filter(paths=["/error/42", "view/7"]))).select("ts", "path"))
 query("index_line_phrase", "SELECT ts, ip, path FROM log WHERE method = 'POST' AND ip LIKE '10.0.3.%'")(lambda s, d: _index(s, d).where(compile_filter(Filter(text='"POST /" 10.0.3'))).select("ts", "ip", "path"))
+
+
+# postings: the same questions without reading a row's tokens
+
+def _posted(spark: SparkSession, d: str, **parts) -> DataFrame:
+    engine = _engine(spark, d)
+    groups = [g for g, k in engine.catalogue.groups() if k == "access"]
+    return search.narrowed(engine.store.rows(groups), Filter(**parts), engine.store.postings(groups))
+
+
+query("postings_line_phrase", "SELECT ts, ip, path FROM log WHERE method = 'POST' AND ip LIKE '10.0.3.%'")(lambda s, d: _posted(s, d, text='"POST /" 10.0.3').select("ts", "ip", "path"))
+query("postings_path_phrase", "SELECT ts, path, bytes_sent FROM log WHERE path LIKE '/error/%' AND path <> '/error/42' AND status = 500")(lambda s, d: _posted(s, d, text="path:/error -path:/error/42 status:500").select("ts", "path", "bytes_sent"))
+query("postings_all_terms", "SELECT ts, ip, path FROM log WHERE path = '/view/7' AND ip LIKE '10.0.%'")(lambda s, d: _posted(s, d, text="7 view 10.0 get").where("path = '/view/7'").select("ts", "ip", "path"))
+query("postings_terms", "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(path), '[a-z0-9]+')) AS term FROM log) GROUP BY 1")(
+    lambda s, d: _engine(s, d).store.postings([g for g, k in _engine(s, d).catalogue.groups() if k == "access"]).where("field = 'path'").groupBy("term").agg(F.count("*").alias("n"))
+)
+
+
+#: An access line of an event, and its tokens: of a dotted number the first digits, the whole and something for each prefix between them.
+_TEXT = """ip || ' - - [' || strftime(make_timestamp(ts * 1000000), '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' ' || path || ' HTTP/1.1" ' || status || ' ' || bytes_sent || ' "' || coalesce(referer, '-') || '" "' || user_agent || '" ' || coalesce(printf('%.6f', request_time), 'null') || ' -'"""
+_TOKENS = f"""flatten(list_transform(regexp_extract_all(lower({_TEXT}), '[0-9]+(?:[._][0-9]+)+|[a-z0-9]+'), lambda w: CASE WHEN regexp_matches(w, '[._]')
+  THEN list_concat([regexp_extract(w, '^[0-9]+')], list_transform(range(len(regexp_extract_all(w, '[0-9]+')) - 2), lambda i: ''), [w]) ELSE [w] END))"""
+
+
+@query("postings_score", _bm25_sql(_TOKENS, ("error", "13"), "tf0 > 0 AND tf1 > 0", "ts, ip, path", None))
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """All hits with their scores; frequencies and lengths come from postings and the manifest."""
+    engine = _engine(spark, d)
+    groups = [g for g, k in engine.catalogue.groups() if k == "access"]
+    (known,) = engine.store.figures(groups).values()
+    scores = postings.ranked(engine.store.postings(groups), ["error", "13"], known["docs"], known["tokens"])
+    return _posted(spark, d, text="error 13").join(scores, postings.IDENTITY).select("ts", "ip", "path", F.round("score", 6).alias("score"))
+
+
 query("index_hours", "SELECT ts - ts % 3600 AS hour, count(*) AS pv, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM log GROUP BY 1")(
     lambda s, d: _engine(s, d).store.rollup([g for g, k in _engine(s, d).catalogue.groups() if k == "access"]).hours.groupBy("hour").agg(F.sum("pv").alias("pv"), F.sum("bytes").alias("bytes"))
 )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.tokens import tokenize
-from logloom.plans.filters import Filter, compile_filter
+from logloom.operators.postings import bm25, lines_with, ranked
+from logloom.plans.filters import Filter, compile_filter, posted
 from logloom.plans.qsyntax import Warning, parse
 
 #: The page's default size and its most, and what hits can be sorted by.
@@ -59,22 +59,31 @@ def entries(rows: DataFrame, limit: int = 0, tail: bool = True) -> DataFrame:
     return rows.orderBy(F.col("ts").desc() if tail else F.col("ts").asc(), *IDENTITY).limit(n)
 
 
-def score(rows: DataFrame, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Adds ``score``: BM25 of the box's terms in the raw line. Ranks are promised, not another library's exact scores."""
-    terms = list(dict.fromkeys(t for i in parse(text)[0] if i.kind in ("text", "phrase") and not i.exclude for _, t in tokenize(i.value, True, query=True)))
-    size = F.size("raw_tok")
-    one = rows.agg(F.count("*").alias("n"), F.avg(size).alias("mean"), *[F.sum(F.array_contains(F.col("raw_tok.term"), t).cast("long")).alias(f"df{k}") for k, t in enumerate(terms)]).first()
+def terms_of(text: str) -> list[str]:
+    """The terms of a box by which hits are ranked: those of its words and phrases."""
+    return list(dict.fromkeys(t for i in parse(text)[0] if i.kind in ("text", "phrase") and not i.exclude for _, t in tokenize(i.value, True, query=True)))
+
+
+def score(rows: DataFrame, table: DataFrame, text: str) -> DataFrame:
+    """``rows`` of ``table`` with their ``score``: BM25 of the box's terms in the raw line, as frequent as they are in the table, told by one scan of its tokens."""
+    terms, size = terms_of(text), F.size("raw_tok")
+    one = table.agg(F.count("*"), F.sum(size), *[F.count(F.when(F.array_contains(F.col("raw_tok.term"), t), 1)) for t in terms]).first()
 
     def times(term: str) -> Column:
         return F.size(F.filter("raw_tok", lambda x: x["term"] == term))
 
-    total = F.lit(0.0)
-    for k, t in enumerate(terms):
-        df = one[f"df{k}"] or 0
-        idf = math.log(1 + ((one["n"] or 0) - df + 0.5) / (df + 0.5))
-        tf = times(t)
-        total = total + F.lit(idf) * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * size / F.lit(one["mean"] or 1.0)))
-    return rows.withColumn("score", total)
+    return rows.withColumn("score", bm25([times(t) for t in terms], size, list(one[2:]), one[0], one[1] or 0))
+
+
+def narrowed(rows: DataFrame, f: Filter, postings: DataFrame | None) -> DataFrame:
+    """The rows that a filter leaves; what postings know of the box is asked of them."""
+    if postings is None:
+        return rows.where(compile_filter(f))
+    told, rest = posted(f)
+    rows = rows.where(compile_filter(f, rest))
+    for field, tokens, phrase in told:
+        rows = rows.join(lines_with(postings, field, tokens, phrase), IDENTITY, "left_semi")
+    return rows
 
 
 @dataclass
@@ -86,11 +95,17 @@ class Answer:
     warnings: list[Warning]
 
 
-def search(table: DataFrame, f: Filter, limit: int = 0, offset: int = 0, sort_by: str = "", sort_order: str = "") -> Answer:
-    rows = table.where(compile_filter(f))
+def search(table: DataFrame, f: Filter, limit: int = 0, offset: int = 0, sort_by: str = "", sort_order: str = "", postings: DataFrame | None = None, figures: tuple[int, int] | None = None) -> Answer:
+    """``postings``: of the table; ``figures``: how many rows and tokens it has. With them neither words nor ranking read its token columns."""
+    rows = narrowed(table, f, postings)
     if sort_by == "_score":
         n = min(limit or DEFAULT_PAGE, MOST_PAGE)
-        hits = score(rows, f.text).orderBy(F.col("score").desc(), *IDENTITY).offset(max(0, offset)).limit(n if limit >= 0 else 0)
+        terms = terms_of(f.text)
+        if postings is not None and figures and terms:
+            hits = rows.join(ranked(postings, terms, *figures), IDENTITY)
+        else:
+            hits = score(rows, table, f.text)
+        hits = hits.orderBy(F.col("score").desc(), *IDENTITY).offset(max(0, offset)).limit(n if limit >= 0 else 0)
     else:
         hits = page(rows, limit, offset, sort_by, sort_order)
     return Answer(hits, summary(rows), parse(f.text)[1])

@@ -81,8 +81,21 @@ def time_range(start: int | None, end: int | None) -> list[Column]:
     return [F.col("ts") >= start] * (start is not None) + [F.col("ts") < end] * (end is not None)
 
 
-def compile_filter(f: Filter) -> Column:
-    """The conjunction of all parts; everything for an empty filter.
+def posted(f: Filter) -> tuple[list[tuple[str, list[tuple[int, str]], bool]], list[Item]]:
+    """The items of a filter's box that postings answer, as field, tokens and whether they are a phrase; and those that are left."""
+    told, rest = [], []
+    for i in parse(f.text)[0]:
+        if not i.exclude and i.kind in ("text", "phrase"):
+            told.append(("raw", tokenize(i.value, True, query=True), i.kind == "phrase"))
+        elif not i.exclude and i.kind == "path":
+            told.append(("path", tokenize(i.value, False, query=True), True))
+        else:
+            rest.append(i)
+    return told, rest
+
+
+def compile_filter(f: Filter, items: list[Item] | None = None) -> Column:
+    """The conjunction of all parts; everything for an empty filter. ``items`` take the place of the box's.
 
     Conditions on the partition columns and on ts come first, so that they reach the scan.
     """
@@ -97,7 +110,7 @@ def compile_filter(f: Filter) -> Column:
     for c, texts in (("path_tok", f.paths), ("ua_tok", f.user_agents), ("ref_tok", f.referers)):
         if texts:
             parts.append(reduce(Column.__or__, [phrase(c, t) for t in texts]))
-    for i in parse(f.text)[0]:
+    for i in parse(f.text)[0] if items is None else items:
         parts.append(excluded(item(i)) if i.exclude else item(i))
     return reduce(Column.__and__, parts, F.lit(True))
 

@@ -368,8 +368,20 @@ query("incremental_replace_tail", "SELECT off, ts + CASE WHEN off >= (SELECT max
 )
 
 
-@query("search_score_order")
+def _bm25_sql(tokens: str, terms: tuple[str, ...], where: str, shown: str, limit: int | None) -> str:
+    """Hits of lines by BM25: frequencies and lengths are those of all lines of ``log``, with ``tokens`` the list of a line's."""
+    best = f"ORDER BY {{}} DESC, main_log_path, fp, off LIMIT {limit}" if limit else ""
+    tf = [f"len(list_filter(t, lambda x: x = '{w}'))" for w in terms]
+    idf = [f"ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE))" for k in range(len(terms))]
+    one = [f"{idf[k]} * tf{k} * 2.2::DOUBLE / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / (tokens / CAST(n AS DOUBLE))))" for k in range(len(terms))]
+    told = ", ".join(f"{x} AS tf{k}" for k, x in enumerate(tf))
+    return f"""SELECT {shown}, round({" + ".join(one)}, 6) AS score FROM (SELECT *, {told} FROM (SELECT *, {tokens} AS t FROM log)),
+      (SELECT count(*) AS n, CAST(sum(len(t)) AS DOUBLE) AS tokens, {", ".join(f"count(*) FILTER (list_contains(t, '{w}')) AS df{k}" for k, w in enumerate(terms))} FROM (SELECT {tokens} AS t FROM log))
+    WHERE {where} {best.format(" + ".join(one))}"""
+
+
+@query("search_score_order", _bm25_sql("regexp_extract_all(lower(concat_ws(' ', method, path, referer)), '[a-z0-9]+')", ("error", "13"), "tf0 > 0 AND tf1 > 0", "off, path", 20))
 def _score(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked hits; their order can't be told in SQL."""
+    """The twenty best hits."""
     rows = _tokened(log_rows(spark, d))
     return search.search(rows, Filter(text="error 13"), 20, 0, "_score").hits.select("off", "path", F.round("score", 6).alias("score"))

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of names are broadcast up to so many rows. A key with over a HOT-th of all rows is hot, so there are at most HOT of them.
+BROADCAST, HOT = 200_000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,3 +60,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session may have ended before
         pass
+
+
+def look_up(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows``, a table of materialise(), left joined with ``names``, one row for each ``key``.
+
+    Up to BROADCAST names are broadcast, and no row moves. For more of them rows of hot keys still don't move, as the names of these are
+    broadcast; the others are shuffled by a key of which none has much.
+    """
+    names = materialise(names)
+    if names.count() <= BROADCAST:
+        return rows.join(F.broadcast(names), key, "left")
+    counts = materialise(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") > total // HOT).select(key))
+    often = rows.join(hot, key, "left_semi").join(F.broadcast(names.join(hot, key, "left_semi")), key, "left")
+    return often.unionByName(rows.join(hot, key, "left_anti").join(names, key, "left"))

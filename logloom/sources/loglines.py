@@ -26,8 +26,9 @@ from logloom.sources.logs import main_log_path
 LONGEST_LINE, FIRST_LINE = 1 << 20, 4096
 #: Plain files are read in slices of so many bytes.
 SLICE = 256 << 20
-SCHEMA = "raw string, off long, fp string, path string, main_log_path string"
-_NAMES, _TYPES = ["raw", "off", "fp", "path", "main_log_path"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+#: ``upto``: the offset after the line.
+SCHEMA = "raw string, off long, fp string, path string, main_log_path string, upto long"
+_NAMES, _TYPES = ["raw", "off", "fp", "path", "main_log_path", "upto"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
 #: Rows that are handed on at a time.
 BATCH = 4096
 
@@ -112,7 +113,7 @@ def plan_file(path: str, states: dict[str, FileState], high_water: Callable[[str
         others = [s.position for s in states.values() if s.fingerprint == fp and s.path != path]
         start = max(others, default=0)
         start = start if zipped else min(start, size)
-    if zipped and not force and start and start % (1 << 32) == size:
+    if zipped and not force and 0 < start < 1 << 32 and start == size:
         return FilePlan(path, fp, start, stat.st_size, stat.st_mtime_ns, skip=True)
     return FilePlan(path, fp, start, stat.st_size, stat.st_mtime_ns, replace=rewritten or dirty or start < high_water(fp))
 
@@ -220,8 +221,8 @@ def read_slice(part: Slice) -> Iterator[tuple]:
                 if got.endswith(b"\n"):
                     break
     main = main_log_path(part.path)
-    for at, line, _ in read_lines(part.path, start, part.size, part.stop):
-        yield line.decode("utf-8", "replace"), at, part.fp[:16], part.path, main
+    for at, line, end in read_lines(part.path, start, part.size, part.stop):
+        yield line.decode("utf-8", "replace"), at, part.fp[:16], part.path, main, end
 
 
 class _Reader(DataSourceReader):
@@ -261,5 +262,3 @@ def after(plan: FilePlan, now: int, lengths: dict[str, int]) -> FileState:
     """The file's state once its plan is read."""
     position = plan.start if plan.skip else end_of(plan, lengths)
     return FileState(plan.path, plan.fingerprint, position, plan.size, plan.mtime_ns, now)
-
-

@@ -1,10 +1,13 @@
 """The store: tables of log rows and rollups in generations.
 
-A commit writes new Parquet folders and then one manifest that names the live folders of each group, file
+A commit writes new Parquet folders, a segment, and then one manifest that names the live segments of each group, file
 states and marks. A manifest is written aside and renamed to the next number, which must be free; readers
 take the highest number, so they see the old or the new generation whole. A failed commit leaves only folders
-that nothing names. Files are reached
-through Spark's file systems alone.
+that nothing names. Files are reached through Spark's file systems alone.
+
+Folders are never changed. Content that is deleted is named in its segment, as ranges of offsets of a fingerprint, and left out on
+reading; the hours it lay in are rolled up again, on their own. The manifest has the rows and times of each segment, so that
+what a group holds is told without a job. Segments of one size are merged when there are FAN of them.
 """
 
 from __future__ import annotations
@@ -12,67 +15,135 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.geo import folded, range_lookup
-from logloom.functions.ip import ip_hex
+from logloom.functions.ip import stored_ip_hex
 from logloom.functions.parse import access_rows, error_rows
-from logloom.functions.tokens import stored_atoms, tokenize_full
-from logloom.functions.useragent import with_clients
+from logloom.functions.tokens import stored_atoms, stored_full
+from logloom.functions.useragent import clients
+from logloom.operators.dashboard import HOUR
+from logloom.operators.postings import POSTINGS, SCHEMA, index
 from logloom.operators.rollup import Rollup, build, merge
+from logloom.shared import look_up, materialise
 from logloom.sources.loglines import FileState
 
 #: Another number means another schema: the store is then empty and logs are read again.
-FORMAT = 1
-TABLES = ("rows", "hours", "minutes", "visitors", "terms")
-#: A group with more folders of a table than this is compacted.
-MOST_PARTS = 8
+FORMAT = 2
+ROLLUPS = ("hours", "minutes", "visitors", "terms")
+TABLES = ("rows", *ROLLUPS, POSTINGS)
+#: So many segments of a size class, powers of this, are merged; and a segment of whose rows more than this share is deleted is written anew.
+FAN, MOST_DELETED = 8, 0.3
+#: A group whose rollups have over so many entries, and over half as many as it has rows, is answered from its rows.
+ROLLUP_FLOOR = 1 << 20
 #: So many manifests stay, for readers that have just looked.
 KEPT = 8
 GEO = ["region_code", "province", "city", "sub1", "sub2", "city_point"]
+#: Content of a fingerprint from an offset up to another, or to its end.
+Range = tuple[str, int, int | None]
+
+
+@dataclass
+class Segment:
+    """Folders that one commit or merge wrote: ``id`` names that of the rows, and each of ``rollups`` those of a rollup and the hours of it that no longer count.
+
+    ``rows``, ``first`` and ``last`` are of the rows that ``gone`` leaves; ``dropped`` are those that it takes. ``fps`` and ``offs``
+    are the least and greatest of all rows. ``tokens``: of the raw lines of ``rows``, if they have any. ``indexed``: whether it has postings.
+    """
+
+    id: str
+    rows: int = 0
+    dropped: int = 0
+    first: int | None = None
+    last: int | None = None
+    fps: list[str] = field(default_factory=list)
+    offs: list[int] = field(default_factory=list)
+    gone: list[list] = field(default_factory=list)
+    rollups: list[dict] = field(default_factory=list)
+    entries: int = 0
+    tokens: int | None = None
+    indexed: bool = False
+
+    def touched(self, ranges: list[Range]) -> list[Range]:
+        """The ranges that may hold rows of this segment."""
+        if not self.fps:
+            return []
+        return [r for r in ranges if self.fps[0] <= r[0] <= self.fps[1] and r[1] <= self.offs[1] and (r[2] is None or r[2] > self.offs[0])]
+
+    def seen(self, rows: DataFrame) -> DataFrame:
+        """Of all its rows those that aren't deleted."""
+        return rows.where(~within(self.gone)) if self.gone else rows
 
 
 @dataclass
 class Manifest:
-    """``parts``: group -> table -> folders. ``states``: group -> file states. ``dirty``: groups with an unfinished import. ``marks``: the last streamed batch of a group."""
+    """``parts``: group -> segments. ``states``: group -> file states. ``dirty``: groups with an unfinished import. ``marks``: the last streamed batch of a group."""
 
     format: int = FORMAT
     generation: int = 0
-    parts: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    parts: dict[str, list[dict]] = field(default_factory=dict)
     states: dict[str, list[dict]] = field(default_factory=dict)
     dirty: list[str] = field(default_factory=list)
     marks: dict[str, str] = field(default_factory=dict)
 
+    def segments(self, groups: list[str] | None = None) -> list[Segment]:
+        return [Segment(**s) for g, held in self.parts.items() if groups is None or g in groups for s in held]
+
+
+def within(ranges: list) -> Column:
+    """Whether a row's content lies in one of the ranges."""
+    hits = [(F.col("fp") == fp) & (F.col("off") >= a) & (F.lit(True) if b is None else F.col("off") < b) for fp, a, b in ranges]
+    return reduce(Column.__or__, hits, F.lit(False))
+
+
+def tier(segments: list[Segment]) -> list[Segment]:
+    """The segments to merge next: all of the smallest size class that has FAN of them, or one with too many deleted rows.
+
+    A row is written again when its segment grows into the next class, so over n appends about log n times.
+    """
+    classes: dict[int, list[Segment]] = {}
+    for s in segments:
+        size = 0
+        while FAN ** (size + 1) <= s.rows:
+            size += 1
+        classes.setdefault(size, []).append(s)
+    for size in sorted(classes):
+        if len(classes[size]) >= FAN:
+            return classes[size]
+    return next(([s] for s in segments if s.dropped > MOST_DELETED * (s.rows + s.dropped)), [])
+
 
 def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations: DataFrame | None = None) -> DataFrame:
     """Log rows of ``raw, off, fp, main_log_path`` lines, with tokens, names of clients and locations.
 
+    Lines are read and parsed once, to a table. Names are looked up for each different agent of it, places for each
+    different address, and joined without moving rows where there are few of them.
     ``locations``: some of GEO by ip_hex, one row each, or by lo and hi, blocks of addresses; without it they're null.
     """
     base = lines.select("raw", "off", "fp", "main_log_path")
-    rows = access_rows(base, now) if kind == "access" else error_rows(base, now, zone)
-    rows = with_clients(rows).withColumns(
-        {"ip_hex": ip_hex("ip"), "raw_tok": tokenize_full("raw"), "path_tok": stored_atoms(F.col("path")), "ua_tok": stored_atoms(F.col("user_agent")), "ref_tok": stored_atoms(F.col("referer"))}
-    )
-    if locations is None:
-        return rows.withColumns({c: F.lit(None).cast("string") for c in GEO})
-    named = [c for c in GEO if c in locations.columns]
-    if "lo" in locations.columns:
-        locations = range_lookup(rows, locations.select("lo", "hi", *named))
-    known = rows.join(locations.select("ip_hex", *named), "ip_hex", "left").withColumns({c: F.lit(None).cast("string") for c in GEO if c not in named})
+    rows = materialise((access_rows(base, now) if kind == "access" else error_rows(base, now, zone)).withColumn("ip_hex", stored_ip_hex(F.col("ip"))))
+    named = clients(rows).select("user_agent", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("browser", "os", "device_type")])
+    rows = look_up(rows, named, "user_agent")
+    held = [c for c in GEO if locations is not None and c in locations.columns]
+    if held:
+        found = range_lookup(rows, locations.select("lo", "hi", *held)) if "lo" in locations.columns else locations.select("ip_hex", *held)
+        rows = look_up(rows, found, "ip_hex")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in GEO if c not in held})
     country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
-    return known.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2})
+    rows = rows.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2}) if held else rows
+    return rows.withColumns({"raw_tok": stored_full(F.col("raw")), "path_tok": stored_atoms(F.col("path")), "ua_tok": stored_atoms(F.col("user_agent")), "ref_tok": stored_atoms(F.col("referer"))})
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    """``indexed``: whether commits write postings, which take about as long as the rows."""
+
+    def __init__(self, spark: SparkSession, path: str, rollup_floor: int = ROLLUP_FLOOR, indexed: bool = False) -> None:
+        self.spark, self.path, self.rollup_floor, self.indexed = spark, path.rstrip("/"), rollup_floor, indexed
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -122,98 +193,195 @@ class Store:
             self._fs.delete(self._at(name), False)
         return True
 
-    def _read(self, m: Manifest, table: str, groups: list[str] | None = None) -> DataFrame | None:
-        paths = [p for g, parts in m.parts.items() if groups is None or g in groups for p in parts.get(table, [])]
-        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in paths]) if paths else None
+    # reading
+
+    def _load(self, table: str, names: list[str]) -> DataFrame:
+        if table == POSTINGS:  # one table with a folder for each segment, of which only those asked for are listed
+            base = f"{self.path}/{table}"
+            return self.spark.read.schema(SCHEMA).option("basePath", base).parquet(*[f"{base}/seg={n}" for n in names])
+        return self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in names])
 
-    def rows(self, groups: list[str] | None = None) -> DataFrame | None:
-        """Log rows of the live generation, None if there are none; folders of other groups aren't even listed."""
-        return self._read(self.manifest(), "rows", groups)
+    def _seen(self, segments: list[Segment], table: str = "rows") -> DataFrame | None:
+        """Rows, or postings, of segments: those without deleted content are one scan."""
+        whole = [s.id for s in segments if not s.gone]
+        frames = [self._load(table, whole)] if whole else []
+        frames += [s.seen(self._load(table, [s.id])) for s in segments if s.gone]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
+    def _rolled(self, segments: list[Segment], table: str) -> DataFrame | None:
+        time = F.col("minute" if table == "minutes" else "hour")
+        parts = [r for s in segments for r in s.rollups]
+        whole = [r["id"] for r in parts if not r["without"]]
+        frames = [self._load(table, whole)] if whole else []
+        for r in parts:
+            if r["without"]:
+                stale = reduce(Column.__or__, [time.between(a, b + HOUR - 1) for a, b in r["without"]])
+                frames.append(self._load(table, [r["id"]]).where(~stale))
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    def rows(self, groups: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame | None:
+        """Log rows of the live generation, None if there are none; folders of other groups, and those without rows in [start, end), aren't even listed."""
+        segments = self.manifest().segments(groups)
+        timely = [s for s in segments if s.rows and (start is None or s.last >= start) and (end is None or s.first < end)]
+        return self._seen(timely or segments[-1:])
+
+    def postings(self, groups: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame | None:
+        """Tokens of the live rows, by term; None if there are no rows, or some were committed without postings."""
+        segments = self.manifest().segments(groups)
+        timely = [s for s in segments if s.rows and (start is None or s.last >= start) and (end is None or s.first < end)]
+        return None if any(not s.indexed for s in segments) else self._seen(timely or segments[-1:], POSTINGS)
 
     def rollup(self, groups: list[str] | None = None) -> Rollup | None:
-        m = self.manifest()
-        frames = [self._read(m, t, groups) for t in TABLES[1:]]
+        """None if there is nothing, or if a rollup is as good as no smaller than its rows."""
+        segments = self.manifest().segments(groups)
+        entries = sum(s.entries for s in segments)
+        if entries > self.rollup_floor and 2 * entries > sum(s.rows for s in segments):
+            return None
+        frames = [self._rolled(segments, t) for t in ROLLUPS]
         return None if any(f is None for f in frames) else merge(Rollup(*frames))
 
+    def figures(self, groups: list[str] | None = None) -> dict[str, dict]:
+        """docs, first and last, and tokens, of each group that has rows: from the manifest, without a job."""
+        out = {}
+        for group, held in self.manifest().parts.items():
+            some = [s for s in map(lambda x: Segment(**x), held) if s.rows]
+            if some and (groups is None or group in groups):
+                out[group] = {"docs": sum(s.rows for s in some), "first": min(s.first for s in some), "last": max(s.last for s in some), "tokens": sum(s.tokens or 0 for s in some)}
+        return out
+
     def states(self, group: str) -> dict[str, FileState]:
         return {s["path"]: FileState(**s) for s in self.manifest().states.get(group, [])}
 
     def mark(self, group: str) -> str | None:
         return self.manifest().marks.get(group)
 
-    def _write(self, df: DataFrame, table: str) -> str:
-        name = f"{table}/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        return name
+    # writing
+
+    def _write(self, df: DataFrame, table: str, name: str) -> None:
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{table}/{name}")
 
-    def _written(self, rows: DataFrame) -> dict[str, str]:
-        """Folders of rows and of their rollup, which is made from what was written."""
-        name = self._write(rows.sortWithinPartitions("ts"), "rows")
-        made = build(self.spark.read.parquet(f"{self.path}/{name}"))
-        return {"rows": name} | {table: self._write(frame, table) for table, frame in made.frames().items()}
+    def _roll(self, rolled: Rollup) -> tuple[str, int]:
+        """A new rollup's name and how many entries it has."""
+        name = uuid.uuid4().hex
+        for table, frame in rolled.frames().items():
+            self._write(frame, table, name)
+        counts = [self._load(t, [name]).select(F.lit(t)) for t in ROLLUPS]
+        return name, reduce(DataFrame.unionAll, counts).count()
 
-    def _swap(self, group: str, change: Callable[[DataFrame], DataFrame], m: Manifest) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-        """The folders that a group had in ``m``, and what is to stand in their place: all its rows changed."""
-        had = m.parts[group]
-        made = self._written(change(self._read(m, "rows", [group])))
-        return had, {t: [made[t]] for t in TABLES}
+    def _segment(self, rows: DataFrame, rolled: Rollup | None = None) -> Segment:
+        """Writes rows and their rollup, which is made from what was written if it isn't given, and tells of them."""
+        s = Segment(uuid.uuid4().hex)
+        self._write(rows.sortWithinPartitions("ts"), "rows", s.id)
+        written = self._load("rows", [s.id])
+        tokens = (F.sum(F.size("raw_tok")) if "raw_tok" in written.columns else F.max(F.lit(None))).cast("long")
+        one = written.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("ts", "fp", "off") for k, f in (("min", F.min), ("max", F.max))], tokens.alias("tokens")).first()
+        s.rows, s.first, s.last = one["n"], one["min_ts"], one["max_ts"]
+        if one["n"]:
+            s.fps, s.offs = [one["min_fp"], one["max_fp"]], [one["min_off"], one["max_off"]]
+        s.tokens = one["tokens"]
+        if self.indexed and "raw_tok" in written.columns:
+            index(written).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{POSTINGS}/seg={s.id}")
+            s.indexed = True
+        name, s.entries = self._roll(rolled or build(written))
+        s.rollups = [{"id": name, "without": []}]
+        return s
 
-    def commit(self, group: str, rows: DataFrame | None, states: list[FileState], delete: list[tuple[str, int]] = (), dirty: bool = False, mark: str | None = None) -> None:
-        """One generation: deletes (fingerprint, from offset), new rows with their rollup, and file states.
+    def _without(self, s: Segment, ranges: list[Range], known: dict[str, Segment]) -> Segment:
+        """The segment less the content of ``ranges``: its folders stay, and the hours that lost rows get a rollup of their own."""
+        ranges = s.touched(ranges)
+        key = json.dumps([asdict(s), ranges])
+        if not ranges:
+            return s
+        if key not in known:
+            rows = s.seen(self._load("rows", [s.id]))
+            hit, hour = within(ranges), F.col("ts") - F.pmod("ts", F.lit(HOUR))
+            lost = lambda f, c: f(F.when(hit, c))
+            left = lambda f, c: f(F.when(~hit, c))
+            words = (F.sum(F.when(~hit, F.size("raw_tok"))) if "raw_tok" in rows.columns else F.max(F.lit(None))).cast("long")
+            one = rows.agg(words.alias("tokens"), lost(F.count, F.lit(1)).alias("n"), lost(F.min, hour).alias("a"), lost(F.max, hour).alias("b"), left(F.min, F.col("ts")).alias("first"), left(F.max, F.col("ts")).alias("last")).first()
+            known[key] = s
+            if one["n"]:
+                made = replace(s, rows=s.rows - one["n"], dropped=s.dropped + one["n"], first=one["first"], last=one["last"], tokens=one["tokens"], gone=[*s.gone, *map(list, ranges)])
+                stale = [one["a"], one["b"]]
+                name, entries = self._roll(build(rows.where(~hit).where(F.col("ts").between(stale[0], stale[1] + HOUR - 1))))
+                made.rollups = [{"id": r["id"], "without": [*r["without"], stale]} for r in s.rollups] + [{"id": name, "without": []}]
+                made.entries = s.entries + entries
+                known[key] = made
+        return known[key]
+
+    def commit(
+        self, group: str, rows: DataFrame | None, states: list[FileState] = (), delete: list[tuple[str, int]] = (), dirty: bool | None = False, mark: str | None = None,
+        reads: list[tuple[str, int, int]] = (), forget: list[str] = (),
+    ) -> None:
+        """One generation: deletes (fingerprint, from offset), new rows with their rollup, and changed file states.
 
         Folders are written first. The manifest is then read again, changed, and published as the next number; if another
-        writer has taken that, it is read again. So commits that run together all count; only deleting
-        is done again if another commit came to the group meanwhile.
+        writer has taken that, it is read again. So commits that run together all count.
+        ``reads``: (fingerprint, from, up to) that the rows come from. What another commit has stored of it meanwhile is left out of them, and a file's
+        position never falls but where its content is deleted: no line is stored twice. ``forget``: paths whose states go.
+        ``dirty`` of None leaves as it is whether the group's import is unfinished.
         """
-        new = self._written(rows) if rows is not None else None
+        new, known, starts = self._segment(rows) if rows is not None else None, {}, dict(delete)
         while True:
-            m, swap = self.manifest(), None
-            if delete and group in m.parts:
-                gone = reduce(lambda a, b: a | b, [(F.col("fp") == fp[:16]) & (F.col("off") >= at) for fp, at in delete])
-                swap = self._swap(group, lambda old: old.where(~gone), m)
-            while True:
-                m = self.manifest()
-                if delete and m.parts.get(group) != (swap[0] if swap else None):
-                    break
-                parts = swap[1] if swap else m.parts.get(group, {t: [] for t in TABLES})
-                if new:
-                    parts = {t: [*parts[t], new[t]] for t in TABLES}
-                if swap or new:
-                    m.parts[group] = parts
-                if mark is not None:
-                    m.marks[group] = mark
-                m.states[group] = [asdict(s) for s in states]
+            m = self.manifest()
+            held = {s["path"]: FileState(**s) for s in m.states.get(group, [])}
+            parts = [self._without(Segment(**s), [(fp[:16], at, None) for fp, at in delete], known) for s in m.parts.get(group, [])]
+            if new:
+                reached = lambda fp: max((s.position for s in held.values() if s.fingerprint == fp), default=0)  # noqa: E731, B023
+                again = [(fp[:16], a, min(b, reached(fp))) for fp, a, b in reads if fp not in starts and reached(fp) > a]
+                parts.append(self._without(new, again, known))
+            if parts:
+                m.parts[group] = [asdict(s) for s in [s for s in parts if s.rows] or parts[-1:]]
+            for s in held.values():
+                if s.fingerprint in starts and s.position > starts[s.fingerprint]:
+                    held[s.path] = replace(s, position=starts[s.fingerprint])
+            for s in states:
+                old = held.get(s.path)
+                if not (old and old.fingerprint == s.fingerprint and old.position > s.position):
+                    held[s.path] = s
+            m.states[group] = [asdict(s) for path, s in held.items() if path not in forget]
+            if mark is not None:
+                m.marks[group] = mark
+            if dirty is not None:
                 m.dirty = sorted({*m.dirty, group} if dirty else {*m.dirty} - {group})
-                if self._publish(m):
-                    return
+            if self._publish(m):
+                return
 
     def purge(self, group: str | None = None) -> None:
-        """Forgets one group or all; old folders stay until vacuum()."""
+        """Forgets one group or all, with the marks of their streams; old folders stay until vacuum()."""
         while True:
             m = self.manifest()
-            for g in [group] if group else list({*m.parts, *m.states}):
-                m.parts.pop(g, None)
-                m.states.pop(g, None)
+            for g in [group] if group else list({*m.parts, *m.states, *m.marks}):
+                for held in (m.parts, m.states, m.marks):
+                    held.pop(g, None)
             m.dirty = [] if group is None else [g for g in m.dirty if g != group]
             if self._publish(m):
                 return
 
-    def compact(self, group: str) -> None:
-        """One folder for each table of a group that has over MOST_PARTS; left to the next time if another commit comes meanwhile."""
-        m = self.manifest()
-        if len(m.parts.get(group, {"rows": []})["rows"]) <= MOST_PARTS:
-            return
-        had, instead = self._swap(group, lambda old: old, m)
-        while (m := self.manifest()).parts.get(group) == had:
-            m.parts[group] = instead
-            if self._publish(m):
-                return
+    def compact(self, group: str) -> int:
+        """Merges segments, a size class at a time, and gives the number of rows written; left to the next time if another commit changes them meanwhile."""
+        written = 0
+        while some := tier(self.manifest().segments([group])):
+            made = self._segment(self._seen(some), merge(Rollup(*[self._rolled(some, t) for t in ROLLUPS])))
+            written += made.rows
+            old = [asdict(s) for s in some]
+            while True:
+                m = self.manifest()
+                now = m.parts.get(group, [])
+                if any(s not in now for s in old):
+                    return written
+                at = now.index(old[0])
+                m.parts[group] = [s for s in now[:at] if s not in old] + [asdict(made)] + [s for s in now[at:] if s not in old]
+                if self._publish(m):
+                    break
+        return written
 
     def vacuum(self) -> None:
         """Deletes folders that the live manifest doesn't name. Not while other readers or writers are at work."""
-        live = {p for parts in self.manifest().parts.values() for names in parts.values() for p in names}
+        segments = self.manifest().segments()
+        live = {s.id for s in segments} | {r["id"] for s in segments for r in s.rollups}
         for table in TABLES:
             if self._fs.exists(self._at(table)):
                 for s in self._fs.listStatus(self._at(table)):
-                    if f"{table}/{s.getPath().getName()}" not in live:
+                    if s.getPath().getName().removeprefix("seg=") not in live:
                         self._fs.delete(s.getPath(), True)

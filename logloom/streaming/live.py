@@ -2,29 +2,32 @@
 
 A stream offset is the position in each file of a group, by fingerprint, so that a renamed file goes on where it
 was. A batch reads from one offset to the next, large files in slices; the query's checkpoint keeps the offsets, so a
-restarted query reads each line once. Files that were rewritten are read again from their start;
-replacing their old rows is the work of rounds.py.
+restarted query reads each line once. A new query starts where the store's file states are, and its batches move them on, so
+that a round over the same log reads on from there; lines that a round stores while a batch reads them are left out of it.
+Files that were rewritten are read again from their start; replacing their old rows is the work of rounds.py.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from logloom.sources.loglines import SCHEMA, FilePlan, Slice, end_of, fingerprint, gzip_length, is_gzip, read_slice, slices
+from logloom.shared import materialise, release
+from logloom.sources.loglines import SCHEMA, FilePlan, FileState, Slice, end_of, fingerprint, gzip_length, is_gzip, read_slice, slices
 from logloom.sources.logs import main_log_path
 from logloom.sources.store import Store, enrich
 
 
 class _Stream(DataSourceStreamReader):
-    def __init__(self, base: str) -> None:
-        self.base = base
+    def __init__(self, base: str, start: dict[str, int]) -> None:
+        self.base, self.start = base, start
         self.lengths: dict[tuple, int] = {}
 
     def _files(self) -> dict[str, str]:
@@ -38,7 +41,7 @@ class _Stream(DataSourceStreamReader):
         return out
 
     def initialOffset(self) -> dict:
-        return {}
+        return self.start
 
     def latestOffset(self) -> dict:
         """After the last ended line of each file."""
@@ -79,21 +82,45 @@ class LiveLogs(DataSource):
         return SCHEMA
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _Stream(self.options["base"])
+        return _Stream(self.options["base"], json.loads(self.options.get("start", "{}")))
 
 
-def live_lines(spark: SparkSession, base: str) -> DataFrame:
+def live_lines(spark: SparkSession, base: str, start: dict[str, int] | None = None) -> DataFrame:
+    """The lines of a log and its rotations; ``start``: offsets by fingerprint that a query without a checkpoint begins at."""
     spark.dataSource.register(LiveLogs)
-    return spark.readStream.format("livelogs").option("base", base).load()
+    return spark.readStream.format("livelogs").option("base", base).option("start", json.dumps(start or {})).load()
 
 
-def follow(store: Store, base: str, kind: str, now: int, checkpoint: str, zone: str = "UTC") -> StreamingQuery:
-    """Commits each batch of a log's new lines to the store; a batch that was committed before a crash isn't committed again."""
+def reached(states: Iterable[FileState]) -> dict[str, int]:
+    """By fingerprint how far its content was read."""
+    out: dict[str, int] = {}
+    for s in states:
+        out[s.fingerprint] = max(out.get(s.fingerprint, 0), s.position)
+    return out
+
+
+def follow(store: Store, base: str, kind: str, now: int, checkpoint: str, zone: str = "UTC", every: str | None = None) -> StreamingQuery:
+    """Commits each batch of a log's new lines to the store, with the states of their files; a batch that was committed before a crash isn't committed again.
+
+    ``every``: a time like ``15 minutes`` between batches; without it they follow each other.
+    """
     group = main_log_path(base)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         mark = json.dumps({"stream": checkpoint, "batch": batch_id})
-        if store.mark(group) != mark:
-            store.commit(group, enrich(batch, kind, now, zone), list(store.states(group).values()), mark=mark)
-
-    return live_lines(store.spark, base).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).start()
+        if store.mark(group) == mark:
+            return
+        lines = materialise(batch)
+        states, reads = [], []
+        # a row for each file of the log
+        for path, fp, start, stop in lines.groupBy("path", "fp").agg(F.min("off"), F.max("upto")).collect():
+            whole = fingerprint(path) if os.path.exists(path) else None
+            if whole and whole.startswith(fp):
+                # without size and time, so that a round looks at the file, and reads on from here
+                states.append(FileState(path, whole, stop, stop, 0, now))
+                reads.append((whole, start, stop))
+        store.commit(group, enrich(lines, kind, now, zone), states, dirty=None, mark=mark, reads=reads)
+        release(lines)
+
+    stream = live_lines(store.spark, base, reached(store.states(group).values())).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    return (stream.trigger(processingTime=every) if every else stream).start()

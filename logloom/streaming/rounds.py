@@ -104,27 +104,27 @@ class Rounds:
         unchanged = all(p.skip for p in plans) and {p.path for p in plans} == set(states)
         if unchanged and not dirty:
             return 0
-        gone = sorted((s for path, s in states.items() if path not in done), key=lambda s: -s.indexed_at)[:MOST_GONE]
-        for p in plans:
-            if p.skip and p.path in states:
-                done[p.path] = states[p.path]
+        gone = sorted((s for path, s in states.items() if path not in done), key=lambda s: -s.indexed_at)
+        forget = [s.path for s in gone[MOST_GONE:]]
+        changed = [s for path, s in done.items() if path not in states or not next(p.skip for p in plans if p.path == path)]
         batches = self._batches(list(todo.values()), now, lengths)
-        progress, whole, read = dict(states), sum(p.size - p.start for b in batches for p in b), 0
+        whole, read = sum(p.size - p.start for b in batches for p in b), 0
         for k, batch in enumerate(batches):
             rows = enrich(read_plans(store.spark, batch), kind, now, self.zone, self.locations)
             delete = [(p.fingerprint, p.start) for p in batch if p.replace]
+            reached = [after(p, now, lengths) for p in batch]
+            reads = [(p.fingerprint, p.start, s.position) for p, s in zip(batch, reached, strict=True)]
             if k + 1 == len(batches):
-                store.commit(group, rows, [*done.values(), *gone], delete)
+                store.commit(group, rows, changed, delete, reads=reads, forget=forget)
             else:
-                progress |= {p.path: after(p, now, lengths) for p in batch}
-                store.commit(group, rows, list(progress.values()), delete, dirty=True)
+                store.commit(group, rows, reached, delete, dirty=True, reads=reads)
                 read += sum(p.size - p.start for p in batch)
                 self.listener({"group": group, "phase": "indexing", "percent": 100 * read // max(1, whole)})
                 if self._stop.is_set():
                     self.listener({"group": group, "phase": "stopped"})
                     return len(todo)
         if not batches:
-            store.commit(group, None, [*done.values(), *gone])
+            store.commit(group, None, changed, forget=forget)
         store.compact(group)
         return len(todo)
 

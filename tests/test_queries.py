@@ -3,6 +3,7 @@
 import pytest
 
 from conftest import same
+from logloom import indexed as indexed  # adds its queries to those of the engine
 from logloom import queries as q
 from logloom.sources.store import Store
 
