@@ -119,7 +119,7 @@ class Engine:
                 continue
             states = [asdict(s) for s in self.store.states(group).values()]
             out.append(
-                {"path": group, "kind": k, "files": len(states), "size": sum(s["size"] for s in states), "indexed_at": max((s["indexed_at"] for s in states), default=0),
+                {"path": group, "kind": k, "files": len(states), "size": sum(s["size"] for s in states), "modified": max((s["mtime_ns"] // 10**9 for s in states), default=0), "indexed_at": max((s["indexed_at"] for s in states), default=0),
                  "documents": known.get(group, {}).get("docs", 0), "first": known.get(group, {}).get("first"), "last": known.get(group, {}).get("last"),
                  "state": "indexing" if group in self.rounds.busy else "indexed" if group in known else "not_indexed"}
             )

@@ -7,7 +7,9 @@ from it, is compared with SQL over the events. Files and index are made once for
 
 from __future__ import annotations
 
+import gzip
 import os
+import shutil
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from logloom.engine import Engine
 from logloom.functions import geo, parse, useragent
-from logloom.functions.ip import hex_range, ip_hex
-from logloom.functions.tokens import tokenize_atoms, tokenize_full, unescape_text
+from logloom.functions.ip import hex_range, ip_hex, stored_ip_hex
+from logloom.functions.tokens import stored_atoms, stored_full, tokenize_atoms, tokenize_full, unescape_text
 from logloom.operators import dashboard, postings, search
 from logloom.operators.dashboard import Layout
 from logloom.plans.filters import Filter, compile_filter
@@ -25,6 +27,7 @@ from logloom.shared import shared_path
 from logloom.sources.loglines import plan_file, read_plans
 from logloom.sources.logs import Catalogue, HostLog
 from logloom.sources.store import Store
+from logloom.streaming.live import follow
 from logloom.views import error_rows, log_rows
 
 _ENGINES: dict[tuple[str, str], Engine] = {}
@@ -250,30 +253,124 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join("'" + x + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
-for _name, _place, _udf in (("full", 1, tokenize_full), ("atoms", 2, tokenize_atoms)):
 
-    def _tokens(spark: SparkSession, d: str, udf=_udf) -> DataFrame:
-        texts = spark.createDataFrame([(x[0],) for x in TOKENS], "text string")
-        return texts.select("text", F.explode(udf("text")).alias("t")).select("text", "t.pos", "t.term")
 
-    _rows = [(x[0], p, t) for x in TOKENS for p, t in x[_place]]
-    query(f"tokens_{_name}", f"SELECT text, CAST(pos AS INT) AS pos, term FROM ({_values(_rows)}) AS v(text, pos, term)", log=False)(_tokens)
+def _nth(values: list[str]) -> Column:
+    """One of some texts for each event, in turn."""
+    return F.get(F.array(*[F.lit(v) for v in values]), (F.col("off") % len(values)).cast("int"))
+
+
+for _name, _place, _stored in (("full", 1, stored_full), ("atoms", 2, stored_atoms), ("full_python", 1, tokenize_full), ("atoms_python", 2, tokenize_atoms)):
+
+    def _tokens(spark: SparkSession, d: str, stored=_stored) -> DataFrame:
+        """Of each event's path with a text behind it."""
+        told = log_rows(spark, d).select("off", stored(F.concat("path", F.lit(" "), _nth([x[0] for x in TOKENS]))).alias("t"))
+        return told.select("off", F.explode("t").alias("t")).select("off", "t.pos", "t.term")
+
+    _rows = [(i, p + 2, t) for i, x in enumerate(TOKENS) for p, t in x[_place]]
+    query(
+        f"tokens_{_name}",
+        f"SELECT off, CAST(pos AS INT) AS pos, term FROM (SELECT off, 0 AS pos, split_part(path, '/', 2) AS term FROM log UNION ALL SELECT off, 1, split_part(path, '/', 3) FROM log UNION ALL SELECT off, pos, term FROM log JOIN ({_values(_rows)}) AS v(i, pos, term) ON off % {len(TOKENS)} = i)",
+    )(_tokens)
 
 #: Texts with escapes, and what they say.
 ESCAPED = [("%E4%B8%AD", "中"), ("100%zz+%2", "100%zz+%2"), ("%2541", "%41"), ("a%20b", "a b")]
-query("tokens_unescaped", f"SELECT * FROM ({_values(ESCAPED)}) AS v(text, plain)", log=False)(
-    lambda s, d: s.createDataFrame([(t,) for t, _ in ESCAPED], "text string").select("text", unescape_text("text").alias("plain"))
-)
-#: Addresses as 32 digits.
-ADDRESSES = [("::1", "0" * 31 + "1"), ("2001:DB8::ff", "20010db8" + "0" * 22 + "ff"), ("1.2.3.4", "0" * 20 + "ffff01020304"), ("::ffff:1.2.3.4", "0" * 20 + "ffff01020304")]
-query("ip_numbers", f"SELECT * FROM ({_values(ADDRESSES)}) AS v(ip, digits)", log=False)(lambda s, d: s.createDataFrame([(t,) for t, _ in ADDRESSES], "ip string").select("ip", ip_hex("ip").alias("digits")))
-#: Blocks of several widths and families, one inside another.
+over_log("tokens_unescaped", f"SELECT off, path || ' ' || plain || ' ' || k AS plain FROM log JOIN ({_values([(i, p) for i, (_, p) in enumerate(ESCAPED)])}) AS v(i, plain) ON off % {len(ESCAPED)} = i", lambda r: r.select("off", unescape_text(F.concat("path", F.lit(" "), _nth([t for t, _ in ESCAPED]), F.lit(" "), "k")).alias("plain")))
+_LOW = "lpad(lower(to_hex(k)), 4, '0')"
+over_log(
+    "ip_numbers", f"SELECT off, CASE off % 4 WHEN 0 THEN '20010db8' || repeat('0', 20) || {_LOW} WHEN 1 THEN repeat('0', 28) || {_LOW} ELSE ip_hex END AS digits FROM log",
+    lambda r: r.select("off", ip_hex(F.when(F.col("off") % 4 == 0, F.concat(F.lit("2001:DB8::"), F.lower(F.hex("k")))).when(F.col("off") % 4 == 1, F.concat(F.lit("::"), F.hex("k"))).when(F.col("off") % 4 == 2, F.concat(F.lit("::ffff:"), "ip")).otherwise(F.col("ip"))).alias("digits"))
+)
+over_log("ip_numbers_stored", "SELECT off, CASE off % 2 WHEN 0 THEN ip_hex END AS digits FROM log", lambda r: r.select("off", stored_ip_hex(F.when(F.col("off") % 2 == 0, F.col("ip")).otherwise(F.concat(F.lit("0"), "ip"))).alias("digits")))
+#: Blocks of several widths and families, one inside another, and addresses whose last part an event tells.
 BLOCKS = [("::/0", "all"), ("2001:db8::/32", "doc"), ("2001:db8:1::/48", "one"), ("10.0.0.0/8", "ten"), ("10.9.0.0/17", "nine"), ("10.9.8.7/32", "host")]
-ASKED = [("2001:db8:1::5", "one"), ("2001:db8:2::5", "doc"), ("fe80::1", "all"), ("10.9.8.7", "host"), ("10.9.8.8", "nine"), ("10.9.128.1", "ten"), ("11.0.0.1", "all")]
+ASKED = [("2001:db8:1::", "one"), ("2001:db8:2::", "doc"), ("fe80::", "all"), ("10.9.9.", "nine"), ("10.9.128.", "ten"), ("11.0.0.", "all")]
 
 
-@query("geo_range_join_v6", f"SELECT * FROM ({_values(ASKED)}) AS v(ip, name)", log=False)
+@query("geo_range_join_v6", f"SELECT off, name FROM log JOIN ({_values([(i, n) for i, (_, n) in enumerate(ASKED)])}) AS v(i, name) ON off % {len(ASKED)} = i")
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     blocks = spark.createDataFrame([(*hex_range(c), n) for c, n in BLOCKS], "lo string, hi string, name string")
-    asked = spark.createDataFrame([(a,) for a, _ in ASKED], "ip string").withColumn("ip_hex", ip_hex("ip"))
-    return asked.join(geo.range_lookup(asked, blocks), "ip_hex").select("ip", "name")
+    asked = log_rows(spark, d).select("off", ip_hex(F.concat(_nth([a for a, _ in ASKED]), "k")).alias("ip_hex"))
+    return asked.join(geo.range_lookup(asked, blocks), "ip_hex").select("off", "name")
+
+
+# other ways into the store
+
+
+@query("index_followed", f"SELECT ts, ip, {_LINE} FROM log")
+def _followed(spark: SparkSession, d: str) -> DataFrame:
+    """All events in one log: a stream reads the first third of it, a round the second, and the stream goes on."""
+    folder, work = _folder(spark), _folder(spark)
+    os.makedirs(folder)
+    base, store, last = f"{folder}/access.log", Store(spark, shared_path(spark, "store")), log_rows(spark, d).agg(F.max("off")).first()[0] or 0
+    rounds, check = Engine(spark, store, Catalogue([HostLog(base)])).rounds, shared_path(spark, "follow")
+    for k in range(3):
+        part = access_lines(log_rows(spark, d).where((F.col("off") * 3 >= k * last) & (F.col("off") * 3 < (k + 1) * last) if k < 2 else F.col("off") * 3 >= k * last))
+        _rotate(base, _write(part, f"{work}/{k}"))
+        if k == 1:
+            rounds.run(now=NOW)
+        else:
+            live = follow(store, base, "access", NOW, check)
+            live.processAllAvailable()
+            live.stop()
+    return store.rows().select("ts", "ip", "status", "method", "path", "referer", "user_agent", "bytes_sent", "request_time")
+
+
+@query("index_gzip", f"SELECT ts, ip, {_LINE} FROM log")
+def _zipped(spark: SparkSession, d: str) -> DataFrame:
+    """Plain logs are indexed; then all of them are there as compressed copies alone, with as many lines again behind them."""
+    folder, work = _folder(spark), _folder(spark)
+    os.makedirs(folder)
+    base, store, last = f"{folder}/access.log", Store(spark, shared_path(spark, "store")), log_rows(spark, d).agg(F.max("off")).first()[0] or 0
+    rounds = Engine(spark, store, Catalogue([HostLog(base)])).rounds
+    _rotate(base, _write(access_lines(log_rows(spark, d).where(F.col("off") * 2 < last)), f"{work}/a"))
+    rounds.run(now=NOW)
+    more = sorted(_write(access_lines(log_rows(spark, d).where(F.col("off") * 2 >= last)), f"{work}/b"))
+    for k, name in enumerate(sorted(f for f in os.listdir(folder) if f.startswith("access.log"))):
+        tail = [more.pop()] if more else []
+        # members one behind the other, as rotated logs that are appended to have
+        with open(f"{folder}/access.log.{100 + k}.gz", "wb") as out:
+            for path in [f"{folder}/{name}", *tail]:
+                with open(path, "rb") as src, gzip.open(out, "wb") as member:
+                    shutil.copyfileobj(src, member)
+        os.remove(f"{folder}/{name}")
+    for k, path in enumerate(more):
+        os.rename(path, f"{base}.{200 + k}")
+    rounds.run(now=NOW)
+    return store.rows().select("ts", "ip", "status", "method", "path", "referer", "user_agent", "bytes_sent", "request_time")
+
+
+@query("index_purged", "SELECT ts, ip, path FROM log UNION ALL SELECT ts, ip, path FROM errors WHERE false")
+def _purged(spark: SparkSession, d: str) -> DataFrame:
+    """A store that is purged and read again, then one group of it dropped as its log is neither listed nor there in two rounds."""
+    engine = _engine(spark, d)
+    store = Store(spark, shared_path(spark, "store"))
+    again = Engine(spark, store, Catalogue(list(engine.catalogue.logs)))
+    again.rounds.run(now=NOW)
+    store.purge()
+    again.rounds.run(now=NOW)
+    store.vacuum()
+    again.catalogue.logs = [x for x in again.catalogue.logs if x.kind == "access"]
+    gone = [g for g, k in engine.catalogue.groups() if k == "error"]
+    exists = os.path.exists
+    again.rounds.found = lambda path: path not in gone and exists(path)
+    for _ in range(2):
+        again.rounds.run(now=NOW)
+    return store.rows().select("ts", "ip", "path")
+
+
+@query("engine_totals", "SELECT 2 AS indexed, 0 AS indexing, (SELECT count(*) FROM log) + (SELECT count(*) FROM errors) AS documents")
+def _totals(spark: SparkSession, d: str) -> DataFrame:
+    found = _engine(spark, d).totals()
+    return spark.createDataFrame([tuple(found[k] for k in ("indexed", "indexing", "documents"))], "indexed int, indexing int, documents long")
+
+
+@query("engine_file_sizes", "SELECT 'access' AS kind, true AS whole, count(*) AS documents FROM log UNION ALL SELECT 'error', true, count(*) FROM errors")
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sizes and times of files that the status tells are those of the files."""
+    engine = _engine(spark, d)
+    out = []
+    for s in engine.status(name="log"):
+        files = engine.catalogue.group_files(s["path"])
+        out.append((s["kind"], (s["size"], s["files"], s["modified"]) == (sum(map(os.path.getsize, files)), len(files), max(int(os.path.getmtime(f)) for f in files)), s["documents"]))
+    return spark.createDataFrame(out, "kind string, whole boolean, documents long")

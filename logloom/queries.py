@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import geo, parse, useragent
 from logloom.functions.ip import hex_range, ipv4_hex
-from logloom.functions.tokens import atoms, has_all_terms, has_phrase, tokenize, tokenize_full
+from logloom.functions.tokens import atoms, has_all_terms, has_phrase, stored_full, tokenize
 from logloom.operators import dashboard, rollup, search, stats
 from logloom.operators.dashboard import Layout
 from logloom.plans.filters import Filter, compile_filter
@@ -194,7 +194,7 @@ box("filter_ip_exact", "", "ip = '10.0.1.1'", ips=["10.0.1.1"])
 box("filter_method_ci", "method:post", "method = 'POST'")
 box("filter_browser_ci", "browser:FIREFOX", "k % 6 = 3")
 box("filter_os_device", "os:android device:tablet", "k % 6 = 5")
-box("filter_country", "country:cn region:asia", "region_code = 'CN' AND lower(province) = 'asia'")
+box("filter_country", "country:cn region:america", "region_code = 'CN' AND lower(province) = 'america'")
 box("filter_level_none", "level:error", "false")
 box("filter_time_half_open", "", _O, start=ODD.start, end=ODD.end)
 box("filter_lists", "", "status IN (200, 404) AND method = 'GET' AND region_code = 'US'", statuses=[200, 404], methods=["GET"], countries=["US"])
@@ -231,10 +231,10 @@ text_query("text_exclude", "list_contains(t, 'the') AND NOT list_contains(t, 'of
 text_query("text_phrase", "contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')", lambda t: has_phrase(t, tokenize("of the", False, True)))
 
 
-@query("text_dotted_prefix", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}._])10\\.[0-9]+\\.[0-9]+\\.[0-9]+([^\\p{L}\\p{N}._]|\\.?$|\\.\\s)')", log=False)
+@query("text_dotted_prefix", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}._])19[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]+([^\\p{L}\\p{N}._]|\\.?$|\\.\\s)')", log=False)
 def _dotted(spark: SparkSession, d: str) -> DataFrame:
     """The full tokenizer, over all texts: the first group of a dotted number finds the number."""
-    return _docs(spark, d).where(F.exists(tokenize_full("text"), lambda t: t["term"].rlike(r"^10(\.[0-9]+){3}$"))).select("doc_id")
+    return _docs(spark, d).where(F.exists(stored_full(F.col("text")), lambda t: t["term"].rlike(r"^19[0-9](\.[0-9]+){3}$"))).select("doc_id")
 
 
 # statistics
@@ -329,9 +329,11 @@ ROTATIONS = [
 ]
 
 
-@query("rotation_collapse", "SELECT * FROM (VALUES " + ", ".join(map(str, ROTATIONS)) + ") AS t(path, main)", log=False)
+@query("rotation_collapse", f"SELECT off, '/l' || k || main AS main FROM log JOIN (VALUES {', '.join(str((i, *r)) for i, r in enumerate(ROTATIONS))}) AS t(i, path, main) ON off % {len(ROTATIONS)} = i")
 def _rotations(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql("VALUES " + ", ".join(f"('{p}')" for p, _ in ROTATIONS)).toDF("path").select("path", main_log_column(F.col("path")).alias("main"))
+    """A name for each event, in a folder of its own."""
+    name = F.get(F.array(*[F.lit(p) for p, _ in ROTATIONS]), (F.col("off") % len(ROTATIONS)).cast("int"))
+    return log_rows(spark, d).select("off", main_log_column(F.concat(F.lit("/l"), "k", name)).alias("main"))
 
 
 # incremental states: what a store of the whole table holds after appends and replacements

@@ -40,6 +40,8 @@ class Rounds:
     listener: Callable[[dict], None] = lambda event: None
     #: Bytes of log files that one commit takes.
     batch: int = 256 << 30
+    #: Whether a log's file is there.
+    found: Callable[[str], bool] = os.path.exists
     _stop: threading.Event = field(default_factory=threading.Event)
     _lock: threading.Lock = field(default_factory=threading.Lock)
     _stale: set[str] = field(default_factory=set)
@@ -158,7 +160,7 @@ class Rounds:
             return []
         listed = {g for g, _ in self.catalogue.groups()}
         m = self.store.manifest()
-        stale = {g for g in {*m.parts, *m.states} if g not in listed and not os.path.exists(g)}
+        stale = {g for g in {*m.parts, *m.states} if g not in listed and not self.found(g)}
         sure, self._stale = stale & self._stale, stale
         for group in sorted(sure):
             self.store.purge(group)
