@@ -107,7 +107,7 @@ class Engine:
 
     def hits(self, frame: DataFrame, chinese: bool = False) -> DataFrame:
         """Hits as clients see them: without token columns, with a label of the place."""
-        label = location_label([F.coalesce(c, F.lit("")) for c in ("region_code", "province", "city")], chinese)
+        label = location_label([F.coalesce(c, F.lit("")) for c in ("region_code", "province", "city", "c1", "c2", "c3", "c4")], chinese)
         return frame.drop("raw_tok", "path_tok", "ua_tok", "ref_tok", "ip_hex").withColumn("location", label)
 
     def status(self, kind: str = "", name: str = "", state: str = "") -> list[dict]:

@@ -26,6 +26,7 @@ from logloom.queries import _BROWSER, _DEVICE, _SYSTEM, DAYS, NOW, _bm25_sql, _d
 from logloom.shared import shared_path
 from logloom.sources.loglines import plan_file, read_plans
 from logloom.sources.logs import Catalogue, HostLog
+from logloom.sources.places import Places, write_database
 from logloom.sources.store import Store
 from logloom.streaming.live import follow
 from logloom.views import error_rows, log_rows
@@ -374,3 +375,31 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
         files = engine.catalogue.group_files(s["path"])
         out.append((s["kind"], (s["size"], s["files"], s["modified"]) == (sum(map(os.path.getsize, files)), len(files), max(int(os.path.getmtime(f)) for f in files)), s["documents"]))
     return spark.createDataFrame(out, "kind string, whole boolean, documents long")
+
+
+# places from databases
+
+#: What a city database says of some blocks, beside PLACES as a country database.
+CITIES = [
+    ("10.0.0.0/14", {"country": {"iso_code": "US"}, "subdivisions": [{"iso_code": "TX", "names": {"en": "Texas"}}, {"iso_code": " "}], "city": {"names": {"en": "Austin|Town"}, "geoname_id": 46}, "location": {"latitude": 30.267, "longitude": -97.743}, "c1": " rack "}),
+    ("10.0.4.0/22", {"country": {"iso_code": "HK"}, "province": {"names": {"zh-CN": "九龙"}}, "subdivisions": [{"iso_code": "KKC", "names": {"en": "Kowloon City"}}], "city": {"name_zh": "香港"}, "location": {"latitude": 22.3, "longitude": 114.17}}),
+    ("10.0.6.0/24", {"subdivisions": [{"iso_code": "BE"}, {"iso_code": "MI"}], "city": {"names": {"en": "Berlin"}}}),
+]
+
+
+@query(
+    "places_of_databases",
+    """SELECT off, CASE WHEN six THEN 'DE' WHEN upper THEN 'CN' ELSE 'US' END AS region_code, CASE WHEN six THEN NULL WHEN upper THEN 'Kowloon City' ELSE 'Texas' END AS province,
+      CASE WHEN six THEN 'Berlin' WHEN upper THEN '香港' ELSE 'Austin|Town' END AS city, CASE WHEN six THEN 'DE-BE' WHEN upper THEN 'CN-HK' ELSE 'US-TX' END AS sub1, CASE WHEN six THEN 'DE-MI' END AS sub2,
+      CASE WHEN six THEN NULL WHEN upper THEN 'CN|香港|22.30|114.17' ELSE 'US|Austin/Town|30.27|-97.74|46' END AS city_point, CASE WHEN NOT six AND NOT upper THEN 'rack' END AS c1
+    FROM (SELECT off, ip LIKE '10.0.6.%' AS six, ip LIKE '10.0.4.%' OR ip LIKE '10.0.5.%' OR ip LIKE '10.0.7.%' AS upper FROM log)""",
+)
+def _databases(spark: SparkSession, d: str) -> DataFrame:
+    """The places of all events' addresses from two files: a country database first, then one of cities."""
+    folder = _folder(spark)
+    os.makedirs(folder)
+    write_database(f"{folder}/countries", [(*hex_range(c), {"country": {"iso_code": country}}) for c, country, _ in PLACES], 24)
+    write_database(f"{folder}/cities", [(*hex_range(c), record) for c, record in CITIES], 28)
+    rows = log_rows(spark, d).select("off", "ip_hex")
+    found = Places(spark, f"{folder}/countries", f"{folder}/cities").locate(rows)
+    return rows.join(found, "ip_hex").select("off", "region_code", "province", "city", "sub1", "sub2", "city_point", "c1")

@@ -32,6 +32,7 @@ from logloom.operators.postings import POSTINGS, SCHEMA, index
 from logloom.operators.rollup import Rollup, build, merge
 from logloom.shared import look_up, materialise
 from logloom.sources.loglines import FileState
+from logloom.sources.places import Places
 
 #: Another number means another schema: the store is then empty and logs are read again.
 FORMAT = 2
@@ -43,7 +44,7 @@ FAN, MOST_DELETED = 8, 0.3
 ROLLUP_FLOOR = 1 << 20
 #: So many manifests stay, for readers that have just looked.
 KEPT = 8
-GEO = ["region_code", "province", "city", "sub1", "sub2", "city_point"]
+GEO = ["region_code", "province", "city", "sub1", "sub2", "city_point", "c1", "c2", "c3", "c4"]
 #: Content of a fingerprint from an offset up to another, or to its end.
 Range = tuple[str, int, int | None]
 
@@ -118,24 +119,27 @@ def tier(segments: list[Segment]) -> list[Segment]:
     return next(([s] for s in segments if s.dropped > MOST_DELETED * (s.rows + s.dropped)), [])
 
 
-def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations: DataFrame | None = None) -> DataFrame:
+def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations: DataFrame | Places | None = None) -> DataFrame:
     """Log rows of ``raw, off, fp, main_log_path`` lines, with tokens, names of clients and locations.
 
     Lines are read and parsed once, to a table. Names are looked up for each different agent of it, places for each
     different address, and joined without moving rows where there are few of them.
-    ``locations``: some of GEO by ip_hex, one row each, or by lo and hi, blocks of addresses; without it they're null.
+    ``locations``: databases, or a table of some of GEO by ip_hex, one row each, or by lo and hi, blocks of addresses; without it they're null.
     """
     base = lines.select("raw", "off", "fp", "main_log_path")
     rows = materialise((access_rows(base, now) if kind == "access" else error_rows(base, now, zone)).withColumn("ip_hex", stored_ip_hex(F.col("ip"))))
     named = clients(rows).select("user_agent", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("browser", "os", "device_type")])
     rows = look_up(rows, named, "user_agent")
-    held = [c for c in GEO if locations is not None and c in locations.columns]
-    if held:
-        found = range_lookup(rows, locations.select("lo", "hi", *held)) if "lo" in locations.columns else locations.select("ip_hex", *held)
-        rows = look_up(rows, found, "ip_hex")
-    rows = rows.withColumns({c: F.lit(None).cast("string") for c in GEO if c not in held})
-    country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
-    rows = rows.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2}) if held else rows
+    if isinstance(locations, Places):
+        rows = look_up(rows, locations.locate(rows), "ip_hex")
+    else:
+        held = [c for c in GEO if locations is not None and c in locations.columns]
+        if held:
+            found = range_lookup(rows, locations.select("lo", "hi", *held)) if "lo" in locations.columns else locations.select("ip_hex", *held)
+            rows = look_up(rows, found, "ip_hex")
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in GEO if c not in held})
+        country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
+        rows = rows.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2}) if held else rows
     return rows.withColumns({"raw_tok": stored_full(F.col("raw")), "path_tok": stored_atoms(F.col("path")), "ua_tok": stored_atoms(F.col("user_agent")), "ref_tok": stored_atoms(F.col("referer"))})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from logloom.sources.loglines import FilePlan, FileState, after, gzip_lengths, is_gzip, plan_file, read_plans
 from logloom.sources.logs import Catalogue
+from logloom.sources.places import Places
 from logloom.sources.store import Store, enrich
 
 #: At most so many states of files that are gone are kept for a group.
@@ -36,7 +37,7 @@ class Rounds:
     store: Store
     catalogue: Catalogue
     zone: str = "UTC"
-    locations: DataFrame | None = None
+    locations: DataFrame | Places | None = None
     listener: Callable[[dict], None] = lambda event: None
     #: Bytes of log files that one commit takes.
     batch: int = 256 << 30
