@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.stats import top_terms
+from logloom.shared import materialise
 
 HOUR, MARGIN = 3600, 12 * 3600
 #: The lengths of the lists.
@@ -173,8 +174,43 @@ def hour_labels(hours: DataFrame, lay: Layout) -> DataFrame:
     return hours.withColumn("timestamp", stamp).withColumn("hour", F.floor(F.pmod(stamp, F.lit(86400)) / HOUR))
 
 
+def counted(rows: DataFrame, lay: Layout) -> DataFrame:
+    """``kind, at, name, n, bytes``: all that a dashboard counts, by one scan and one aggregate, written to the shared folder.
+
+    Each row of the scan stands once in every series and list it counts in: with its address in the window, its hour
+    and its local day, so that different visitors are as many as there are rows of these; in its minute; and under its
+    names. What a task reads it adds up before it shuffles.
+    """
+    inside = (F.col("ts") >= lay.start) & (F.col("ts") < lay.end)
+    day = F.datediff(local_day(F.col("ts"), lay.zone), F.lit("1970-01-01").cast("date"))
+    known = lambda c: F.nullif(F.col(c), F.lit("")).isNotNull()
+    sets = [("window", inside, F.lit(0), F.col("ip")), ("hour", F.lit(True), bucket(lay), F.col("ip")), ("day", F.lit(True), day, F.col("ip")), ("minute", inside, F.floor((F.col("ts") - lay.start) / 60), None)]
+    sets += [(name, inside & known(c), F.lit(0), F.col(c)) for name, (c, _) in FACETS.items()]
+    each = [F.when(cond, F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"), (F.lit(None).cast("string") if name is None else name).alias("name"))) for kind, cond, at, name in sets]
+    told = in_scan(rows, lay).select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"), F.coalesce("bytes_sent", F.lit(0)).cast("long").alias("bytes"))
+    return materialise(told.groupBy("x.kind", "x.at", "x.name").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+
+
+def from_counts(counts: DataFrame, lay: Layout) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Window, hours, days, minutes and lists, as the single functions give them, from what counted() wrote."""
+    spark = counts.sparkSession
+    sums = [F.sum("n").alias("pv"), F.count("name").alias("uv"), F.sum("bytes").alias("bytes")]
+    of = lambda kind: counts.where(F.col("kind") == kind)
+    window = of("window").agg(*[F.coalesce(x, F.lit(0)).cast("long").alias(n) for x, n in zip(sums, ("pv", "uv", "bytes"), strict=True)])
+    hours = padded(hour_buckets(spark, lay), of("hour").where("at >= 0").groupBy(F.col("at").alias("bucket")).agg(*sums), "bucket", ["pv", "uv", "bytes"])
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("at").cast("int")).alias("day")
+    days = padded(day_grid(spark, lay), of("day").groupBy(day).agg(*sums), "day", ["pv", "uv", "bytes"])
+    minute = of("minute").select(F.col("at").alias("minute"), F.col("n").alias("pv"))
+    lists = {}
+    for name, (_, n) in FACETS.items():
+        top = of(name).select(F.col("name").alias("key"), F.col("n").alias("value")).orderBy(F.col("value").desc(), "key").limit(n)
+        lists[name] = top.join(F.broadcast(window.select("pv"))).select("key", "value", (F.col("value") * 100.0 / F.col("pv")).alias("percent"))  # one row
+    return window, hours, days, minute, lists
+
+
 def response(window: DataFrame, hours: DataFrame, days: DataFrame, minute: DataFrame, lists: dict[str, DataFrame], lay: Layout) -> dict[str, DataFrame]:
-    """The frames of a dashboard, however they were counted. Series and lists are empty, and figures 0, if the window has no views."""
+    """The frames of a dashboard, however they were counted. Series and lists are empty, and figures 0, if the window has no views. The window is counted once."""
+    window = materialise(window)
     some = F.broadcast(window.where("pv > 0").select(F.lit(1).alias("_some")))  # one row or none
     shown = {k: f.join(some).drop("_some") for k, f in {"hourly": hour_labels(hours, lay), "daily": days, **lists}.items()}
     figures = overview(window, shown["hourly"], shown["daily"], minute, lay).withColumn("peak_hour", F.coalesce("peak_hour", F.lit(0).cast("long")))
@@ -182,8 +218,8 @@ def response(window: DataFrame, hours: DataFrame, days: DataFrame, minute: DataF
 
 
 def dashboard(rows: DataFrame, lay: Layout) -> dict[str, DataFrame]:
-    """All frames of a dashboard from the rows themselves.
+    """All frames of a dashboard from the rows themselves, which are scanned once.
 
     Error rows aren't left out here: a dashboard of all groups counts them as views.
     """
-    return response(window_figures(rows, lay), hourly(rows, lay), daily(rows, lay), minutes(rows, lay), {k: facet(rows, lay, k) for k in FACETS}, lay)
+    return response(*from_counts(counted(rows, lay), lay), lay)

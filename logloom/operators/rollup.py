@@ -8,7 +8,7 @@ hours from the rollups and the cut hours at its edges from the rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logloom.operators import dashboard as d
 from logloom.operators.dashboard import HOUR, Layout, hour_of
 from logloom.operators.stats import status_class
+from logloom.shared import materialise
 
 GROUP = "main_log_path"
 #: The column of each kind of term.
@@ -94,6 +95,11 @@ class Hybrid:
         a, b = self.lay.start, self.lay.end
         return (F.col("hour") >= a) & (F.col("hour") < b), (F.col("ts") >= a) & (F.col("ts") < b)
 
+    @cached_property
+    def window(self) -> DataFrame:
+        """The window's figures, counted once for all that needs them."""
+        return materialise(self.window_figures())
+
     def window_figures(self) -> DataFrame:
         counted = self._counted(F.lit(0), F.lit(0), *self._inside())
         return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("pv", "uv", "bytes")])
@@ -124,8 +130,8 @@ class Hybrid:
         counted = self.whole("terms").where(hour & (F.col("kind") == kind)).select(F.col("term").alias("key"), "n").unionByName(
             self.edges.where(row).select(F.nullif(F.col(TERMS[kind]), F.lit("")).alias("key"), F.lit(1).cast("long").alias("n")).where("key is not null")
         ).groupBy("key").agg(F.sum("n").alias("value"))
-        total = self.window_figures().select("pv")
+        total = self.window.select("pv")
         return counted.orderBy(F.col("value").desc(), "key").limit(n).join(F.broadcast(total)).select("key", "value", (F.col("value") * 100.0 / F.col("pv")).alias("percent"))  # one row
 
     def dashboard(self) -> dict[str, DataFrame]:
-        return d.response(self.window_figures(), self.hourly(), self.daily(), self.minutes(), {k: self.facet(k) for k in d.FACETS}, self.lay)
+        return d.response(self.window, self.hourly(), self.daily(), self.minutes(), {k: self.facet(k) for k in d.FACETS}, self.lay)

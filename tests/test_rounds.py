@@ -226,3 +226,25 @@ def test_rollups_agree_with_a_scan(spark, start, length, zone):
     for name in ("overview", "hourly", "daily", "browsers"):
         assert sorted(map(tuple, mine[name].collect()), key=str) == sorted(map(tuple, direct[name].collect()), key=str), name
     assert sorted(map(tuple, hybrid.minutes().collect())) == sorted(map(tuple, d.minutes(rows, lay).collect()))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "America/New_York"])
+def test_one_pass_counts_what_single_scans_do(spark, zone, monkeypatch):
+    import random
+
+    from logloom.operators import dashboard as d
+
+    rng = random.Random(7)
+    data = [(BASE + rng.randrange(-90000, 200000), rng.choice(["1.1.1.1", "2.2.2.2", "::1", None]), rng.choice(["/a", "/b", "", None]), rng.choice([None, 1, 70]), rng.choice(["B", "", None]), "O", None, "/l/a.log") for _ in range(900)]
+    rows = spark.createDataFrame(data, "ts long, ip string, path string, bytes_sent long, browser string, os string, device_type string, main_log_path string")
+    for lay in (Layout(BASE + 1234, BASE + 95_000, zone), Layout(BASE + 9_000_000, BASE + 9_009_000, zone)):
+        scans = []
+        real = d.in_scan
+        monkeypatch.setattr(d, "in_scan", lambda *a: scans.append(1) or real(*a))
+        window, hours, days, minute, lists = d.from_counts(d.counted(rows, lay), lay)
+        assert len(scans) == 1
+        monkeypatch.setattr(d, "in_scan", real)
+        told = lambda f: sorted(map(tuple, f.select(sorted(f.columns)).collect()), key=str)
+        assert told(window) == told(d.window_figures(rows, lay)) and told(hours) == told(d.hourly(rows, lay)) and told(days) == told(d.daily(rows, lay)) and told(minute) == told(d.minutes(rows, lay))
+        clear = rows.replace("", None)
+        assert all(told(lists[k]) == told(d.facet(clear, lay, k)) for k in lists)
