@@ -8,7 +8,7 @@ by the squared margins that it would cross on the way, until the leaves it has t
 of the sample; leaf members are scored exactly in double precision.
 
 Equal vectors are indexed once, with their K + 1 smallest ids: no result needs more of them. A
-leaf's members are dealt into parts of bounded size, its queries go to all of them.
+leaf's members are dealt into parts of bounded size, and so are its queries; each part of the one meets each of the other.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ LEAF, LEAVES = 48, 128
 #: Share of the sample whose leaves a query takes, and the least number of sample vectors in them. The given embeddings
 #: are close to random directions in 64 dimensions, the hardest case for any tree: half of the rows give a recall of 0.9.
 SEARCH, SEARCH_LEAST = 0.6, 1_500
-#: Members of a leaf that meet a query in one task.
-PART = 20_000
+#: Members of a leaf, and queries that have taken it, that meet in one task.
+PART, QUERIES = 20_000, 20_000
 
 
 @dataclass
@@ -123,7 +123,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     Rows with a null id or vector, a null or non-finite component or all zeros take no part, nor do
     rows of another length than most have (of equally frequent lengths, the longer one). A query never finds rows of its own id.
     Equal scores rank by the smaller id; repeated rows of an id count once. Other columns are
-    ignored. An empty table gives an empty result.
+    ignored. An empty table gives an empty result. Trees see vectors divided by the largest component of all, so that
+    squares of large components don't overflow; scores are of the vectors as they are.
     """
     v = F.col("v")
     rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.transform(F.col(quoted(vec_col)), lambda x: x.cast("double")).alias("v"))
@@ -139,29 +140,38 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     dim = lengths["dim"]
     index = index.where(F.size("v") == dim)
     x = np.array([r["v"] for r in index.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()])
-    n, top = index.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()
-    lifted = _lifted(x, top)
+    unit = index.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()[0]
+    n, top = index.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + (c / unit) * (c / unit)))).first()
+    lifted = _lifted(x / unit, top)
     leaf = max(LEAF, len(x) // LEAVES)
     forest = spark.sparkContext.broadcast([grow(lifted, t, leaf) for t in range(TREES)])
     longest = math.sqrt(top)
     parts = max(1, math.ceil(n * leaf / len(x) / PART))
+    queries = sound.where(F.col("id") % every == 0).where(F.size("v") == dim).select("id", "v").distinct()
+    different = materialise(queries.groupBy("v").agg(F.min("id").alias("q")))
     want = max(SEARCH_LEAST, math.ceil(SEARCH * len(x)), 2 * k)
 
+    asking = max(1, math.ceil(different.count() * min(1.0, want / len(x)) / QUERIES))
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _lifted(_matrix(batch.column(1), dim), top)
+            m = _lifted(_matrix(batch.column(1), dim) / unit, top)
             rep = batch.column(0).to_numpy()
-            part = rep % parts
             for t, tree in enumerate(forest.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, "i4")), pa.array(leaf_of(tree, m)), pa.array(part), batch.column(0), batch.column(1)], ["tree", "leaf", "part", "rep", "v"])
+                leaves = pa.array(leaf_of(tree, m))
+                for k in range(asking):
+                    part = pa.array(rep % parts * asking + k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, "i4")), leaves, part, batch.column(0), batch.column(1)], ["tree", "leaf", "part", "rep", "v"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = _matrix(batch.column(1), dim)
             # a query's own length doesn't change its order of nearness; the added component is 0
-            m = np.hstack([raw * math.sqrt(top) / np.linalg.norm(raw, axis=1, keepdims=True), np.zeros((len(raw), 1))])
+            near = raw / np.abs(raw).max(axis=1, keepdims=True)
+            m = np.hstack([near * math.sqrt(top) / np.linalg.norm(near, axis=1, keepdims=True), np.zeros((len(raw), 1))])
+            own = batch.column(0).to_numpy() % asking
             for at in range(0, len(m), 256):
-                found = [(i, t, leaf, p) for i in range(at, min(at + 256, len(m))) for t, leaf in search(forest.value, m[i], want) for p in range(parts)]
+                found = [(i, t, leaf, p * asking + own[i]) for i in range(at, min(at + 256, len(m))) for t, leaf in search(forest.value, m[i], want) for p in range(parts)]
                 i, t, leaf, p = map(np.array, zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype("i4")), pa.array(leaf.astype("i8")), pa.array(p.astype("i8")), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], ["tree", "leaf", "part", "q", "qv"])
 
@@ -170,12 +180,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["q", "rep", "score"])
         m, q = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((members, "v"), (queries, "qv")))
         reps, qs = members.column("rep").to_numpy(), queries.column("q").to_numpy()
-        kth, out = min(k + 1, len(m)) - 1, []
+        scaled, kth, out = m / unit, min(k + 1, len(m)) - 1, []
         for at in range(0, len(q), 256):
-            rough = q[at : at + 256] @ m.T
+            asker = q[at : at + 256] / np.abs(q[at : at + 256]).max(axis=1, keepdims=True)
+            rough = asker @ scaled.T
             # all that may be among the k + 1 best once scored exactly, however many are equal
             least = -np.partition(-rough, kth, axis=1)[:, kth]
-            margin = 1e-12 * dim * np.abs(rough).max(axis=1) + 1e-12 * dim * np.linalg.norm(q[at : at + 256], axis=1) * longest
+            margin = 1e-12 * dim * np.abs(rough).max(axis=1) + 1e-12 * dim * np.linalg.norm(asker, axis=1) * longest
             i, j = np.nonzero(rough >= (least - margin)[:, None])
             score = inner_products(q[at + i], m[j])
             order = np.lexsort((reps[j], -score, i))
@@ -186,8 +197,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         return pa.concat_tables(out)
 
     members = index.select("rep", "v").mapInArrow(placed, "tree int, leaf long, part long, rep long, v array<double>")
-    queries = sound.where(F.col("id") % every == 0).where(F.size("v") == dim).select("id", "v").distinct()
-    different = queries.groupBy("v").agg(F.min("id").alias("q"))
     # few bytes and much work: as many tasks as shuffles have, whatever their size
     dealt = different.select("q", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
     told = dealt.mapInArrow(asked, "tree int, leaf long, part long, q long, qv array<double>")

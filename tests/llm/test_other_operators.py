@@ -207,6 +207,44 @@ def test_neighbours_of_odd_lengths_and_ties(spark):
     assert found == Counter(brute(rows, 20, 20))
 
 
+def test_parts_of_members_and_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SEARCH", 1.0)
+    want = Counter(brute(rows, 20, 20))
+    assert Counter(map(tuple, ann.nearest(df).collect())) == want
+    monkeypatch.setattr(ann, "PART", 5)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    assert Counter(map(tuple, ann.nearest(df).collect())) == want
+
+
+def test_large_components(spark):
+    """Squares that overflow make no difference: the same neighbours as of vectors 10^150 times smaller."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    near = lambda m: {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")).collect()}
+    assert near(x * 1e150) == near(x) and len(near(x)) == 300
+
+
+def test_recall_of_rows_that_outnumber_the_sample(spark, monkeypatch):
+    """Five rows for each that the forest is fitted on, and the least number of vectors to take doesn't bind."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(6000, 64))
+    monkeypatch.setattr(ann, "SAMPLE", 1200)
+    monkeypatch.setattr(ann, "SEARCH_LEAST", 50)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for k in range(0, 6000, 20):
+        s = x @ x[k]
+        s[k] = -np.inf
+        hits += len(got[k] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    print("recall", hits / 6000)
+    assert hits >= 0.9 * 6000
+
+
 def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 200), (7, None)]
     df = spark.createDataFrame(edges, "a long, b long")
