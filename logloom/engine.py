@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import os
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import date
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from logloom.functions.geo import location_label
-from logloom.operators import dashboard, search, stats
+from logloom.operators import dashboard, hits, search, stats
 from logloom.operators.dashboard import Layout
 from logloom.operators.rollup import Hybrid
 from logloom.plans.filters import Filter, compile_filter, filter_of, validate_range
 from logloom.sources.logs import Catalogue, clean_path, decode_path
 from logloom.sources.store import Store
-from logloom.streaming.rounds import Rounds, RoundReport
+from logloom.streaming.rounds import RebuildError, RoundReport, Rounds
 
 
 class ScopeError(ValueError):
     """A path that isn't listed, or that the question doesn't fit."""
 
 
+#: The scope of coded errors, and the numbers and texts that clients translate.
+SCOPE = "nginx_log"
+NOT_LISTED, NO_ACCESS = (50014, "log path is not under whitelist"), (50015, "cannot access log file")
+NO_REBUILD, NO_FILE_REBUILD = (50018, "failed to rebuild index"), (50019, "failed to rebuild file index")
+
+
+def answer(ask: Callable[[], Any], group: str = "") -> tuple[int, Any]:
+    """A status and what ``ask`` gives, or the error that it ends with as clients read errors. ``group``: of the question, for rebuilds."""
+    try:
+        return 200, ask()
+    except RebuildError as e:
+        code, text = NOT_LISTED if str(e) == "not_allowed" else NO_FILE_REBUILD if group else NO_REBUILD
+        return 500, {"scope": SCOPE, "code": code, "message": text, "params": [str(e)]}
+    except ScopeError as e:
+        code, text = NO_ACCESS if "no dashboard" in str(e) or "nothing" in str(e) else NOT_LISTED
+        return 500, {"scope": SCOPE, "code": code, "message": text, "params": [str(e)]}
+    except (ValueError, TypeError, KeyError) as e:
+        return 406, {"scope": "validate", "code": 406, "message": "Validation error", "errors": {"body": str(e)}}
+
+
 def split_comma(value: str) -> list[str]:
     return [x for x in (p.strip() for p in value.split(",")) if x]
 
@@ -106,9 +127,8 @@ class Engine:
         return stats.countries(rows, {"world": 300, "stats": 20}[kind])
 
     def hits(self, frame: DataFrame, chinese: bool = False) -> DataFrame:
-        """Hits as clients see them: without token columns, with a label of the place."""
-        label = location_label([F.coalesce(c, F.lit("")) for c in ("region_code", "province", "city", "c1", "c2", "c3", "c4")], chinese)
-        return frame.drop("raw_tok", "path_tok", "ua_tok", "ref_tok", "ip_hex").withColumn("location", label)
+        """Hits as clients see them: without token columns, with their JSON and a label of the place."""
+        return hits.entries(frame.drop("raw_tok", "path_tok", "ua_tok", "ref_tok", "ip_hex"), self.zone, chinese)
 
     def status(self, kind: str = "", name: str = "", state: str = "") -> list[dict]:
         """Groups with what is indexed of them, sorted; narrowed by kind, a part of the path and state. Told by the manifest, without a job."""
@@ -121,7 +141,8 @@ class Engine:
             out.append(
                 {"path": group, "kind": k, "files": len(states), "size": sum(s["size"] for s in states), "modified": max((s["mtime_ns"] // 10**9 for s in states), default=0), "indexed_at": max((s["indexed_at"] for s in states), default=0),
                  "documents": known.get(group, {}).get("docs", 0), "first": known.get(group, {}).get("first"), "last": known.get(group, {}).get("last"),
-                 "state": "indexing" if group in self.rounds.busy else "indexed" if group in known else "not_indexed"}
+                 "state": "indexing" if group in self.rounds.busy else "queued" if group in self.rounds.queue else "indexed" if group in known else "failed" if group in self.rounds.failures else "not_indexed",
+                 "retries": self.rounds.failures.get(group, 0)}
             )
         return [s for s in out if not state or s["state"] == state]
 
@@ -132,14 +153,38 @@ class Engine:
         return {"files": sum(s["files"] for s in found), "indexed": count("indexed"), "indexing": count("indexing"), "documents": sum(s["documents"] for s in found)}
 
     def preflight(self, path: str = "") -> dict:
-        """Whether questions about a log can be answered now."""
+        """Whether questions about a log can be answered now: its state, its file, the times it covers, and why not."""
+        told = {"available": False, "state": "not_indexed", "message": "", "time_range": None, "file": None, "documents": 0}
         try:
             group = self.resolve(path)
         except ScopeError as e:
-            return {"available": False, "reason": str(e)}
-        found = [s for s in self.status() if group is None or s["path"] == group]
-        ready = any(s["documents"] for s in found)
-        return {"available": ready, "state": found[0]["state"] if group and found else "indexed" if ready else "not_indexed", "documents": sum(s["documents"] for s in found)}
+            return told | {"state": "error", "message": str(e), "file": {"exists": False, "readable": False, "size": 0, "modified": 0}}
+        if group is None:  # all logs
+            known = self.store.figures().values()
+            return told | {"available": True, "state": "indexed" if known else "not_indexed", "documents": sum(x["docs"] for x in known)}
+        asked = clean_path(decode_path(path)) if path else group
+        states = self.store.states(group)
+        known = self.store.figures([group]).get(group) if any(s.indexed_at for s in states.values()) else None
+        if known:
+            told |= {"available": True, "state": "indexed", "time_range": (known["first"], known["last"]), "documents": known["docs"]}
+        elif any(s.indexed_at for s in states.values()):
+            told |= {"available": True, "state": "indexed"}
+        elif group in self.rounds.busy:
+            told["state"] = "indexing"
+        elif group in self.rounds.queue:
+            told["state"] = "queued"
+        try:
+            stat = os.stat(asked)
+            readable = os.access(asked, os.R_OK)
+        except FileNotFoundError:
+            why = "its file is gone, what was indexed of it is available" if told["available"] else "log file does not exist"
+            return told | {"message": why, "file": {"exists": False, "readable": False, "size": 0, "modified": 0}}
+        except OSError as e:
+            return told | {"available": False, "state": "error", "message": f"cannot access log file: {e}", "file": {"exists": True, "readable": False, "size": 0, "modified": 0}}
+        told["file"] = {"exists": True, "readable": readable, "size": stat.st_size, "modified": int(stat.st_mtime)}
+        if not readable:
+            return told | {"available": False, "state": "error", "message": "cannot access log file"}
+        return told | {"message": "" if states else "log file not indexed yet"}
 
     def warm(self) -> int:
         rows = self.store.rows()

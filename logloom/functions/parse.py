@@ -109,7 +109,9 @@ def is_valid(e: Column, line: Column, now: int) -> Column:
 def error_time(t: Column, zone: str) -> Column:
     """Epoch seconds of ``yyyy/mm/dd hh:mm:ss`` in a zone; of two meanings the first, times in a gap an hour later."""
     stamp = F.try_to_timestamp(t, F.lit("yyyy/MM/dd HH:mm:ss"))
-    return F.unix_timestamp(F.to_utc_timestamp(stamp, zone)).cast("long")
+    utc, later = F.to_utc_timestamp(stamp, zone), F.to_utc_timestamp(stamp + F.expr("INTERVAL 1 HOUR"), zone)
+    # a time in a gap doesn't come back as it was, however long the gap is
+    return F.unix_timestamp(F.when(F.from_utc_timestamp(utc, zone) == stamp, utc).otherwise(later)).cast("long")
 
 
 _KEYS = "|".join(k for k, _ in CONTEXT)

@@ -377,6 +377,24 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "kind string, whole boolean, documents long")
 
 
+@query(
+    "index_hits",
+    "SELECT ts, ip, path, 'HTTP/1.1' AS protocol, CAST(status AS VARCHAR) AS status, CASE k % 6 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (b, _) in enumerate(_VERSIONS)) + " END AS browser_version, request_time >= 0.0000005 AS timed, CASE WHEN ip LIKE '10.0.6.%' THEN 'DE, Berlin' WHEN ip LIKE '10.0.4.%' OR ip LIKE '10.0.5.%' OR ip LIKE '10.0.7.%' THEN 'CN, Kowloon' ELSE 'US, Texas' END AS location FROM log",
+)
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the index as the entry that a client sees."""
+    shown = _engine(spark, d).hits(_index(spark, d))
+    part = lambda name: F.get_json_object("entry", f"$.{name}")
+    return shown.select(part("timestamp").cast("long").alias("ts"), part("ip").alias("ip"), part("path").alias("path"), part("protocol").alias("protocol"), part("status").alias("status"), part("browser_version").alias("browser_version"), F.when(part("request_time").isNotNull(), True).otherwise(F.when(F.col("raw").rlike(r" null -$"), None).otherwise(False)).alias("timed"), "location")
+
+
+@query("index_error_hits", "SELECT ts, level, '12' AS pid, CAST(off AS VARCHAR) AS connection, 'it broke' AS message, ip, 'GET ' || path || ' HTTP/1.1' AS request, 'h' AS host, '' AS upstream FROM errors")
+def _error_hits(spark: SparkSession, d: str) -> DataFrame:
+    shown = _engine(spark, d).hits(_index(spark, d, "error"))
+    part = lambda name: F.get_json_object("entry", f"$.{name}").alias(name)
+    return shown.select("ts", *[part(c) for c in ("level", "pid", "connection", "message", "ip", "request", "host", "upstream")])
+
+
 # places from databases
 
 #: What a city database says of some blocks, beside PLACES as a country database.

@@ -354,17 +354,21 @@ def _append(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d)[0].rows().groupBy("main_log_path").agg(F.count("*").alias("docs"), F.sum("bytes_sent").alias("bytes"))
 
 
-def _replaced(spark: SparkSession, d: str, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """All rows of a store whose content from ``start`` (where the second part starts) was replaced by new rows up to ``stop`` (the end), a second later."""
+def _replaced(spark: SparkSession, d: str, share: int = 0, upto: int = 0) -> DataFrame:
+    """All rows of a store whose content from an offset was replaced by new rows, a second later.
+
+    The offset is where the second part starts, and the new rows go to the end; or, told in ``share``-ths of the last offset, they go from one to ``upto`` of these.
+    """
     store, rows, cut = _stored(spark, d)
-    start = cut if start is None else start
-    new = rows.where(F.col("off") >= start) if stop is None else rows.where(F.col("off").between(start, stop))
+    part = (rows.agg(F.max("off")).first()[0] or 0) // share if share else 0
+    start = part if share else cut
+    new = rows.where(F.col("off").between(start, part * upto)) if share else rows.where(F.col("off") >= start)
     store.commit(GROUP, new.withColumn("ts", F.col("ts") + 1), [], delete=[("f1", start)])
     store.vacuum()
     return store.rows()
 
 
-query("incremental_replace", "SELECT off, ts FROM log WHERE off < 300 UNION ALL SELECT off, ts + 1 FROM log WHERE off BETWEEN 300 AND 350")(lambda s, d: _replaced(s, d, 300, 350).select("off", "ts"))
+query("incremental_replace", "SELECT off, ts + CASE WHEN off >= last // 4 THEN 1 ELSE 0 END AS ts FROM log, (SELECT max(off) AS last FROM log) WHERE off <= last // 4 * 3")(lambda s, d: _replaced(s, d, 4, 3).select("off", "ts"))
 query("incremental_replace_tail", "SELECT off, ts + CASE WHEN off >= (SELECT max(off) // 2 FROM log) THEN 1 ELSE 0 END AS ts, ip, path, bytes_sent FROM log")(
     lambda s, d: _replaced(s, d).select("off", "ts", "ip", "path", "bytes_sent")
 )

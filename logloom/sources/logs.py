@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DASH = re.compile(r"^(.+\..+)-(?:\d{8}|\d{4}-\d{2}-\d{2})$", re.S)
-_DOTS = re.compile(r"^(.+)\.\d{4}\.\d{2}\.\d{2}$", re.S)
-_DATE = re.compile(r"\d{8}|\d{4}-\d{2}-\d{2}|\d{6}")
-_NUMBER = re.compile(r"^(.+)\.\d{1,3}$", re.S)
-_MIDDLE = re.compile(r"^(.+)\.\d{1,3}\.log$", re.S)
+#: Endings of compressed files, each taken off once, and what rotated names look like, in order: what is kept of them, and what comes behind it.
+ENDINGS = ("gz", "bz2", "xz", "lz4")
+_DATE = r"(?:\d{8}|\d{4}-\d{2}-\d{2}"
+ROTATED = [
+    (rf"(.+\..+)-{_DATE})", ""), (r"(.+)\.\d{4}\.\d{2}\.\d{2}", ""), (rf"(.*\..*)\.{_DATE}|\d{{6}})", ""), (r"(.+)\.\d{1,3}", ""), (r"(.+)\.\d{1,3}\.log", ".log"),
+    (rf"(){_DATE}|\d{{6}}|2\d{{3}}\.\d{{2}}\.\d{{2}})", "access.log"),
+]
 PREFIX = "b64_"
 
 
@@ -26,46 +28,23 @@ def clean_path(path: str) -> str:
 
 
 def main_log_path(path: str) -> str:
-    """The live log that a rotated or compressed file belongs to; the path itself if its name tells none.
-
-    Rules in order: compressed suffixes, each once; a date after a dash; three numbers as a date; a
-    date as the last part; a number of up to three digits as the last part, or before ``.log``; a name that is only a date.
-    """
+    """The live log that a rotated or compressed file belongs to; the path itself if its name tells none."""
     folder, name = posixpath.split(path.rstrip("/"))
-    if not name or name in (".", ".."):
-        return path
-    for suffix in (".gz", ".bz2", ".xz", ".lz4"):
-        name = name.removesuffix(suffix)
-    parts = name.split(".")
-    if m := _DASH.match(name):
-        main = m[1]
-    elif len(parts) >= 4 and (m := _DOTS.match(name)):
-        main = m[1]
-    elif len(parts) >= 3 and _DATE.fullmatch(parts[-1]):
-        main = ".".join(parts[:-1])
-    elif m := _NUMBER.match(name):
-        main = m[1]
-    elif m := _MIDDLE.match(name):
-        main = f"{m[1]}.log"
-    elif _DATE.fullmatch(name) or re.fullmatch(r"2\d{3}\.\d{2}\.\d{2}", name):
-        main = "access.log"
-    else:
-        return path
-    return clean_path(posixpath.join(folder, main))
+    for ending in ENDINGS:
+        name = name.removesuffix(f".{ending}")
+    found = ((re.fullmatch(pattern, name, re.S | re.A), tail) for pattern, tail in ROTATED)
+    return next((clean_path(posixpath.join(folder, m[1] + tail)) for m, tail in found if m and name not in (".", "..")), path)
 
 
 def main_log_column(path: Column) -> Column:
     """The same over a column, by built-in functions, for absolute paths with a name."""
     folder, name = F.regexp_extract(path, r"(?s)^(.*/)[^/]*$", 1), F.regexp_extract(path, r"(?s)([^/]*)$", 1)
-    for suffix in ("gz", "bz2", "xz", "lz4"):
-        name = F.regexp_replace(name, rf"\.{suffix}$", "")
-    rules = [
-        (r"(?s)^(.+\..+)-(?:\d{8}|\d{4}-\d{2}-\d{2})$", ""), (r"(?s)^(.+)\.\d{4}\.\d{2}\.\d{2}$", ""), (r"(?s)^(.+\..*)\.(?:\d{8}|\d{4}-\d{2}-\d{2}|\d{6})$", ""),
-        (r"(?s)^(.+)\.\d{1,3}$", ""), (r"(?s)^(.+)\.\d{1,3}\.log$", ".log"),
-    ]
-    out = F.when(name.rlike(r"^(?:\d{8}|\d{4}-\d{2}-\d{2}|\d{6}|2\d{3}\.\d{2}\.\d{2})$"), F.concat(folder, F.lit("access.log"))).otherwise(path)
-    for pattern, tail in reversed(rules):
-        out = F.when(name.rlike(pattern), F.concat(folder, F.regexp_extract(name, pattern, 1), F.lit(tail))).otherwise(out)
+    for ending in ENDINGS:
+        name = F.regexp_replace(name, rf"\.{ending}$", "")
+    out = path
+    for pattern, tail in reversed(ROTATED):
+        whole = f"(?s)^{pattern}$"
+        out = F.when(name.rlike(whole), F.concat(folder, F.regexp_extract(name, whole, 1), F.lit(tail))).otherwise(out)
     return out
 
 

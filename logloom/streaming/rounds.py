@@ -28,11 +28,15 @@ class RoundReport:
     groups: list[str] = field(default_factory=list)
     files: int = 0
     removed: list[str] = field(default_factory=list)
+    #: Why groups could not be read.
+    failed: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
 class Rounds:
-    """Rounds over a catalogue into a store. They never overlap; ``listener`` hears of phases."""
+    """Rounds over a catalogue into a store. They never overlap; ``listener`` hears of phases: ``queued`` with a place in the row,
+    ``indexing`` with a percentage, ``done``, ``stopped``, and ``failed`` with a message and how often it has failed running. A group that fails doesn't keep others from being read.
+    """
 
     store: Store
     catalogue: Catalogue
@@ -47,6 +51,9 @@ class Rounds:
     _lock: threading.Lock = field(default_factory=threading.Lock)
     _stale: set[str] = field(default_factory=set)
     busy: set[str] = field(default_factory=set)
+    #: Groups that wait in the round at work, and how often groups have failed since they were last read.
+    queue: list[str] = field(default_factory=list)
+    failures: dict[str, int] = field(default_factory=dict)
 
     def cancel(self) -> None:
         """Stops the round after the commit at work. What it has committed stays; the group is dirty, and the next round reads on."""
@@ -60,24 +67,34 @@ class Rounds:
         self._stop.clear()
         try:
             report = RoundReport(removed=self._prune())
-            for group, kind in self.catalogue.groups():
-                if (groups is None or group in groups) and not self._stop.is_set():
-                    self.busy.add(group)
-                    self.listener({"group": group, "phase": "indexing"})
-                    try:
-                        n = self._group(group, kind, rebuild, now)
-                    except Exception:
-                        self.listener({"group": group, "phase": "failed"})
-                        raise
-                    finally:
-                        self.busy.discard(group)
-                    if n:
-                        report.groups.append(group)
-                        report.files += n
-                    if not self._stop.is_set():
-                        self.listener({"group": group, "phase": "done", "files": n})
+            todo = [(g, kind) for g, kind in self.catalogue.groups() if groups is None or g in groups]
+            self.queue[:] = [g for g, _ in todo]
+            for k, group in enumerate(self.queue):
+                self.listener({"group": group, "phase": "queued", "place": k + 1})
+            for group, kind in todo:
+                if self._stop.is_set():
+                    break
+                self.queue.remove(group)
+                self.busy.add(group)
+                self.listener({"group": group, "phase": "indexing"})
+                try:
+                    n = self._group(group, kind, rebuild, now)
+                except Exception as e:
+                    self.failures[group] = self.failures.get(group, 0) + 1
+                    report.failed[group] = str(e)
+                    self.listener({"group": group, "phase": "failed", "message": str(e), "retries": self.failures[group]})
+                    continue
+                finally:
+                    self.busy.discard(group)
+                self.failures.pop(group, None)
+                if n:
+                    report.groups.append(group)
+                    report.files += n
+                if not self._stop.is_set():
+                    self.listener({"group": group, "phase": "done", "files": n})
             return report
         finally:
+            self.queue.clear()
             self._lock.release()
 
     def _group(self, group: str, kind: str, rebuild: bool, now: int) -> int:
@@ -171,10 +188,10 @@ class Rounds:
         """The groups that a rebuild may take, None for all; an error says why it can't."""
         if group is not None and group not in {g for g, _ in self.catalogue.groups()}:
             raise RebuildError("not_allowed")
-        if group is None and self._lock.locked():
-            raise RebuildError("busy")
-        if group in self.busy:
+        if group in self.busy or group in self.queue:
             raise RebuildError("group_busy")
+        if self._lock.locked():
+            raise RebuildError("busy")
         return [group] if group else None
 
     def states(self) -> list[FileState]:
