@@ -23,15 +23,16 @@ from logloom.operators import dashboard, postings, search
 from logloom.operators.dashboard import Layout
 from logloom.plans.filters import Filter, compile_filter
 from logloom.queries import _BROWSER, _DEVICE, _SYSTEM, DAYS, NOW, _bm25_sql, _daily_sql, _hourly_sql, _response_sql, _tokened, _window_sql, access_lines, box, error_lines, over_log, query, text_query
-from logloom.shared import shared_path
+from logloom.shared import materialise, shared_path
 from logloom.sources.loglines import plan_file, read_plans
 from logloom.sources.logs import Catalogue, HostLog
 from logloom.sources.places import Places, write_database
 from logloom.sources.store import Store
 from logloom.streaming.live import follow
-from logloom.views import error_rows, log_rows
+from logloom.views import GROUP, error_rows, log_rows
 
 _ENGINES: dict[tuple[str, str], Engine] = {}
+_STORES: dict[tuple[str, str], Store] = {}
 #: A log is written as so many files at most.
 FILES = 64
 #: Blocks of addresses and the places they lie in.
@@ -360,6 +361,73 @@ def _purged(spark: SparkSession, d: str) -> DataFrame:
     return store.rows().select("ts", "ip", "path")
 
 
+def _site(spark: SparkSession, d: str, parts: int = 1) -> Engine:
+    """A site with all events in one access log, of ``parts`` files, that no round has read."""
+    folder, work = _folder(spark), _folder(spark)
+    os.makedirs(folder)
+    rows = access_lines(log_rows(spark, d).repartition(parts, "off")) if parts > 1 else access_lines(log_rows(spark, d))
+    _rotate(f"{folder}/access.log", _write(rows, f"{work}/lines"))
+    return Engine(spark, Store(spark, shared_path(spark, "store")), Catalogue([HostLog(f"{folder}/access.log")]))
+
+
+@query("index_batches", f"SELECT ts, ip, {_LINE} FROM log")
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """A round that commits a quarter of the log at a time, is stopped after the first, and another that reads on."""
+    engine = _site(spark, d, 3)
+    (group, _), *_ = engine.catalogue.groups()
+    rounds, heard = engine.rounds, engine.rounds.listener
+    rounds.batch = max(1, sum(map(os.path.getsize, engine.catalogue.group_files(group))) // 4)
+    rounds.listener = lambda e: rounds.cancel() if e.get("percent") else None
+    rounds.run(now=NOW)
+    if group not in engine.store.manifest().dirty:
+        raise AssertionError("the round wasn't stopped within its import")
+    rounds.listener = heard
+    rounds.run(now=NOW)
+    return engine.store.rows().select("ts", "ip", "status", "method", "path", "referer", "user_agent", "bytes_sent", "request_time")
+
+
+@query("index_rebuilt", f"SELECT ts, ip, {_LINE} FROM log")
+def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    engine = _site(spark, d, 2)
+    engine.rounds.run(now=NOW)
+    engine.index(engine.catalogue.logs[0].path, rebuild=True)
+    engine.store.vacuum()
+    return engine.store.rows().select("ts", "ip", "status", "method", "path", "referer", "user_agent", "bytes_sent", "request_time")
+
+
+def _late(spark: SparkSession, d: str) -> Store:
+    """All events in nine commits, the latest first, one hour in each of them; then segments are merged, and a ninth of the content is replaced by itself."""
+    key = spark.sparkContext.applicationId, d
+    if key in _STORES:
+        return _STORES[key]
+    rows = materialise(useragent.with_clients(log_rows(spark, d)).withColumn("fp", F.concat(F.lit("f"), (8 - F.col("off") % 9).cast("string"))))
+    store = Store(spark, shared_path(spark, "store"))
+    for k in range(9):
+        store.commit(GROUP, rows.where(F.col("fp") == f"f{k}"))
+    if not store.compact(GROUP):
+        raise AssertionError("nothing was merged")
+    store.commit(GROUP, rows.where("fp = 'f4'"), delete=[("f4", 0)])
+    _STORES[key] = store
+    return store
+
+
+query("index_merged", "SELECT off, ts, ip, path, bytes_sent FROM log")(lambda s, d: _late(s, d).rows().select("off", "ts", "ip", "path", "bytes_sent"))
+query("index_merged_hours", "SELECT ts - ts % 3600 AS hour, count(*) AS pv, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM log GROUP BY 1")(lambda s, d: _late(s, d).rollup().hours.select("hour", "pv", "bytes"))
+query("index_merged_figures", "SELECT count(*) AS docs, min(ts) AS first, max(ts) AS last FROM log")(
+    lambda s, d: s.createDataFrame([tuple(_late(s, d).figures()[GROUP][c] for c in ("docs", "first", "last"))], "docs long, first long, last long")
+)
+query("engine_warm", "SELECT (SELECT count(*) FROM log) + (SELECT count(*) FROM errors) AS n")(lambda s, d: s.createDataFrame([(_engine(s, d).warm(),)], "n long"))
+query("engine_geo_regions", f"SELECT sub AS key, 1 AS level, count(*) AS value, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM ({_PLACED}) WHERE country = 'CN') AS percent FROM ({_PLACED}) WHERE country = 'CN' AND sub IS NOT NULL GROUP BY 1")(
+    lambda s, d: _engine(s, d).geo("regions", next(g for g, k in _engine(s, d).catalogue.groups() if k == "access"), country="CN")
+)
+query("engine_geo_stats", f"SELECT country AS key, count(*) AS value, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log WHERE ts >= {DAYS.start} AND ts < {DAYS.end}) AS percent FROM ({_PLACED}) WHERE ts >= {DAYS.start} AND ts < {DAYS.end} GROUP BY 1")(
+    lambda s, d: _engine(s, d).geo("stats", next(g for g, k in _engine(s, d).catalogue.groups() if k == "access"), DAYS.start, DAYS.end)
+)
+query("engine_status_filters", "SELECT 'error' AS kind, count(*) AS documents FROM errors UNION ALL SELECT 'access', count(*) FROM log")(
+    lambda s, d: s.createDataFrame([(x["kind"], x["documents"]) for found in (_engine(s, d).status("error", "error.", "indexed"), _engine(s, d).status(name="access"), _engine(s, d).status(state="indexing")) for x in found], "kind string, documents long")
+)
+
+
 @query("engine_totals", "SELECT 2 AS indexed, 0 AS indexing, (SELECT count(*) FROM log) + (SELECT count(*) FROM errors) AS documents")
 def _totals(spark: SparkSession, d: str) -> DataFrame:
     found = _engine(spark, d).totals()
