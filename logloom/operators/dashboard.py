@@ -174,21 +174,37 @@ def hour_labels(hours: DataFrame, lay: Layout) -> DataFrame:
     return hours.withColumn("timestamp", stamp).withColumn("hour", F.floor(F.pmod(stamp, F.lit(86400)) / HOUR))
 
 
-def counted(rows: DataFrame, lay: Layout) -> DataFrame:
-    """``kind, at, name, n, bytes``: all that a dashboard counts, by one scan and one aggregate, written to the shared folder.
+#: What is counted: ``kind`` of series or list, place ``at`` in it, ``name`` of visitor or term.
+COUNTS = ["kind", "at", "name", "n", "bytes"]
+
+
+def day_number(ts: Column, zone: str) -> Column:
+    return F.datediff(local_day(ts, zone), F.lit("1970-01-01").cast("date"))
 
-    Each row of the scan stands once in every series and list it counts in: with its address in the window, its hour
-    and its local day, so that different visitors are as many as there are rows of these; in its minute; and under its
-    names. What a task reads it adds up before it shuffles.
+
+def told(rows: DataFrame, lay: Layout, minutes: bool = True) -> DataFrame:
+    """COUNTS of each row of the scan in every series and list it counts in: with its address in the window, its hour
+    and its local day, so that different visitors are as many as there are names in these; in its minute; and under its names.
     """
     inside = (F.col("ts") >= lay.start) & (F.col("ts") < lay.end)
-    day = F.datediff(local_day(F.col("ts"), lay.zone), F.lit("1970-01-01").cast("date"))
     known = lambda c: F.nullif(F.col(c), F.lit("")).isNotNull()
-    sets = [("window", inside, F.lit(0), F.col("ip")), ("hour", F.lit(True), bucket(lay), F.col("ip")), ("day", F.lit(True), day, F.col("ip")), ("minute", inside, F.floor((F.col("ts") - lay.start) / 60), None)]
+    none = F.lit(None).cast("string")
+    sets = [("window", inside, F.lit(0), F.col("ip")), ("hour", F.lit(True), bucket(lay), F.col("ip")), ("day", F.lit(True), day_number(F.col("ts"), lay.zone), F.col("ip"))]
+    sets += [("minute", inside, F.floor((F.col("ts") - lay.start) / 60), none)] if minutes else []
     sets += [(name, inside & known(c), F.lit(0), F.col(c)) for name, (c, _) in FACETS.items()]
-    each = [F.when(cond, F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"), (F.lit(None).cast("string") if name is None else name).alias("name"))) for kind, cond, at, name in sets]
-    told = in_scan(rows, lay).select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"), F.coalesce("bytes_sent", F.lit(0)).cast("long").alias("bytes"))
-    return materialise(told.groupBy("x.kind", "x.at", "x.name").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+    each = [F.when(cond, F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"), name.alias("name"))) for kind, cond, at, name in sets]
+    out = in_scan(rows, lay).select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"), F.coalesce("bytes_sent", F.lit(0)).cast("long").alias("bytes"))
+    return out.select("x.*", F.lit(1).cast("long").alias("n"), "bytes")
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """COUNTS added up by one aggregate, which combines before it shuffles, and written to the shared folder."""
+    return materialise(counts.groupBy("kind", "at", "name").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+
+
+def counted(rows: DataFrame, lay: Layout) -> DataFrame:
+    """All that a dashboard counts, by one scan of the rows."""
+    return summed(told(rows, lay))
 
 
 def from_counts(counts: DataFrame, lay: Layout) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:

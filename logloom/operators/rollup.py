@@ -133,5 +133,19 @@ class Hybrid:
         total = self.window.select("pv")
         return counted.orderBy(F.col("value").desc(), "key").limit(n).join(F.broadcast(total)).select("key", "value", (F.col("value") * 100.0 / F.col("pv")).alias("percent"))  # one row
 
+    def counted(self) -> DataFrame:
+        """What dashboard.counted() tells of the rows, from each rollup table and the cut hours' rows, read once."""
+        lay, hour = self.lay, F.col("hour")
+        inside, _ = self._inside()
+        zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+        places = [("window", inside, F.lit(0)), ("hour", F.lit(True), F.floor((hour - lay.hour_start) / HOUR)), ("day", F.lit(True), d.day_number(hour, lay.zone))]
+        each = F.filter(F.array(*[F.when(cond, F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))) for kind, cond, at in places]), lambda x: x.isNotNull())
+        sums = self.whole("hours").select(F.explode(each).alias("x"), "pv", "bytes").select("x.*", none.alias("name"), F.col("pv").alias("n"), "bytes")
+        who = self.whole("visitors").select(F.explode(each).alias("x"), "ip").select("x.*", F.col("ip").alias("name"), zero.alias("n"), zero.alias("bytes"))
+        named = F.coalesce(*[F.when(F.col("kind") == kind, list_) for list_, kind in _KIND.items()])
+        lists = self.whole("terms").where(inside).select(named.alias("kind"), zero.alias("at"), F.col("term").alias("name"), "n", zero.alias("bytes"))
+        minutes = self.minutes().select(F.lit("minute").alias("kind"), F.col("minute").cast("long").alias("at"), none.alias("name"), F.col("pv").alias("n"), zero.alias("bytes"))
+        return d.summed(reduce(DataFrame.unionByName, [sums, who, lists, minutes, d.told(self.edges, lay, minutes=False)]))
+
     def dashboard(self) -> dict[str, DataFrame]:
-        return d.response(self.window, self.hourly(), self.daily(), self.minutes(), {k: self.facet(k) for k in d.FACETS}, self.lay)
+        return d.response(*d.from_counts(self.counted(), self.lay), self.lay)
