@@ -15,6 +15,7 @@ from logloom.operators import dashboard, hits, search, stats
 from logloom.operators.dashboard import Layout
 from logloom.operators.rollup import Hybrid
 from logloom.plans.filters import Filter, compile_filter, filter_of, validate_range
+from logloom.shared import collected, release
 from logloom.sources.logs import Catalogue, clean_path, decode_path
 from logloom.sources.store import Store
 from logloom.streaming.rounds import RebuildError, RoundReport, Rounds
@@ -24,6 +25,8 @@ class ScopeError(ValueError):
     """A path that isn't listed, or that the question doesn't fit."""
 
 
+#: Dashboards that can be read at a time.
+BOARDS = 64
 #: The scope of coded errors, and the numbers and texts that clients translate.
 SCOPE = "nginx_log"
 NOT_LISTED, NO_ACCESS = (50014, "log path is not under whitelist"), (50015, "cannot access log file")
@@ -56,6 +59,8 @@ class Engine:
     zone: str = "UTC"
     rounds: Rounds = field(init=False)
     events: list[dict] = field(default_factory=list)
+    #: What the newest dashboards read, which are BOARDS at most; older ones' tables are deleted.
+    boards: list[list[DataFrame]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.rounds = Rounds(self.store, self.catalogue, self.zone, listener=self._heard)
@@ -114,7 +119,12 @@ class Engine:
             raise ScopeError("an error log has no dashboard")
         lay = Layout.of_dates(start, end, int(time.time()) if now is None else now, self.zone)
         rows, roll = self._rows(group), self.store.rollup([group] if group else None)
-        return Hybrid(roll, rows, lay).dashboard() if roll else dashboard.dashboard(rows, lay)
+        with collected() as made:
+            out = Hybrid(roll, rows, lay).dashboard() if roll else dashboard.dashboard(rows, lay)
+        self.boards.append(made)
+        while len(self.boards) > BOARDS:
+            release(*self.boards.pop(0))
+        return out
 
     def geo(self, kind: str, path: str = "", start: int = 0, end: int = 0, country: str = "CN", limit: int = 0) -> DataFrame:
         """``world``, ``regions`` or ``points``; ``stats``: the twenty most frequent countries."""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +38,32 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_made = threading.local()
+
+
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables that this thread materialises inside, but for those it keeps; for release() once nothing reads them."""
+    outer, _made.tables = getattr(_made, "tables", None), []
+    try:
+        yield _made.tables
+    finally:
+        _made.tables = outer
+
+
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here.
 
     A lost executor then costs only the tasks it ran. The table is deleted by release() or when the driver ends.
+    ``keep``: collected() doesn't tell of it.
     """
     spark = df.sparkSession
     path = shared_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if not keep and (held := getattr(_made, "tables", None)) is not None:
+        held.append(table)
+    return table
 
 
 def release(*frames: DataFrame) -> None:

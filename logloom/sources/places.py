@@ -201,7 +201,7 @@ class Places:
 
     def _blocks(self, k: int) -> DataFrame | None:
         if self.paths[k] and k not in self.blocks:
-            self.blocks[k] = materialise(read_blocks(self.spark, self.paths[k]))
+            self.blocks[k] = materialise(read_blocks(self.spark, self.paths[k]), keep=True)
         return self.blocks.get(k)
 
     def locate(self, rows: DataFrame, address: str = "ip_hex") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from logloom.shared import materialise, release
+from logloom.shared import collected, materialise, release
 from logloom.sources.loglines import SCHEMA, FilePlan, FileState, Slice, end_of, fingerprint, gzip_length, is_gzip, read_slice, slices
 from logloom.sources.logs import main_log_path
 from logloom.sources.store import Store, enrich
@@ -119,8 +119,9 @@ def follow(store: Store, base: str, kind: str, now: int, checkpoint: str, zone:
                 # without size and time, so that a round looks at the file, and reads on from here
                 states.append(FileState(path, whole, stop, stop, 0, now))
                 reads.append((whole, start, stop))
-        store.commit(group, enrich(lines, kind, now, zone), states, dirty=None, mark=mark, reads=reads)
-        release(lines)
+        with collected() as made:
+            store.commit(group, enrich(lines, kind, now, zone), states, dirty=None, mark=mark, reads=reads)
+        release(lines, *made)
 
     stream = live_lines(store.spark, base, reached(store.states(group).values())).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream).start()

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+from logloom.shared import collected, release
 from logloom.sources.loglines import FilePlan, FileState, after, gzip_lengths, is_gzip, plan_file, read_plans
 from logloom.sources.logs import Catalogue
 from logloom.sources.places import Places
@@ -126,18 +127,20 @@ class Rounds:
             return 0
         gone = sorted((s for path, s in states.items() if path not in done), key=lambda s: -s.indexed_at)
         forget = [s.path for s in gone[MOST_GONE:]]
-        changed = [s for path, s in done.items() if path not in states or not next(p.skip for p in plans if p.path == path)]
+        same = {p.path for p in plans if p.skip and p.path in states}
+        changed = [s for path, s in done.items() if path not in same]
         batches = self._batches(list(todo.values()), now, lengths)
         whole, read = sum(p.size - p.start for b in batches for p in b), 0
         for k, batch in enumerate(batches):
-            rows = enrich(read_plans(store.spark, batch), kind, now, self.zone, self.locations)
             delete = [(p.fingerprint, p.start) for p in batch if p.replace]
-            reached = [after(p, now, lengths) for p in batch]
-            reads = [(p.fingerprint, p.start, s.position) for p, s in zip(batch, reached, strict=True)]
-            if k + 1 == len(batches):
-                store.commit(group, rows, changed, delete, reads=reads, forget=forget)
-            else:
-                store.commit(group, rows, reached, delete, dirty=True, reads=reads)
+            ends = [after(p, now, lengths) for p in batch]
+            reads = [(p.fingerprint, p.start, s.position) for p, s in zip(batch, ends, strict=True)]
+            last = k + 1 == len(batches)
+            with collected() as made:
+                rows = enrich(read_plans(store.spark, batch), kind, now, self.zone, self.locations)
+                store.commit(group, rows, changed if last else ends, delete, dirty=not last, reads=reads, forget=forget if last else ())
+            release(*made)
+            if not last:
                 read += sum(p.size - p.start for p in batch)
                 self.listener({"group": group, "phase": "indexing", "percent": 100 * read // max(1, whole)})
                 if self._stop.is_set():

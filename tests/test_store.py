@@ -303,3 +303,25 @@ def test_questions_read_few_folders(lines_store):
     plan = lines_store.postings().where("1 = 1").transform(lambda p: postings.lines_with(p, "raw", [(0, "get"), (1, "p")], True))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("\n")[0]
     assert "term" in plan.split("PushedFilters")[1].split("\n")[0]
+
+
+def test_rounds_and_dashboards_leave_no_tables(site, monkeypatch):
+    from logloom import engine as e
+    from logloom import shared
+
+    log, engine, streamed, got = site
+    made, gone = [], []
+    real, drop = shared.shared_path, shared._delete
+    monkeypatch.setattr(shared, "shared_path", lambda spark, kind: made.append(real(spark, kind)) or made[-1])
+    monkeypatch.setattr(shared, "_delete", lambda spark, path: gone.append(path.split("/")[-1]) or drop(spark, path))
+    log.write_text(lines(0, 5))
+    engine.rounds.run(now=NOW)
+    with open(log, "a") as f:
+        f.write(lines(5, 7))
+    streamed()
+    assert made and {p.split("/")[-1] for p in made} == set(gone) and got() == paths(0, 7)
+    monkeypatch.setattr(e, "BOARDS", 1)
+    made.clear()
+    gone.clear()
+    first, second = (engine.dashboard(now=BASE + 90_000) for _ in range(2))
+    assert 0 < len(gone) < len(made) and second["overview"].first()["pv"] == 7
