@@ -118,3 +118,13 @@ def test_catalogue():
     assert [x.path for x in c.logs] == ["/l/a.log", "/l/a.log.1", "/l/e.log"] and c.default_access() == "/l/a.log"
     assert c.groups() == [("/l/a.log", "access"), ("/l/e.log", "error")]
     assert c.is_valid("/l/a.log.7") and not c.is_valid("/etc/passwd") and not c.is_valid("l/a.log")
+
+
+def test_bots(spark):
+    from pyspark.sql import functions as F
+
+    from logloom.functions import useragent
+
+    names = ["Googlebot/2.1", "bingbot", "TelegramBot", "Applebot", "LinkedInBot", "YandexBot", "Twitterbot", "Baiduspider", "360Spider", "a crawler", "WhatsApp/2", "Slurp", "Pinterest", "Bytedance", "RoboZilla", "facebookexternalhit/1.1"]
+    df = spark.createDataFrame([(f"Mozilla/5.0 (compatible; {n})",) for n in names], "ua string")
+    assert {tuple(r) for r in df.select(useragent.browser(F.col("ua")), useragent.device(F.col("ua"))).collect()} == {("Bot", "Bot")}
