@@ -1,19 +1,23 @@
 """Line dedup by content-defined chunks of lines.
 
-A hash rolls over the last WINDOW line hashes and ends a chunk where it is 0 modulo DIVISOR, so
-boundaries follow the content and survive shifts. Among equal lines every line ends a chunk, a line
-of LONG characters is a chunk of its own, and a chunk of other lines is cut after MOST lines. Chunks that repeat anywhere are found by hash. A
-passage may begin and end inside chunks, so each repeated chunk is grown line by line into the chunks
-on both sides. What it grows to, and the chunk itself, are units: two lines or more, or one line of
-MIN_WORDS words. Units are compared by hash, then by their bytes, and of equal ones all but the first
+A hash rolls over the hashes of two neighbouring lines. A window begins at each line and takes 1, 2, 4 or MOST
+lines, the most that begin any passage of MIN_WORDS words starting there (a blank line counts as one word); where
+the hash is least in a window, a chunk ends. So what ends a chunk is told by the lines of a window alone:
+boundaries follow the content, survive shifts, and every passage of MIN_WORDS words has in all its
+copies a boundary at the same line. A line of MIN_WORDS words is a window, and so ends a chunk.
+
+Boundaries that repeat anywhere are found by the hash of their two lines (of the line, if it has MIN_WORDS words).
+From a repeated boundary a chunk grows line by line to both sides, also past the boundaries next to it, as far
+as a window may reach: less than MIN_WORDS words and MOST lines. What it grows to are units: two lines or more, or one
+line of MIN_WORDS words. Units are compared by hash, then by their bytes, and of equal ones all but the first
 (lowest id, lowest line) are marked. Runs of marked lines with at least MIN_WORDS words go. A run
 never takes the last copy of its lines: what marks a unit is a copy that stands before it.
 
-Nothing is found without a repeated chunk. A passage of MIN_WORDS words that holds a line of LONG
-characters holds a chunk. One of shorter lines has at least four of them, and fourteen if its words
-have six letters; it holds no chunk if the hash ends less than two there.
+Why no passage is lost, whatever the lengths of its lines: say it has the lines a to b. The window at a lies in it, so
+its boundary c is one in each copy, and growing from c to the left reaches a. The window at the next line either lies in the
+passage too, and its boundary grows to the left as far as c, or it reaches past b, and growing from c to the right reaches b.
 
-Line hashes and chunks are written once, a few bytes a line. Texts shuffle only of documents that
+Line hashes, words and boundaries are written once, a few bytes a line. Texts shuffle only of documents that
 hold a unit repeated by hash, units are combined before they shuffle, and hot passages are dealt out.
 """
 
@@ -25,48 +29,59 @@ from pyspark.sql import functions as F
 from logloom.llm.bloom import Bloom
 from logloom.llm.common import WORD, columns, join_split, materialise, renamed
 
-WINDOW, DIVISOR, LONG, MOST, MIN_WORDS = 2, 2, 24, 64, 50
+MIN_WORDS = 50
+#: Lines of the widest window.
+MOST = 8
 _OWN = ("n_removed", "removed_words", "removed")
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """Adds ``_hash`` and ``_chunks`` to ``_text``: line hashes, and for each chunk its start, lines, hash, whether it is one long line, and its first line's length."""
-    split = docs.withColumn("_lines", F.split("_text", "\n"))
-    hashed = split.withColumns({"_hash": F.transform("_lines", lambda x: F.xxhash64(x)), "_len": F.transform("_lines", lambda x: F.length(x))})
-    roll = ", ".join(f"get(_hash, i - {k})" for k in reversed(range(WINDOW)))
-    ends = f"filter(sequence(0, size(_hash) - 1), i -> i = size(_hash) - 1 or _len[i] >= {LONG} or _len[i + 1] >= {LONG} or get(_hash, i - 1) = _hash[i] or pmod(xxhash64({roll}), {DIVISOR}) = 0)"
-    ended = hashed.withColumn("_ends", F.expr(ends))
-    span = "named_struct('a', coalesce(get(_ends, j - 1) + 1, 0), 'n', _ends[j] - coalesce(get(_ends, j - 1), -1))"
-    cut = f"transform(sequence(0, cast((c.n - 1) div {MOST} as int)), t -> named_struct('a', c.a + t * {MOST}, 'n', least({MOST}, c.n - t * {MOST})))"
-    spans = ended.withColumn("_spans", F.expr(f"flatten(transform(transform(sequence(0, size(_ends) - 1), j -> {span}), c -> {cut}))"))
-    chunk = "named_struct('a', s.a, 'n', s.n, 'h', xxhash64(s.n, slice(_hash, s.a + 1, s.n)), 'long', _len[s.a] >= {long}, 'len', _len[s.a])".format(long=LONG)
-    return spans.withColumn("_chunks", F.expr(f"transform(_spans, s -> {chunk})")).drop("_lines", "_len", "_ends", "_spans")
-
-
-def grown(told: DataFrame, min_words: int) -> DataFrame:
-    """``k, u``: of each chunk with its neighbours (see around()), the units: itself, and itself with lines of the chunks around it."""
-    unit = "named_struct('start', {a}, 'n', {n}, 'h', xxhash64({n}, slice(c.hashes, {a} - c.low + 1, {n})))"
-    own = unit.format(a="c.a", n="c.n")
-    left = f"transform(sequence(1, c.a - c.low), d -> {unit.format(a='(c.a - d)', n='(c.n + d)')})"
-    right = f"transform(sequence(1, c.low + size(c.hashes) - c.a - c.n), d -> {unit.format(a='c.a', n='(c.n + d)')})"
-    none = "cast(array() as array<struct<start:int,n:int,h:bigint>>)"
-    units = (
-        f"concat(if(c.n > 1 or c.len >= {2 * min_words - 1}, array({own}), {none}), if(c.a > c.low, {left}, {none}), if(c.low + size(c.hashes) > c.a + c.n, {right}, {none}))"
-    )
-    return told.withColumn("u", F.explode_outer(F.expr(units))).where("u is not null").select("k", "u.start", "u.n", "u.h")
+def with_boundaries(docs: DataFrame, min_words: int) -> DataFrame:
+    """Adds to ``_text`` its lines' hashes ``_hash`` and words ``_w`` (1 at least), and ``_cuts``, the lines that end chunks.
+
+    The least hash of a window and its place are one number: 32 bits of the hash, then the line. Of equal ones the first
+    counts. Sums and minima of 2 and 4 neighbours make those of all windows.
+    """
+    hashed = docs.withColumn("_lines", F.split("_text", "\n")).withColumns({
+        "_hash": F.transform("_lines", lambda x: F.xxhash64(x)), "_w": F.transform("_lines", lambda x: F.greatest(F.lit(1), F.regexp_count(x, F.lit(WORD)))),
+    })
+    rolled = hashed.withColumn("_roll", F.expr("transform(_hash, (h, i) -> shiftleft(shiftright(xxhash64(get(_hash, i - 1), h), 32), 31) + i)"))
+    sums = rolled.withColumn("_w2", F.expr("transform(_w, (w, i) -> w + coalesce(get(_w, i + 1), 0))")).withColumn("_w4", F.expr("transform(_w2, (w, i) -> w + coalesce(get(_w2, i + 2), 0))"))
+    least = sums.withColumn("_r2", F.expr("transform(_roll, (r, i) -> least(r, get(_roll, i + 1)))")).withColumn("_r4", F.expr("transform(_r2, (r, i) -> least(r, get(_r2, i + 2)))"))
+    three = "w + coalesce(get(_w2, i + 1), 0)"
+    at = f"""transform(_w, (w, i) -> CASE WHEN w >= {min_words} THEN i WHEN {three} >= {min_words} THEN get(_roll, i + 1)
+      WHEN {three} + coalesce(get(_w4, i + 3), 0) >= {min_words} THEN least(get(_r2, i + 1), get(_r2, i + 2)) ELSE least(get(_r4, i + 1), get(_r4, i + 4)) END)"""
+    cuts = F.expr(f"array_distinct(transform(filter({at}, r -> r is not null), r -> cast(r & 2147483647 as int)))")
+    return least.withColumn("_cuts", cuts).drop("_lines", "_roll", "_w2", "_w4", "_r2", "_r4")
+
 
+def _seed(j: str, min_words: int) -> str:
+    """A boundary's lines by their hash."""
+    return f"if(_w[{j}] >= {min_words}, _hash[{j}], xxhash64(get(_hash, {j} - 1), _hash[{j}]))"
 
-def around(chunked: DataFrame) -> DataFrame:
-    """``k, h, c``: each chunk that can seed, with the hashes of its lines and of those it may grow by.
 
-    It grows to the far ends of its neighbours. Whether the hash ends a chunk after a passage's first line
-    depends on the line before, so on the left one line more may belong to it.
+def around(told: DataFrame, min_words: int) -> DataFrame:
+    """``k, h, c``: each boundary with the hashes and words of its line and of those that a chunk may grow by."""
+    low, high = f"greatest(0, j - {MOST - 1})", f"least(size(_hash), j + {MOST})"
+    each = f"transform(_cuts, j -> named_struct('h', {_seed('j', min_words)}, 'a', j, 'low', {low}, 'hashes', slice(_hash, {low} + 1, {high} - {low}), 'w', slice(_w, {low} + 1, {high} - {low})))"
+    return told.withColumn("c", F.explode_outer(F.expr(each))).where("c is not null").select("k", F.col("c.h").alias("h"), "c")
+
+
+def grown(seeds: DataFrame, min_words: int) -> DataFrame:
+    """``k, start, n, h``: the units that chunks grow to from the boundaries of around().
+
+    The side is part of the hash, as what grows from one boundary to the left another may grow to the right.
     """
-    low = "greatest(0, c.a - coalesce(get(_chunks, j - 1).n, 0) - if(coalesce(get(_chunks, j - 1).long, true), 0, 1))"
-    high = "c.a + c.n + coalesce(get(_chunks, j + 1).n, 0)"
-    each = f"transform(_chunks, (c, j) -> named_struct('a', c.a, 'n', c.n, 'h', c.h, 'len', c.len, 'low', {low}, 'hashes', slice(_hash, {low} + 1, {high} - {low})))"
-    one = chunked.withColumn("c", F.explode_outer(F.expr(f"filter({each}, c -> c.n > 1 or c.len > 0)"))).where("c is not null")
-    return one.select("k", F.col("c.h").alias("h"), "c")
+    unit = "named_struct('start', {a}, 'n', {n}, 'h', xxhash64({side}, slice(c.hashes, {a} - c.low + 1, {n})))"
+    fewer = "aggregate(slice(c.w, {a} - c.low + 1, d), 0, (s, w) -> s + w) < " + str(min_words)
+    left, right = "c.a - c.low", "c.low + size(c.hashes) - c.a - 1"
+    none = "cast(array() as array<struct<start:int,n:int,h:bigint>>)"
+    sides = [
+        f"if({reach} > 0, transform(filter(sequence(1, {reach}), d -> {fewer.format(a=inner)}), d -> {unit.format(a=a, n='(d + 1)', side=side)}), {none})"
+        for side, reach, inner, a in ((0, left, "c.a - d", "(c.a - d)"), (1, right, "c.a + 1", "c.a"))
+    ]
+    own = f"if(c.w[c.a - c.low] >= {min_words}, array({unit.format(a='c.a', n=1, side=2)}), {none})"
+    units = seeds.withColumn("u", F.explode_outer(F.expr(f"concat({own}, {', '.join(sides)})"))).where("u is not null")
+    return units.select("k", "u.start", "u.n", "u.h")
 
 
 def _repeated(rows: DataFrame) -> Bloom:
@@ -89,9 +104,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.withColumn("kh", F.xxhash64("k"))
     texts = keyed.where(F.col(at[text_col]).isNotNull()).select("k", "kh", F.col(at[text_col]).alias("_text"))
 
-    chunked = materialise(with_chunks(texts.drop("kh")).drop("_text"))
-    seeds = _repeated(chunked.select(F.explode(F.expr("transform(filter(_chunks, c -> c.n > 1 or c.len > 0), c -> c.h)")).alias("h")))
-    units = materialise(grown(seeds.passed(around(chunked), "h"), min_words))
+    told = materialise(with_boundaries(texts.drop("kh"), min_words).drop("_text"))
+    seeds = _repeated(told.select(F.explode(F.expr(f"transform(_cuts, j -> {_seed('j', min_words)})")).alias("h")))
+    units = materialise(grown(seeds.passed(around(told, min_words), "h"), min_words))
     listed = materialise(_repeated(units).passed(units, "h").groupBy("k").agg(F.collect_set(F.struct("start", "n", "h")).alias("units")).withColumn("kh", F.xxhash64("k")))
 
     # of rows with equal id and text one is enough; a unit is its lines, joined as they stood

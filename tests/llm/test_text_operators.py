@@ -9,6 +9,7 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -287,12 +288,56 @@ def test_lines_against_brute_force(spark, small):
     assert gone_lines(lines.dedup_lines(docs_of(spark, list(texts.items())))) == brute_lines(texts)
 
 
-def test_lines_need_chunks(spark, monkeypatch):
+def passages(texts, min_words=50):
+    """Lines of runs of ``min_words`` that have an equal run before them, as a whole."""
+    at, gone = defaultdict(list), {}
+    for i, text in sorted(texts.items()):
+        own, gone[i] = text.split("\n"), set()
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in own]
+        for k, line in enumerate(own):
+            for before, j in at[line]:
+                m = 1
+                while k + m < len(own) and j + m < len(before) and before[j + m] == own[k + m]:
+                    m += 1
+                if sum(n[k : k + m]) >= min_words:
+                    gone[i] |= set(range(k, k + m))
+            at[line].append((own, k))
+    return gone
+
+
+def test_lines_of_any_length(spark):
+    """Passages of 50 to 70 words in lines of one word to all of them, blank lines too, lose all copies but the first; nothing else goes."""
+    rng = random.Random(11)
+
+    def passage():
+        most, out = rng.choice([1, 3, 8, 20, 49, 70]), []
+        while sum(len(x.split()) for x in out) < 50:
+            out += [words(rng.random(), rng.randint(1, most))] + [""] * rng.choice([0, 0, 0, 1, 3])
+        return out
+
+    own = lambda: [words(rng.random(), rng.randint(1, rng.choice([2, 9, 40]))) for _ in range(rng.randint(1, 12))]
+    shared = [passage() for _ in range(60)]
+    texts = {k: "\n".join([*own(), *rng.choice(shared), *own(), *rng.choice(shared), *own()]) for k in range(240)}
+    got, whole = gone_lines(lines.dedup_lines(docs_of(spark, list(texts.items())))), passages(texts)
+    assert sum(map(len, whole.values())) > 2000 and all(whole[k] <= got[k] for k in texts)
+    assert all(got[k] <= v for k, v in brute_lines(texts).items())
+
+
+def test_boundaries_follow_the_content(spark):
+    """Between its first and last window a passage has the same boundaries wherever it stands, and chunks of short lines are several lines long."""
+    passage = [words(f"s{i}", 4) for i in range(200)]
+    texts = [(k, "\n".join([*[words(f"o{k}-{i}", 3) for i in range(k)], *passage, *[words(f"e{k}-{i}", 5) for i in range(k)]])) for k in range(12)]
+    rows = lines.with_boundaries(docs_of(spark, texts).select("doc_id", F.col("text").alias("_text")), 50).select("doc_id", "_cuts").collect()
+    inside = {tuple(sorted(c - r["doc_id"] for c in r["_cuts"] if lines.MOST <= c - r["doc_id"] < 200 - lines.MOST)) for r in rows}
+    assert len(inside) == 1 and 200 / 6 < len(inside.pop()) < 200 / 3
+
+
+def test_lines_need_boundaries(spark, monkeypatch):
     passage = "\n".join(words(f"p{i}", 15) for i in range(5))
     rows = docs_of(spark, [(1, "own\n" + passage), (2, passage + "\nlast")])
     assert gone_lines(lines.dedup_lines(rows)) == {1: set(), 2: set(range(5))}
-    monkeypatch.setattr(lines, "LONG", 1 << 30)
-    monkeypatch.setattr(lines, "DIVISOR", 1 << 40)  # no boundaries: each text is one chunk
+    found = lines.with_boundaries
+    monkeypatch.setattr(lines, "with_boundaries", lambda df, n: found(df, n).withColumn("_cuts", F.expr("filter(_cuts, c -> false)")))
     assert gone_lines(lines.dedup_lines(rows)) == {1: set(), 2: set()}
 
 
