@@ -67,21 +67,18 @@ def around(told: DataFrame, min_words: int) -> DataFrame:
 
 
 def grown(seeds: DataFrame, min_words: int) -> DataFrame:
-    """``k, start, n, h``: the units that chunks grow to from the boundaries of around().
-
-    The side is part of the hash, as what grows from one boundary to the left another may grow to the right.
-    """
-    unit = "named_struct('start', {a}, 'n', {n}, 'h', xxhash64({side}, slice(c.hashes, {a} - c.low + 1, {n})))"
+    """``k, start, n, h, side``: the units that chunks grow to from the boundaries of around(). What grows from one boundary to the left another may grow to the right."""
+    unit = "named_struct('start', {a}, 'n', {n}, 'h', xxhash64({n}, slice(c.hashes, {a} - c.low + 1, {n})), 'side', {side})"
     fewer = "aggregate(slice(c.w, {a} - c.low + 1, d), 0, (s, w) -> s + w) < " + str(min_words)
     left, right = "c.a - c.low", "c.low + size(c.hashes) - c.a - 1"
-    none = "cast(array() as array<struct<start:int,n:int,h:bigint>>)"
+    none = "cast(array() as array<struct<start:int,n:int,h:bigint,side:int>>)"
     sides = [
         f"if({reach} > 0, transform(filter(sequence(1, {reach}), d -> {fewer.format(a=inner)}), d -> {unit.format(a=a, n='(d + 1)', side=side)}), {none})"
         for side, reach, inner, a in ((0, left, "c.a - d", "(c.a - d)"), (1, right, "c.a + 1", "c.a"))
     ]
     own = f"if(c.w[c.a - c.low] >= {min_words}, array({unit.format(a='c.a', n=1, side=2)}), {none})"
     units = seeds.withColumn("u", F.explode_outer(F.expr(f"concat({own}, {', '.join(sides)})"))).where("u is not null")
-    return units.select("k", "u.start", "u.n", "u.h")
+    return units.select("k", "u.*")
 
 
 def _repeated(rows: DataFrame) -> Bloom:
@@ -106,8 +103,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     told = materialise(with_boundaries(texts.drop("kh"), min_words).drop("_text"))
     seeds = _repeated(told.select(F.explode(F.expr(f"transform(_cuts, j -> {_seed('j', min_words)})")).alias("h")))
-    units = materialise(grown(seeds.passed(around(told, min_words), "h"), min_words))
-    listed = materialise(_repeated(units).passed(units, "h").groupBy("k").agg(F.collect_set(F.struct("start", "n", "h")).alias("units")).withColumn("kh", F.xxhash64("k")))
+    # copies of a passage grow alike, so a unit repeats on one side; what grew on both is one unit from here on
+    units = materialise(grown(seeds.passed(around(told, min_words), "h"), min_words).withColumn("grew", F.xxhash64("h", "side")).drop("side"))
+    listed = materialise(_repeated(units.select(F.col("grew").alias("h"))).passed(units, "grew").groupBy("k").agg(F.collect_set(F.struct("start", "n", "h")).alias("units")).withColumn("kh", F.xxhash64("k")))
 
     # of rows with equal id and text one is enough; a unit is its lines, joined as they stood
     some = Bloom(listed, "kh", listed.count()).passed(texts, "kh").join(listed.select("k", "units"), "k").dropDuplicates(["k"])
