@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from array import array
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Terms of so many UTF-8 bytes or more are dropped.
 LONGEST = 255
+#: So many tokens are handed to Arrow at a time.
+FLUSH = 1 << 16
 TOKENS = ArrayType(StructType([StructField("pos", IntegerType()), StructField("term", StringType())]))
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"(?:%|\\x)([0-9A-Fa-f]{2})")
@@ -93,10 +97,33 @@ def tokenize(text: str | None, full: bool, query: bool = False) -> list[tuple[in
     return [(p, t.lower()) for p, t in out if len(t.encode()) < LONGEST]
 
 
+def token_array(texts: pa.Array, full: bool) -> pa.Array:
+    """Tokens of texts as an array of TOKENS. No more than about FLUSH tokens stand as Python objects at a time, and those of one text."""
+    ends, positions, terms, parts = array("i", [0]), array("i"), [], []
+    nulls = []
+
+    def flush() -> None:
+        parts.append(pa.StructArray.from_arrays([pa.array(positions, pa.int32()), pa.array(terms, pa.string())], ["pos", "term"]))
+        del positions[:], terms[:]
+
+    for text in texts:
+        told = text.as_py()
+        nulls.append(told is None)
+        found = tokenize(told, full)
+        ends.append(ends[-1] + len(found))
+        for p, t in found:
+            positions.append(p)
+            terms.append(t)
+        if len(terms) >= FLUSH:
+            flush()
+    flush()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts), mask=pa.array(nulls, pa.bool_()))
+
+
 def _tokens_udf(full: bool):
-    @F.pandas_udf(TOKENS)
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"pos": p, "term": x} for p, x in tokenize(t, full)] if t is not None else None)
+    @F.arrow_udf(TOKENS)
+    def tokens(texts: pa.Array) -> pa.Array:
+        return token_array(texts, full)
 
     return tokens
 

@@ -1,11 +1,14 @@
 """Tokens, parsed lines, clients, addresses and names of logs."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import geo, parse, useragent
 from logloom.functions.ip import hex_of, hex_range, ipv4_hex
-from logloom.functions.tokens import tokenize, unescape
+from logloom.functions.tokens import token_array, tokenize, unescape
 from logloom.queries import ROTATIONS
 from logloom.sources.logs import Catalogue, HostLog, clean_path, decode_path, encode_path, main_log_path
 
@@ -42,6 +45,18 @@ def test_unescape():
     assert unescape("%2541") == "%41"
 
 
+def test_tokens_of_a_batch_are_no_python_objects():
+    texts = [None, "", *["10.0.0.1 " + "word " * 400] * 1000]
+    tracemalloc.start()
+    got = token_array(pa.array(texts), True)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 30e6  # 404,000 tokens; as dicts they take over 100 MB
+    assert got[0].as_py() is None and got[1].as_py() == []
+    for k in (2, 500, 1001):
+        assert [(t["pos"], t["term"]) for t in got[k].as_py()] == tokenize(texts[k], True)
+
+
 def line(time="07/Sep/2026:15:32:29 +0000", request="GET /a/b?x=1 HTTP/2.0", status="200", rest='512 "-" "curl/8.0" 0.012 0.010', ip="203.0.113.9"):
     return f'{ip} - - [{time}] "{request}" {status} {rest}'
 
