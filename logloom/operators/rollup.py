@@ -19,6 +19,8 @@ from logloom.operators.stats import status_class
 from logloom.shared import materialise
 
 GROUP = "main_log_path"
+#: The keys of the hours.
+HOURS = [GROUP, "hour"]
 #: The column of each kind of term.
 TERMS = {"url": "path", "browser": "browser", "os": "os", "device": "device_type"}
 _KIND = {"browsers": "browser", "systems": "os", "devices": "device", "urls": "url"}
@@ -49,12 +51,16 @@ def build(rows: DataFrame) -> Rollup:
     )
 
 
+def sums(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries of several rollups by their keys, all else added up."""
+    return table.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in table.columns if c not in keys])
+
+
 def merge(*parts: Rollup) -> Rollup:
     """The rollup of all rows of all parts."""
     union = lambda name: reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])
-    sums = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in df.columns if c not in keys])
     return Rollup(
-        sums(union("hours"), [GROUP, "hour"]), sums(union("minutes"), [GROUP, "minute"]), union("visitors").distinct(), sums(union("terms"), [GROUP, "hour", "kind", "term"]),
+        sums(union("hours"), HOURS), sums(union("minutes"), [GROUP, "minute"]), union("visitors").distinct(), sums(union("terms"), [GROUP, "hour", "kind", "term"]),
     )
 
 

@@ -29,7 +29,7 @@ from logloom.functions.tokens import stored_atoms, stored_full
 from logloom.functions.useragent import clients
 from logloom.operators.dashboard import HOUR
 from logloom.operators.postings import POSTINGS, SCHEMA, index
-from logloom.operators.rollup import Rollup, build, merge
+from logloom.operators.rollup import HOURS, Rollup, build, merge, sums
 from logloom.shared import look_up, materialise
 from logloom.sources.loglines import FileState
 from logloom.sources.places import Places
@@ -244,6 +244,11 @@ class Store:
         frames = [self._rolled(segments, t) for t in ROLLUPS]
         return None if any(f is None for f in frames) else merge(Rollup(*frames))
 
+    def hours(self, groups: list[str] | None = None) -> DataFrame | None:
+        """The hours of rollup(), which are few however large its other tables are; None if there is nothing."""
+        held = self._rolled(self.manifest().segments(groups), "hours")
+        return None if held is None else sums(held, HOURS)
+
     def figures(self, groups: list[str] | None = None) -> dict[str, dict]:
         """docs, first and last, and tokens, of each group that has rows: from the manifest, without a job."""
         out = {}

@@ -112,6 +112,16 @@ def test_large_rollups_give_way_to_rows(spark, tmp_path):
     assert boards[0] == boards[1]
 
 
+def test_hours_are_told_however_large_rollups_are(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", rollup_floor=0)
+    assert store.hours() is None
+    store.commit(G, rows(spark, "a" * 16, 0, 30))
+    store.commit(G, rows(spark, "b" * 16, 15, 40))
+    assert store.rollup() is None
+    told = lambda f: sorted(map(tuple, f.select(sorted(f.columns)).collect()))
+    assert told(store.hours()) == told(st.build(store.rows()).hours)
+
+
 def test_status_runs_no_job(spark, tmp_path):
     log = tmp_path / "access.log"
     log.write_text(lines(0, 7))
