@@ -24,8 +24,8 @@ from logloom.sources.logs import main_log_path
 
 #: The longest line that is read, and how much of a first line makes the fingerprint.
 LONGEST_LINE, FIRST_LINE = 1 << 20, 4096
-#: Plain files are read in slices of so many bytes.
-SLICE = 256 << 20
+#: Plain files are read in slices of so many bytes, some 64,000 lines: as many tasks parse them, and take them apart into tokens.
+SLICE = 16 << 20
 #: ``upto``: the offset after the line.
 SCHEMA = "raw string, off long, fp string, path string, main_log_path string, upto long"
 _NAMES, _TYPES = ["raw", "off", "fp", "path", "main_log_path", "upto"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]

@@ -5,11 +5,13 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
+from logloom import indexed
 from logloom.engine import Engine, ScopeError
 from logloom.operators.dashboard import Layout
 from logloom.operators.rollup import Hybrid, build
-from logloom.sources.loglines import fingerprint, read_lines
+from logloom.sources.loglines import fingerprint, read_lines, slices
 from logloom.sources.logs import Catalogue, HostLog
 from logloom.sources.store import Store
 
@@ -201,6 +203,25 @@ def test_error_log(spark, tmp_path):
         engine.dashboard(str(log))
 
 
+def test_long_logs_are_read_by_many_tasks(tmp_path):
+    """Tasks take the lines apart that they read, so one has some 64,000 of them at most."""
+    parts = slices(str(tmp_path / "access.log"), "f", 5, 256 << 20)
+    assert len(parts) == 16 and [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and parts[-1].stop == 256 << 20
+    assert parts[0].aligned and not parts[1].aligned
+
+
+def test_events_are_written_as_files_with_lines_of_their_own(spark, tmp_path, monkeypatch):
+    """Also where copies of the same lines follow each other, as each file of a log is told by its first line."""
+    monkeypatch.setattr(indexed, "LINES", 100)
+    lines = spark.range(400).select(F.col("id").alias("off"), F.concat(F.lit("line "), F.col("id") % 100).alias("raw"))
+    files = indexed._write(lines, str(tmp_path / "a"))
+    assert len(files) >= 4 and len({fingerprint(f) for f in files}) == len(files)
+    got = [x for f in files for x in open(f).read().splitlines()]
+    assert sorted(got) == sorted(f"line {k % 100}" for k in range(400))
+    more = indexed._write(lines, str(tmp_path / "b"), beside=files)
+    assert not {fingerprint(f) for f in more} & {fingerprint(f) for f in files}
+
+
 def test_line_reader(tmp_path):
     f = tmp_path / "x.log"
     f.write_bytes(b"\r\n\nfirst\r\n" + b"y" * ((1 << 20) + 5) + b"\nlast\nopen")
