@@ -9,6 +9,7 @@ from __future__ import annotations
 import ipaddress
 import re
 from array import array
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +29,10 @@ _CJK = "぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002fa1f"
 _EMOJI = "\U0001f000-\U0001faff☀-➿⭐⭕"
 _NUMBER = re.compile(r"[0-9]+(?:[._][0-9]+)+")
 _V6 = re.compile(r"[0-9A-Fa-f:.]+")
+_GROUPS = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){6}")
 _PIECE = re.compile(rf"(?P<cjk>[{_CJK}]+)|(?P<emoji>[{_EMOJI}])|(?P<up>\.\.[/\\])|(?P<atom>(?:(?![{_CJK}{_EMOJI}])[^\W_])+)")
+#: Tokens of plain texts; possessive, so that a number that a letter follows isn't one in part either.
+_PLAIN_FULL, _PLAIN_ATOM, _DOT = re.compile(r"[0-9]++(?:[._][0-9]++)++(?![a-z0-9])|[a-z0-9]+"), re.compile("[a-z0-9]+"), re.compile("[._]")
 _ATOM_CHAR = re.compile(rf"(?![{_CJK}{_EMOJI}])[^\W_]")
 
 
@@ -97,8 +101,41 @@ def tokenize(text: str | None, full: bool, query: bool = False) -> list[tuple[in
     return [(p, t.lower()) for p, t in out if len(t.encode()) < LONGEST]
 
 
+@lru_cache(1 << 12)
+def _prefixes(number: str) -> tuple[str, ...]:
+    """Of a dotted number, the number last."""
+    return (*[number[: m.start()] for m in _DOT.finditer(number)], number)
+
+
+def add_tokens(text: str, full: bool, positions: array, terms: list[str]) -> None:
+    """Appends tokenize() for an index; texts whose tokens are runs of ASCII letters and digits, or dotted numbers, are taken apart by one pattern."""
+    odd = not text.isascii() or "%" in text or "\\x" in text or "../" in text or "..\\" in text
+    found = [] if odd else (_PLAIN_FULL if full else _PLAIN_ATOM).findall(text.lower())
+    if odd or (full and ("::" in text or (text.count(":") > 5 and _GROUPS.search(text)))) or (len(text) >= LONGEST and max(map(len, found), default=0) >= LONGEST):
+        for p, t in tokenize(text, full):
+            positions.append(p)
+            terms.append(t)
+        return
+    done = 0
+    for k, t in enumerate(found if full else ()):
+        if not t.isalnum():
+            terms += found[done:k]
+            terms += (cut := _prefixes(t))
+            positions.extend(range(done, k))
+            positions.extend([k] * len(cut))
+            done = k + 1
+    terms += found[done:]
+    positions.extend(range(done, len(found)))
+
+
 def token_array(texts: pa.Array, full: bool) -> pa.Array:
-    """Tokens of texts as an array of TOKENS. No more than about FLUSH tokens stand as Python objects at a time, and those of one text."""
+    """Tokens of texts as an array of TOKENS. No more than about FLUSH tokens stand as Python objects at a time, and those of one text.
+
+    Where most texts occur more than once, each different one is looked at once.
+    """
+    told = texts.dictionary_encode()
+    if 2 * len(told.dictionary) < len(texts):
+        return token_array(told.dictionary, full).take(told.indices)
     ends, positions, terms, parts = array("i", [0]), array("i"), [], []
     nulls = []
 
@@ -106,14 +143,12 @@ def token_array(texts: pa.Array, full: bool) -> pa.Array:
         parts.append(pa.StructArray.from_arrays([pa.array(positions, pa.int32()), pa.array(terms, pa.string())], ["pos", "term"]))
         del positions[:], terms[:]
 
-    for text in texts:
-        told = text.as_py()
+    for told in texts.to_pylist():
         nulls.append(told is None)
-        found = tokenize(told, full)
-        ends.append(ends[-1] + len(found))
-        for p, t in found:
-            positions.append(p)
-            terms.append(t)
+        before = len(terms)
+        if told:
+            add_tokens(told, full, positions, terms)
+        ends.append(ends[-1] + len(terms) - before)
         if len(terms) >= FLUSH:
             flush()
     flush()

@@ -1,6 +1,7 @@
 """Postings: where each token of the log lines and of their paths stands, kept by term.
 
-A row is one token at one position. Rows lie in folders by a hash of field and term, sorted by term, so that a question
+A posting is one token at one position. A stored row has those of one term in some lines of a file that a task took together, so that no posting is
+shuffled and rows are few to sort. Rows lie in folders by a hash of field and term, sorted by term, so that a question
 reads the folders of its terms and there, by the files' own statistics, little but them. Lines that hold all of a text's terms, or a phrase's at their
 distances, are told by one aggregate over what is read; they then pick the log rows by a semi join.
 """
@@ -8,16 +9,23 @@ distances, are told by one aggregate over what is read; they then pick the log r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POSTINGS = "postings"
 BUCKETS = 64
-SCHEMA = "field string, term string, main_log_path string, fp string, off long, pos int, size int, seg string, bucket int"
+ROW = "field string, term string, main_log_path string, fp string, off array<bigint>, pos array<int>, size array<int>"
+STORED = ROW + ", seg string, bucket int"
 IDENTITY = ["main_log_path", "fp", "off"]
 #: The token column of each field that is kept.
 FIELDS = {"raw": "raw_tok", "path": "path_tok"}
+#: A task takes lines of so many tokens together, and hands on so many rows at a time.
+TOGETHER, BATCH = 1 << 21, 1 << 14
 #: Constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -26,13 +34,59 @@ def bucket(field: Column, term: Column) -> Column:
     return F.pmod(F.xxhash64(field, term), F.lit(BUCKETS)).cast("int")
 
 
+def grouped(lines: pa.Table, field: str) -> pa.Table:
+    """Rows of ROW of the tokens of a field, by file and term; those of one term in the order of ``lines``."""
+    tokens = lines[FIELDS[field]].combine_chunks()
+    line = pc.list_parent_indices(tokens).to_numpy()
+    flat = pc.list_flatten(tokens)
+    terms = pc.struct_field(flat, "term").dictionary_encode()
+    paths, fps = (lines[c].combine_chunks().dictionary_encode() for c in ("main_log_path", "fp"))
+    path, fp = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64)[line] for c in (paths, fps))
+    key = (path * len(fps.dictionary) + fp) * len(terms.dictionary) + terms.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    first, ends = pa.array(order[starts]), pa.array(np.append(starts, len(key)), pa.int32())
+    size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    each = {
+        "off": pa.array(lines["off"].to_numpy()[line[order]], pa.int64()), "pos": pc.struct_field(flat, "pos").take(pa.array(order)), "size": pa.array(size[line[order]], pa.int32()),
+    }
+    return pa.table(
+        {
+            "field": pa.array([field] * len(starts), pa.string()), "term": terms.dictionary.take(terms.indices.take(first)),
+            "main_log_path": paths.dictionary.take(pa.array(path[order[starts]])), "fp": fps.dictionary.take(pa.array(fp[order[starts]])),
+            **{c: pa.ListArray.from_arrays(ends, v) for c, v in each.items()},
+        }
+    )
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, tokens = [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        lines = pa.Table.from_batches(held)
+        for field in FIELDS:
+            yield from grouped(lines, field).to_batches(BATCH)
+
+    for batch in batches:
+        held.append(batch)
+        tokens += sum(len(pc.list_flatten(batch.column(c))) for c in FIELDS.values())
+        if tokens >= TOGETHER:
+            yield from told()
+            held, tokens = [], 0
+    if held:
+        yield from told()
+
+
 def index(rows: DataFrame) -> DataFrame:
-    """The postings of log rows, range-sorted by term and line, so that a frequent term lies in as many files as it fills. ``size``: tokens of the field."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.size(c).alias("size"), F.col(c).alias("t")) for f, c in FIELDS.items()])
-    told = rows.select(*IDENTITY, F.explode(fields).alias("f")).select(*IDENTITY, "f.field", "f.size", F.explode("f.t").alias("t"))
-    out = told.select("field", "t.term", *IDENTITY, "t.pos", "size", bucket(F.col("field"), F.col("t.term")).alias("bucket"))
-    by = ["bucket", "field", "term", "off"]  # lines of equal offsets may stand in any order
-    return out.repartitionByRange(*by).sortWithinPartitions(*by)
+    """The postings of log rows as they are stored, each task's sorted by term. ``size``: tokens of the field."""
+    out = rows.select(*IDENTITY, *FIELDS.values()).mapInArrow(_group, ROW)
+    return out.withColumn("bucket", bucket(F.col("field"), F.col("term"))).sortWithinPartitions("bucket", "field", "term")
+
+
+def told(stored: DataFrame) -> DataFrame:
+    """A row for each posting."""
+    return stored.select("field", "term", "main_log_path", "fp", F.inline(F.arrays_zip("off", "pos", "size")), "seg", "bucket")
 
 
 def _of(postings: DataFrame, field: str, terms: list[str]) -> DataFrame:

@@ -25,17 +25,17 @@ from pyspark.sql import functions as F
 from logloom.functions.geo import folded, range_lookup
 from logloom.functions.ip import stored_ip_hex
 from logloom.functions.parse import access_rows, error_rows
-from logloom.functions.tokens import stored_atoms, stored_full
+from logloom.functions.tokens import tokenize_atoms, tokenize_full
 from logloom.functions.useragent import clients
 from logloom.operators.dashboard import HOUR
-from logloom.operators.postings import POSTINGS, SCHEMA, index
+from logloom.operators.postings import POSTINGS, STORED, index, told
 from logloom.operators.rollup import HOURS, Rollup, build, merge, sums
 from logloom.shared import look_up, materialise
 from logloom.sources.loglines import FileState
 from logloom.sources.places import Places
 
 #: Another number means another schema: the store is then empty and logs are read again.
-FORMAT = 2
+FORMAT = 3
 ROLLUPS = ("hours", "minutes", "visitors", "terms")
 TABLES = ("rows", *ROLLUPS, POSTINGS)
 #: So many segments of a size class, powers of this, are merged; and a segment of whose rows more than this share is deleted is written anew.
@@ -140,7 +140,8 @@ def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in GEO if c not in held})
         country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
         rows = rows.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2}) if held else rows
-    return rows.withColumns({"raw_tok": stored_full(F.col("raw")), "path_tok": stored_atoms(F.col("path")), "ua_tok": stored_atoms(F.col("user_agent")), "ref_tok": stored_atoms(F.col("referer"))})
+    # sorted as they are stored before they are wide; Python takes them apart in a fifth of the time of functions over arrays
+    return rows.sortWithinPartitions("ts").withColumns({"raw_tok": tokenize_full("raw"), "path_tok": tokenize_atoms("path"), "ua_tok": tokenize_atoms("user_agent"), "ref_tok": tokenize_atoms("referer")})
 
 
 class Store:
@@ -202,7 +203,7 @@ class Store:
     def _load(self, table: str, names: list[str]) -> DataFrame:
         if table == POSTINGS:  # one table with a folder for each segment, of which only those asked for are listed
             base = f"{self.path}/{table}"
-            return self.spark.read.schema(SCHEMA).option("basePath", base).parquet(*[f"{base}/seg={n}" for n in names])
+            return told(self.spark.read.schema(STORED).option("basePath", base).parquet(*[f"{base}/seg={n}" for n in names]))
         return self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in names])
 
     def _seen(self, segments: list[Segment], table: str = "rows") -> DataFrame | None:

@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.engine import Engine
-from logloom.functions.tokens import stored_full, tokenize
+from logloom.functions import tokens
+from logloom.functions.tokens import stored_full, token_array, tokenize
 from logloom.operators import postings, search
 from logloom.plans.filters import Filter, compile_filter
 from logloom.sources import store as st
@@ -266,6 +268,42 @@ def test_stored_tokens_are_the_tokenizer(spark):
         assert [(t["pos"], t["term"]) for t in r["t"] or []] == tokenize(r["x"], True)
 
 
+def test_indexed_tokens_are_the_tokenizer():
+    """Texts that one pattern takes apart and all others; repeated ones and null too."""
+    rng = random.Random(5)
+    pieces = ["a", "Z", "9", "12", ".", "_", " ", "-", "/", "1.2", "::", ":", "..", "ff:", "3_4", "é", "中", "%20", "\\x41", "../", "..\\", "😀", "http", "\n", "a" * 300, "1." * 150, "\u0130", "\u212a"]
+    texts = [None, "", *["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(20000)]]
+    for full in (True, False):
+        for some in (texts, [*texts[:50], *texts[:50], *texts[:50]]):
+            got = token_array(pa.array(some, pa.string()), full).to_pylist()
+            assert got == [None if t is None else [{"pos": p, "term": x} for p, x in tokenize(t, full)] for t in some]
+
+
+def test_lines_are_taken_apart_by_one_pattern(monkeypatch):
+    """The tokenizer's own way is for odd texts only: it takes several times as long."""
+    monkeypatch.setattr(tokens, "tokenize", None)
+    error = '2024/01/10 12:13:14 [warn] 12#34: *5 it broke, client: 10.0.3.1, server: x, request: "GET /error/7 HTTP/1.1", host: "h"'
+    assert [x["term"] for x in token_array(pa.array([lines(0, 1).strip(), error]), True).to_pylist()[1]][-3:] == ["1.1", "host", "h"]
+
+
+def test_postings_are_sorted_as_few_rows(spark, monkeypatch):
+    """Those of a term in a file are one row, in lines' order; no posting is shuffled, wherever a task cuts its lines."""
+    monkeypatch.setattr(postings, "TOGETHER", 40)
+    texts = ["a b a", None, "", "b 1.2", "c"] * 9
+    table = pa.table({
+        "main_log_path": [G] * 45, "fp": ["f" if n < 20 else "g" for n in range(45)], "off": list(range(45)),
+        "raw_tok": token_array(pa.array(texts), True), "path_tok": token_array(pa.array(texts), False),
+    })
+    want = Counter((f, x["term"], r["fp"], r["off"], x["pos"], len(r[c])) for r in table.to_pylist() for f, c in postings.FIELDS.items() for x in r[c] or [])
+    for batch in (7, 45):
+        rows = [r for b in postings._group(iter(table.to_batches(batch))) for r in b.to_pylist()]
+        got = Counter((r["field"], r["term"], r["fp"], *x) for r in rows for x in zip(r["off"], r["pos"], r["size"], strict=True))
+        assert got == want and all(r["off"] == sorted(r["off"]) for r in rows)
+        assert batch == 7 or len(rows) == len({k[:3] for k in want})
+    plan = postings.index(spark.createDataFrame(table.slice(0, 5).to_pylist(), "main_log_path string, fp string, off long, raw_tok array<struct<pos: int, term: string>>, path_tok array<struct<pos: int, term: string>>"))
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def lines_store(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("p")
