@@ -140,7 +140,7 @@ def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in GEO if c not in held})
         country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
         rows = rows.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2}) if held else rows
-    # sorted as they are stored before they are wide; Python takes them apart in a fifth of the time of functions over arrays
+    # sorted as they are stored before they are wide; Python takes them apart in less than half the time of functions over arrays
     return rows.sortWithinPartitions("ts").withColumns({"raw_tok": tokenize_full("raw"), "path_tok": tokenize_atoms("path"), "ua_tok": tokenize_atoms("user_agent"), "ref_tok": tokenize_atoms("referer")})
 
 
