@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,11 +35,11 @@ def hex_range(value: str) -> tuple[str, str] | None:
     return hex_of(str(net[0])), hex_of(str(net[-1]))
 
 
-@F.pandas_udf(StringType())
-def ip_hex(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def ip_hex(texts: pa.Array) -> pa.Array:
     """For the write path; each different text is looked at once."""
-    known = {t: hex_of(t) for t in texts.dropna().unique()}
-    return texts.map(known.get)
+    told = texts.dictionary_encode()
+    return pa.array([hex_of(t) for t in told.dictionary.to_pylist()], pa.string()).take(told.indices)
 
 
 def ipv4_hex(text: Column) -> Column:

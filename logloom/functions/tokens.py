@@ -1,7 +1,8 @@
 """The log-aware tokenizer: one Python function for the write path (Arrow UDF) and for query texts.
 
-A token is (position, term); several terms may share a position. The stored form of a text is
-an array of struct<pos, term>, so that queries never tokenize rows.
+A token is (position, term); several terms may share a position. Queries see the tokens of a text as
+an array of struct<pos, term>, and never tokenize rows. Stored is one text, packed: positions parted by
+blanks, terms of one position by tabs, as no term has either; a position without a term is empty.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 import ipaddress
 import re
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -33,6 +37,9 @@ _GROUPS = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){6}")
 _PIECE = re.compile(rf"(?P<cjk>[{_CJK}]+)|(?P<emoji>[{_EMOJI}])|(?P<up>\.\.[/\\])|(?P<atom>(?:(?![{_CJK}{_EMOJI}])[^\W_])+)")
 #: Tokens of plain texts; possessive, so that a number that a letter follows isn't one in part either.
 _PLAIN_FULL, _PLAIN_ATOM, _DOT = re.compile(r"[0-9]++(?:[._][0-9]++)++(?![a-z0-9])|[a-z0-9]+"), re.compile("[a-z0-9]+"), re.compile("[._]")
+#: Plain texts in lower case with blanks for all but atoms, and but what dotted numbers are made of.
+_ATOMS, _RUNS = ({c: chr(c).lower() if chr(c).isalnum() or chr(c) in kept else " " for c in range(128)} for kept in ("", "._"))
+_LONG = re.compile(rf"[^ \t]{{{LONGEST}}}")
 _ATOM_CHAR = re.compile(rf"(?![{_CJK}{_EMOJI}])[^\W_]")
 
 
@@ -107,11 +114,16 @@ def _prefixes(number: str) -> tuple[str, ...]:
     return (*[number[: m.start()] for m in _DOT.finditer(number)], number)
 
 
+def _odd(text: str, full: bool) -> bool:
+    """Whether a text may have other tokens than runs of ASCII letters and digits, and dotted numbers."""
+    return not text.isascii() or "%" in text or "\\x" in text or "../" in text or "..\\" in text or (full and ("::" in text or (text.count(":") > 5 and _GROUPS.search(text) is not None)))
+
+
 def add_tokens(text: str, full: bool, positions: array, terms: list[str]) -> None:
     """Appends tokenize() for an index; texts whose tokens are runs of ASCII letters and digits, or dotted numbers, are taken apart by one pattern."""
-    odd = not text.isascii() or "%" in text or "\\x" in text or "../" in text or "..\\" in text
+    odd = _odd(text, full)
     found = [] if odd else (_PLAIN_FULL if full else _PLAIN_ATOM).findall(text.lower())
-    if odd or (full and ("::" in text or (text.count(":") > 5 and _GROUPS.search(text)))) or (len(text) >= LONGEST and max(map(len, found), default=0) >= LONGEST):
+    if odd or (len(text) >= LONGEST and max(map(len, found), default=0) >= LONGEST):
         for p, t in tokenize(text, full):
             positions.append(p)
             terms.append(t)
@@ -167,6 +179,98 @@ tokenize_full = _tokens_udf(True)
 tokenize_atoms = _tokens_udf(False)
 
 
+def joined(tokens: Iterable[tuple[int, str]]) -> str:
+    """Tokens packed; their positions don't fall."""
+    out, at = [], 0
+    for k, (pos, term) in enumerate(tokens):
+        out += [" " * (pos - at) if pos > at else "\t" if k else "", term]
+        at = pos
+    return "".join(out)
+
+
+@lru_cache(1 << 14)
+def _pack_dotted(run: str) -> str:
+    return " ".join(t if t.isalnum() else "\t".join(_prefixes(t)) for t in _PLAIN_FULL.findall(run))
+
+
+def pack(text: str, full: bool) -> str:
+    """tokenize() for an index, packed."""
+    if not _odd(text, full):
+        if full:
+            out = " ".join([x for r in text.translate(_RUNS).split() if (x := r if r.isalnum() else _pack_dotted(r))])
+        else:
+            out = " ".join(text.translate(_ATOMS).split())
+        if len(text) < LONGEST or not _LONG.search(out):
+            return out
+    return joined(tokenize(text, full))
+
+
+def packed_array(texts: pa.Array, full: bool) -> pa.Array:
+    """Tokens of texts, packed. Where most texts occur more than once, each different one is looked at once."""
+    told = texts.dictionary_encode()
+    if 2 * len(told.dictionary) < len(texts):
+        return packed_array(told.dictionary, full).take(told.indices)
+    return pa.array([None if t is None else pack(t, full) for t in texts.to_pylist()], pa.string())
+
+
+def _pack_udf(full: bool):
+    @F.arrow_udf(StringType())
+    def packed(texts: pa.Array) -> pa.Array:
+        return packed_array(texts, full)
+
+    return packed
+
+
+pack_full = _pack_udf(True)
+pack_atoms = _pack_udf(False)
+
+
+def pack_tokens(tokens: Column) -> Column:
+    """Arrays of TOKENS, packed. No function of theirs stands in a lambda, as Python couldn't have made them then."""
+    before = F.concat(F.array(F.lit(None).cast("int")), tokens["pos"])
+    each = F.zip_with(tokens["term"], tokens["pos"], lambda term, pos: F.struct(term.alias("term"), pos.alias("pos")))
+    gap = lambda pos, old: F.when(old.isNull(), F.repeat(F.lit(" "), pos)).when(pos > old, F.repeat(F.lit(" "), pos - old)).otherwise("\t")
+    return F.array_join(F.zip_with(each, before, lambda x, old: F.concat(gap(x["pos"], old), x["term"])), "")
+
+
+def _gapless(packed: Column) -> Column:
+    """Whether there are tokens, and some at each position."""
+    return (packed != "") & ~packed.startswith(" ") & ~packed.contains("  ")
+
+
+def unpacked(packed: Column) -> Column:
+    """Packed tokens as TOKENS."""
+
+    def of(terms: Column, pos: Column) -> Column:
+        token = lambda t: F.struct(pos.alias("pos"), t.alias("term"))
+        return F.when(terms.contains("\t"), F.transform(F.split(terms, "\t"), token)).otherwise(F.array(token(terms)))
+
+    told = F.flatten(F.transform(F.split(packed, " "), of))
+    return F.when(_gapless(packed), told).otherwise(F.filter(told, lambda t: t["term"] != ""))
+
+
+def count_packed(packed: Column) -> Column:
+    """How many tokens there are, by what parts them."""
+    bare = F.replace(F.replace(packed, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))
+    return F.when(_gapless(packed), F.octet_length(packed) - F.octet_length(bare) + 1).otherwise(F.size(F.array_remove(F.split(packed, "[ \t]"), "")))
+
+
+def flat_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of packed tokens, or of TOKENS: the place of the text, the position, and the term of each token."""
+    if not pa.types.is_string(column.type):
+        flat = pc.list_flatten(column)
+        return pc.list_parent_indices(column).to_numpy(), pc.struct_field(flat, "pos").to_numpy(), pc.struct_field(flat, "term")
+    places = pc.split_pattern(column, " ")
+    text = pc.list_parent_indices(places).to_numpy()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), bool), text[1:] != text[:-1]]))
+    pos = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+    shared = pc.split_pattern(pc.list_flatten(places), "\t")
+    place, terms = pc.list_parent_indices(shared).to_numpy(), pc.list_flatten(shared)
+    held = pc.not_equal(terms, "")
+    place = place[held.to_numpy(zero_copy_only=False)]
+    return text[place], pos[place].astype(np.int32), terms.filter(held)
+
+
 def stored_atoms(text: Column) -> Column:
     """tokenize_atoms(), in the JVM for plain ASCII texts without escapes and ``../``; Python sees only the others."""
     plain = (F.octet_length(text) == F.length(text)) & ~text.rlike(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\.\.[/\\]")

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.tokens import flat_tokens
+
 POSTINGS = "postings"
 BUCKETS = 64
 ROW = "field string, term string, main_log_path string, fp string, off array<bigint>, pos array<int>, size array<int>"
@@ -36,10 +38,8 @@ def bucket(field: Column, term: Column) -> Column:
 
 def grouped(lines: pa.Table, field: str) -> pa.Table:
     """Rows of ROW of the tokens of a field, by file and term; those of one term in the order of ``lines``."""
-    tokens = lines[FIELDS[field]].combine_chunks()
-    line = pc.list_parent_indices(tokens).to_numpy()
-    flat = pc.list_flatten(tokens)
-    terms = pc.struct_field(flat, "term").dictionary_encode()
+    line, pos, terms = flat_tokens(lines[FIELDS[field]].combine_chunks())
+    terms = terms.dictionary_encode()
     paths, fps = (lines[c].combine_chunks().dictionary_encode() for c in ("main_log_path", "fp"))
     path, fp = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64)[line] for c in (paths, fps))
     key = (path * len(fps.dictionary) + fp) * len(terms.dictionary) + terms.indices.to_numpy()
@@ -47,9 +47,9 @@ def grouped(lines: pa.Table, field: str) -> pa.Table:
     key = key[order]
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
     first, ends = pa.array(order[starts]), pa.array(np.append(starts, len(key)), pa.int32())
-    size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    size = np.bincount(line, minlength=len(lines))
     each = {
-        "off": pa.array(lines["off"].to_numpy()[line[order]], pa.int64()), "pos": pc.struct_field(flat, "pos").take(pa.array(order)), "size": pa.array(size[line[order]], pa.int32()),
+        "off": pa.array(lines["off"].to_numpy()[line[order]], pa.int64()), "pos": pa.array(pos[order], pa.int32()), "size": pa.array(size[line[order]], pa.int32()),
     }
     return pa.table(
         {
@@ -60,6 +60,11 @@ def grouped(lines: pa.Table, field: str) -> pa.Table:
     )
 
 
+def _count(tokens: pa.Array) -> int:
+    """How many tokens there are, or of packed ones what parts them."""
+    return pc.sum(pc.count_substring_regex(tokens, "[ \t]")).as_py() or 0 if pa.types.is_string(tokens.type) else len(pc.list_flatten(tokens))
+
+
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, tokens = [], 0
 
@@ -70,7 +75,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        tokens += sum(len(pc.list_flatten(batch.column(c))) for c in FIELDS.values())
+        tokens += sum(_count(batch.column(c)) for c in FIELDS.values())
         if tokens >= TOGETHER:
             yield from told()
             held, tokens = [], 0
@@ -79,7 +84,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """The postings of log rows as they are stored, each task's sorted by term. ``size``: tokens of the field."""
+    """The postings of log rows, with tokens packed or not, as they are stored, each task's sorted by term. ``size``: tokens of the field."""
     out = rows.select(*IDENTITY, *FIELDS.values()).mapInArrow(_group, ROW)
     return out.withColumn("bucket", bucket(F.col("field"), F.col("term"))).sortWithinPartitions("bucket", "field", "term")
 

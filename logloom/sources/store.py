@@ -21,11 +21,12 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from logloom.functions.geo import folded, range_lookup
-from logloom.functions.ip import stored_ip_hex
+from logloom.functions.ip import ip_hex
 from logloom.functions.parse import access_rows, error_rows
-from logloom.functions.tokens import tokenize_atoms, tokenize_full
+from logloom.functions.tokens import count_packed, pack_atoms, pack_full, pack_tokens, unpacked
 from logloom.functions.useragent import clients
 from logloom.operators.dashboard import HOUR
 from logloom.operators.postings import POSTINGS, STORED, index, told
@@ -35,7 +36,9 @@ from logloom.sources.loglines import FileState
 from logloom.sources.places import Places
 
 #: Another number means another schema: the store is then empty and logs are read again.
-FORMAT = 3
+FORMAT = 4
+#: Columns of tokens, which are stored packed.
+TOKENED = ["raw_tok", "path_tok", "ua_tok", "ref_tok"]
 ROLLUPS = ("hours", "minutes", "visitors", "terms")
 TABLES = ("rows", *ROLLUPS, POSTINGS)
 #: So many segments of a size class, powers of this, are merged; and a segment of whose rows more than this share is deleted is written anew.
@@ -120,14 +123,14 @@ def tier(segments: list[Segment]) -> list[Segment]:
 
 
 def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations: DataFrame | Places | None = None) -> DataFrame:
-    """Log rows of ``raw, off, fp, main_log_path`` lines, with tokens, names of clients and locations.
+    """Log rows of ``raw, off, fp, main_log_path`` lines, with packed tokens, names of clients and locations.
 
     Lines are read and parsed once, to a table. Names are looked up for each different agent of it, places for each
     different address, and joined without moving rows where there are few of them.
     ``locations``: databases, or a table of some of GEO by ip_hex, one row each, or by lo and hi, blocks of addresses; without it they're null.
     """
     base = lines.select("raw", "off", "fp", "main_log_path")
-    rows = materialise((access_rows(base, now) if kind == "access" else error_rows(base, now, zone)).withColumn("ip_hex", stored_ip_hex(F.col("ip"))))
+    rows = materialise((access_rows(base, now) if kind == "access" else error_rows(base, now, zone)).withColumn("ip_hex", ip_hex("ip")))
     named = clients(rows).select("user_agent", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("browser", "os", "device_type")])
     rows = look_up(rows, named, "user_agent")
     if isinstance(locations, Places):
@@ -140,8 +143,9 @@ def enrich(lines: DataFrame, kind: str, now: int, zone: str = "UTC", locations:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in GEO if c not in held})
         country, sub1, sub2 = folded(F.col("region_code"), F.col("sub1"), F.col("sub2"))
         rows = rows.withColumns({"region_code": country, "sub1": sub1, "sub2": sub2}) if held else rows
-    # sorted as they are stored before they are wide; Python takes them apart in less than half the time of functions over arrays
-    return rows.sortWithinPartitions("ts").withColumns({"raw_tok": tokenize_full("raw"), "path_tok": tokenize_atoms("path"), "ua_tok": tokenize_atoms("user_agent"), "ref_tok": tokenize_atoms("referer")})
+    # packed, a row's tokens are four texts on their way from Python to the files, instead of some seventy structs
+    return rows.withColumns({"raw_tok": pack_full("raw"), "path_tok": pack_atoms("path"), "ua_tok": pack_atoms("user_agent"), "ref_tok": pack_atoms("referer")})
+
 
 
 class Store:
@@ -200,17 +204,19 @@ class Store:
 
     # reading
 
-    def _load(self, table: str, names: list[str]) -> DataFrame:
+    def _load(self, table: str, names: list[str], packed: bool = False) -> DataFrame:
+        """``packed``: tokens of rows are left as they are stored."""
         if table == POSTINGS:  # one table with a folder for each segment, of which only those asked for are listed
             base = f"{self.path}/{table}"
             return told(self.spark.read.schema(STORED).option("basePath", base).parquet(*[f"{base}/seg={n}" for n in names]))
-        return self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in names])
+        held = self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in names])
+        return held if packed else held.withColumns({c: unpacked(F.col(c)) for c in TOKENED if c in held.columns})
 
-    def _seen(self, segments: list[Segment], table: str = "rows") -> DataFrame | None:
+    def _seen(self, segments: list[Segment], table: str = "rows", packed: bool = False) -> DataFrame | None:
         """Rows, or postings, of segments: those without deleted content are one scan."""
         whole = [s.id for s in segments if not s.gone]
-        frames = [self._load(table, whole)] if whole else []
-        frames += [s.seen(self._load(table, [s.id])) for s in segments if s.gone]
+        frames = [self._load(table, whole, packed)] if whole else []
+        frames += [s.seen(self._load(table, [s.id], packed)) for s in segments if s.gone]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
     def _rolled(self, segments: list[Segment], table: str) -> DataFrame | None:
@@ -281,9 +287,10 @@ class Store:
     def _segment(self, rows: DataFrame, rolled: Rollup | None = None) -> Segment:
         """Writes rows and their rollup, which is made from what was written if it isn't given, and tells of them."""
         s = Segment(uuid.uuid4().hex)
+        rows = rows.withColumns({c: pack_tokens(F.col(c)) for c in TOKENED if c in rows.columns and not isinstance(rows.schema[c].dataType, StringType)})
         self._write(rows.sortWithinPartitions("ts"), "rows", s.id)
-        written = self._load("rows", [s.id])
-        tokens = (F.sum(F.size("raw_tok")) if "raw_tok" in written.columns else F.max(F.lit(None))).cast("long")
+        written = self._load("rows", [s.id], packed=True)
+        tokens = (F.sum(count_packed(F.col("raw_tok"))) if "raw_tok" in written.columns else F.max(F.lit(None))).cast("long")
         one = written.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("ts", "fp", "off") for k, f in (("min", F.min), ("max", F.max))], tokens.alias("tokens")).first()
         s.rows, s.first, s.last = one["n"], one["min_ts"], one["max_ts"]
         if one["n"]:
@@ -303,11 +310,11 @@ class Store:
         if not ranges:
             return s
         if key not in known:
-            rows = s.seen(self._load("rows", [s.id]))
+            rows = s.seen(self._load("rows", [s.id], packed=True))
             hit, hour = within(ranges), F.col("ts") - F.pmod("ts", F.lit(HOUR))
             lost = lambda f, c: f(F.when(hit, c))
             left = lambda f, c: f(F.when(~hit, c))
-            words = (F.sum(F.when(~hit, F.size("raw_tok"))) if "raw_tok" in rows.columns else F.max(F.lit(None))).cast("long")
+            words = (F.sum(F.when(~hit, count_packed(F.col("raw_tok")))) if "raw_tok" in rows.columns else F.max(F.lit(None))).cast("long")
             one = rows.agg(words.alias("tokens"), lost(F.count, F.lit(1)).alias("n"), lost(F.min, hour).alias("a"), lost(F.max, hour).alias("b"), left(F.min, F.col("ts")).alias("first"), left(F.max, F.col("ts")).alias("last")).first()
             known[key] = s
             if one["n"]:
@@ -372,7 +379,7 @@ class Store:
         """Merges segments, a size class at a time, and gives the number of rows written; left to the next time if another commit changes them meanwhile."""
         written = 0
         while some := tier(self.manifest().segments([group])):
-            made = self._segment(self._seen(some), merge(Rollup(*[self._rolled(some, t) for t in ROLLUPS])))
+            made = self._segment(self._seen(some, packed=True), merge(Rollup(*[self._rolled(some, t) for t in ROLLUPS])))
             written += made.rows
             old = [asdict(s) for s in some]
             while True:

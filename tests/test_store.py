@@ -13,6 +13,7 @@ from logloom.functions.tokens import stored_full, token_array, tokenize
 from logloom.operators import postings, search
 from logloom.plans.filters import Filter, compile_filter
 from logloom.sources import store as st
+from logloom.shared import materialise
 from logloom.sources.loglines import FileState
 from logloom.sources.logs import Catalogue, HostLog
 from logloom.sources.store import Segment, Store, tier
@@ -286,6 +287,31 @@ def test_lines_are_taken_apart_by_one_pattern(monkeypatch):
     assert [x["term"] for x in token_array(pa.array([lines(0, 1).strip(), error]), True).to_pylist()[1]][-3:] == ["1.1", "host", "h"]
 
 
+def test_packed_tokens_are_the_tokenizer(spark):
+    """In Spark and in Arrow, packed from texts and from arrays; long terms leave positions without any."""
+    rng = random.Random(6)
+    pieces = ["a", "Z", "9", "12", ".", "_", " ", "-", "/", "1.2", "::", "ff:", "3_4", "é", "中文", "%20", "\\x41", "../", "😀", "http", "\t", "\n", "a" * 254, "9" * 255, "1." * 150, "\u0130"]
+    texts = [None, "", "a" * 255, *["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(3000)]]
+    for full, pack in ((True, tokens.pack_full), (False, tokens.pack_atoms)):
+        want = [None if t is None else tokenize(t, full) for t in texts]
+        frame = materialise(spark.createDataFrame(list(enumerate(texts)), "n int, x string").withColumn("p", pack("x"))).withColumn("again", tokens.pack_tokens(tokens.unpacked(F.col("p"))))
+        for r in frame.select("n", "p", "again", tokens.unpacked(F.col("p")).alias("t"), tokens.count_packed(F.col("p")).alias("k")).collect():
+            assert (r["t"] and [tuple(t) for t in r["t"]]) == want[r["n"]] and r["again"] == r["p"]
+            assert r["p"] is None or r["k"] == len(want[r["n"]])
+        line, pos, terms = tokens.flat_tokens(tokens.packed_array(pa.array(texts, pa.string()), full))
+        assert list(zip(line.tolist(), pos.tolist(), terms.to_pylist(), strict=True)) == [(n, *t) for n, some in enumerate(want) for t in some or []]
+
+
+def test_tokens_are_stored_packed(lines_store):
+    """As one text, while readers see arrays; the manifest's count is theirs."""
+    (segment, *_) = lines_store.manifest().segments()
+    held = lines_store.spark.read.parquet(f"{lines_store.path}/rows/{segment.id}")
+    assert {dict(held.dtypes)[c] for c in ("raw_tok", "path_tok", "ua_tok", "ref_tok")} == {"string"}
+    for r in lines_store.rows().select("raw", "raw_tok", "path", "path_tok", "user_agent", "ua_tok").collect():
+        for c, t, full in (("raw", "raw_tok", True), ("path", "path_tok", False), ("user_agent", "ua_tok", False)):
+            assert (r[t] and [tuple(x) for x in r[t]]) == (None if r[c] is None else tokenize(r[c], full))
+
+
 def test_postings_are_sorted_as_few_rows(spark, monkeypatch):
     """Those of a term in a file are one row, in lines' order; no posting is shuffled, wherever a task cuts its lines."""
     monkeypatch.setattr(postings, "TOGETHER", 40)
