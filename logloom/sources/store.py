@@ -29,14 +29,14 @@ from logloom.functions.parse import access_rows, error_rows
 from logloom.functions.tokens import count_packed, pack_atoms, pack_full, pack_tokens, unpacked
 from logloom.functions.useragent import clients
 from logloom.operators.dashboard import HOUR
-from logloom.operators.postings import POSTINGS, STORED, index, told
+from logloom.operators.postings import PAGE, POSTINGS, STORED, index, told
 from logloom.operators.rollup import HOURS, Rollup, build, merge, sums
 from logloom.shared import look_up, materialise
 from logloom.sources.loglines import FileState
 from logloom.sources.places import Places
 
 #: Another number means another schema: the store is then empty and logs are read again.
-FORMAT = 4
+FORMAT = 5
 #: Columns of tokens, which are stored packed.
 TOKENED = ["raw_tok", "path_tok", "ua_tok", "ref_tok"]
 ROLLUPS = ("hours", "minutes", "visitors", "terms")
@@ -297,7 +297,7 @@ class Store:
             s.fps, s.offs = [one["min_fp"], one["max_fp"]], [one["min_off"], one["max_off"]]
         s.tokens = one["tokens"]
         if self.indexed and "raw_tok" in written.columns:
-            index(written).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{POSTINGS}/seg={s.id}")
+            index(written).write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE).partitionBy("bucket").parquet(f"{self.path}/{POSTINGS}/seg={s.id}")
             s.indexed = True
         name, s.entries = self._roll(rolled or build(written))
         s.rollups = [{"id": name, "without": []}]

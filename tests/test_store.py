@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -399,3 +400,24 @@ def test_rounds_and_dashboards_leave_no_tables(site, monkeypatch):
     gone.clear()
     first, second = (engine.dashboard(now=BASE + 90_000) for _ in range(2))
     assert 0 < len(gone) < len(made) and second["overview"].first()["pv"] == 7
+
+
+def test_postings_are_packed_as_few_values(spark):
+    """Spark sees bytes, as narrow as the numbers allow, and the same postings come out, where widths differ too."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        n = rng.choice([1, 2, 40])
+        offs = sorted(rng.randrange(rng.choice([300, 1 << 20, 1 << 40])) for _ in range(n))
+        rows.append(("raw", f"t{k}", G, "f", offs, [rng.randrange(rng.choice([9, 1 << 20])) for _ in offs], [9] * n))
+    names = ["field", "term", "main_log_path", "fp", "off", "pos", "size"]
+    types = [pa.string()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    small = postings.packed_rows(batch.slice(0, 1))
+    assert len(small["size"][0].as_py()) == 2 * small["n"][0].as_py()
+    table = pa.Table.from_batches([small, *[postings.packed_rows(batch.slice(a, 50)) for a in range(1, 300, 50)]])
+    stored = spark.createDataFrame(table.to_pylist(), postings.PACKED).select("*", F.lit("s").alias("seg"), F.lit(0).alias("bucket")).coalesce(1)
+    got = Counter(tuple(r) for r in postings.told(stored).select(*names).collect())
+    assert got == Counter((*r[:4], *x) for r in rows for x in zip(*r[4:], strict=True))
+    assert [tuple(x) for x in postings._order(np.array([7, 1 << 40, 7, 65536, 0, 1 << 20])).reshape(1, -1).tolist()] == [(4, 0, 2, 3, 5, 1)]
+    assert "array" not in postings.index(spark.createDataFrame([(G, "f", 1, "a b", "a")], "main_log_path string, fp string, off long, raw_tok string, path_tok string")).schema.simpleString()
