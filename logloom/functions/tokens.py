@@ -38,8 +38,7 @@ _PIECE = re.compile(rf"(?P<cjk>[{_CJK}]+)|(?P<emoji>[{_EMOJI}])|(?P<up>\.\.[/\\]
 #: Tokens of plain texts; possessive, so that a number that a letter follows isn't one in part either.
 _PLAIN_FULL, _PLAIN_ATOM, _DOT = re.compile(r"[0-9]++(?:[._][0-9]++)++(?![a-z0-9])|[a-z0-9]+"), re.compile("[a-z0-9]+"), re.compile("[._]")
 #: Plain texts in lower case with blanks for all but atoms, and but what dotted numbers are made of.
-_ATOMS, _RUNS = ({c: chr(c).lower() if chr(c).isalnum() or chr(c) in kept else " " for c in range(128)} for kept in ("", "._"))
-_LONG = re.compile(rf"[^ \t]{{{LONGEST}}}")
+_ATOMS, _RUNS = (bytes(ord(chr(c).lower()) if chr(c).isascii() and (chr(c).isalnum() or chr(c) in kept) else 32 for c in range(256)) for kept in ("", "._"))
 _ATOM_CHAR = re.compile(rf"(?![{_CJK}{_EMOJI}])[^\W_]")
 
 
@@ -193,16 +192,37 @@ def _pack_dotted(run: str) -> str:
     return " ".join(t if t.isalnum() else "\t".join(_prefixes(t)) for t in _PLAIN_FULL.findall(run))
 
 
-def pack(text: str, full: bool) -> str:
-    """tokenize() for an index, packed."""
-    if not _odd(text, full):
-        if full:
-            out = " ".join([x for r in text.translate(_RUNS).split() if (x := r if r.isalnum() else _pack_dotted(r))])
-        else:
-            out = " ".join(text.translate(_ATOMS).split())
-        if len(text) < LONGEST or not _LONG.search(out):
-            return out
-    return joined(tokenize(text, full))
+def _odd_texts(texts: pa.Array, full: bool) -> pa.Array:
+    """_odd() of each of some texts. What stands in none of them is told by one look at all their bytes."""
+    data = texts.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    found = pc.invert(pc.string_is_ascii(texts)) if not data.isascii() else pc.if_else(pc.is_valid(texts), False, None)
+    for part in ("%", "\\x", "../", "..\\", *(["::"] if full else [])):
+        if part.encode() in data:
+            found = pc.or_(found, pc.match_substring(texts, part))
+    if full:  # many texts hold six colons, few six groups of an address
+        some = pc.greater(pc.count_substring(texts, ":"), 5)
+        found = pc.or_(found, pc.and_(some, pc.match_substring_regex(texts, "(?:[0-9A-Fa-f]{1,4}:){6}")) if pc.any(some).as_py() else some)
+    return found
+
+
+def _pack_plain(texts: pa.Array, full: bool) -> pa.Array:
+    """tokenize() of texts of which none is null or odd, packed: all of them at once, and each different run with a dot or underscore on its own."""
+    ends, data = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1], texts.buffers()[2]
+    kept = memoryview(data)[ends[0] : ends[-1]].tobytes().translate(_RUNS if full else _ATOMS) if data else b""
+    told = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(kept)])
+    runs = pc.ascii_split_whitespace(told)
+    lists, flat = runs.offsets, runs.values
+    if full:
+        each = flat.dictionary_encode()
+        packed = [t if t.isalnum() else _pack_dotted(t) or None for t in each.dictionary.to_pylist()]
+        flat = pa.array(packed, pa.string()).take(each.indices)
+    else:
+        flat = pc.if_else(pc.equal(flat, ""), None, flat)
+    if flat.null_count:  # runs of dots alone, and what stands before a first blank
+        here = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        lists, flat = pa.array(np.concatenate([[0], np.cumsum(here)])[lists.to_numpy()], pa.int32()), flat.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(lists, flat), " ")
 
 
 def packed_array(texts: pa.Array, full: bool) -> pa.Array:
@@ -210,7 +230,15 @@ def packed_array(texts: pa.Array, full: bool) -> pa.Array:
     told = texts.dictionary_encode()
     if 2 * len(told.dictionary) < len(texts):
         return packed_array(told.dictionary, full).take(told.indices)
-    return pa.array([None if t is None else pack(t, full) for t in texts.to_pylist()], pa.string())
+    plain = pc.fill_null(pc.invert(_odd_texts(texts, full)), False)
+    out = _pack_plain(texts.filter(plain), full)
+    long = pc.match_substring_regex(out, f"[^ \t]{{{LONGEST}}}") if pc.any(pc.greater_equal(pc.binary_length(out), LONGEST)).as_py() else None
+    if len(out) == len(texts) and not (long and pc.any(long).as_py()):
+        return out
+    held = iter(out.to_pylist() if long is None else pc.if_else(long, None, out).to_pylist())
+    # of a plain text nothing was told if it has a long term
+    found = [next(held) if p else None for p in plain.to_pylist()]
+    return pa.array([x if x is not None or t is None else joined(tokenize(t, full)) for x, t in zip(found, texts.to_pylist(), strict=True)], pa.string())
 
 
 def _pack_udf(full: bool):

@@ -222,6 +222,15 @@ def test_events_are_written_as_files_with_lines_of_their_own(spark, tmp_path, mo
     assert not {fingerprint(f) for f in more} & {fingerprint(f) for f in files}
 
 
+def test_files_of_a_log_are_cut_without_samples(spark, tmp_path, monkeypatch):
+    """Copies of lines at equal distances are written once: no cut falls on the same line of two copies."""
+    monkeypatch.setattr(indexed, "LINES", 100)
+    lines = spark.range(400).select(F.col("id").alias("off"), F.concat(F.lit("line "), F.col("id") % 100).alias("raw"))
+    files = indexed._write(lines, str(tmp_path / "a"))
+    assert len(files) == 4 and len(list(tmp_path.iterdir())) == 1
+    assert [x for f in files for x in open(f).read().splitlines()] == [f"line {k % 100}" for k in range(400)]
+
+
 def test_line_reader(tmp_path):
     f = tmp_path / "x.log"
     f.write_bytes(b"\r\n\nfirst\r\n" + b"y" * ((1 << 20) + 5) + b"\nlast\nopen")

@@ -421,3 +421,12 @@ def test_postings_are_packed_as_few_values(spark):
     assert got == Counter((*r[:4], *x) for r in rows for x in zip(*r[4:], strict=True))
     assert [tuple(x) for x in postings._order(np.array([7, 1 << 40, 7, 65536, 0, 1 << 20])).reshape(1, -1).tolist()] == [(4, 0, 2, 3, 5, 1)]
     assert "array" not in postings.index(spark.createDataFrame([(G, "f", 1, "a b", "a")], "main_log_path string, fp string, off long, raw_tok string, path_tok string")).schema.simpleString()
+
+
+def test_texts_are_packed_at_once():
+    """Of plain texts each different run with a dot is looked at once in a batch, and no text on its own; slices, blanks and nulls count too."""
+    tokens._pack_dotted.cache_clear()
+    texts = [f"GET /p/{k} 10.0.0.{k % 3} 1.2" for k in range(900)]
+    got = tokens.packed_array(pa.array([*texts, None, "", " .", ". 中"], pa.string()).slice(5), True).to_pylist()
+    assert got == [*[tokens.joined(tokenize(t, True)) for t in texts[5:]], None, "", "", "中"]
+    assert tokens._pack_dotted.cache_info().hits == 0
