@@ -125,17 +125,28 @@ def device(ua: Column) -> Column:
     return F.when(_known(ua), _first(ua, DEVICES, names, F.when(android, "Tablet").otherwise("Desktop"))).otherwise("")
 
 
-def browser_version(ua: Column) -> Column:
-    """Group 1 of the rule's version pattern; an alternative that captures elsewhere gives none."""
+def _named(ua: Column, name: Column, patterns: dict[str, str]) -> Column:
+    """Group 1 of the pattern of a name, empty if it has none. One expression: as many as there are names would be too much code for the compiler."""
+    return F.coalesce(F.call_function("regexp_extract", ua, F.element_at(F.create_map(*[F.lit(x) for n, p in patterns.items() for x in (n, f"(?i){p}")]), name), F.lit(1)), F.lit(""))
+
+
+def browser_version(ua: Column, name: Column | None = None) -> Column:
+    """Group 1 of the rule's version pattern; an alternative that captures elsewhere gives none. ``name``: of the browser, where it is known."""
+    three = {n: rf"{app}/(\d+\.\d+\.\d+)" for n, app in THREE_PARTS.items()}
+    if name is not None:  # no two rules have one name
+        told = _named(ua, name, {n: v for n, _, v in BROWSERS if v})
+        version = F.when(name.isin(list(three)), F.coalesce(F.nullif(told, F.lit("")), _named(ua, name, three))).otherwise(told)
+        return F.when(_known(ua), version).otherwise("")
     values = [F.regexp_extract(ua, f"(?i){v}", 1) if v else F.lit("") for _, _, v in BROWSERS]
-    values = [F.coalesce(F.nullif(x, F.lit("")), F.regexp_extract(ua, rf"(?i){THREE_PARTS[n]}/(\d+\.\d+\.\d+)", 1)) if n in THREE_PARTS else x for (n, _, _), x in zip(BROWSERS, values, strict=True)]
+    values = [F.coalesce(F.nullif(x, F.lit("")), F.regexp_extract(ua, f"(?i){three[n]}", 1)) if n in three else x for (n, _, _), x in zip(BROWSERS, values, strict=True)]
     return F.when(_known(ua), _first(ua, BROWSERS, values, F.lit(""))).otherwise("")
 
 
-def system_version(ua: Column) -> Column:
+def system_version(ua: Column, name: Column | None = None) -> Column:
+    """The same of the system."""
     values = [F.regexp_extract(ua, f"(?i){v}", 1) if v else F.lit("") for _, _, v in SYSTEMS]
-    version = F.translate(_first(ua, SYSTEMS, values, F.lit("")), "_", ".")
-    return F.when(_known(ua), F.regexp_replace(version, r"(\.0)+$", "")).otherwise("")
+    told = _first(ua, SYSTEMS, values, F.lit("")) if name is None else _named(ua, name, {n: v for n, _, v in SYSTEMS if v})
+    return F.when(_known(ua), F.regexp_replace(F.translate(told, "_", "."), r"(\.0)+$", "")).otherwise("")
 
 
 def clients(rows: DataFrame, ua_col: str = "user_agent") -> DataFrame:

@@ -110,6 +110,18 @@ def test_hits(site):
     assert "request_time" not in second and "upstream_time" not in second and not {"c1", "c2", "c3", "c4"} & set(first) and first["province"] == ""
 
 
+def test_hits_take_a_line_apart_once(site):
+    """Patterns of lines stand in the plan once, however many fields an entry has; names of clients are those of the rows."""
+    log, other, engine = site
+    log.write_text(lines(0, 4))
+    engine.rounds.run(now=NOW)
+    rows = engine.store.rows([str(log)])
+    plan = engine.hits(rows)._jdf.queryExecution().optimizedPlan().toJSON()
+    assert 1 <= plan.count("(?s)^([^ ]*) +") <= 2  # the plan tells an expression's origin with it
+    entry = lambda frame: [r["entry"] for r in engine.hits(frame).orderBy("off").collect()]
+    assert entry(rows) == entry(rows.drop("browser", "os", "device_type"))
+
+
 @pytest.mark.parametrize(("zone", "day"), [("Australia/Lord_Howe", "2024/10/06"), ("America/New_York", "2024/03/10"), ("Australia/Lord_Howe", "2024/04/07"), ("Europe/London", "2024/10/27")])
 def test_times_around_gaps(spark, zone, day):
     """A time that doesn't exist is told an hour later, however long the gap; of two the first."""

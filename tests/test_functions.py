@@ -103,6 +103,27 @@ def test_clients(spark):
     assert got == {a[0]: a[1:] for a in AGENTS}
 
 
+def test_versions_by_name(spark):
+    """A version is told by the name that the rules gave as they tell it themselves."""
+    from pyspark.sql import functions as F
+
+    made = [f"x {v[2].replace(chr(92), '').replace('(d+.d+)', '7.5').split('|')[0]} y {n}" for v in useragent.BROWSERS for n in ("Windows NT 10.0", "android 4.4.0", "OS 17_4_1") if v[2]]
+    agents = [a[0] for a in AGENTS] + made + ["musically_2.1.3", "QQ/1.2.3", "qihoobrowser/3.4", "rhel 7.1", "MicroMessenger/8", "AlipayClient/10.2.3"]
+    ua = F.col("ua")
+    df = spark.createDataFrame([(a,) for a in agents], "ua string").select("ua", useragent.browser(ua).alias("b"), useragent.system(ua).alias("s"))
+    got = df.select("ua", useragent.browser_version(ua), useragent.browser_version(ua, F.col("b")), useragent.system_version(ua), useragent.system_version(ua, F.col("s"))).collect()
+    assert [r["ua"] for r in got if r[1] != r[2] or r[3] != r[4]] == [] and len({r[1] for r in got}) > 3
+
+
+def test_odd_requests(spark):
+    """Words of a request are told by the line's pattern, and a quote that never ends doesn't take long."""
+    requests = ["GET /a HTTP/1.1", "  GET   /a\tHTTP/2 x y", "", "   ", "FETCH /x", "GET", " /only", "PUT /a\u00a0b HTTP/1.1"]
+    df = spark.createDataFrame([(i, line(request=r)) for i, r in enumerate(requests)] + [(99, line(request='GET "' + "a b " * 4000)[:16000])], "i int, raw string")
+    got = {r["i"]: tuple(r["e"][c] for c in ("method", "path", "protocol")) for r in df.withColumn("p", parse.access_parts(df["raw"])).select("i", parse.access_fields(F.col("p")).alias("e")).where("e is not null").collect()}
+    want = [("GET", "/a", "HTTP/1.1"), ("GET", "/a", "HTTP/2"), ("", "", ""), ("", "", ""), ("", "/x", ""), ("GET", "", ""), ("", "", ""), ("PUT", "/a\u00a0b", "HTTP/1.1")]
+    assert [got[i] for i in range(len(requests))] == want
+
+
 def test_addresses(spark):
     assert hex_range("10.1.2.3/8") == (hex_of("10.0.0.0"), hex_of("10.255.255.255"))
     assert hex_range("::/0") == ("0" * 32, "f" * 32) and hex_range("1.2.3") is None
